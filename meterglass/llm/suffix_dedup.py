@@ -238,7 +238,7 @@ def removed_intervals(docs: DataFrame, k: int = K, m: int = M, buckets: int | No
                 if got is None:
                     continue
                 p, others = S.collapse(*got)
-                out = list(S.blobs(p, buckets))
+                out = list(S.blobs(p, buckets, grouped=True))
                 if others is not None:
                     out.append((-1 - int(k1[rows[0]] % n), S.dump_removed(others)))
                 yield S.shuffled_batch(out)

@@ -45,7 +45,7 @@ class Packed:
     begin: np.ndarray
     data: np.ndarray
 
-    TYPES = (("k1", np.int64), ("k2", np.int32), ("start", np.int32), ("n", np.int32), ("mini", np.uint64), ("twice", np.uint8), ("size", np.int32))
+    TYPES = (("k1", np.int64), ("k2", np.int32), ("start", np.int32), ("n", np.int32), ("mini", np.uint32), ("twice", np.uint8), ("size", np.int32))
 
     def __len__(self) -> int:
         return self.k1.size
@@ -158,11 +158,13 @@ def collapse(p: Packed, h: np.ndarray | None = None) -> tuple[Packed, Packed | N
     return p.take(np.flatnonzero(keep)), p.take(lost)
 
 
-def blobs(p: Packed, buckets: int, level: int = 3) -> Iterator[tuple[int, bytes]]:
-    """One compressed blob for each bucket that has super-k-mers."""
+def blobs(p: Packed, buckets: int, grouped: bool = False, level: int = 5) -> Iterator[tuple[int, bytes]]:
+    """One compressed blob for each bucket that has super-k-mers. grouped: send 32 bits of each minimiser along."""
     if not len(p):
         return
     bucket = ((p.mini >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    if not grouped:
+        p.mini = np.zeros(len(p), np.uint32)
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     begin = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
