@@ -1,0 +1,132 @@
+"""Isolation forests (Liu et al. 2008) and one-class SVMs (Schoelkopf et al. 2001), one model per device in grouped pandas."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from meterglass.runtime import ship
+
+SEED = 42
+
+
+def path_length(n: np.ndarray | float) -> np.ndarray:
+    """Mean path length of an unsuccessful search among n rows."""
+    n = np.asarray(n, float)
+    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
+
+
+def grow(train: np.ndarray, rows: np.ndarray, rng: np.random.Generator, limit: int) -> np.ndarray:
+    """Depths, summed over trees, at which random trees isolate `rows`. train: trees x sample x features; all trees grow level by level together."""
+    trees, sample, width = train.shape
+    x = train.reshape(-1, width)
+    node = np.repeat(np.arange(trees), sample)
+    tree_of, row_of = np.repeat(np.arange(trees), len(rows)), np.tile(np.arange(len(rows)), trees)
+    at = tree_of.copy()
+    out = np.zeros(len(rows))
+    for depth in range(limit + 1):
+        names, node = np.unique(node, return_inverse=True)
+        size = np.bincount(node, minlength=names.size)
+        low, high = np.full((names.size, width), np.inf), np.full((names.size, width), -np.inf)
+        np.minimum.at(low, node, x)
+        np.maximum.at(high, node, x)
+        at = np.searchsorted(names, at)
+        wide = high > low
+        leaf = (size <= 1) | ~wide.any(axis=1) | (depth == limit)
+        done = leaf[at]
+        np.add.at(out, row_of[done], depth + path_length(size[at[done]]))
+        at, row_of, keep = at[~done], row_of[~done], ~leaf[node]
+        x, node = x[keep], node[keep]
+        if not at.size:
+            break
+        column = np.argmax(rng.random((names.size, width)) * wide, axis=1)
+        own = np.arange(names.size)
+        cut = low[own, column] + (high[own, column] - low[own, column]) * rng.random(names.size)
+        node = 2 * node + (x[np.arange(node.size), column[node]] >= cut[node])
+        at = 2 * at + (rows[row_of, column[at]] >= cut[at])
+    return out
+
+
+def forest_scores(train: np.ndarray, rows: np.ndarray, trees: int, sample: int, seed: int = SEED) -> np.ndarray:
+    """2^(-mean depth / c(sample)): near 1 for what is easily isolated."""
+    rng = np.random.default_rng(seed)
+    sample = max(1, min(sample, len(train)))
+    limit = int(np.ceil(np.log2(max(2, sample))))
+    total, left = np.zeros(len(rows)), trees
+    together = max(1, 500_000 // (sample + len(rows)))
+    while left:
+        now = min(left, together)
+        chosen = np.stack([rng.choice(len(train), sample, replace=False) for _ in range(now)])
+        total += grow(train[chosen], rows, rng, limit)
+        left -= now
+    return 2.0 ** (-(total / trees) / max(float(path_length(sample)), 1e-12))
+
+
+def forest_a(n: int) -> tuple[int, int, float | None]:
+    """Trees, sample and contamination of variant A: fixed sample of 256, cut at 0.5."""
+    return min(100 + round(n / 5), 7000), 256, None
+
+
+def forest_b(n: int) -> tuple[int, int, float | None]:
+    """Variant B: whole samples, cut at the quantile that a contamination of 0.18 gives."""
+    return min(100 + n // 3, 3000), n, 0.18
+
+
+def svm_fit(x: np.ndarray, nu: float = 1 / 3, tolerance: float = 1e-12, steps: int = 20000) -> tuple[np.ndarray, float, float]:
+    """(alpha, rho, gamma) of the one-class dual: minimise a'Ka/2 with 0 <= a <= 1/(nu n) and sum a = 1, by pairwise steps."""
+    n = len(x)
+    gamma = 1.0 / max(x.shape[1] * x.var(), 1e-12)
+    k = np.exp(-gamma * ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    most = 1.0 / (nu * n)
+    a = np.zeros(n)
+    full = int(nu * n)
+    a[:full] = most
+    if full < n:
+        a[full] = 1.0 - full * most
+    g = k @ a
+    for _ in range(steps):
+        up, down = np.flatnonzero(a < most - 1e-15), np.flatnonzero(a > 1e-15)
+        i, j = up[g[up].argmin()], down[g[down].argmax()]
+        gap = g[j] - g[i]
+        if gap <= tolerance:
+            break
+        step = min(gap / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), most - a[i], a[j])
+        a[i] += step
+        a[j] -= step
+        g += step * (k[:, i] - k[:, j])
+    free = (a > 1e-12) & (a < most - 1e-12)
+    rho = float(g[free].mean()) if free.any() else float((g[a > 1e-12].max() + g[a <= 1e-12].min()) / 2 if (a <= 1e-12).any() else g.max())
+    return a, rho, gamma
+
+
+def svm_values(train: np.ndarray, rows: np.ndarray, model: tuple[np.ndarray, float, float]) -> np.ndarray:
+    a, rho, gamma = model
+    return np.exp(-gamma * ((rows[:, None, :] - train[None, :, :]) ** 2).sum(axis=2)) @ a - rho
+
+
+def detect(df: DataFrame, algorithm: str, device: str, key: str, features: list[str], training: str = "training", seed: int = SEED) -> DataFrame:
+    """device, key, score, prediction for all rows of each device; models are fitted on its rows with `training` set.
+
+    algorithm: if_sklearn (variant A), if_custom (variant B) or ocsvm. A device is one task's work: its history is bounded by retention."""
+    ship(df.sparkSession)
+    features = sorted(features)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        rows = pdf[features].to_numpy(float)
+        train = rows[pdf[training].to_numpy(bool)]
+        if not len(train):
+            train = rows
+        if algorithm == "ocsvm":
+            value = -svm_values(train, rows, svm_fit(train))
+            flag = value > 0
+        else:
+            trees, sample, share = (forest_a if algorithm == "if_sklearn" else forest_b)(len(train))
+            value = forest_scores(train, rows, trees, sample, seed)
+            cut = 0.5 if share is None else np.quantile(forest_scores(train, train, trees, sample, seed), 1 - share)
+            flag = value > cut
+        return pd.DataFrame({device: pdf[device], key: pdf[key], "score": value, "prediction": flag.astype("int32")})
+
+    kinds = dict(df.dtypes)
+    return df.select(device, key, training, *features).groupBy(device).applyInPandas(run, f"{device} {kinds[device]}, {key} {kinds[key]}, score double, prediction int")

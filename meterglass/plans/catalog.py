@@ -1,6 +1,456 @@
-"""Query catalogue: each operator as a query over the driver's tables, with its SQL oracle."""
+"""Query catalogue: each operator as a query over the driver's tables, with its SQL oracle.
+
+The driver's tables hold no gateway logs, so events stand in for messages (user_id is
+the device, props the payload), digests of keys for binary payloads, orders with their
+lineitems for nested records, and embeddings for feature vectors.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterglass.functions import exprs as X
+from meterglass.functions.phy import FIELDS, decode_base64
+from meterglass.operators import features, flatten, hbos, lof, metrics, prep, registry, training, trees
+from meterglass.runtime import scratch, table
+from meterglass.sources.io import MESSAGE
+from meterglass.streaming import scoring
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+DEVICE, KEY, NUMERIC = "user_id", "event_id", ["value", "k"]
+POOLS = {"k": [-5.0, -7.0, 1.0, 5000.0, 2.0], "value": [10000.5, 0.0, 20000.5, -3.25]}
+
+
+def query(oracle: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages, with gaps in both features."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    rows = table(spark, sf_dir, "events").filter("user_id is not null")
+    return rows.select("event_id", "user_id", F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 13 != 0, k).alias("k"))
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.prepare(messages(spark, sf_dir), DEVICE, KEY, NUMERIC)
+
+
+def digest(c: Column) -> Column:
+    return F.upper(F.md5(c.cast("string")))
+
+
+M = """m AS (
+  SELECT event_id, user_id, CASE WHEN event_id % 11 <> 0 THEN value END AS value,
+         CASE WHEN event_id % 13 <> 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k
+  FROM events WHERE user_id IS NOT NULL)"""
+P = (
+    M
+    + """, p AS (
+  SELECT event_id, user_id, coalesce(value, avg(value) OVER w) AS value, coalesce(k, avg(k) OVER w) AS k,
+         CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80 AS training
+  FROM m WHERE user_id IN (SELECT user_id FROM m GROUP BY 1 HAVING count(*) >= 50)
+  WINDOW w AS (PARTITION BY user_id))"""
+)
+
+
+def hbos_ctes(train: str, rows: str) -> str:
+    """CTEs model_* and scores: histogram models of `train`, scores s(user_id, event_id, score) of `rows`."""
+    unpivot = lambda t: f"SELECT user_id, event_id, 'k' AS feature, k AS x FROM {t} UNION ALL SELECT user_id, event_id, 'value', value FROM {t}"
+    scored = lambda name, cells: f"""{name} AS (
+  SELECT user_id, event_id, round(sum(CASE WHEN feature = 'k' THEN part ELSE 0 END) + sum(CASE WHEN feature = 'value' THEN part ELSE 0 END), 6) AS score FROM (
+    SELECT c.user_id, c.event_id, c.feature, -log2(0.1 + CASE WHEN x < lo - 1e-20 * width OR x > hi + 1e-20 * width THEN rarest
+      ELSE coalesce(h.c, 0) / (n * width) END) AS part
+    FROM {cells} c JOIN rare r USING (user_id, feature)
+    LEFT JOIN hist h ON h.user_id = c.user_id AND h.feature = c.feature AND h.bin = greatest(0, least(CAST(floor((x - lo) / width) AS INT), bins - 1)))
+  GROUP BY ALL)"""
+    return f"""tc AS ({unpivot(train)}), rc AS ({unpivot(rows)}),
+shape0 AS (SELECT user_id, feature, count(*) AS n, min(x) AS a, max(x) AS b, CAST(greatest(1, round(sqrt(count(*)))) AS INT) AS bins FROM tc GROUP BY ALL),
+shape AS (SELECT *, (hi - lo) / bins AS width FROM (SELECT user_id, feature, n, bins, CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5 ELSE b END AS hi FROM shape0)),
+hist AS (SELECT tc.user_id, tc.feature, least(CAST(floor((x - lo) / width) AS INT), bins - 1) AS bin, count(*) AS c FROM tc JOIN shape USING (user_id, feature) GROUP BY ALL),
+rare AS (SELECT s.*, CASE WHEN filled < bins THEN 0 ELSE least_c / (n * width) END AS rarest FROM shape s JOIN (SELECT user_id, feature, count(*) AS filled, min(c) AS least_c FROM hist GROUP BY ALL) USING (user_id, feature)),
+{scored("ts", "tc")}, {scored("rs", "rc")},
+limits AS (SELECT user_id, round(quantile_cont(score, CAST({1 - hbos.CONTAMINATION!r} AS DOUBLE)), 9) AS threshold FROM ts GROUP BY ALL)"""
+
+
+# --- scans, filters, expressions -------------------------------------------------
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type IS NOT NULL AND event_type <> '' AND user_id = 7")
+def scan_project_filter(spark, sf_dir):
+    return table(spark, sf_dir, "events").filter(X.known(F.col("event_type")) & (F.col("user_id") == 7)).select("event_id", "user_id", "value")
+
+
+@query("""SELECT event_type, count(*) AS n FROM events WHERE starts_with(props, '{"k"') AND starts_with(event_type, 'c') GROUP BY 1""")
+def prefix_route(spark, sf_dir):
+    return table(spark, sf_dir, "events").filter(F.col("props").startswith('{"k"') & F.col("event_type").startswith("c")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN NULL WHEN l_linenumber % 4 = 1 AND l_partkey % 3 = 0 THEN 'FSK' WHEN l_partkey % 5 = 0 THEN ''
+  ELSE 'SF' || (7 + l_partkey % 6) || 'BW' || (125 * (1 + l_suppkey % 4)) END AS datr FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN datr IS NULL THEN NULL ELSE coalesce(try_cast(nullif(regexp_extract(datr, 'SF(\d+)BW(\d+)', 1), '') AS BIGINT), -1) END AS sf,
+  CASE WHEN datr IS NULL THEN NULL ELSE coalesce(try_cast(nullif(regexp_extract(datr, 'SF(\d+)BW(\d+)', 2), '') AS BIGINT), -1) END AS bw FROM t""")
+def regex_groups(spark, sf_dir):
+    built = F.concat(F.lit("SF"), (7 + F.col("l_partkey") % 6).cast("string"), F.lit("BW"), (125 * (1 + F.col("l_suppkey") % 4)).cast("string"))
+    line = F.col("l_linenumber") % 4
+    datr = F.when(line == 0, F.lit(None)).when((line == 1) & (F.col("l_partkey") % 3 == 0), "FSK").when(F.col("l_partkey") % 5 == 0, "").otherwise(built)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", datr.alias("datr"))
+    sf, bw = X.data_rate(F.col("datr"))
+    return rows.select("l_orderkey", "l_linenumber", sf.alias("sf"), bw.alias("bw"))
+
+
+@query(r"""SELECT event_id, regexp_extract(CASE event_id % 4 WHEN 0 THEN 'hd' || '{"rxpk":[' || props || ']}' WHEN 1 THEN 'x{' || '{"stat":' || props || '}' || chr(10) || 'cut' WHEN 2 THEN 'none' ELSE '' END,
+  '(\{"(?:rxpk|stat)".*)', 1) AS message FROM events""")
+def regex_json_tail(spark, sf_dir):
+    at = F.col("event_id") % 4
+    raw = F.when(at == 0, F.concat(F.lit('hd{"rxpk":['), "props", F.lit("]}"))).when(at == 1, F.concat(F.lit('x{{"stat":'), "props", F.lit("}\ncut"))).when(at == 2, "none").otherwise("")
+    return table(spark, sf_dir, "events").select("event_id", X.json_tail(raw).alias("message"))
+
+
+@query(r"""WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN l_quantity::INT || '/' || (l_partkey % 7) WHEN 2 THEN 'OFF' WHEN 3 THEN NULL WHEN 4 THEN '4/5/6' ELSE ' 3 / ' || l_linenumber END AS codr FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN codr IS NULL THEN NULL WHEN regexp_full_match(codr, '\s*[+-]?\d+\s*/\s*[+-]?\d+\s*')
+  THEN coalesce(try_cast(trim(split_part(codr, '/', 1)) AS INT)::DOUBLE / nullif(try_cast(trim(split_part(codr, '/', 2)) AS INT)::DOUBLE, 0), -1.0) ELSE -1.0 END AS codr FROM t""")
+def fraction_to_double(spark, sf_dir):
+    line = F.col("l_linenumber")
+    raw = F.when(line == 1, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("/"), (F.col("l_partkey") % 7).cast("string"))).when(line == 2, "OFF").when(line == 3, F.lit(None)).when(line == 4, "4/5/6").otherwise(F.concat(F.lit(" 3 / "), line.cast("string")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.fraction_to_double(raw).alias("codr"))
+
+
+HEX_SQL = "CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'zz' WHEN 2 THEN substr(h, 1, 2) WHEN 3 THEN substr(h, 1, 8) WHEN 4 THEN substr(h, 1, 16) WHEN 5 THEN substr(h, 1, 30) WHEN 6 THEN h WHEN 7 THEN '0000' || substr(h, 1, 12) END"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, {HEX_SQL} AS h FROM (SELECT o_orderkey, upper(md5(CAST(o_orderkey AS VARCHAR))) AS h FROM orders)),
+v AS (SELECT o_orderkey, h, try_cast('0x' || h AS HUGEINT) AS n FROM t)
+SELECT o_orderkey, CAST(CASE WHEN h IS NULL OR h = '' THEN NULL WHEN n IS NULL OR n > 99999999999999999999999999999999999999::HUGEINT THEN -1 ELSE n END AS DECIMAL(38, 0)) AS number FROM v""")
+def hex_to_decimal(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", digest(F.col("o_orderkey")).alias("h"))
+    return rows.select("o_orderkey", X.hex_to_decimal(F.expr(HEX_SQL)).alias("number"))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_reverse(regexp_extract_all(substr(upper(md5(CAST(o_orderkey AS VARCHAR))), 1, CAST(o_orderkey % 33 AS INT)), '.{1,2}')), '') AS reversed FROM orders""")
+def reverse_octets(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", X.reverse_octets(F.substring(digest(F.col("o_orderkey")), F.lit(1), (F.col("o_orderkey") % 33).cast("int"))).alias("reversed"))
+
+
+@query("SELECT doc_id, CAST(length(h) AS BIGINT) AS n_digits, md5(h) AS digest FROM (SELECT doc_id, hex(from_base64(to_base64(encode(text)))) AS h FROM documents)")
+def base64_roundtrip(spark, sf_dir):
+    h = X.base64_to_hex(F.base64(F.encode("text", "utf-8")))
+    return table(spark, sf_dir, "documents").select("doc_id", h.alias("h")).select("doc_id", F.length("h").cast("long").alias("n_digits"), F.md5("h").alias("digest"))
+
+
+FRAME_SQL = "CASE WHEN event_id % 5 = 0 THEN h || h || substr(h, 1, 6) ELSE substr(h, 1, CAST(2 * (event_id % 17) AS INT)) END"
+_REV = lambda e: f"array_to_string(list_reverse(regexp_extract_all({e}, '.{{1,2}}')), '')"
+PHY_SQL = f"""WITH t AS (SELECT event_id, {FRAME_SQL} AS h FROM (SELECT event_id, upper(md5(CAST(event_id AS VARCHAR))) AS h FROM events)),
+u AS (SELECT event_id, nullif(h, '') AS h, length(h) AS n, length(h) >= 12 AS ok, substr(h, 1, greatest(length(h) - 8, 0)) AS b,
+  CASE WHEN length(h) >= 12 THEN CAST('0x' || substr(h, 1, 2) AS INT) >> 5 END AS kind FROM t),
+v AS (SELECT *, substr(b, 11, 2) AS fctrl, substr(h, 27, greatest(n - 34, 0)) AS rest FROM u),
+w AS (SELECT *, CASE WHEN length(fctrl) = 2 THEN substr(b, 17, (CAST('0x' || fctrl AS INT) & 15) * 2) ELSE '' END AS fopts FROM v)
+SELECT event_id,
+  CASE WHEN kind = 0 THEN {_REV("substr(h, 3, 16)")} END AS "AppEUI", CASE WHEN kind = 1 THEN {_REV("substr(h, 3, 6)")} END AS "AppNonce",
+  CASE WHEN kind = 1 THEN substr(rest, 1, greatest(length(rest) - 2, 0)) END AS "CFList", CASE WHEN kind = 1 THEN right(rest, 2) END AS "CFListType",
+  CASE WHEN kind = 1 THEN substr(h, 23, 2) END AS "DLSettings",
+  CASE WHEN kind = 1 THEN {_REV("substr(h, 15, 8)")} WHEN kind > 1 THEN {_REV("substr(b, 3, 8)")} END AS "DevAddr",
+  CASE WHEN kind = 0 THEN {_REV("substr(h, 19, 16)")} END AS "DevEUI", CASE WHEN kind = 0 THEN {_REV("substr(h, 35, 4)")} END AS "DevNonce",
+  CASE WHEN kind > 1 THEN {_REV("substr(b, 13, 4)")} END AS "FCnt", CASE WHEN kind > 1 THEN fctrl END AS "FCtrl", CASE WHEN kind > 1 THEN fopts END AS "FOpts",
+  CASE WHEN kind > 1 THEN CASE WHEN length(fctrl) = 2 THEN substr(b, 17 + length(fopts), 2) ELSE '' END END AS "FPort",
+  CASE WHEN ok THEN substr(h, 1, 2) END AS "MHDR", CASE WHEN ok THEN right(h, 8) END AS "MIC",
+  CASE WHEN n > 0 THEN CAST(n AS BIGINT) END AS "PHYPayloadLen", CASE WHEN kind = 1 THEN substr(h, 25, 2) END AS "RxDelay" FROM w"""
+
+
+@query(PHY_SQL)
+def phy_decode(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", digest(F.col("event_id")).alias("h"))
+    rows = rows.select("event_id", F.base64(F.unhex(F.expr(FRAME_SQL))).alias("data"))
+    return rows.select("event_id", decode_base64(F.col("data")).alias("p")).select("event_id", *(F.col(f"p.{n}") for n in FIELDS))
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE upper(md5(CAST(event_id AS VARCHAR))) END AS c FROM events)
+SELECT event_id, CASE WHEN c <> '' THEN substr(c, 1, length(c) - 2) END AS cflist, CASE WHEN c <> '' THEN right(c, 2) END AS cflist_type FROM t""")
+def cflist_split(spark, sf_dir):
+    at = F.col("event_id") % 5
+    rest, last = X.cflist_split(F.when(at == 0, F.lit(None)).when(at == 1, "").otherwise(digest(F.col("event_id"))))
+    return table(spark, sf_dir, "events").select("event_id", rest.alias("cflist"), last.alias("cflist_type"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(l_quantity > 25 AS INT) END AS large, CAST(l_returnflag = 'R' AS INT) AS returned FROM lineitem")
+def bool_to_int(spark, sf_dir):
+    large = F.when(F.col("l_linenumber") != 3, F.col("l_quantity") > 25)
+    return flatten.booleans_to_int(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", large.alias("large"), (F.col("l_returnflag") == "R").alias("returned")))
+
+
+MESSAGE_SQL = """CASE WHEN event_id % 10 = 0 THEN '{"rxpk":[{' WHEN event_id % 7 = 0 THEN '{"rxpk":[]}'
+  ELSE concat('{"rxpk":[{"chan":', CAST(event_id % 8 AS STRING), ',"datr":"SF', CAST(7 + event_id % 6 AS STRING), 'BW125"},{"chan":', CAST(event_id % 3 AS STRING), '}]}') END"""
+
+
+@query(f"""WITH t AS (SELECT event_id, {MESSAGE_SQL} AS message FROM events),
+u AS (SELECT event_id, unnest(CAST(json_extract(message, '$.rxpk') AS JSON[])) AS j FROM t WHERE json_valid(message))
+SELECT event_id, CAST(json_extract_string(j, '$.chan') AS BIGINT) AS chan, json_extract_string(j, '$.datr') AS datr FROM u""")
+def json_parse_explode(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json(F.expr(MESSAGE_SQL), MESSAGE)["rxpk"].alias("rxpk"))
+    return rows.select("event_id", F.inline("rxpk")).select("event_id", "chan", "datr")
+
+
+@query("SELECT o_orderkey, l_linenumber, l_quantity, l_extendedprice * (1 - l_discount) AS net FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def nested_prune_explode(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")).alias("items"))
+    nested = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    pruned = F.transform("items", lambda x: F.struct(x["l_linenumber"].alias("l_linenumber"), x["l_quantity"].alias("l_quantity"), (x["l_extendedprice"] * (1 - x["l_discount"])).alias("net")))
+    return nested.select("o_orderkey", F.inline(pruned))
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey % 4 END AS a, l_suppkey % 4 AS b, CAST(l_linenumber AS BIGINT) AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, coalesce(a, b) AS chan, CASE WHEN a IS NULL THEN CASE WHEN c <> b THEN c END WHEN b <> a THEN b WHEN c <> a THEN c END AS chan2 FROM t""")
+def array_union_pick(spark, sf_dir):
+    own = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_partkey") % 4)
+    others = F.transform(F.array(F.struct((F.col("l_suppkey") % 4).alias("chan")), F.struct(F.lit(None).cast("long").alias("chan")), F.struct(F.col("l_linenumber").cast("long").alias("chan"))), lambda s: s["chan"])
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.distinct_values(own, others).alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", X.pick(F.col("v"), 0).alias("chan"), X.pick(F.col("v"), 1).alias("chan2"))
+
+
+@query("SELECT c_custkey, c_name, o_orderkey AS tmst, o_totalprice AS freq FROM customer JOIN orders ON c_custkey = o_custkey")
+def downlink_flatten(spark, sf_dir):
+    sent = F.struct(F.col("o_orderkey").alias("tmst"), F.col("o_totalprice").alias("freq"), F.col("o_orderstatus").alias("modu"), F.col("o_orderpriority").alias("data"))
+    nested = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", sent.alias("txpk"))
+    return flatten.flatten_downlink(nested)
+
+
+# --- devices and preparation -----------------------------------------------------
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY 1")
+def device_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).orderBy("user_id")
+
+
+@query("SELECT user_id AS device FROM events UNION SELECT c_custkey FROM customer")
+def device_universe(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("device")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
+
+
+@query(f"WITH {M} SELECT count(event_id) AS event_id, count(user_id) AS user_id, count(value) AS value, count(k) AS k FROM m")
+def null_census(spark, sf_dir):
+    return prep.null_census(messages(spark, sf_dir), ["event_id", "user_id", "value", "k"])
+
+
+@query(f"WITH {M} SELECT event_id, user_id, round(coalesce(value, avg(value) OVER w), 9) AS value, round(coalesce(k, avg(k) OVER w), 9) AS k FROM m WINDOW w AS (PARTITION BY user_id)")
+def mean_impute(spark, sf_dir):
+    out = prep.mean_impute(messages(spark, sf_dir), DEVICE, NUMERIC)
+    return out.select("event_id", "user_id", F.round("value", 9).alias("value"), F.round("k", 9).alias("k"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 50)")
+def size_gate(spark, sf_dir):
+    return prep.size_gate(table(spark, sf_dir, "events").select("event_id", "user_id"), DEVICE)
+
+
+@query("SELECT event_id, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80 AS training FROM events")
+def hash_split(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", prep.in_train(F.col("event_id")).alias("training"))
+
+
+@query()
+def random_split(spark, sf_dir):
+    train, test = prep.random_split(table(spark, sf_dir, "events").select("event_id"))
+    return train.withColumn("training", F.lit(True)).union(test.withColumn("training", F.lit(False)))
+
+
+_list = lambda v: "[" + ", ".join(f"{x!r}::DOUBLE" for x in v) + "]"
+ATTACK = f"""train AS (SELECT event_id, user_id, value, k FROM p WHERE training),
+seen AS (SELECT user_id, list(DISTINCT value) AS sv, list(DISTINCT k) AS sk FROM train GROUP BY 1),
+r AS (SELECT event_id, user_id, value, k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM p WHERE NOT training),
+f AS (SELECT r.*, list_filter({_list(POOLS["k"])}, lambda x: NOT list_contains(coalesce(sk, []), x)) AS fk, list_filter({_list(POOLS["value"])}, lambda x: NOT list_contains(coalesce(sv, []), x)) AS fv,
+  i < greatest(1, least(CAST(round_even(n * 0.2, 0) AS INT), 30)) AS hit FROM r LEFT JOIN seen USING (user_id)),
+g AS (SELECT *, CASE WHEN len(fk) > 0 THEN fk ELSE {_list(POOLS["k"])} END AS uk, CASE WHEN len(fv) > 0 THEN fv ELSE {_list(POOLS["value"])} END AS uv FROM f),
+attacked AS (SELECT event_id, user_id, CASE WHEN hit AND i % 2 = 1 THEN uv[1 + i % len(uv)] ELSE value END AS value, CASE WHEN hit AND i % 2 = 0 THEN uk[1 + i % len(uk)] ELSE k END AS k,
+  CASE WHEN hit THEN 1 ELSE 0 END AS intrusion FROM g)"""
+
+
+@query(f"WITH {P}, {ATTACK} SELECT event_id, user_id, round(value, 9) AS value, round(k, 9) AS k, intrusion FROM attacked")
+def attack_inject(spark, sf_dir):
+    rows = prepared(spark, sf_dir)
+    out = prep.attack_inject(rows.filter("training"), rows.filter("not training"), DEVICE, KEY, POOLS)
+    return out.select("event_id", "user_id", F.round("value", 9).alias("value"), F.round("k", 9).alias("k"), "intrusion")
+
+
+@query("SELECT l_suppkey, l_linenumber FROM lineitem EXCEPT ALL SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_quantity > 25")
+def multiset_difference(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return prep.rows_difference(rows.select("l_suppkey", "l_linenumber"), rows.filter("l_quantity > 25").select("l_suppkey", "l_linenumber"))
+
+
+@query("SELECT user_id AS device, event_type, NULL::DOUBLE AS total FROM events UNION ALL BY NAME SELECT o_custkey AS device, o_totalprice AS total FROM orders")
+def union_by_name_missing(spark, sf_dir):
+    a = table(spark, sf_dir, "events").select(F.col("user_id").alias("device"), "event_type")
+    return prep.union_missing(a, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("device"), F.col("o_totalprice").alias("total")))
+
+
+# --- features --------------------------------------------------------------------
+
+
+@query(f"""WITH {P} SELECT event_id, user_id, round(CASE WHEN stddev_samp(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_samp(value) OVER w ELSE 0 END, 6) + 0.0 AS value,
+  round(CASE WHEN stddev_samp(k) OVER w > 0 THEN (k - avg(k) OVER w) / stddev_samp(k) OVER w ELSE 0 END, 6) + 0.0 AS k FROM p WINDOW w AS (PARTITION BY user_id)""")
+def standard_scale(spark, sf_dir):
+    out = features.standard_scale(prepared(spark, sf_dir).drop("training"), DEVICE, NUMERIC)
+    # adding zero makes -0.0 a plain zero
+    return out.select("event_id", "user_id", (F.round("value", 6) + 0.0).alias("value"), (F.round("k", 6) + 0.0).alias("k"))
+
+
+@query(f"WITH {M} SELECT event_id, [k, value] AS features FROM m WHERE k IS NOT NULL AND value IS NOT NULL")
+def vector_assemble(spark, sf_dir):
+    return features.assemble(messages(spark, sf_dir).na.drop(subset=NUMERIC), NUMERIC).select("event_id", "features")
+
+
+@query("""WITH t AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(sum(a.x * b.x), 4) AS g FROM t a JOIN t b USING (vec_id) GROUP BY ALL""")
+def gramian(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return features.gramian(rows, "embedding").select("i", "j", F.round("g", 4).alias("g"))
+
+
+def _reduced(spark, sf_dir, centred):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return features.project(rows, "embedding", *features.reduction(rows, "embedding", centred))
+
+
+@query()
+def pca_project(spark, sf_dir):
+    return _reduced(spark, sf_dir, True)
+
+
+@query()
+def svd_project(spark, sf_dir):
+    return _reduced(spark, sf_dir, False)
+
+
+@query("""WITH t AS (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), v AS (SELECT i, round(var_samp(x), 9) AS s FROM t GROUP BY 1),
+c AS (SELECT row_number() OVER (ORDER BY s DESC, i) AS r, sum(s) OVER (ORDER BY s DESC, i) AS cum, sum(s) OVER () AS whole FROM v)
+SELECT CAST(coalesce(min(CASE WHEN cum >= 0.99 * whole THEN r END), max(r)) AS INT) AS k FROM c""")
+def explained_variance_k(spark, sf_dir):
+    cells = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("i", "x"))
+    return features.explained_k(cells.groupBy("i").agg(F.round(F.var_samp(F.col("x").cast("double")), 9).alias("s")), "i", "s")
+
+
+# --- detectors -------------------------------------------------------------------
+
+
+@query(f"WITH {P}, {hbos_ctes('p', 'p')} SELECT r.user_id, r.feature, CAST(n AS BIGINT) AS n, bins, round(lo, 6) AS lo, round(hi, 6) AS hi, CAST(bin AS INT) AS bin, round(c / (n * width), 6) AS density FROM rare r JOIN hist USING (user_id, feature)")
+def hbos_histogram(spark, sf_dir):
+    model = hbos.fit(prepared(spark, sf_dir), DEVICE, KEY, NUMERIC)
+    cells = model.select("user_id", "feature", "n", "bins", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.posexplode("density").alias("bin", "d"))
+    return cells.filter("d > 0").select("user_id", "feature", "n", "bins", "lo", "hi", "bin", F.round("d", 6).alias("density"))
+
+
+@query(f"WITH {P}, {hbos_ctes('p', 'p')} SELECT event_id, user_id, score, threshold, CAST(score > threshold AS INT) AS prediction FROM rs JOIN limits USING (user_id)")
+def hbos_scores(spark, sf_dir):
+    return hbos.train_and_label(prepared(spark, sf_dir), DEVICE, KEY, NUMERIC)
+
+
+@query(f"WITH {P}, {hbos_ctes('p', 'p')} SELECT user_id, threshold FROM limits")
+def hbos_threshold(spark, sf_dir):
+    rows = prepared(spark, sf_dir)
+    return hbos.thresholds(hbos.score(rows, hbos.fit(rows, DEVICE, KEY, NUMERIC), DEVICE, KEY, NUMERIC), DEVICE)
+
+
+@query(f"""WITH {P}, {ATTACK}, {hbos_ctes('train', 'attacked')}, e AS (SELECT intrusion, CAST(score > threshold AS INT) AS prediction FROM attacked JOIN rs USING (user_id, event_id) JOIN limits USING (user_id))
+SELECT count_if(intrusion = 1 AND prediction = 1) AS tp, count_if(intrusion = 0 AND prediction = 0) AS tn, count_if(intrusion = 0 AND prediction = 1) AS fp, count_if(intrusion = 1 AND prediction = 0) AS fn FROM e""")
+def hbos_eval(spark, sf_dir):
+    return metrics.confusion(training.evaluate(messages(spark, sf_dir), "hbos", DEVICE, KEY, NUMERIC, POOLS), "intrusion", "prediction")
+
+
+LOF_SQL = f"""WITH {P}, t AS (SELECT * FROM p WHERE training), s AS (SELECT * FROM p WHERE NOT training),
+sz AS (SELECT user_id, greatest(5, least(CAST(round_even(count(*) * 0.01, 0) AS INT), 15)) AS kk FROM t GROUP BY 1),
+pa AS (SELECT a.user_id, a.event_id, b.event_id AS near, round(sqrt((a.k - b.k) * (a.k - b.k) + (a.value - b.value) * (a.value - b.value)), 9) AS d FROM t a JOIN t b ON a.user_id = b.user_id AND a.event_id <> b.event_id),
+own AS (SELECT user_id, event_id, near, d FROM (SELECT pa.*, kk, row_number() OVER (PARTITION BY user_id, event_id ORDER BY d, near) AS r FROM pa JOIN sz USING (user_id)) WHERE r <= kk),
+reach AS (SELECT user_id, event_id AS near, max(d) AS kd FROM own GROUP BY ALL),
+dens AS (SELECT user_id, event_id AS near, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM own JOIN reach USING (user_id, near) GROUP BY ALL),
+pb AS (SELECT a.user_id, a.event_id, b.event_id AS near, round(sqrt((a.k - b.k) * (a.k - b.k) + (a.value - b.value) * (a.value - b.value)), 9) AS d FROM s a JOIN t b ON a.user_id = b.user_id),
+found AS (SELECT user_id, event_id, near, d FROM (SELECT pb.*, kk, row_number() OVER (PARTITION BY user_id, event_id ORDER BY d, near) AS r FROM pb JOIN sz USING (user_id)) WHERE r <= kk),
+o AS (SELECT user_id, event_id, round(avg(lrd) / (1 / (avg(greatest(d, kd)) + 1e-10)), 6) AS lof FROM found JOIN reach USING (user_id, near) JOIN dens USING (user_id, near) GROUP BY ALL)
+SELECT user_id, event_id, lof, CAST(lof > 1.5 AS INT) AS prediction FROM o"""
+
+
+@query(LOF_SQL)
+def lof_scores(spark, sf_dir):
+    rows = prepared(spark, sf_dir)
+    return lof.lof(rows.filter("training"), rows.filter("not training"), DEVICE, KEY, NUMERIC)
+
+
+@query()
+def iforest_a(spark, sf_dir):
+    return trees.detect(prepared(spark, sf_dir), "if_sklearn", DEVICE, KEY, NUMERIC)
+
+
+@query()
+def iforest_b(spark, sf_dir):
+    return trees.detect(prepared(spark, sf_dir), "if_custom", DEVICE, KEY, NUMERIC)
+
+
+@query()
+def ocsvm(spark, sf_dir):
+    return trees.detect(prepared(spark, sf_dir), "ocsvm", DEVICE, KEY, NUMERIC)
+
+
+CONFUSION = "c AS (SELECT count_if(quality = 1 AND toxic = 1) AS tp, count_if(quality = 0 AND toxic = 0) AS tn, count_if(quality = 0 AND toxic = 1) AS fp, count_if(quality = 1 AND toxic = 0) AS fn FROM labels)"
+
+
+@query(f"WITH {CONFUSION} SELECT * FROM c")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query(f"""WITH {CONFUSION}, a AS (SELECT CASE WHEN tp + tn + fp + fn = 0 THEN 0 ELSE (tp + tn)::DOUBLE / (tp + tn + fp + fn) END AS accuracy, unnest([
+  {{'class': '0', 'hit': tn, 'said': tn + fn, 'support': tn + fp}}, {{'class': '1', 'hit': tp, 'said': tp + fp, 'support': tp + fn}}]) AS s FROM c),
+b AS (SELECT accuracy, s.class AS class, CASE WHEN s.said = 0 THEN 0 ELSE s.hit::DOUBLE / s.said END AS precision, CASE WHEN s.support = 0 THEN 0 ELSE s.hit::DOUBLE / s.support END AS recall, s.support AS support FROM a),
+e AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM b),
+u AS (SELECT accuracy, class, precision, recall, f1, support FROM e
+UNION ALL SELECT accuracy, 'macro', avg(precision), avg(recall), avg(f1), sum(support) FROM e GROUP BY accuracy
+UNION ALL SELECT accuracy, 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM e GROUP BY accuracy)
+SELECT class, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, CAST(support AS BIGINT) AS support FROM u""")
+def class_report(spark, sf_dir):
+    out = metrics.class_report(metrics.confusion(table(spark, sf_dir, "labels"), "quality", "toxic"))
+    return out.select("class", *(F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")), "support")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1")
+def registry_latest(spark, sf_dir):
+    return registry.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey")
+
+
+# --- streams ---------------------------------------------------------------------
+
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_replay_counts(spark, sf_dir):
+    folder = scratch(spark, "replay")
+    scoring.run_available(events_stream(spark, sf_dir).select("event_id", "event_type"), scoring.append_batches(f"{folder}/rows"), f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/rows").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query()
+def stream_score_hbos(spark, sf_dir):
+    folder = scratch(spark, "scored")
+    scorer = scoring.Scorer(spark, folder, DEVICE, KEY, ["value"], prep.MIN_ROWS)
+    scorer.seed(table(spark, sf_dir, "events").filter("value is not null"))
+    scoring.run_available(events_stream(spark, sf_dir).filter("value is not null").select("event_id", "user_id", "value"), scorer.batch, f"{folder}/checkpoint")
+    return scorer.scored()
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
