@@ -18,9 +18,10 @@ multisets is 0.8 or more. Links are found without emitting all pairs of a band:
 2. in each band bucket all nodes are compared with two hubs (linear in the bucket);
 3. links give components (hash-min with pointer jumping, no collect);
 4. buckets that still hold several components get the rest exactly: every pair of
-   nodes in different components, but for those that the triangle inequality of the
-   Jaccard distance to the hub rules out. So no link between different texts that
-   shares a band is lost, whatever the size of a bucket.
+   nodes in different components, but for those that a bound from above rules out
+   (may_reach: which of the hub's shingles each lacks, and what each has beyond it).
+   So no link between different texts that share a band is lost, whatever the size
+   of a bucket.
 
 Defined cases: null text and texts of under five words have no shingles and are
 classes of their own; a null doc_id counts as the largest, and is reported as null;
@@ -31,6 +32,7 @@ result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -174,6 +176,56 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a binary, b binary, sim double")
 
 
+LANES = 4  # 64-bit lanes of each bitmap in a profile
+
+
+def lanes(places: list[int]) -> list[int]:
+    out = [0] * LANES
+    for p in places:
+        out[p >> 6] |= 1 << (p & 63)
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+def profile(a: Counter, hub: Counter) -> list[int]:
+    """What bounds the overlap of two nodes that were compared with one hub: the sizes, and bitmaps
+    (by a hash of the shingle) of the hub's shingles that the node lacks in full, and of its own beyond the hub's."""
+    place = lambda s: zlib.crc32(b" ".join(s)) % (64 * LANES)
+    lacks = [place(s) for s, n in hub.items() if a.get(s, 0) < n]
+    beyond = {s: n - hub.get(s, 0) for s, n in a.items() if n > hub.get(s, 0)}
+    return [hub.total(), a.total(), sum(beyond.values()), *lanes(lacks), *lanes([place(s) for s in beyond])]
+
+
+PROFILE = ["hub_size", "size", "beyond", *(f"m{i}" for i in range(LANES)), *(f"o{i}" for i in range(LANES))]
+
+
+def profiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """hub, node and the profile of the node against the hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hub, own = batch.column("packed_hub"), batch.column("packed")
+            rows = [profile(shingles(own[i].as_py()), shingles(hub[i].as_py())) for i in range(batch.num_rows)]
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(PROFILE))]
+            yield pa.record_batch([batch.column("hub"), batch.column("node"), *columns], names=["hub", "node", *PROFILE])
+
+    both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("packed").alias("packed_hub")), "hub")
+    return both.select("hub", "node", "packed_hub", "packed").mapInArrow(run, "hub binary, node binary, " + ", ".join(f"{c} long" for c in PROFILE))
+
+
+def may_reach(similarity: float):
+    """Whether the similarity of two rows l and r with profiles for one hub can reach the threshold.
+
+    A bound from above, so no link is lost: of the hub's shingles, the two share at most those that neither lacks;
+    of those beyond the hub's, at most what is left after those whose bit the other does not have. Shingles that
+    share a bit only make the bound larger."""
+    count = lambda f: sum((F.bit_count(f(i)) for i in range(LANES)), F.lit(0))
+    c = lambda side, name: F.col(f"{side}.{name}")
+    lacking = count(lambda i: c("l", f"m{i}").bitwiseOR(c("r", f"m{i}")))
+    only = lambda x, y: count(lambda i: c(x, f"o{i}").bitwiseAND(F.bitwise_not(c(y, f"o{i}"))))
+    shared = c("l", "hub_size") - lacking + F.least(c("l", "beyond") - only("l", "r"), c("r", "beyond") - only("r", "l"))
+    return shared >= (similarity / (1 + similarity)) * (c("l", "size") + c("r", "size")) - 1e-6
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (least node of its component) for all nodes of the edges a, b."""
     both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -208,14 +260,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     links = judged.filter(F.col("sim") >= similarity)
     comps = components(links)
 
-    # buckets that still hold several components
+    # buckets that still hold several components: the rest exactly
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("band")
-    rest = placed.join(mixed, "band", "left_semi").select("band", "node", "comp", "hub", *ordered("hub", "node"))
-    to_hub = rest.join(judged, ["a", "b"], "left").select("band", "node", "comp", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.col("sim")).alias("s"))
-    left, right = to_hub.alias("l"), to_hub.alias("r")
-    # weighted Jaccard distance is a metric: |d(hub, x) - d(hub, y)| <= d(x, y)
-    apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & (F.abs(F.col("l.s") - F.col("r.s")) <= 1 - similarity + 1e-9)
+    rest = settled(placed.join(mixed, "band", "left_semi").select("band", "node", "comp", "hub"), "rest")
+    known = settled(profiles(rest.select("hub", "node").distinct(), texts), "profiles")
+    wide = rest.join(known, ["hub", "node"])
+    left, right = wide.alias("l"), wide.alias("r")
+    apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & may_reach(similarity)
     pairs = left.join(right, (F.col("l.band") == F.col("r.band")) & apart).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     more = settled(verified(pairs.join(judged, ["a", "b"], "left_anti"), texts).filter(F.col("sim") >= similarity), "more")
     if not more.isEmpty():

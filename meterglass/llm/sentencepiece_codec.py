@@ -49,7 +49,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 CHUNK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-CACHED, CACHED_LENGTH = 300_000, 48
+CACHED, CACHED_LENGTH = 250_000, 48
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -130,6 +130,7 @@ class Codec:
         self.unknown_score = min((m.scores[i] for i in own), default=0.0) - UNKNOWN_PENALTY
         self.stable: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         table = [p.replace(MARK, " ").encode() for p in m.pieces]
         for b, i in self.bytes_id.items():
             table[i] = bytes([b])
@@ -242,9 +243,9 @@ class Codec:
 
     def chunk(self, text: str) -> bytes:
         """The ids of a chunk as int32 bytes; uncovered characters as bytes or as -1."""
-        held = self.cache.get(text)
+        held = self.older.get(text)
         if held is not None:
-            return held
+            return self.keep(text, held)
         if self.model.kind == BPE and text.startswith(MARK + MARK):
             parts = [(self.id.get(p, -1), len(p)) for p in self.merged(text)]
         else:
@@ -258,12 +259,15 @@ class Codec:
             else:
                 ids.append(-1)
             at += size
-        out = np.array(ids, np.int32).tobytes()
+        return self.keep(text, struct.pack(f"<{len(ids)}i", *ids))
+
+    def keep(self, text: str, ids: bytes) -> bytes:
+        """Put a chunk into the cache; a full cache becomes the older one, whose chunks move back as they are met."""
         if len(text) <= CACHED_LENGTH:
             if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[text] = out
-        return out
+                self.older, self.cache = self.cache, {}
+            self.cache[text] = ids
+        return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -271,8 +275,8 @@ class Codec:
         marked = text.replace(" ", MARK)
         if self.model.prefix:
             marked = MARK + marked
-        held, chunk = self.cache, self.chunk
-        ids = np.frombuffer(b"".join([held[c] if c in held else chunk(c) for c in CHUNK.findall(marked)]), np.int32)
+        get, chunk = self.cache.get, self.chunk
+        ids = np.frombuffer(b"".join([get(c) or chunk(c) for c in CHUNK.findall(marked)]), np.int32)
         if not self.model.byte_fallback and (ids < 0).any():
             keep = np.ones(ids.size, bool)
             keep[1:] = (ids[1:] >= 0) | (ids[:-1] >= 0)
