@@ -83,11 +83,14 @@ def later_windows(p: S.Packed, k: int) -> tuple[np.ndarray, np.ndarray]:
         at, hs = at[by], hs[by]
         head = np.ones(at.size, bool)
         head[1:] = hs[1:] != hs[:-1]
-        first = at[np.maximum.accumulate(np.where(head, np.arange(at.size), 0))]
+        where = np.maximum.accumulate(np.where(head, np.arange(at.size), 0))
+        first, own, place = at[where], own[by], place[by]
         same = np.ones(at.size, bool)
         for j in range(k):
             same &= ids[first + j] == ids[at + j]
-        gone.append(at[same & ~head])
+        # the same place of a repeated row is no earlier start
+        again = (p.k1[own] == p.k1[own[where]]) & (p.k2[own] == p.k2[own[where]]) & (place == place[where])
+        gone.append(at[same & ~again])
         at, hs = at[~same], hs[~same]  # other words under the same hash: judged among themselves
     at = np.concatenate(gone)
     own = w.doc[at]
@@ -108,7 +111,7 @@ def removed_intervals(docs: DataFrame, k: int = K, m: int = M, buckets: int | No
                 packed = pack_words(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x], k1[x:y], k2[x:y], k, m)
                 if packed is None:
                     continue
-                p, others = S.collapse(*packed)
+                p, others = S.collapse(*packed, repeats_are_one=True)
                 rows = list(S.blobs(p, buckets))
                 if others is not None:
                     rows.append((-1 - int(k1[x] % n), S.dump_removed(others)))
@@ -125,7 +128,7 @@ def removed_intervals(docs: DataFrame, k: int = K, m: int = M, buckets: int | No
                 held.append(S.Packed.load(blob))
                 size += held[-1].data.size
                 if size > limit:
-                    p, others = S.collapse(S.Packed.joined(held))
+                    p, others = S.collapse(S.Packed.joined(held), repeats_are_one=True)
                     if others is not None:
                         yield S.interval_batch(*S.load_intervals(S.dump_removed(others)))
                     held, size = [p.compact()], int(p.size.sum())

@@ -125,8 +125,10 @@ def equal_to_first(p: Packed, first: np.ndarray, other: np.ndarray) -> np.ndarra
     return same
 
 
-def collapse(p: Packed, h: np.ndarray | None = None) -> tuple[Packed, Packed | None]:
-    """Equal super-k-mers become one, the earliest; the others are returned too. h: a hash of the content of each."""
+def collapse(p: Packed, h: np.ndarray | None = None, repeats_are_one: bool = False) -> tuple[Packed, Packed | None]:
+    """Equal super-k-mers become one, the earliest; the others are returned too. h: a hash of the content of each.
+
+    repeats_are_one: what has the earliest's document and place is the same string of a repeated row, and is not returned."""
     if len(p) < 2:
         return p, None
     if h is None:
@@ -148,14 +150,17 @@ def collapse(p: Packed, h: np.ndarray | None = None) -> tuple[Packed, Packed | N
     first = some[np.maximum.accumulate(np.where(head, np.arange(hs.size), 0))]
     gone = ~head
     gone[gone] = equal_to_first(p, first[gone], some[gone])
-    lost = some[gone]
+    lost, kept = some[gone], first[gone]
     if not lost.size:
         return p, None
+    other = lost
+    if repeats_are_one:
+        other = lost[(p.k1[lost] != p.k1[kept]) | (p.k2[lost] != p.k2[kept]) | (p.start[lost] != p.start[kept])]
     p.twice = p.twice.copy()
     p.twice[first[gone]] = 1
     keep = np.ones(len(p), bool)
     keep[lost] = False
-    return p.take(np.flatnonzero(keep)), p.take(lost)
+    return p.take(np.flatnonzero(keep)), p.take(other) if other.size else None
 
 
 def blobs(p: Packed, buckets: int, grouped: bool = False, level: int = 5) -> Iterator[tuple[int, bytes]]:

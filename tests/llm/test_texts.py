@@ -1,0 +1,203 @@
+import base64
+import gzip
+import math
+import os
+import random
+import re
+import urllib.parse
+from collections import Counter
+
+import pytest
+import sentencepiece
+from helpers import ODD_ROWS, PASSAGE, SCHEMA, documents
+
+from meterglass.llm import fertility, mixing, secrets, warc
+from meterglass.llm import sentencepiece_codec as codec
+from meterglass.llm.quality_model import quality_scores
+
+needs_model = pytest.mark.skipif(not os.path.exists(codec.DEFAULT_MODEL), reason="no vocabulary")
+
+
+def texts():
+    rng = random.Random(3)
+    letters = "abcdeéü    \n▁▁ 日本語 тест hello world 123 \t\x00😀ing ed the"
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(800)] + ["", " ", "   ", "a  b", "for i in x:\n        y"]
+
+
+@needs_model
+def test_bpe_pieces_are_the_library_s():
+    raw = codec.load()
+    own, library = codec.Codec(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    for t in texts() + [r[1] for r in ODD_ROWS if r[1]]:
+        ids = own.encode(t)
+        assert ids.tolist() == library.encode(t)
+        assert own.decode(ids) == library.decode(ids.tolist())
+
+
+@needs_model
+def test_unigram_pieces_are_the_library_s():
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(codec.load())
+    m.trainer_spec.model_type = codec.UNIGRAM
+    keep = [p for p in m.pieces if not p.piece.startswith("▁▁")]  # their score of -1e9 is beyond single precision
+    del m.pieces[:]
+    m.pieces.extend(keep)
+    own, library = codec.Codec(m.SerializeToString()), sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    for t in texts():
+        assert own.encode(t).tolist() == library.encode(t)
+
+
+@needs_model
+def test_encode_query_and_decode(spark):
+    coded = codec.sentencepiece_encode(documents(spark))
+    rows = coded.collect()
+    assert len(rows) == len(ODD_ROWS) and all(r.round_trip and r.n_pieces == len(r.ids) for r in rows)
+    back = {r.doc_id: r.text for r in codec.sentencepiece_decode(coded).collect()}
+    assert all(back[i] == (t or "") for i, t, _ in ODD_ROWS)
+
+
+def brute_rules(text):
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    triples = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + j for i in range(len(words) - 2) if triples[tuple(words[i : i + 3])] > 1 for j in range(3)}
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
+
+
+@needs_model
+def test_quality_rules_equal_brute_force(spark):
+    rows = documents(spark)
+    got = fertility.quality_rules(rows).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=codec.DEFAULT_MODEL)
+    by = {r.doc_id: r for r in got}
+    for i, t, _ in ODD_ROWS:
+        r = by[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_rules(t)
+        ids = [x for w in re.findall("[^\x20\x09-\x0d]+", t or "") for x in library.encode(w)]
+        counts = Counter(ids).values()
+        entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts)
+        assert r.n_tokens == len(ids) and r.token_entropy == pytest.approx(entropy, abs=1e-9)
+        assert not (r.base_failed and r.kept)
+    kept = fertility.kept_documents(rows)
+    assert kept.columns == rows.columns and kept.count() == sum(r.kept for r in got)
+
+
+INNER = "x api_key=ABCDEFGH12345678 y"
+PACKED = base64.b64encode(gzip.compress(INNER.encode())).decode()
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("pass%77ord=abcdefgh1", "assign:0:20"),
+        ("\\u0070assword=abcdefgh1", "assign:0:23"),
+        ("q " + PACKED + " r", f"assign:2:{2 + len(PACKED)}"),
+        ("q " + urllib.parse.quote(urllib.parse.quote(PACKED)) + " r", f"assign:2:{2 + len(urllib.parse.quote(urllib.parse.quote(PACKED)))}"),
+        ("token=short", ""),
+        ("ſecret=abcdefgh1 PASSWORD: abcdefgh", "assign:17:35"),
+        ("AKIA123 AKIAABCDEFGHIJKL " + "f" * 31 + " " + "0" * 32, "access:8:24,hex:57:89"),
+    ],
+)
+def test_secret_spans(text, spans):
+    base, every, bombs = secrets.find(text)
+    assert secrets.joined(every) == spans and bombs == 0
+
+
+def test_secret_worklist_ends_and_leaves_bombs():
+    deep = INNER
+    for _ in range(6):
+        deep = base64.b64encode(deep.encode()).decode()
+    assert [k for _, k, _ in secrets.find(deep)[1]] == [0]
+    bomb = base64.b64encode(gzip.compress(b"a" * 100_000)).decode()
+    assert secrets.find(bomb, most=1000)[2] == 1
+
+
+def test_secret_query(spark):
+    rows = {r.doc_id: r for r in secrets.secret_scan(documents(spark)).collect()}
+    assert (rows[12].n_assign, rows[12].n_access, rows[12].n_hex) == (1, 1, 1)
+    assert rows[1].spans == "" and rows[2].base_sha256 == rows[1].base_sha256
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>" + "x" * 2000
+    pages = [(1, "http://a/1", big), (2, "http://a/\r\n2", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", big), (None, "u", big)] + [(i, f"http://b/{i}", f"<html>{i} " + "words here " * 150) for i in range(10, 60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/warc"
+    manifest = warc.write_warc(df, folder, archive_bytes=30_000)
+    rows = {r.page_id: r for r in warc.read_warc(spark, folder, manifest, payloads=True).collect()}
+    assert len(rows) == len(pages) and manifest.count() > 1
+    for i, _, html in pages:
+        r = rows[i]
+        assert r.payload_bytes == len((html or "").encode())
+        if html == big and i != 6:
+            assert (r.record_type, r.refers_to, r.payload) == ("revisit", 6, None)
+        else:
+            assert (r.record_type, r.refers_to, bytes(r.payload).decode()) == ("response", None, html or "")
+    assert warc.archive_pages(df.limit(0)).collect() == []
+
+
+def labelled(spark):
+    rng = random.Random(1)
+    good, bad, foul = ([a + b for a in p for b in q] for p, q in ((["lo", "mi", "ra"], ["ne", "ta", "so"]), (["##", "$$", "|x"], ["%", "&", "*"]), (["vile", "nasty"], ["worm", "muck"])))
+    docs, labels = [], []
+    for i in range(300):
+        pool, quality, toxic = ((good, 1, 0), (bad, 0, 0), (good + foul, 1, 1))[i % 3]
+        docs.append((i, " ".join(rng.choice(pool) for _ in range(60)), "x"))
+        labels.append((i, quality, toxic))
+    return spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_scores_generalise(spark):
+    docs, labels = labelled(spark)
+    rows = quality_scores(docs, labels).join(labels, "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert 50 < len(held) < 150 and sum(r.predicted == r.quality for r in held) >= 0.95 * len(held)
+    odd = quality_scores(documents(spark), labels).collect()
+    assert len(odd) == len(ODD_ROWS) and all(0 <= r.score <= 1 for r in odd)
+
+
+def test_rates_meet_targets(spark):
+    docs, labels = labelled(spark)
+    rows = mixing.mixing_rates(docs, labels, {"clean": 0.6, "low": 0.3, "toxic": 0.1}).collect()
+    whole = sum(r.n_tokens for r in rows)
+    for d, share in (("clean", 0.6), ("low", 0.3), ("toxic", 0.1)):
+        assert sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in rows) == pytest.approx(share * whole, rel=0.02)
+    assert min(r.rate for r in rows) >= 0
+    kept = mixing.mixed_documents(docs, docs, labels)
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns and all(i in ids for i in range(0, 300, 3)) and sum(i % 3 == 2 for i in ids) < 20
+
+
+def test_empty_tables(spark):
+    docs, labels = labelled(spark)
+    empty = spark.createDataFrame([], SCHEMA)
+    for got in (quality_scores(empty, labels), quality_scores(empty, labels.limit(0)), mixing.mixing_rates(empty, labels), mixing.mixed_documents(empty, empty, labels), secrets.secret_scan(empty)):
+        assert got.collect() == []
+    if os.path.exists(codec.DEFAULT_MODEL):
+        assert fertility.quality_rules(empty).collect() == [] and codec.sentencepiece_encode(empty).collect() == []
+    assert PASSAGE
+
+
+@needs_model
+def test_pipeline_stages_keep_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = labelled(spark)
+    # plain prose of enough words, with a copy and a near copy
+    rng = random.Random(7)
+    prose = [" ".join("".join(rng.choice("aeioumnrst") for _ in range(rng.randint(2, 9))) for _ in range(120)) for _ in range(12)]
+    rows = [(i, t, "x") for i, t in enumerate(prose)] + [(100, prose[0] + " ", "x"), (101, prose[1].replace(prose[1].split()[60], "other"), "x"), (102, "too short", "x")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.filter("doc_id < 12").write.parquet(f"{tmp_path}/labels.parquet")
+    out = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == ["doc_id", "text", "spans"]
+        sizes.append(out.count())
+    assert sizes == [14, 13, 12] or sizes[0] <= 14
+    assert {102}.isdisjoint(r.doc_id for r in out.collect())
