@@ -22,15 +22,15 @@ def neighbours(rows: DataFrame, train: DataFrame, device: str, key: str, feature
     pairs = rows.join(other, device)
     if leave_out:
         pairs = pairs.filter(F.col(key) != F.col("near"))
-    pairs = pairs.select(device, key, "near", "_k", F.round(F.sqrt(square), DIGITS).alias("d"))
-    nearest = Window.partitionBy(device, key).orderBy("d", "near")
-    return pairs.withColumn("_at", F.row_number().over(nearest)).filter(F.col("_at") <= F.col("_k")).select(device, key, "near", "d")
+    pairs = pairs.select(device, key, "near", "_k", F.round(F.sqrt(square), DIGITS).alias("_d"))
+    nearest = Window.partitionBy(device, key).orderBy("_d", "near")
+    return pairs.withColumn("_at", F.row_number().over(nearest)).filter(F.col("_at") <= F.col("_k")).select(device, key, "near", "_d")
 
 
 def local_density(near: DataFrame, reach: DataFrame, device: str, key: str) -> DataFrame:
     """Inverse mean reachability distance of each row. reach: device, near, kd."""
     joined = near.join(reach, [device, "near"])
-    return joined.groupBy(device, key).agg((1 / (F.avg(F.greatest("d", "kd")) + TINY)).alias("lrd"))
+    return joined.groupBy(device, key).agg((1 / (F.avg(F.greatest("_d", "kd")) + TINY)).alias("lrd"))
 
 
 def lof(train: DataFrame, rows: DataFrame, device: str, key: str, features: list[str]) -> DataFrame:
@@ -40,7 +40,7 @@ def lof(train: DataFrame, rows: DataFrame, device: str, key: str, features: list
     train = train.select(device, key, *as_double).join(sizes, device)
     rows = rows.select(device, key, *as_double)
     own = neighbours(train.drop("_k"), train, device, key, features, leave_out=True)
-    reach = own.groupBy(device, F.col(key).alias("near")).agg(F.max("d").alias("kd"))
+    reach = own.groupBy(device, F.col(key).alias("near")).agg(F.max("_d").alias("kd"))
     density = local_density(own, reach, device, key).select(device, F.col(key).alias("near"), F.col("lrd").alias("near_lrd"))
     found = neighbours(rows, train, device, key, features, leave_out=False)
     of_rows = local_density(found, reach, device, key)
