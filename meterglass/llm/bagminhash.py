@@ -18,8 +18,9 @@ multisets is 0.8 or more. Links are found without emitting all pairs of a band:
 2. in each band bucket all nodes are compared with two hubs (linear in the bucket);
 3. links give components (hash-min with pointer jumping, no collect);
 4. buckets that still hold several components get the rest exactly: every pair of
-   nodes in different components, but for those that a bound from above rules out
-   (may_reach: which of the hub's shingles each lacks, and what each has beyond it).
+   nodes in different components, but for those that two bounds from above rule out
+   within the join (may_reach by bitmaps, then reaches by the shingles in which each
+   differs from the hub), so that few rows but links leave it.
    So no link between different texts that share a band is lost, whatever the size
    of a bucket.
 
@@ -195,21 +196,34 @@ def profile(a: Counter, hub: Counter) -> list[int]:
     return [hub.total(), a.total(), sum(beyond.values()), *lanes(lacks), *lanes([place(s) for s in beyond])]
 
 
+def differences(a: Counter, hub: Counter) -> list[int]:
+    """Hashes of the single occurrences of shingles in which a node and its hub differ, each hash once."""
+    out = set()
+    for s in a.keys() | hub.keys():
+        x, y = sorted((a.get(s, 0), hub.get(s, 0)))
+        if x < y:
+            joined = b" ".join(s)
+            out.update(zlib.crc32(b"%b %d" % (joined, k)) - (1 << 31) for k in range(x, y))
+    return list(out)
+
+
 PROFILE = ["hub_size", "size", "beyond", *(f"m{i}" for i in range(LANES)), *(f"o{i}" for i in range(LANES))]
 
 
 def profiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """hub, node and the profile of the node against the hub."""
+    """hub, node, the profile of the node against the hub and their differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hub, own = batch.column("packed_hub"), batch.column("packed")
-            rows = [profile(shingles(own[i].as_py()), shingles(hub[i].as_py())) for i in range(batch.num_rows)]
+            sides = [(shingles(own[i].as_py()), shingles(hub[i].as_py())) for i in range(batch.num_rows)]
+            rows = [profile(*x) for x in sides]
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(PROFILE))]
-            yield pa.record_batch([batch.column("hub"), batch.column("node"), *columns], names=["hub", "node", *PROFILE])
+            differs = pa.array([differences(*x) for x in sides], pa.list_(pa.int32()))
+            yield pa.record_batch([batch.column("hub"), batch.column("node"), *columns, differs], names=["hub", "node", *PROFILE, "differs"])
 
     both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("packed").alias("packed_hub")), "hub")
-    return both.select("hub", "node", "packed_hub", "packed").mapInArrow(run, "hub binary, node binary, " + ", ".join(f"{c} long" for c in PROFILE))
+    return both.select("hub", "node", "packed_hub", "packed").mapInArrow(run, "hub binary, node binary, " + ", ".join(f"{c} long" for c in PROFILE) + ", differs array<int>")
 
 
 def may_reach(similarity: float):
@@ -226,6 +240,18 @@ def may_reach(similarity: float):
     return shared >= (similarity / (1 + similarity)) * (c("l", "size") + c("r", "size")) - 1e-6
 
 
+def reaches(similarity: float):
+    """Whether two rows l and r reach the threshold by their differences from one hub.
+
+    They share |l and hub| + |r and hub| - |hub| + |differences of both|. Where differences of a row have one hash
+    (merged), they count as shared, so this too is a bound from above; with distinct hashes it is the overlap."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    merged = lambda x: c(x, "hub_size") - c(x, "size") + 2 * c(x, "beyond") - F.size(c(x, "differs"))
+    both = F.size(F.array_intersect(c("l", "differs"), c("r", "differs"))) + F.least(merged("l"), merged("r"))
+    shared = c("l", "size") - c("l", "beyond") + c("r", "size") - c("r", "beyond") - c("l", "hub_size") + both
+    return shared >= (similarity / (1 + similarity)) * (c("l", "size") + c("r", "size")) - 1e-6
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (least node of its component) for all nodes of the edges a, b."""
     both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -267,7 +293,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     known = settled(profiles(rest.select("hub", "node").distinct(), texts), "profiles")
     wide = rest.join(known, ["hub", "node"])
     left, right = wide.alias("l"), wide.alias("r")
-    apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & may_reach(similarity)
+    apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & may_reach(similarity) & reaches(similarity)
     pairs = left.join(right, (F.col("l.band") == F.col("r.band")) & apart).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     more = settled(verified(pairs.join(judged, ["a", "b"], "left_anti"), texts).filter(F.col("sim") >= similarity), "more")
     if not more.isEmpty():

@@ -159,6 +159,21 @@ def test_bound_is_never_below_the_overlap(spark):
         assert {(x, y) for x in range(12) for y in range(12) if bagminhash.overlap(bags[x], bags[y]) >= s} <= got
 
 
+def test_differences_give_the_overlap(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    bags = [Counter({(bytes([c]),): int(n) for c, n in enumerate(rng.integers(0, 4, 60)) if n}) for _ in range(12)]
+    schema = "i int, " + ", ".join(f"{c} long" for c in bagminhash.PROFILE) + ", differs array<int>"
+    want = lambda s: {(x, y) for x in range(12) for y in range(12) if bagminhash.overlap(bags[x], bags[y]) >= s}
+    for merge in (False, True):
+        if merge:  # colliding hashes may add pairs, but lose none
+            monkeypatch.setattr(bagminhash.zlib, "crc32", lambda b, f=bagminhash.zlib.crc32: f(b) % 16)
+        rows = [(i, *bagminhash.profile(b, bags[0]), bagminhash.differences(b, bags[0])) for i, b in enumerate(bags)]
+        df = spark.createDataFrame(rows, schema)
+        for s in (0.2, 0.3, 0.4):
+            got = {tuple(r) for r in df.alias("l").join(df.alias("r"), bagminhash.reaches(s)).select("l.i", "r.i").collect()}
+            assert want(s) <= got if merge else want(s) == got
+
+
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup.suffix_dedup, exact_dedup.exact_dedup, bagminhash.near_duplicates])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).collect() == []
