@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import Words, buffers, hash_runs, hash_words, mix, row_chunks
+from meterglass.llm.common import Words, buffers, hash_runs, hash_words, mix, row_chunks, turn_to
 from meterglass.runtime import settled, ship
 
 WORDS, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
@@ -135,6 +135,7 @@ def nodes_of(docs: DataFrame, bands: int, rows_of_band: int) -> DataFrame:
     """doc_id, node (digest of the word sequence, null without shingles), band keys and packed words (for one row of a node in each chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("bagminhash", shingles.cache_clear)
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             data, offs = buffers(batch.column("text"))
@@ -167,6 +168,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b and the exact similarity of each pair. texts: node, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("bagminhash", shingles.cache_clear)
         for batch in batches:
             a, b = batch.column("packed_a"), batch.column("packed_b")
             sim = [overlap(shingles(a[i].as_py()), shingles(b[i].as_py())) for i in range(batch.num_rows)]
@@ -214,6 +216,7 @@ def profiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """hub, node, the profile of the node against the hub and their differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("bagminhash", shingles.cache_clear)
         for batch in batches:
             hub, own = batch.column("packed_hub"), batch.column("packed")
             sides = [(shingles(own[i].as_py()), shingles(hub[i].as_py())) for i in range(batch.num_rows)]

@@ -7,7 +7,9 @@ size, so memory does not depend on the size of a partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,30 @@ CHUNK_BYTES = 4 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[int, np.ndarray] = {}
 _INVERSES: dict[int, np.ndarray] = {}
+_TURN: dict[str, Callable[[], None] | None] = {}
 BYTE_CODES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+def turn_to(operator: str, clear: Callable[[], None] | None = None) -> None:
+    """Called by each task in a Python worker. Spark reuses workers: one that turns to another operator first
+    gives back what the last one cached (clear), so a chain of operators needs the memory of one of them."""
+    if operator in _TURN:
+        return
+    for held in _TURN.values():
+        if held is not None:
+            held()
+    _TURN.clear()
+    _TURN[operator] = clear
+    _POWERS.clear()
+    _INVERSES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the result."""
     x = x.astype(np.uint64, copy=True)

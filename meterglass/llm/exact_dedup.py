@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import SPACES, buffers
+from meterglass.llm.common import SPACES, buffers, turn_to
 from meterglass.runtime import ship, shuffle_partitions
 
 MEMTABLE_BYTES = 8 << 20
@@ -207,6 +207,7 @@ def build_index(docs: DataFrame, digest_bytes: int = DIGEST_BYTES, memtable_byte
     buckets = buckets or 2 * n
 
     def memtables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("exact dedup")
         table = Memtable(digest_bytes)
 
         def flushed() -> pa.RecordBatch:
@@ -227,6 +228,7 @@ def build_index(docs: DataFrame, digest_bytes: int = DIGEST_BYTES, memtable_byte
             yield flushed()
 
     def compaction(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("exact dedup")
         levels, bucket = Levels(), None
 
         def closed() -> pa.RecordBatch:

@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import IS_SPACE, Words, buffers, row_chunks
+from meterglass.llm.common import IS_SPACE, Words, buffers, row_chunks, turn_to
 from meterglass.llm.sentencepiece_codec import DEFAULT_MODEL, load
 from meterglass.runtime import ship
 
@@ -111,9 +111,10 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.size = self.model.get_piece_size()
         self.fallback = np.array([self.model.is_byte(i) or self.model.is_unknown(i) for i in range(self.size)])
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, bytes] = {}
 
-    def tokens(self, words: list[bytes]) -> list[np.ndarray]:
+    def tokens(self, words: list[bytes]) -> list[bytes]:
+        """The int32 token ids of each word, as bytes."""
         held = self.cache
         missing = [w for w in words if w not in held]
         if missing:
@@ -121,7 +122,7 @@ class Fertility:
                 held = self.cache = {}
                 missing = words
             for w, ids in zip(missing, self.model.encode([w.decode("utf-8", "replace") for w in missing], num_threads=1), strict=True):
-                held[w] = np.array(ids, np.int32)
+                held[w] = np.array(ids, np.int32).tobytes()
         return [held[w] for w in words]
 
     def measure(self, ids: np.ndarray, words: pa.Array, doc: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,8 +130,8 @@ class Fertility:
         if not ids.size:
             return np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
         coded = self.tokens(words.to_pylist())
-        size = np.array([c.size for c in coded], np.int64)
-        flat, begin = np.concatenate(coded), np.concatenate(([0], np.cumsum(size)[:-1]))
+        size = np.array([len(c) // 4 for c in coded], np.int64)
+        flat, begin = np.frombuffer(b"".join(coded), np.int32), np.concatenate(([0], np.cumsum(size)[:-1]))
         own = size[ids]
         shift = begin[ids] - np.concatenate(([0], np.cumsum(own)[:-1]))
         token = flat[np.arange(int(own.sum())) + np.repeat(shift, own)].astype(np.int64)
@@ -180,6 +181,7 @@ def quality_rules(docs: DataFrame, model: str = DEFAULT_MODEL, bands: dict[str,
     held, bands = spark.sparkContext.broadcast(load(model)), bands or BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("fertility", fertility.cache_clear)
         for batch in batches:
             data, offs = buffers(batch.column("text"))
             for x, y in row_chunks(offs):
@@ -195,6 +197,7 @@ def kept_documents(docs: DataFrame, model: str = DEFAULT_MODEL, bands: dict[str,
     held, bands, at = spark.sparkContext.broadcast(load(model)), bands or BANDS, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("fertility", fertility.cache_clear)
         for batch in batches:
             data, offs = buffers(batch.column(at))
             for x, y in row_chunks(offs):

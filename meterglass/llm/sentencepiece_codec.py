@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterglass.llm.common import turn_to
 from meterglass.runtime import ship
 
 MARK = "▁"
@@ -307,6 +308,7 @@ def sentencepiece_encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: st
     held = spark.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("sentencepiece", codec.cache_clear)
         c = codec(held.value)
         byte_piece = np.array([k == BYTE for k in c.model.types])
         for batch in batches:
@@ -342,6 +344,7 @@ def sentencepiece_decode(coded: DataFrame, model: str = DEFAULT_MODEL, id_col: s
     held = spark.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("sentencepiece", codec.cache_clear)
         c = codec(held.value)
         for batch in batches:
             texts = [c.decode(np.array(x or [], np.int32)) for x in batch.column("ids").to_pylist()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import Words, buffers, hash_runs, hash_slices, mix, powers, row_chunks
+from meterglass.llm.common import Words, buffers, hash_runs, hash_slices, mix, powers, row_chunks, turn_to
 from meterglass.runtime import ship
 
 BUCKETS, DIMENSION = 1 << 18, 16
@@ -144,6 +144,7 @@ def fit(docs: DataFrame, labelled: DataFrame, classes: int, sample_rows: int = S
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("subword model")
         for batch in batches:
             got = [features((t or "").encode(), buckets) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array([b for _, b in got], pa.list_(pa.float32()))], names=["doc_id", "label", "at", "weight"])
@@ -161,6 +162,7 @@ def fit(docs: DataFrame, labelled: DataFrame, classes: int, sample_rows: int = S
 
 def score_batches(held, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch in slices, with class probabilities and word counts."""
+    turn_to("subword model")
     for batch in batches:
         data, offs = buffers(batch.column("text"))
         for x, y in row_chunks(offs):
