@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,8 +217,7 @@ def build_index(docs: DataFrame, digest_bytes: int = DIGEST_BYTES, memtable_byte
 
         for batch in batches:
             data, offs = buffers(batch.column("text"))
-            follow = np.concatenate(([0], np.cumsum((data & 0xC0) == 0x80)))
-            points = np.diff(offs) - np.diff(follow[offs])
+            points = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").fill_null(NO_ID).to_pylist()
             for i in range(batch.num_rows):
                 text = data[offs[i] : offs[i + 1]].tobytes().translate(None, SPACES)
@@ -260,8 +260,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = buffers(batch.column("text"))
-            follow = np.concatenate(([0], np.cumsum((data & 0xC0) == 0x80)))
-            points = np.diff(offs) - np.diff(follow[offs])
+            points = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
             sha = [hashlib.sha256(data[a:b].tobytes().translate(None, SPACES)).hexdigest() for a, b in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(points, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_points", "text_sha256"])
 
