@@ -9,9 +9,16 @@ projected gradient is one distributed sum of as many numbers as there are domain
 rates are recomputed from the residuals of all steps and never collected. Steps are
 scaled by 1 / tokens_d, so a rate depends on posteriors alone, not on length.
 
+mixed_documents (and total="supply") reads the weights of the junk domains (all but
+clean) as upper bounds instead: documents most likely clean keep a rate of 1, the size
+of the mixture follows from the clean tokens and clean's weight, and the other documents
+are thinned only as far as a junk domain is over its share of that size. Junk tokens that
+are scarce are all kept, and take nothing from the clean documents.
+
 Domains, from labels: toxic (toxic = 1), low (quality = 0), clean (all others).
 
-Defined cases: null and empty texts have no tokens and the posteriors of a text
+Defined cases: where no document is labelled clean there is nothing to size the mixture by, and
+mixed_documents keeps every document, as it does without labels; null and empty texts have no tokens and the posteriors of a text
 without features; a null doc_id is kept as null; repeated rows count each; without
 labels all domains are equally likely; an empty table gives an empty result; columns
 other than doc_id and text are ignored by mixing_rates and kept by mixed_documents.
@@ -37,21 +44,26 @@ STEPS, TOLERANCE = 60, 1e-4
 
 @dataclass
 class Fit:
-    """What rates follow from: step size, residuals by step, and an upper bound of rates."""
+    """What rates follow from: step size, residuals by step, an upper bound of rates, and whether clean documents stay at 1."""
 
     step: float
     residuals: list[np.ndarray]
     most: float
     totals: np.ndarray
     targets: np.ndarray
+    clean_stays: bool = False
 
 
 def rates_of(p: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
     """(rate, point of the next gradient) of documents with posteriors p, after all steps so far."""
     rate = np.minimum(1.0, fit.most) * np.ones(len(p))
+    least, most = np.zeros(len(p)), np.full(len(p), fit.most)
+    if fit.clean_stays:
+        stays = p[:, 0] >= p.max(axis=1)
+        rate[stays] = least[stays] = most[stays] = 1.0
     ahead, t = rate, 1.0
     for e in fit.residuals:
-        new = np.clip(ahead - fit.step * (p @ e), 0.0, fit.most)
+        new = np.clip(ahead - fit.step * (p @ e), least, most)
         grown = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, rate, t = new + (t - 1) / grown * (new - rate), new, grown
     return rate, ahead
@@ -80,25 +92,33 @@ def matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def fit_rates(table: DataFrame, weights: dict[str, float], most: float = float("inf"), total: str = "corpus", steps: int = STEPS) -> Fit:
     """Projected-gradient least squares over a table of posteriors.
 
-    total: tokens of the mixture - "corpus": as many as there are; "supply": as many as can be had at rates of 1."""
+    total: tokens of the mixture - "corpus": as many as there are; "supply": as many as all clean tokens are clean's share of.
+    With "supply" documents most likely clean have a rate of 1, and the weights of the other domains are upper bounds."""
     k = len(DOMAINS)
     share = np.array([float(weights.get(d, 0.0)) for d in DOMAINS])
     share = share / share.sum()
     names = [f"p_{d}" for d in DOMAINS]
-    cells = [F.coalesce(F.sum(F.col("n_tokens") * F.col(a) * F.col(b)), F.lit(0.0)) for a in names for b in names]
-    row = table.select(*cells).first()
-    gram = np.array([float(x) for x in row]).reshape(k, k)
-    now = gram.sum(axis=1)
+    supply = total == "supply"
+    if supply and share[0] <= 0:
+        raise ValueError("a mixture sized by its clean documents needs a positive weight of clean")
+    free = F.col(names[0]) < F.greatest(*names) if supply else F.lit(True)
+    gram = lambda rows: [F.coalesce(F.sum(F.when(rows, F.col("n_tokens") * F.col(a) * F.col(b))), F.lit(0.0)) for a in names for b in names]
+    row = [float(x) for x in table.select(*gram(free), *gram(~free)).first()]
+    moving, fixed = np.array(row).reshape(2, k, k)
+    now = (moving + fixed).sum(axis=1)
     whole = float(now.sum()) or 1.0
-    if total == "supply":
-        whole = min((now[i] / share[i] for i in range(k) if share[i] > 0), default=whole) or 1.0
     targets = share * whole
-    found = Fit(1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-300), [], most, now, targets)
+    fitted = np.ones(k)  # domains whose residuals count
+    if supply:
+        whole = now[0] / share[0] or 1.0
+        targets = np.append(now[:1], np.maximum(fixed.sum(axis=1), np.minimum(now, share * whole))[1:])
+        fitted[0] = 0.0
+    step = 1.0 / max(float(np.linalg.eigvalsh(moving * np.outer(fitted, fitted))[-1]), 1e-300)
+    found = Fit(step, [], most, now, targets, supply)
     schema = ", ".join(f"s{i} double, a{i} double" for i in range(k))
-    shape = Fit(found.step, [], most, now, targets)
 
     def sums(history: list[np.ndarray]) -> np.ndarray:
-        own = Fit(shape.step, history, most, now, targets)
+        own = Fit(step, history, most, now, targets, supply)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((k, 2))
@@ -114,11 +134,11 @@ def fit_rates(table: DataFrame, weights: dict[str, float], most: float = float("
 
     for _ in range(steps):
         at = sums(found.residuals)
-        if found.residuals and np.abs(at[:, 0] - targets).max() <= TOLERANCE * whole:
+        if found.residuals and np.abs(fitted * (at[:, 0] - targets)).max() <= TOLERANCE * whole:
             found.totals = at[:, 0]
             break
         found.totals = at[:, 0]
-        found.residuals = [*found.residuals, at[:, 1] - targets]
+        found.residuals = [*found.residuals, fitted * (at[:, 1] - targets)]
     return found
 
 
@@ -141,13 +161,16 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
 def mixed_documents(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that the mixture keeps, with all their columns.
 
-    Rates are bounded by 1 (no document is repeated) and the mixture is as large as the supply of
-    its scarcest domain allows; a document with rate r stays if a hash of its id and text, as a
-    number from 0 to 1, is below r. learn_from: the documents that labels belong to."""
+    Rates are bounded by 1 (no document is repeated); documents most likely clean all stay, and the
+    weights of the other domains are upper bounds. A document with rate r stays if a hash of its id and
+    text, as a number from 0 to 1, is below r. learn_from: the documents that labels belong to."""
     spark = docs.sparkSession
     ship(spark)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    model = fit(learn_from.select(*columns), domain_labels(labels), len(DOMAINS), sample_rows)
+    domains = domain_labels(labels)
+    if domains.filter("label = 0").join(learn_from.select(columns[0]), "doc_id", "left_semi").isEmpty():
+        return docs
+    model = fit(learn_from.select(*columns), domains, len(DOMAINS), sample_rows)
     found = fit_rates(settled(posteriors(docs.select(*columns), model), "posteriors"), weights or WEIGHTS, 1.0, "supply")
     held = spark.sparkContext.broadcast(model)
     unit = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 11) / F.lit(float(1 << 53))

@@ -172,6 +172,18 @@ def test_rates_meet_targets(spark):
     assert kept.columns == docs.columns and all(i in ids for i in range(0, 300, 3)) and sum(i % 3 == 2 for i in ids) < 20
 
 
+def test_mixture_keeps_clean_documents_where_junk_is_scarce(spark):
+    docs, labels = labelled(spark)
+    scarce = docs.filter("doc_id % 3 = 0 or doc_id in (1, 4) or doc_id % 3 = 2")
+    ids = {r.doc_id for r in mixing.mixed_documents(scarce, docs, labels).collect()}
+    assert {i for i in range(0, 300, 3)} | {1, 4} <= ids and sum(i % 3 == 2 for i in ids) < 20
+    plenty = {r.doc_id for r in mixing.mixed_documents(docs, docs, labels).collect()}
+    assert sum(i % 3 == 1 for i in plenty) < 20
+    # nothing learned: all stay
+    for none in (labels.limit(0), labels.filter("quality = 0 or toxic = 1"), labels.selectExpr("doc_id + 1000 as doc_id", "quality", "toxic")):
+        assert mixing.mixed_documents(docs, docs, none).count() == 300
+
+
 def test_empty_tables(spark):
     docs, labels = labelled(spark)
     empty = spark.createDataFrame([], SCHEMA)
