@@ -26,8 +26,9 @@ multisets is 0.8 or more. Links are found without emitting all pairs of a band:
 
 Defined cases: null text and texts of under five words have no shingles and are
 classes of their own; a null doc_id counts as the largest, and is reported as null;
-repeated rows are one node and each gets its row; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+repeated rows are one node and each gets its row; of rows that share the least doc_id
+of a class, those of its least node are kept, and kept_documents keeps one row of
+them; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -270,8 +271,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows_of_band: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its class), class_size, kept."""
+def classified(docs: DataFrame, similarity: float, bands: int = BANDS, rows_of_band: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id (NO_ID for null), node, class_id, class_size, kept (whether it leads its class by doc_id, then node)."""
     ship(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = settled(nodes_of(source, bands, rows_of_band), "nodes")
@@ -306,13 +307,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     sizes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     grouped = sizes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = Window.partitionBy("comp")
-    classes = grouped.select("node", F.min("least").over(whole).alias("class_id"), F.sum("n").over(whole).alias("class_size")).filter("class_size > 1")
+    classes = grouped.select("node", F.min(F.struct("least", "node")).over(whole).alias("lead"), F.sum("n").over(whole).alias("class_size")).filter("class_size > 1")
+    classes = classes.select("node", F.col("lead.least").alias("class_id"), "class_size", (F.col("lead.node") == F.col("node")).alias("leads"))
+    kept = F.coalesce(F.col("leads") & (F.col("doc_id") == F.col("class_id")), F.lit(True))
+    size = F.coalesce("class_size", F.lit(1)).cast("long")
+    return rows.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), size.alias("class_size"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows_of_band: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (least doc_id of its class), class_size, kept."""
     given = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    out = rows.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
-    return out.select(given("doc_id").alias("doc_id"), given("class_id").alias("class_id"), "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    out = classified(docs, similarity, bands, rows_of_band, id_col, text_col)
+    return out.select(given("doc_id").alias("doc_id"), given("class_id").alias("class_id"), "class_size", "kept")
 
 
 def kept_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id leads its class, with all their columns; a null doc_id stays only in a class of its own."""
-    found = near_duplicates(docs, similarity).filter("class_size > 1 and not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of docs with all their columns, but of each class of near duplicates only one row: that of the least doc_id
+    (null is the largest), then of the least node, then of the least text."""
+    groups = classified(docs, similarity).filter("class_size > 1").groupBy("doc_id", "node").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    groups = settled(groups.filter("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "kept"), "gone")
+    words = F.array_join(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), " ")
+    wide = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), F.unhex(F.substring(F.sha2(words, 256), 1, 32)).alias("__node"))
+    out = wide.join(groups.select("__id", "__node"), ["__id", "__node"], "left_anti").select("row.*")
+    again = groups.filter("kept")
+    if again.isEmpty():
+        return out
+    # rows of one doc_id and one word sequence that lead their class together
+    one = wide.join(again.select("__id", "__node"), ["__id", "__node"], "left_semi").groupBy("__id", "__node").agg(F.min_by("row", F.col("row.text").cast("string")).alias("row"))
+    return out.unionByName(one.select("row.*"))

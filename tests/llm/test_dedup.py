@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -177,3 +178,20 @@ def test_differences_give_the_overlap(spark, monkeypatch):
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup.suffix_dedup, exact_dedup.exact_dedup, bagminhash.near_duplicates])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_near_copies_are_removed_by_row(spark):
+    rng = random.Random(11)
+    prose = [" ".join("".join(rng.choice("aeioumnrst") for _ in range(6)) for _ in range(120)) for _ in range(6)]
+    near = [t.replace(t.split()[60], "other") for t in prose]
+    rows = [
+        (1, prose[0], "a"), (None, near[0], "b"), (None, prose[1], "c"),  # a null-id copy takes no other null-id row along
+        (7, prose[2], "d"), (7, near[0] + " end", "e"),  # nor does a copy under a shared id
+        (None, prose[3], "f"), (None, near[3], "g"), (None, " " + prose[3], "h"),  # of null ids alone, one stays
+        (9, prose[4], "i"), (9, near[4], "j"), (9, prose[4].replace(" ", "\t"), "k"),  # and of one shared id
+        (None, "short", "l"), (None, None, "m"), (None, "short", "n"),
+    ]
+    got = bagminhash.kept_documents(spark.createDataFrame(rows, SCHEMA))
+    kept = "".join(sorted(r.spans for r in got.collect()))
+    assert got.columns == ["doc_id", "text", "spans"] and set("acdlmn") <= set(kept) and not set("be") & set(kept)
+    assert sum(c in kept for c in "fgh") == 1 and sum(c in kept for c in "ijk") == 1
