@@ -6,7 +6,9 @@ Zstandard data inside base64. Every layer that a decoder gives is scanned and pu
 the worklist in turn, until nothing new comes; a layer that was seen before (same
 text from the same place) is not followed again, which ends cycles. Each layer
 carries, for each of its characters, the code points of the original text it came
-from, so found secrets are reported as spans of the original. Compressed data that
+from, so found secrets are reported as spans of the original. Decoded bytes
+need not be text: those that are not UTF-8 are replaced, and ASCII in 16-bit units is
+read as well. Compressed data that
 unpacks to more than `most_unpacked` bytes is a bomb: it is not followed, and is
 counted in n_oversized.
 
@@ -44,6 +46,8 @@ HINTS = ("passw", "secret", "token", "api")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+STRAY = re.compile("[\udc80-\udcff]")
+WIDE = re.compile(rb"(?:[\x01-\x7f]\x00){4,}|(?:\x00[\x01-\x7f]){4,}")  # ASCII in UTF-16 of either order
 MOST_UNPACKED = 64 << 20
 
 
@@ -71,16 +75,28 @@ class Layer:
         return int(self.start[a:b].min()), int(self.end[a:b].max())
 
 
-def mapped_bytes(raw: bytes, start: np.ndarray, end: np.ndarray) -> Layer | None:
-    """A layer of UTF-8 bytes with the origin of each; None if they are no text."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\n\r" for c in text) < len(text):
-        return None
-    first = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-    return Layer(text, start[first], end[np.append(first[1:], len(raw)) - 1])
+def mapped_bytes(raw: bytes, start: np.ndarray, end: np.ndarray) -> Iterator[Layer]:
+    """The layer of some bytes, with the origin of each, and a second one if they hold ASCII in 16-bit units.
+
+    Bytes are read as UTF-8; each that is no part of it becomes a U+FFFD of its own."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if not text:
+        return
+    if text.isascii():
+        yield Layer(text, start, end)
+    else:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        alone = (code >= 0xDC80) & (code < 0xDD00)
+        size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        last = np.cumsum(np.where(alone, 1, size))
+        yield Layer(STRAY.sub("\ufffd", text), start[np.append(0, last[:-1])], end[last - 1])
+    if b"\0" in raw:
+        drop = np.zeros(len(raw), bool)
+        for m in WIDE.finditer(raw):
+            drop[m.start() + (raw[m.start()] != 0) : m.end() : 2] = True
+        if drop.any():
+            narrow = np.frombuffer(raw, np.uint8)[~drop].tobytes()
+            yield from mapped_bytes(narrow.replace(b"\0", b" "), start[~drop], end[~drop])
 
 
 def replaced(layer: Layer, pattern: re.Pattern, put) -> Layer | None:
@@ -163,16 +179,12 @@ def tokens(layer: Layer, most: int) -> Iterator[Layer | None]:
             yield None
         elif inner is not None:
             x, y = layer.span(m.start(), m.end())
-            got = mapped_bytes(inner, np.full(len(inner), x), np.full(len(inner), y))
-            if got is not None:
-                yield got
+            yield from mapped_bytes(inner, np.full(len(inner), x), np.full(len(inner), y))
         else:
             # decoded byte i comes from the characters that hold its bits
             i = np.arange(len(raw))
             a, b = m.start() + i * 8 // 6, m.start() + (i * 8 + 7) // 6
-            got = mapped_bytes(raw, layer.start[a], layer.end[b])
-            if got is not None:
-                yield got
+            yield from mapped_bytes(raw, layer.start[a], layer.end[b])
 
 
 def find(text: str, most: int = MOST_UNPACKED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
