@@ -1,5 +1,7 @@
 import base64
+import bz2
 import gzip
+import lzma
 import math
 import os
 import random
@@ -9,6 +11,7 @@ from collections import Counter
 
 import pytest
 import sentencepiece
+import zstandard
 from helpers import ODD_ROWS, PASSAGE, SCHEMA, documents
 
 from meterglass.llm import fertility, mixing, secrets, warc
@@ -125,6 +128,50 @@ def test_secrets_in_bytes_that_are_not_utf8(raw):
             assert (a, b) == (2 + at * 8 // 6, 2 + ((at + 20) * 8 - 1) // 6 + 1)
 
 
+def wrapped(token, columns, line="\n"):
+    return line.join(token[i : i + columns] for i in range(0, len(token), columns))
+
+
+LONG = " ".join(f"w{i * 7919 % 10007}" for i in range(400)) + " " + INNER
+CUT = len(INNER) // 2
+RAW_GZIP = gzip.compress(INNER.encode())
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        *(f"{p}{base64.b64encode(INNER.encode()).decode()}" for p in ("example/dl/", "id_", "sha-", "x", "/a/b")),
+        f"a/{PACKED}/more/path",
+        "data/" + base64.b64encode(LONG.encode()).decode().rstrip("="),
+        *(wrapped(base64.b64encode(LONG.encode()).decode(), n, e) for n in (64, 76) for e in ("\n", "\r\n", "\n  ", "\\n")),
+        wrapped(base64.b64encode(gzip.compress(LONG.encode())).decode(), 76),
+        base64.b64encode(gzip.compress(b"first") + gzip.compress(INNER.encode())).decode(),
+        base64.b64encode(gzip.compress(INNER[:CUT].encode()) + gzip.compress(INNER[CUT:].encode())).decode(),
+        base64.b64encode(bz2.compress(b"first") + bz2.compress(INNER.encode())).decode(),
+        base64.b64encode(lzma.compress(b"first") + lzma.compress(INNER.encode())).decode(),
+        base64.b64encode(zstandard.compress(b"first") + zstandard.compress(INNER.encode())).decode(),
+        base64.b64encode(gzip.compress(bz2.compress(INNER.encode()))).decode(),
+        urllib.parse.quote(RAW_GZIP),
+        urllib.parse.quote_plus(RAW_GZIP),
+        "".join(f"%{b:02x}" for b in RAW_GZIP),
+        repr(RAW_GZIP),
+        "".join(f"\\x{b:02x}" for b in RAW_GZIP),
+    ],
+)
+def test_secrets_wherever_a_payload_starts_or_breaks(text):
+    _, every, bombs = secrets.find("q " + text + " r")
+    # xz and Zstandard store short data as it is, where it is found once more
+    assert {k for _, k, _ in every} == {0} and bombs == 0 and all(2 <= a < b <= 2 + len(text) for a, _, b in every)
+
+
+def test_oversized_data_is_scanned_in_windows():
+    for at in (0, 500, 990, 1500, 4321):
+        data = b"." * at + b" " + INNER.encode() + b" " + b"." * 5000
+        for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+            _, every, bombs = secrets.find(base64.b64encode(pack(data)).decode(), most=1000)
+            assert {k for _, k, _ in every} == {0} and bombs == 1
+
+
 def test_secret_worklist_ends_and_leaves_bombs():
     deep = INNER
     for _ in range(6):
