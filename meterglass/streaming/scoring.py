@@ -1,8 +1,8 @@
 """Scoring of streamed messages with per-device models, and their refit on what was judged normal.
 
 Batches are written under their number, so a batch that runs again replaces its own
-output. Models are a table with one version per refit. History is bounded: each
-device keeps its latest `keep` rows.
+output. Models are fitted on the whole history; only where `keep` and a time column
+are given, on the latest `keep` rows of each device by that time.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from meterglass.operators import hbos
 from meterglass.operators.prep import size_gate
 from meterglass.sources.io import exists
 
-KEEP = 100_000
-
 
 def is_uplink(message) -> F.Column:
     return message.startswith('{"rxpk"')
@@ -34,14 +32,20 @@ def append_batches(path: str) -> Callable[[DataFrame, int], None]:
 
 
 class Scorer:
-    """HBOS models by device: score a batch, add its normal rows to the history, refit. refit: "history" or "batch"."""
+    """HBOS models by device: score a batch, add its normal rows to the history, refit. refit: "history" or "batch".
+
+    keep: fit on the latest rows of each device only, by the column `time`."""
 
-    def __init__(self, spark, folder: str, device: str, key: str, features: list[str], least: int, refit: str = "history", keep: int = KEEP):
+    def __init__(self, spark, folder: str, device: str, key: str, features: list[str], least: int, refit: str = "history", keep: int | None = None, time: str | None = None):
+        if keep is not None and time is None:
+            raise ValueError("keep needs a time column")
+        self.columns = list(dict.fromkeys([device, key, *features, *([time] if time else [])]))
+        self.time = time
         self.spark, self.folder, self.device, self.key, self.features, self.least, self.refit, self.keep = spark, folder, device, key, features, least, refit, keep
 
     def seed(self, rows: DataFrame) -> None:
         """Cold start: the history before the first batch."""
-        rows.select(self.device, self.key, *self.features).write.mode("overwrite").parquet(f"{self.folder}/history/v=-1")
+        rows.select(*self.columns).write.mode("overwrite").parquet(f"{self.folder}/history/v=-1")
 
     def history(self, before: int) -> DataFrame | None:
         path = f"{self.folder}/history"
@@ -49,14 +53,15 @@ class Scorer:
 
     def batch(self, df: DataFrame, number: int) -> None:
         d, k, f = self.device, self.key, self.features
-        df = df.select(d, k, *f).persist()
+        df = df.select(*self.columns).persist()
         past = self.history(number)
         if past is None:
             scored = df.select(d, k, F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("prediction"))
         else:
-            newest = Window.partitionBy(d).orderBy(F.desc(k))
-            kept = past.withColumn("_at", F.row_number().over(newest)).filter(F.col("_at") <= self.keep).drop("_at")
-            train = size_gate(kept, d, self.least)
+            train = size_gate(past, d, self.least)
+            if self.keep is not None:
+                newest = Window.partitionBy(d).orderBy(F.desc(self.time), F.desc(k))
+                train = train.withColumn("_at", F.row_number().over(newest)).filter(F.col("_at") <= self.keep).drop("_at")
             if self.refit == "batch" and number > 0:
                 last = self.spark.read.parquet(f"{self.folder}/history").filter(F.col("v") == number - 1).drop("v")
                 train = last if not last.isEmpty() else train

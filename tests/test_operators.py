@@ -142,6 +142,30 @@ def test_stream_scoring_equals_batch_and_repeats_are_harmless(spark, messages, t
     assert first == again and {e: p for e, _, p in first if p is not None} == want
 
 
+def test_stream_models_are_fitted_on_the_whole_history(spark, tmp_path):
+    # the rows of a hot device with the least keys differ from all others
+    rows = spark.range(101_000).selectExpr("'d' as user_id", "id as event_id", "cast(if(id < 900, 1000 + id, id % 97) as double) as value").persist()
+    scorer = scoring.Scorer(spark, str(tmp_path / "s"), "user_id", "event_id", ["value"], 50)
+    scorer.seed(rows)
+    scorer.batch(rows.filter("event_id % 100 = 0"), 0)
+    want = hbos.train_and_label(rows, "user_id", "event_id", ["value"]).filter("event_id % 100 = 0")
+    pick = lambda df: sorted(map(tuple, df.select("event_id", "score", "prediction").collect()))
+    assert pick(scorer.scored()) == pick(want)
+
+
+def test_retention_is_by_time_and_counts_the_whole_history(spark, tmp_path):
+    with pytest.raises(ValueError, match="time"):
+        scoring.Scorer(spark, str(tmp_path / "n"), "user_id", "event_id", ["value"], 50, keep=10)
+    rows = spark.range(100).selectExpr("'d' as user_id", "id as event_id", "cast(id % 7 as double) as value", "-id as at")
+    scorer = scoring.Scorer(spark, str(tmp_path / "s"), "user_id", "event_id", ["value"], 50, keep=20, time="at")
+    scorer.seed(rows)
+    scorer.batch(rows, 0)
+    train = rows.filter("event_id < 20")
+    model = hbos.fit(train, "user_id", "event_id", ["value"])
+    want = {r.event_id: r.score for r in hbos.score(rows, model, "user_id", "event_id", ["value"]).collect()}
+    assert {r.event_id: r.score for r in scorer.scored().collect()} == want
+
+
 def test_materialise_skips_what_is_there(spark, tmp_path):
     path = str(tmp_path / "t")
     io.materialise(spark, path, lambda: spark.range(3))
