@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,10 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package: hand it to Spark's own file server once per application."""
+    """Let executors import this package: hand it to Spark's own file server once per application.
+
+    Also bounds the Arrow batches of the session by bytes, unless a smaller bound is set: rows may be long, and
+    the row bound alone lets a batch of them take tens of megabytes in the JVM and again in a Python worker."""
     context = spark.sparkContext
+    given = re.fullmatch(r"(\d+)([kmgt]?)b?", (spark.conf.get(BATCH_LIMIT, None) or "1t").lower())
+    if given is None or int(given[1]) << 10 * " kmgt".index(given[2] or " ") > BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
