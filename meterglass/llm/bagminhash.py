@@ -17,12 +17,14 @@ multisets is 0.8 or more. Links are found without emitting all pairs of a band:
 1. equal word sequences become one node;
 2. in each band bucket all nodes are compared with two hubs (linear in the bucket);
 3. links give components (hash-min with pointer jumping, no collect);
-4. buckets that still hold several components get the rest exactly: every pair of
-   nodes in different components, but for those that two bounds from above rule out
-   within the join (may_reach by bitmaps, then reaches by the shingles in which each
-   differs from the hub), so that few rows but links leave it.
-   So no link between different texts that share a band is lost, whatever the size
-   of a bucket.
+4. buckets that still hold several components get the rest exactly. A node is known by
+   the shingles in which it differs from the bucket's hub, which give the overlap of any
+   two nodes. A bucket is dealt in blocks of bounded bytes; each pair of its blocks is
+   compared in one place, which puts out only links that join two of its components
+   (spanning_links): at most one less than it has nodes. Where two nodes are in one
+   component already, a further link between them says nothing new about classes.
+   So no link that joins classes is lost, whatever the size of a bucket, and what is
+   put out grows with the nodes, not with their pairs.
 
 Defined cases: null text and texts of under five words have no shingles and are
 classes of their own; a null doc_id counts as the largest, and is reported as null;
@@ -34,22 +36,23 @@ them; an empty table gives an empty result; other columns are ignored, whatever
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.llm.common import Words, buffers, hash_runs, hash_words, mix, row_chunks, turn_to
-from meterglass.runtime import settled, ship
+from meterglass.runtime import settled, ship, shuffle_partitions
 
 WORDS, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
 NO_ID = np.iinfo(np.int64).max
+BLOCK_BYTES, BLOCK_NODES = 8 << 20, 1024
 BLOCKS = [1, 1, 2, 4, 8, 16, 32, 64]
 
 
@@ -180,80 +183,114 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a binary, b binary, sim double")
 
 
-LANES = 4  # 64-bit lanes of each bitmap in a profile
-
-
-def lanes(places: list[int]) -> list[int]:
-    out = [0] * LANES
-    for p in places:
-        out[p >> 6] |= 1 << (p & 63)
-    return [x - (1 << 64) if x >> 63 else x for x in out]
-
-
-def profile(a: Counter, hub: Counter) -> list[int]:
-    """What bounds the overlap of two nodes that were compared with one hub: the sizes, and bitmaps
-    (by a hash of the shingle) of the hub's shingles that the node lacks in full, and of its own beyond the hub's."""
-    place = lambda s: zlib.crc32(b" ".join(s)) % (64 * LANES)
-    lacks = [place(s) for s, n in hub.items() if a.get(s, 0) < n]
-    beyond = {s: n - hub.get(s, 0) for s, n in a.items() if n > hub.get(s, 0)}
-    return [hub.total(), a.total(), sum(beyond.values()), *lanes(lacks), *lanes([place(s) for s in beyond])]
-
-
-def differences(a: Counter, hub: Counter) -> list[int]:
-    """Hashes of the single occurrences of shingles in which a node and its hub differ, each hash once."""
-    out = set()
+def differences(a: Counter, hub: Counter) -> np.ndarray:
+    """64-bit hashes of the single occurrences of shingles in which a node and its hub differ."""
+    out = []
     for s in a.keys() | hub.keys():
-        x, y = sorted((a.get(s, 0), hub.get(s, 0)))
-        if x < y:
+        x, y = a.get(s, 0), hub.get(s, 0)
+        if x != y:
             joined = b" ".join(s)
-            out.update(zlib.crc32(b"%b %d" % (joined, k)) - (1 << 31) for k in range(x, y))
-    return list(out)
-
-
-PROFILE = ["hub_size", "size", "beyond", *(f"m{i}" for i in range(LANES)), *(f"o{i}" for i in range(LANES))]
+            out.extend(xxhash.xxh3_64_intdigest(joined, k) for k in range(min(x, y), max(x, y)))
+    return np.array(out, np.uint64).view(np.int64)
 
 
-def profiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """hub, node, the profile of the node against the hub and their differences."""
+def against_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """hub, node, the sizes of both multisets, how many occurrences they share, and those in which they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("bagminhash", shingles.cache_clear)
         for batch in batches:
             hub, own = batch.column("packed_hub"), batch.column("packed")
-            sides = [(shingles(own[i].as_py()), shingles(hub[i].as_py())) for i in range(batch.num_rows)]
-            rows = [profile(*x) for x in sides]
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(PROFILE))]
-            differs = pa.array([differences(*x) for x in sides], pa.list_(pa.int32()))
-            yield pa.record_batch([batch.column("hub"), batch.column("node"), *columns, differs], names=["hub", "node", *PROFILE, "differs"])
+            for at in range(0, batch.num_rows, 256):
+                part = range(at, min(at + 256, batch.num_rows))
+                sides = [(shingles(own[i].as_py()), shingles(hub[i].as_py())) for i in part]
+                differs = [differences(*x) for x in sides]
+                size, of_hub = [a.total() for a, _ in sides], [h.total() for _, h in sides]
+                shared = [(x + y - len(d)) // 2 for x, y, d in zip(size, of_hub, differs, strict=True)]
+                columns = [pa.array(c, pa.int64()) for c in (of_hub, size, shared)]
+                yield pa.record_batch([batch.column("hub").slice(at, len(part)), batch.column("node").slice(at, len(part)), *columns, pa.array(differs, pa.list_(pa.int64()))], names=["hub", "node", "hub_size", "size", "shared", "differs"])
 
     both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("packed").alias("packed_hub")), "hub")
-    return both.select("hub", "node", "packed_hub", "packed").mapInArrow(run, "hub binary, node binary, " + ", ".join(f"{c} long" for c in PROFILE) + ", differs array<int>")
+    return both.select("hub", "node", "packed_hub", "packed").mapInArrow(run, "hub binary, node binary, hub_size long, size long, shared long, differs array<long>")
+
+
+def joining_links(size: np.ndarray, shared: np.ndarray, hub_size: int, begin: np.ndarray, differs: np.ndarray, label: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join components among nodes that are known by their differences from one hub.
+
+    size, shared (with the hub) and label (component) of each node; differs[begin[i]:begin[i + 1]] are its
+    differences. side: nodes of side 1 are compared with those of side 0 only; if all are of side 0, with each other.
+
+    Two nodes share |l and hub| + |r and hub| - |hub| + |differences of both| occurrences."""
+    n, out = size.size, []
+    names, code = np.unique(differs, return_inverse=True)
+    seen = np.zeros(names.size, np.int64)
+    owner = np.repeat(np.arange(n), np.diff(begin))
+    label = np.unique(label, return_inverse=True)[1]
+    share = similarity / (1 + similarity)
+    two = bool(side.any())
+    for r in np.flatnonzero(side == 1) if two else range(1, n):
+        other = np.flatnonzero((side == 0) & (label != label[r])) if two else np.flatnonzero(label[:r] != label[r])
+        if not other.size:
+            continue
+        own = code[begin[r] : begin[r + 1]]
+        seen[own] = 1
+        last = owner.size if two else int(begin[r])
+        both = np.bincount(owner[:last], weights=seen[code[:last]], minlength=n)
+        seen[own] = 0
+        common = shared[other] + shared[r] - hub_size + both[other]
+        for j in other[common >= share * (size[other] + size[r]) - 1e-6]:
+            if label[j] != label[r]:
+                label[label == label[j]] = label[r]
+                out.append((int(j), int(r)))
+    return out
+
+
+def spanning_links(rest: DataFrame, similarity: float, block_bytes: int = BLOCK_BYTES, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """a, b: links that join components within the buckets. rest: band, node, comp, hub_size, size, shared, differs."""
+    n = shuffle_partitions(rest.sparkSession)
+    shapes = rest.groupBy("band").agg(F.count("*").alias("nodes"), F.sum(16 + 8 * F.size("differs")).alias("bytes"))
+    blocks = shapes.select("band", F.ceil(F.greatest(F.col("nodes") / block_nodes, F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
+    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = rest.join(blocks, "band").withColumn("block", at)
+    # block x meets blocks y >= x in the place (x, y)
+    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    dealt = placed.select("band", F.explode(places).alias("place"), "block", "node", "comp", "hub_size", "size", "shared", "differs")
+    dealt = dealt.select("band", F.col("place.x").alias("x"), F.col("place.y").alias("y"), (F.col("block") != F.col("place.x")).cast("int").alias("side"), "node", "comp", "hub_size", "size", "shared", "differs")
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        column = lambda c: rows.column(c).to_numpy()
+        lists = rows.column("differs").combine_chunks()
+        begin = lists.offsets.to_numpy()
+        comps = rows.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        found = joining_links(column("size"), column("shared"), int(column("hub_size")[0]), begin - begin[0], lists.flatten().to_numpy(), comps, column("side"), similarity)
+        if found:
+            nodes = rows.column("node").combine_chunks()
+            a, b = nodes.take(pa.array([i for i, _ in found])), nodes.take(pa.array([j for _, j in found]))
+            yield pa.record_batch([a, b], names=["a", "b"])
 
-
-def may_reach(similarity: float):
-    """Whether the similarity of two rows l and r with profiles for one hub can reach the threshold.
-
-    A bound from above, so no link is lost: of the hub's shingles, the two share at most those that neither lacks;
-    of those beyond the hub's, at most what is left after those whose bit the other does not have. Shingles that
-    share a bit only make the bound larger."""
-    count = lambda f: sum((F.bit_count(f(i)) for i in range(LANES)), F.lit(0))
-    c = lambda side, name: F.col(f"{side}.{name}")
-    lacking = count(lambda i: c("l", f"m{i}").bitwiseOR(c("r", f"m{i}")))
-    only = lambda x, y: count(lambda i: c(x, f"o{i}").bitwiseAND(F.bitwise_not(c(y, f"o{i}"))))
-    shared = c("l", "hub_size") - lacking + F.least(c("l", "beyond") - only("l", "r"), c("r", "beyond") - only("r", "l"))
-    return shared >= (similarity / (1 + similarity)) * (c("l", "size") + c("r", "size")) - 1e-6
-
-
-def reaches(similarity: float):
-    """Whether two rows l and r reach the threshold by their differences from one hub.
-
-    They share |l and hub| + |r and hub| - |hub| + |differences of both|. Where differences of a row have one hash
-    (merged), they count as shared, so this too is a bound from above; with distinct hashes it is the overlap."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    merged = lambda x: c(x, "hub_size") - c(x, "size") + 2 * c(x, "beyond") - F.size(c(x, "differs"))
-    both = F.size(F.array_intersect(c("l", "differs"), c("r", "differs"))) + F.least(merged("l"), merged("r"))
-    shared = c("l", "size") - c("l", "beyond") + c("r", "size") - c("r", "beyond") - c("l", "hub_size") + both
-    return shared >= (similarity / (1 + similarity)) * (c("l", "size") + c("r", "size")) - 1e-6
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("bagminhash", shingles.cache_clear)
+        held, place = [], None
+        for batch in batches:
+            at, band, x, y = 0, *(batch.column(c).to_numpy() for c in ("band", "x", "y"))
+            ends = np.flatnonzero((band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            for to in [*ends.tolist(), batch.num_rows]:
+                if to == at:
+                    continue
+                here = (int(band[at]), int(x[at]), int(y[at]))
+                if here != place and held:
+                    yield from links(pa.Table.from_batches(held))
+                    held = []
+                place = here
+                held.append(batch.slice(at, to - at))
+                at = to
+        if held:
+            yield from links(pa.Table.from_batches(held))
+
+    # nodes in order of their hash: a place gives the same links if it runs again
+    dealt = dealt.repartition(n, "band", "x", "y").sortWithinPartitions("band", "x", "y", "node")
+    return dealt.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -294,20 +331,20 @@ def classified(docs: DataFrame, similarity: float, bands: int = BANDS, rows_of_b
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("band")
     rest = settled(placed.join(mixed, "band", "left_semi").select("band", "node", "comp", "hub"), "rest")
-    known = settled(profiles(rest.select("hub", "node").distinct(), texts), "profiles")
-    wide = rest.join(known, ["hub", "node"])
-    left, right = wide.alias("l"), wide.alias("r")
-    apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & may_reach(similarity) & reaches(similarity)
-    pairs = left.join(right, (F.col("l.band") == F.col("r.band")) & apart).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    more = settled(verified(pairs.join(judged, ["a", "b"], "left_anti"), texts).filter(F.col("sim") >= similarity), "more")
+    known = settled(against_hubs(rest.select("hub", "node").distinct(), texts), "known")
+    found = spanning_links(rest.join(known, ["hub", "node"]), similarity)
+    # differences are compared by 64-bit hashes, links by their texts
+    more = settled(verified(found, texts), "more")
+    if not more.filter(F.col("sim") < similarity).isEmpty():
+        raise ValueError("two different shingles have one 64-bit hash")
     if not more.isEmpty():
         comps = components(links.select("a", "b").union(more.select("a", "b")))
 
     # classes: nodes by component, rows by node
     sizes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     grouped = sizes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    whole = Window.partitionBy("comp")
-    classes = grouped.select("node", F.min(F.struct("least", "node")).over(whole).alias("lead"), F.sum("n").over(whole).alias("class_size")).filter("class_size > 1")
+    heads = grouped.groupBy("comp").agg(F.min(F.struct("least", "node")).alias("lead"), F.sum("n").alias("class_size")).filter("class_size > 1")
+    classes = grouped.select("node", "comp").join(heads, "comp")
     classes = classes.select("node", F.col("lead.least").alias("class_id"), "class_size", (F.col("lead.node") == F.col("node")).alias("leads"))
     kept = F.coalesce(F.col("leads") & (F.col("doc_id") == F.col("class_id")), F.lit(True))
     size = F.coalesce("class_size", F.lit(1)).cast("long")

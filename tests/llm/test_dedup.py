@@ -150,29 +150,48 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((a == b).mean() - true) < 0.04
 
 
-def test_bound_is_never_below_the_overlap(spark):
-    rng = np.random.default_rng(4)
-    bags = [Counter({(bytes([c]),): int(n) for c, n in enumerate(rng.integers(0, 4, 60)) if n}) for _ in range(12)]
-    rows = [(i, *bagminhash.profile(b, bags[0])) for i, b in enumerate(bags)]
-    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"{c} long" for c in bagminhash.PROFILE))
-    for s in (0.2, 0.4, 0.6):
-        got = {tuple(r) for r in df.alias("l").join(df.alias("r"), bagminhash.may_reach(s)).select("l.i", "r.i").collect()}
-        assert {(x, y) for x in range(12) for y in range(12) if bagminhash.overlap(bags[x], bags[y]) >= s} <= got
-
-
-def test_differences_give_the_overlap(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    bags = [Counter({(bytes([c]),): int(n) for c, n in enumerate(rng.integers(0, 4, 60)) if n}) for _ in range(12)]
-    schema = "i int, " + ", ".join(f"{c} long" for c in bagminhash.PROFILE) + ", differs array<int>"
-    want = lambda s: {(x, y) for x in range(12) for y in range(12) if bagminhash.overlap(bags[x], bags[y]) >= s}
-    for merge in (False, True):
-        if merge:  # colliding hashes may add pairs, but lose none
-            monkeypatch.setattr(bagminhash.zlib, "crc32", lambda b, f=bagminhash.zlib.crc32: f(b) % 16)
-        rows = [(i, *bagminhash.profile(b, bags[0]), bagminhash.differences(b, bags[0])) for i, b in enumerate(bags)]
-        df = spark.createDataFrame(rows, schema)
-        for s in (0.2, 0.3, 0.4):
-            got = {tuple(r) for r in df.alias("l").join(df.alias("r"), bagminhash.reaches(s)).select("l.i", "r.i").collect()}
-            assert want(s) <= got if merge else want(s) == got
+@pytest.mark.parametrize("seed", range(6))
+def test_joining_links_give_the_components(seed):
+    rng = np.random.default_rng(seed)
+    bags = [Counter({(bytes([c]),): int(n) for c, n in enumerate(rng.integers(0, 4, 60)) if n}) for _ in range(40)]
+    hub = bags[0]
+    differs = [bagminhash.differences(b, hub) for b in bags]
+    begin = np.concatenate(([0], np.cumsum([d.size for d in differs])))
+    size, shared = (np.array([f(b) for b in bags]) for f in (Counter.total, lambda b: (b & hub).total()))
+    for s in (0.42, 0.45, 0.5):
+        for side in (np.zeros(40, np.int64), np.arange(40) % 3 % 2):
+            label = np.arange(40) // 2
+            links = bagminhash.joining_links(size, shared, hub.total(), begin, np.concatenate(differs), label, side, s)
+            assert all(bagminhash.overlap(bags[i], bags[j]) >= s for i, j in links) and len(links) <= 19
+            for edges in (links, [(i, j) for i in range(40) for j in range(i) if (side[i] != side[j] or not side.any()) and bagminhash.overlap(bags[i], bags[j]) >= s]):
+                comp = label.copy()
+                for i, j in edges:
+                    comp[comp == comp[j]] = comp[i]
+                first = {c: int(np.flatnonzero(comp == c)[0]) for c in comp}
+                edges[:] = [first[c] for c in comp]
+                if edges is links:
+                    got = edges
+            assert got == edges
+
+
+def test_a_large_bucket_in_blocks_gives_the_same_classes(spark, monkeypatch):
+    # one group whose members differ from the hubs too much, so that most links are found between blocks
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in range(300)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for at in rng.integers(0, 300, 9):
+            text[at] = f"new{rng.integers(0, 3)}_{at}"
+        rows.append((i, " ".join(text), ""))
+    docs = documents(spark, rows)
+    want = brute_classes(rows)
+    assert len(set(want.values())) > 1
+    whole = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs, bands=60, rows_of_band=2).collect()}
+    block = bagminhash.spanning_links
+    monkeypatch.setattr(bagminhash, "spanning_links", lambda rest, s: block(rest, s, block_nodes=7))
+    parts = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs, bands=60, rows_of_band=2).collect()}
+    assert whole == parts == want
 
 
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup.suffix_dedup, exact_dedup.exact_dedup, bagminhash.near_duplicates])
