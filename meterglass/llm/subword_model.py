@@ -2,7 +2,8 @@
 
 A document is the average of the learned vectors of its features - words, pairs of
 neighbouring words, and the 3 to 5 character n-grams of each `<word>` - hashed into a
-fixed table; a softmax layer over the average gives class probabilities. Training is
+fixed table (a word that repeats the one before it, or the one before that, also gives
+a pair that is the same for all words); a softmax layer over the average gives class probabilities. Training is
 stochastic gradient descent in numpy, one document a step, on a bounded sample of
 labelled rows (`sample_rows`, lowest hashes of doc_id first); features are extracted
 on the executors, so texts do not reach the driver.
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.llm.common import Words, buffers, hash_runs, hash_slices, mix, powers, row_chunks, turn_to
-from meterglass.runtime import ship
+from meterglass.runtime import settled, ship
 
 BUCKETS, DIMENSION = 1 << 18, 16
 GRAMS = (3, 4, 5)
-SAMPLE_ROWS, EPOCHS, RATE, SEED = 2500, 5, 0.5, 11
+SAMPLE_ROWS, EPOCHS, RATE, SEED = 3000, 6, 0.5, 11
+REPEATED = mix(np.array([1, 2], np.uint64))  # the pairs of a word and itself, at a distance of one and of two
+SAMPLE_FEATURES = 12_000_000  # 96 MB on the driver, where 3,000 documents of usual length have some 8 million
+SCORED_BYTES = 1 << 20  # texts scored at a time: their n-grams take some hundred times as much as distinct words
 
 
 @dataclass
@@ -62,6 +66,17 @@ def folded(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h % np.uint64(buckets)).astype(np.int64)
 
 
+def word_pairs(codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of neighbouring words of a document and of its repeated words, and the document of each. codes: the hash of each word."""
+    inside = np.flatnonzero(doc[1:] == doc[:-1])
+    found, of = [hash_runs(codes, 2)[inside]], [doc[inside]]
+    for back in (1, 2):
+        again = doc[back:][(codes[back:] == codes[:-back]) & (doc[back:] == doc[:-back])]
+        found.append(np.full(again.size, REPEATED[back - 1]))
+        of.append(again)
+    return np.concatenate(found), np.concatenate(of)
+
+
 def features(text: bytes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """The features of one text and the weight of each: its share of all features."""
     data = np.frombuffer(text, np.uint8)
@@ -73,7 +88,7 @@ def features(text: bytes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
     count = np.bincount(ids, minlength=len(distinct)).astype(float)
     codes = hash_slices(raw, offs)
     at, weight = [folded(codes, buckets)], [count]
-    pairs = hash_runs(codes[ids], 2)
+    pairs, _ = word_pairs(codes[ids], w.doc)
     at.append(folded(pairs, buckets))
     weight.append(np.ones(pairs.size))
     for h, own in grams_of(raw, offs):
@@ -126,9 +141,8 @@ def probabilities(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.
             for k in range(classes):
                 word[:, k] += np.bincount(own, weights=model.table[f, k], minlength=len(distinct))
             count += np.bincount(own, minlength=len(distinct))
-        pairs = hash_runs(codes[ids], 2)
-        inside = np.flatnonzero(w.doc[1:] == w.doc[:-1])
-        f, of = folded(pairs[inside], buckets), w.doc[inside]
+        pairs, of = word_pairs(codes[ids], w.doc)
+        f = folded(pairs, buckets)
         total = np.maximum(1, np.bincount(w.doc, weights=count[ids], minlength=rows) + np.bincount(of, minlength=rows))
         for k in range(classes):
             sums = np.bincount(w.doc, weights=word[ids, k], minlength=rows) + np.bincount(of, weights=model.table[f, k], minlength=rows)
@@ -137,34 +151,48 @@ def probabilities(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.
     return p / p.sum(axis=1, keepdims=True), w.counts
 
 
-def fit(docs: DataFrame, labelled: DataFrame, classes: int, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> Model:
-    """Train on at most `sample_rows` labelled rows. docs: doc_id, text; labelled: doc_id, label (0 to classes - 1)."""
-    ship(docs.sparkSession)
+def fit(docs: DataFrame, labelled: DataFrame, classes: int, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, sample_features: int = SAMPLE_FEATURES) -> Model:
+    """Train on at most `sample_rows` labelled rows and, of these, on the first (by hash of doc_id) that hold at most
+    `sample_features` features together. docs: doc_id, text; labelled: doc_id, label (0 to classes - 1).
+    Of rows that share a doc_id the one with the least text counts."""
+    spark = docs.sparkSession
+    ship(spark)
+    order = F.xxhash64("doc_id")
     chosen = labelled.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = chosen.orderBy(order, "doc_id").limit(sample_rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("subword model")
         for batch in batches:
-            got = [features((t or "").encode(), buckets) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array([b for _, b in got], pa.list_(pa.float32()))], names=["doc_id", "label", "at", "weight"])
+            # a row at a time: features of long texts take more than the texts
+            for i, t in enumerate(batch.column("text")):
+                at, weight = features((t.as_py() or "").encode(), buckets)
+                own = batch.slice(i, 1)
+                yield pa.record_batch([own.column("doc_id"), own.column("label"), pa.array([at], pa.list_(pa.int32())), pa.array([weight], pa.list_(pa.float32()))], names=["doc_id", "label", "at", "weight"])
 
     # the sample has at most sample_rows short rows: a proven bound for the broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(extract, "doc_id long, label int, at array<int>, weight array<float>")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = settled(joined.mapInArrow(extract, "doc_id long, label int, at array<int>, weight array<float>"), "sample")
+    # at most sample_rows rows
+    sizes = [(r.doc_id, r.n) for r in sample.select("doc_id", F.size("at").alias("n")).orderBy(order, "doc_id").collect()]
+    within = np.cumsum([n for _, n in sizes]) <= sample_features
+    if not within.all():
+        ids = spark.createDataFrame([(d,) for (d, _), w in zip(sizes, within.tolist(), strict=True) if w], "doc_id long")
+        sample = sample.join(F.broadcast(ids), "doc_id", "left_semi")
     got = sample.toArrow()
-    order = np.lexsort((got["label"].to_numpy(), got["doc_id"].to_numpy()))
+    by_id = np.lexsort((got["label"].to_numpy(), got["doc_id"].to_numpy()))
     at, weight, label = got["at"].combine_chunks(), got["weight"].combine_chunks(), got["label"].to_numpy()
-    rows = [(int(label[i]), at[i].values.to_numpy(zero_copy_only=False), weight[i].values.to_numpy(zero_copy_only=False)) for i in order.tolist()]
+    rows = [(int(label[i]), at[i].values.to_numpy(zero_copy_only=False), weight[i].values.to_numpy(zero_copy_only=False)) for i in by_id.tolist()]
     if not rows:
         return Model(np.zeros((buckets, classes), np.float32), np.zeros(classes, np.float32))
     return train(rows, classes, buckets)
 
 
-def score_batches(held, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Each batch in slices, with class probabilities and word counts."""
+def score_batches(held, batches: Iterator[pa.RecordBatch], text: int | str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch in slices, with class probabilities and word counts. text: the column of texts, or its place."""
     turn_to("subword model")
     for batch in batches:
-        data, offs = buffers(batch.column("text"))
-        for x, y in row_chunks(offs):
+        data, offs = buffers(batch.column(text))
+        for x, y in row_chunks(offs, SCORED_BYTES):
             p, words = probabilities(held.value, data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
             yield batch.slice(x, y - x), p, words
