@@ -9,6 +9,16 @@ projected gradient is one distributed sum of as many numbers as there are domain
 rates are recomputed from the residuals of all steps and never collected. Steps are
 scaled by 1 / tokens_d, so a rate depends on posteriors alone, not on length.
 
+The steps start from a coarse solution: documents whose posteriors round to the same
+cell of a grid (at most CELLS of them, whatever the input) share a rate, and the cells'
+exact sums of expected tokens are all that a solution of this form needs, so it is found
+by thousands of steps of the same projected gradient on one table of cells.
+Steps over the documents follow until the largest error is within TOLERANCE of all tokens,
+or until a step lowers the squared error by less than STALL of it. What is left is reported: target_error (largest
+|expected - target| of a domain, as a share of all expected tokens) and feasible
+(target_error <= TOLERANCE); targets beyond any rates, as of a domain of which every
+document has a little, are met as far as least squares can.
+
 mixed_documents (and total="supply") reads the weights of the junk domains (all but
 clean) as upper bounds instead: documents most likely clean keep a rate of 1, the size
 of the mixture follows from the clean tokens and clean's weight, and the other documents
@@ -20,14 +30,15 @@ Domains, from labels: toxic (toxic = 1), low (quality = 0), clean (all others).
 Defined cases: where no document is labelled clean there is nothing to size the mixture by, and
 mixed_documents keeps every document, as it does without labels; null and empty texts have no tokens and the posteriors of a text
 without features; a null doc_id is kept as null; repeated rows count each; without
-labels all domains are equally likely; an empty table gives an empty result; columns
-other than doc_id and text are ignored by mixing_rates and kept by mixed_documents.
+labels all domains are equally likely, and no rates reach unequal targets (feasible is false);
+an empty table gives an empty result; columns other than doc_id and text are ignored by
+mixing_rates and kept, under any names, by mixed_documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -40,27 +51,59 @@ from meterglass.runtime import settled, ship
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
 STEPS, TOLERANCE = 60, 1e-4
+GRID, CELLS, COARSE_STEPS = 256, 40_000, 20_000
+STALL = 1e-3  # a step that lowers the squared error by a smaller share than this is the last
 
 
 @dataclass
 class Fit:
-    """What rates follow from: step size, residuals by step, an upper bound of rates, and whether clean documents stay at 1."""
+    """What rates follow from: the coarse rates by cell, step size, residuals by step, an upper bound of rates,
+    and whether clean documents stay at 1; and what was reached: expected totals by domain, targets, the error."""
 
     step: float
-    residuals: list[np.ndarray]
     most: float
-    totals: np.ndarray
     targets: np.ndarray
+    fitted: np.ndarray  # 1 for each domain whose residual counts
+    grid: int
     clean_stays: bool = False
+    cells: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    residuals: list[np.ndarray] = field(default_factory=list)
+    totals: np.ndarray | None = None
+    error: float = 0.0
+
+
+def grid_for(domains: int) -> int:
+    """Steps of a grid over the posteriors that has at most CELLS cells."""
+    grid = GRID
+    while grid > 1 and (grid + 1) ** (domains - 1) // 2 > CELLS:
+        grid //= 2
+    return grid
+
+
+def cell_of(p: np.ndarray, grid: int) -> np.ndarray:
+    """The cell of each row of posteriors."""
+    at = np.zeros(len(p), np.int64)
+    for k in range(p.shape[1] - 1):
+        at = at * (grid + 1) + np.rint(p[:, k] * grid).astype(np.int64)
+    return at
+
+
+def stays_of(p: np.ndarray, clean_stays: bool) -> np.ndarray:
+    """Which documents keep a rate of 1."""
+    return p[:, 0] >= p.max(axis=1) if clean_stays else np.zeros(len(p), bool)
 
 
 def rates_of(p: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
     """(rate, point of the next gradient) of documents with posteriors p, after all steps so far."""
-    rate = np.minimum(1.0, fit.most) * np.ones(len(p))
+    rate = np.full(len(p), min(1.0, fit.most))
+    if fit.cells.size:
+        cell = cell_of(p, fit.grid)
+        at = np.minimum(np.searchsorted(fit.cells, cell), fit.cells.size - 1)
+        rate = np.where(fit.cells[at] == cell, fit.rates[at], rate)
     least, most = np.zeros(len(p)), np.full(len(p), fit.most)
-    if fit.clean_stays:
-        stays = p[:, 0] >= p.max(axis=1)
-        rate[stays] = least[stays] = most[stays] = 1.0
+    stays = stays_of(p, fit.clean_stays)
+    rate[stays] = least[stays] = most[stays] = 1.0
     ahead, t = rate, 1.0
     for e in fit.residuals:
         new = np.clip(ahead - fit.step * (p @ e), least, most)
@@ -69,6 +112,27 @@ def rates_of(p: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
     return rate, ahead
 
 
+def coarse_rates(sums: np.ndarray, tokens: np.ndarray, targets: np.ndarray, fitted: np.ndarray, step: float, most: float, whole: float) -> np.ndarray:
+    """A rate for each cell by projected gradient. sums: expected tokens of each cell by domain; targets: without what is fixed."""
+    mean = sums / np.maximum(tokens, 1e-300)[:, None]
+    rate = np.full(len(sums), min(1.0, most))
+    ahead, t, last = rate, 1.0, np.inf
+    for i in range(COARSE_STEPS):
+        new = np.clip(ahead - step * (mean @ (fitted * (ahead @ sums - targets))), 0.0, most)
+        left = fitted * (new @ sums - targets)
+        error = float(left @ left)
+        t = 1.0 if error > last else t
+        grown = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, rate, t, last = new + (t - 1) / grown * (new - rate), new, grown, error
+        if np.abs(left).max() <= TOLERANCE / 4 * whole:
+            break
+        if i % 50 == 0 and np.isfinite(most):
+            slope = mean @ left
+            if 2 * (tokens * np.maximum(slope * rate, slope * (rate - most))).sum() <= (TOLERANCE / 4 * whole) ** 2:
+                break
+    return rate
+
+
 def domain_labels(labels: DataFrame) -> DataFrame:
     toxic, quality = F.col("toxic").cast("int"), F.col("quality").cast("int")
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(toxic == 1, 2).when(quality == 0, 1).when(quality.isNotNull() | toxic.isNotNull(), 0).alias("label"))
@@ -97,28 +161,43 @@ def fit_rates(table: DataFrame, weights: dict[str, float], most: float = float("
     k = len(DOMAINS)
     share = np.array([float(weights.get(d, 0.0)) for d in DOMAINS])
     share = share / share.sum()
-    names = [f"p_{d}" for d in DOMAINS]
     supply = total == "supply"
     if supply and share[0] <= 0:
         raise ValueError("a mixture sized by its clean documents needs a positive weight of clean")
-    free = F.col(names[0]) < F.greatest(*names) if supply else F.lit(True)
-    gram = lambda rows: [F.coalesce(F.sum(F.when(rows, F.col("n_tokens") * F.col(a) * F.col(b))), F.lit(0.0)) for a in names for b in names]
-    row = [float(x) for x in table.select(*gram(free), *gram(~free)).first()]
-    moving, fixed = np.array(row).reshape(2, k, k)
-    now = (moving + fixed).sum(axis=1)
+    grid = grid_for(k)
+    pairs = [(i, j) for i in range(k) for j in range(k)]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by cell (-1: documents whose rate is fixed): tokens by domain, tokens, and the Gramian in all."""
+        for batch in batches:
+            p, tokens = matrix(batch)
+            cell = np.where(stays_of(p, supply), -1, cell_of(p, grid))
+            cells, at = np.unique(cell, return_inverse=True)
+            by = lambda x: pa.array(np.bincount(at, weights=x, minlength=cells.size))  # noqa: B023,E731
+            yield pa.record_batch([pa.array(cells), by(tokens), *(by(tokens * p[:, i]) for i in range(k)), *(by(tokens * p[:, i] * p[:, j]) for i, j in pairs)], names=["cell", "n", *(f"t{i}" for i in range(k)), *(f"g{i}{j}" for i, j in pairs)])
+
+    numbers = ["n", *(f"t{i}" for i in range(k)), *(f"g{i}{j}" for i, j in pairs)]
+    summed = table.mapInArrow(partial, "cell long, " + ", ".join(f"{c} double" for c in numbers)).groupBy("cell").agg(*(F.sum(c).alias(c) for c in numbers))
+    # at most CELLS rows, whatever the input
+    rows = np.array([[float(x) for x in r] for r in summed.orderBy("cell").collect()]).reshape(-1, 1 + len(numbers))
+    free = rows[:, 0] >= 0
+    sums = rows[:, 2 : 2 + k]
+    fixed, now = sums[~free].sum(axis=0), sums.sum(axis=0)
+    gram = rows[free, 2 + k :].sum(axis=0).reshape(k, k)
     whole = float(now.sum()) or 1.0
     targets = share * whole
     fitted = np.ones(k)  # domains whose residuals count
     if supply:
         whole = now[0] / share[0] or 1.0
-        targets = np.append(now[:1], np.maximum(fixed.sum(axis=1), np.minimum(now, share * whole))[1:])
+        targets = np.append(now[:1], np.maximum(fixed, np.minimum(now, share * whole))[1:])
         fitted[0] = 0.0
-    step = 1.0 / max(float(np.linalg.eigvalsh(moving * np.outer(fitted, fitted))[-1]), 1e-300)
-    found = Fit(step, [], most, now, targets, supply)
+    step = 1.0 / max(float(np.linalg.eigvalsh(gram * np.outer(fitted, fitted))[-1]), 1e-300)
+    found = Fit(step, most, targets, fitted, grid, supply, rows[free, 0].astype(np.int64))
+    found.rates = coarse_rates(sums[free], rows[free, 1], targets - fixed, fitted, step, most, whole)
     schema = ", ".join(f"s{i} double, a{i} double" for i in range(k))
 
-    def sums(history: list[np.ndarray]) -> np.ndarray:
-        own = Fit(step, history, most, now, targets, supply)
+    def expected(own: Fit) -> np.ndarray:
+        """Expected tokens by domain at the rates, and at the point of the next gradient."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((k, 2))
@@ -132,18 +211,20 @@ def fit_rates(table: DataFrame, weights: dict[str, float], most: float = float("
         got = table.mapInArrow(run, schema).agg(*(F.coalesce(F.sum(f"{c}{i}"), F.lit(0.0)).alias(f"{c}{i}") for i in range(k) for c in "sa")).first()
         return np.array([float(x) for x in got]).reshape(k, 2)
 
-    for _ in range(steps):
-        at = sums(found.residuals)
-        if found.residuals and np.abs(fitted * (at[:, 0] - targets)).max() <= TOLERANCE * whole:
-            found.totals = at[:, 0]
+    last = np.inf
+    for _ in range(steps + 1):
+        at = expected(found)
+        found.totals, left = at[:, 0], fitted * (at[:, 0] - targets)
+        found.error = float(np.abs(left).max() / whole)
+        if found.error <= TOLERANCE or float(left @ left) > (1 - STALL) * last:
             break
-        found.totals = at[:, 0]
+        last = float(left @ left)
         found.residuals = [*found.residuals, fitted * (at[:, 1] - targets)]
     return found
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, sample_rows: int = SAMPLE_ROWS, most: float = float("inf"), total: str = "corpus") -> DataFrame:
-    """One row per document: doc_id, n_tokens, the posterior of each domain, and its rate."""
+    """One row per document: doc_id, n_tokens, the posterior of each domain, its rate, and target_error and feasible of the whole fit."""
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -155,7 +236,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
             rate, _ = rates_of(matrix(batch)[0], found)
             yield pa.record_batch([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
 
-    return table.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in table.dtypes) + ", rate double")
+    rated = table.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in table.dtypes) + ", rate double")
+    return rated.withColumns({"target_error": F.lit(found.error), "feasible": F.lit(found.error <= TOLERANCE)})
 
 
 def mixed_documents(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -173,13 +255,16 @@ def mixed_documents(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, w
     model = fit(learn_from.select(*columns), domains, len(DOMAINS), sample_rows)
     found = fit_rates(settled(posteriors(docs.select(*columns), model), "posteriors"), weights or WEIGHTS, 1.0, "supply")
     held = spark.sparkContext.broadcast(model)
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    wide = docs.select(F.struct(*docs.columns).alias("row"), *columns).withColumn("unit", unit).select("row", "text", "unit")
+    # columns by place, whatever their names; each text passes once
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    key = [F.col(own[docs.columns.index("doc_id")]).cast("long"), F.col(own[at]).cast("string")]
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), *key), 11) / F.lit(float(1 << 53))
+    wide = docs.toDF(*own).withColumn("unit", unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, p, _ in score_batches(held, batches):
-            stays = part.column("unit").to_numpy() < rates_of(p, found)[0]
-            yield pa.record_batch([part.column("row").filter(pa.array(stays))], names=["row"])
+        for part, p, _ in score_batches(held, batches, at):
+            stays = part.column(len(own)).to_numpy() < rates_of(p, found)[0]
+            yield pa.record_batch(part.columns[:-1], names=own).filter(pa.array(stays))
 
-    kept = wide.mapInArrow(run, wide.select("row").schema)
-    return kept.select("row.*")
+    return wide.mapInArrow(run, wide.drop("unit").schema).toDF(*docs.columns)
