@@ -5,19 +5,23 @@ from __future__ import annotations
 import argparse
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterglass.functions.exprs import duration_text
-from meterglass.operators import training
-from meterglass.operators.flatten import etl, flatten_stream, clean
-from meterglass.operators.prep import MIN_ROWS, MIN_ROWS_STREAM
+from meterglass.operators import models, training
+from meterglass.operators.flatten import clean, etl, flatten_stream
+from meterglass.operators.metrics import class_report, confusion
+from meterglass.operators.prep import MIN_ROWS, MIN_ROWS_STREAM, attack_pools
+from meterglass.operators.registry import Registry
+from meterglass.runtime import settled
 from meterglass.sources import io
-from meterglass.streaming.scoring import Scorer, is_uplink, run_available
+from meterglass.streaming.scoring import Scorer, is_uplink, run_available, run_on
 
 KINDS = ("rxpk", "txpk")
-NUMERIC = ("SF", "BW", "PHYPayloadLen", "freq", "rssi", "lsnr", "size", "rfch")
-POOLS = {"SF": [7, 8, 9, 10, 11, 12], "BW": [125, 250, 500], "freq": [867.1, 867.9, 868.3, 868.7, 869.0], "rssi": [-130, -110, -90, -40, -20], "lsnr": [-20, -17.5, -15, -12.5, -10]}
+#: Clean columns that streamed messages do not have.
+BATCH_ONLY = ("stat", "chan2", "lsnr2", "intrusion")
 
 
 def truth(text: str) -> bool:
@@ -34,34 +38,78 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dev_addr", nargs="*", default=None)
     p.add_argument("--ml_algorithm", choices=training.ALGORITHMS, default="hbos")
     p.add_argument("--scaling", type=truth, default=False)
+    p.add_argument("--with_feature_reduction", choices=("None", "PCA", "SVD"), default="None")
+    p.add_argument("--least_rows", type=int, default=None, help="rows that a device needs for a model")
+    p.add_argument("--refit", choices=("history", "batch", "never"), default="history")
     p.add_argument("--kafka", default="localhost:9092")
+    p.add_argument("--messages", default=None, help="folder of message files to read in place of Kafka")
+    p.add_argument("--every", default=None, help="interval of micro-batches")
+    p.add_argument("--available_now", action="store_true", help="process what has arrived and end")
     return p
 
 
-def clean_table(spark: SparkSession, args: argparse.Namespace, kind: str):
+def clean_table(spark: SparkSession, args: argparse.Namespace, kind: str) -> DataFrame:
     path = f"{args.out}/{kind}.{args.datasets_format}"
     return io.materialise(spark, path, lambda: etl(io.read_logs(spark, args.logs, kind), kind), args.datasets_format, args.skip_dataset_generation_if_exists)
 
 
+def numeric(df: DataFrame, without: tuple[str, ...] = ("intrusion",)) -> list[str]:
+    """All numeric columns, in order of their names: what models learn from."""
+    return sorted(f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in (*without, "_key"))
+
+
+def keyed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A key by content, the same in each run."""
+    return df.withColumn("_key", F.xxhash64("DevAddr", *columns))
+
+
+def train(spark: SparkSession, args: argparse.Namespace, kind: str) -> DataFrame:
+    """Evaluate on injected attacks, then learn from all rows and store the models; returns the report."""
+    rows = clean_table(spark, args, kind)
+    if args.dev_addr:
+        rows = rows.filter(F.col("DevAddr").isin(args.dev_addr))
+    least = args.least_rows or MIN_ROWS
+    reduction = None if args.with_feature_reduction == "None" else args.with_feature_reduction
+    # streamed messages are scored by these models, so they learn from the columns that both have
+    used = numeric(rows, BATCH_ONLY)
+    # rows are numbered as they are read, and kept under these numbers
+    rows = settled(rows.select("DevAddr", *used).withColumn("_key", F.monotonically_increasing_id()), "numbered")
+    pools = {k: v for k, v in attack_pools().items() if k in used}
+    counters = ("FCnt",) if "FCnt" in used else ()
+    found = training.evaluate(rows, args.ml_algorithm, "DevAddr", "_key", used, pools, least, args.scaling, reduction, counters)
+    fitted = training.fit(settled(training.prepare(rows, "DevAddr", "_key", used, least), "prepared"), args.ml_algorithm, "DevAddr", "_key", used, args.scaling, reduction)
+    Registry(spark, f"{args.out}/models").store(training.stored(fitted, "DevAddr", kind, args.ml_algorithm), -1, f"{kind}-{args.ml_algorithm}")
+    return class_report(confusion(found, "intrusion", "prediction"))
+
+
+def stream(spark: SparkSession, args: argparse.Namespace) -> Scorer:
+    """Score uplink messages as they arrive, until stopped (or all that has arrived, with --available_now)."""
+    messages = io.file_messages(spark, args.messages) if args.messages else io.kafka_messages(spark, args.kafka)
+    rows = clean(flatten_stream(messages.filter(is_uplink(F.col("message")))))
+    used = numeric(rows)
+    rows = keyed(rows, used)
+    reduction = None if args.with_feature_reduction == "None" else args.with_feature_reduction
+    scorer = Scorer(spark, f"{args.out}/stream", "DevAddr", "_key", used, args.least_rows or MIN_ROWS_STREAM, args.refit, None, None, args.ml_algorithm, args.scaling, reduction, f"{args.out}/models")
+    if not io.exists(spark, f"{args.out}/stream/history") and io.exists(spark, f"{args.out}/rxpk.{args.datasets_format}"):
+        past = clean_table(spark, args, "rxpk")
+        past = past.select("DevAddr", *(F.col(c) if c in past.columns else F.lit(None).cast("double").alias(c) for c in used))
+        scorer.seed(keyed(past, used))
+    if args.available_now:
+        run_available(rows, scorer.batch, f"{args.out}/checkpoint")
+    else:
+        run_on(rows, scorer.batch, f"{args.out}/checkpoint", args.every).awaitTermination()
+    return scorer
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("meterglass").getOrCreate()
     began = time.time()
     if args.command == "stream":
-        scorer = Scorer(spark, f"{args.out}/stream", "DevAddr", "_key", [f for f in NUMERIC if f != "lsnr"], MIN_ROWS_STREAM)
-        messages = io.kafka_messages(spark, args.kafka).filter(is_uplink(F.col("message")))
-        rows = clean(flatten_stream(messages)).withColumn("_key", F.xxhash64("DevAddr", "FCnt", "MIC"))
-        run_available(rows, scorer.batch, f"{args.out}/checkpoint")
+        stream(spark, args)
     else:
         for kind in KINDS:
-            rows = clean_table(spark, args, kind)
-            if args.command == "train":
-                if args.dev_addr:
-                    rows = rows.filter(F.col("DevAddr").isin(args.dev_addr))
-                used = [f for f in NUMERIC if f in rows.columns]
-                keyed = rows.withColumn("_key", F.xxhash64("DevAddr", "FCnt", "MIC"))
-                pools = {k: v for k, v in POOLS.items() if k in used}
-                training.report(keyed, args.ml_algorithm, "DevAddr", "_key", used, pools, MIN_ROWS, args.scaling).show()
+            clean_table(spark, args, kind) if args.command == "etl" else train(spark, args, kind).show()
     print("took", duration_text(time.time() - began))
 
 

@@ -80,3 +80,11 @@ def duration_text(seconds: float) -> str:
     whole = round(seconds)
     hours, minutes, rest = whole // 3600, whole % 3600 // 60, whole % 60
     return " ".join(f"{n} {unit}" for n, unit in ((hours, "h"), (minutes, "min"), (rest, "s")) if n) or "0 s"
+
+
+def duration(seconds: Column) -> Column:
+    """duration_text of a column."""
+    ms, whole = F.bround(seconds * 1000, 0).cast("long"), F.bround(seconds, 0).cast("long")
+    part = lambda n, unit: F.when(n != 0, F.concat(n.cast("string"), F.lit(f" {unit}")))
+    long = F.concat_ws(" ", part(F.floor(whole / 3600), "h"), part(F.floor(whole % 3600 / 60), "min"), part(whole % 60, "s"))
+    return F.when(seconds < 1, F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).otherwise("1 s")).otherwise(F.when(long == "", "0 s").otherwise(long))

@@ -6,9 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.runtime import ship
@@ -21,18 +19,6 @@ def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFr
     return df.withColumn(out, F.array(*(F.col(c).cast("double") for c in sorted(columns))))
 
 
-def pipeline(columns: list[str], scale: bool = False, components: int | None = None) -> Pipeline:
-    """The same as an MLlib pipeline that can be fitted and saved."""
-    stages = [VectorAssembler(inputCols=sorted(columns), outputCol="raw", handleInvalid="error")]
-    last = "raw"
-    if scale:
-        stages.append(StandardScaler(inputCol=last, outputCol="scaled", withMean=True, withStd=True))
-        last = "scaled"
-    if components:
-        stages.append(PCA(k=components, inputCol=last, outputCol="features"))
-    return Pipeline(stages=stages)
-
-
 def standard_scale(df: DataFrame, device: str, columns: list[str]) -> DataFrame:
     """(x - mean) / sample deviation per device; 0.0 where the deviation is zero or undefined."""
     stats = df.groupBy(device).agg(*(F.avg(c).alias(f"_m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"_s_{c}") for c in columns))
@@ -40,6 +26,11 @@ def standard_scale(df: DataFrame, device: str, columns: list[str]) -> DataFrame:
     return df.join(stats, device).withColumns(scaled).drop(*(f"_{a}_{c}" for a in "ms" for c in columns))
 
 
+def matrix_of(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+
+
 def gramian(df: DataFrame, vector: str) -> DataFrame:
     """i, j and the sum over rows of x_i * x_j; each task adds up its own matrix before the shuffle."""
     ship(df.sparkSession)
@@ -48,7 +39,7 @@ def gramian(df: DataFrame, vector: str) -> DataFrame:
         total = None
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(0).to_pylist(), float)
+                x = matrix_of(batch.column(0))
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             i, j = np.indices(total.shape)
@@ -92,8 +83,110 @@ def project(df: DataFrame, vector: str, mean: np.ndarray, components: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(vector).to_pylist(), float).reshape(batch.num_rows, mean.size)
+            x = matrix_of(batch.column(vector)) if batch.num_rows else np.zeros((0, mean.size))
             keep = [batch.column(n) for n in names]
-            yield pa.record_batch([*keep, pa.array(list((x - mean) @ components), pa.list_(pa.float64()))], names=[*names, out])
+            z = (x - mean) @ components
+            offsets = pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1])
+            yield pa.record_batch([*keep, pa.ListArray.from_arrays(offsets, pa.array(z.ravel()))], names=[*names, out])
 
     return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kept) + f", {out} array<double>")
+
+
+def products(rows: DataFrame, device: str, vector: str, pairs: list[tuple[int, int]]) -> DataFrame:
+    """device and `_products`: the sum of products of the two places of each pair. Each batch gives one row a device it holds, which are summed."""
+    first, second = (np.array([p[i] for p in pairs], int) for i in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            at, x = coded.indices.to_numpy(), matrix_of(batch.column(1))
+            order = np.argsort(at, kind="stable")
+            ends = np.flatnonzero(np.append(np.diff(at[order]) != 0, True)) + 1
+            sums = []
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                part = x[order[a:b]]
+                sums.append((part.T @ part)[first, second])
+            devices = coded.dictionary.take(pa.array(at[order][ends - 1]))
+            yield pa.record_batch([devices, pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * len(pairs)), pa.array(np.concatenate(sums)))], names=[device, "_p"])
+
+    kind = dict(rows.dtypes)[device]
+    parts = rows.select(device, vector).mapInArrow(run, f"`{device}` {kind}, _p array<double>").select(device, F.posexplode("_p").alias("_i", "_v"))
+    sums = parts.groupBy(device, "_i").agg(F.sum("_v").alias("_v"))
+    # as many numbers a device as there are pairs
+    return sums.groupBy(device).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda c: c["_v"]).alias("_products"))
+
+
+TRANSFORM = "features array<string>, shift array<double>, factor array<double>, components array<array<double>>"
+
+
+def fit_transforms(train: DataFrame, device: str, columns: list[str], scale: bool = False, reduction: str | None = None, share: float = VARIANCE) -> DataFrame:
+    """device and how its rows become features, learned from training rows without nulls (but for columns a device never has).
+
+    features: the sorted columns that the device has; shift and factor: mean and inverse sample deviation where
+    scaled (a factor of 0 where there is no deviation), else 0 and 1; components: the directions that hold `share` of
+    the variance (reduction "PCA") or of the squared singular values ("SVD"), else null.
+    Moments are aggregates of all devices at once (about their means); only the d x d numbers of a device meet in one row."""
+    if reduction not in (None, "PCA", "SVD"):
+        raise ValueError(f"no such reduction: {reduction}")
+    spark, names = train.sparkSession, sorted(columns)
+    ship(spark)
+    d = len(names)
+    pairs = [(i, j) for i in range(d) for j in range(i if reduction else d, d)]
+    own = [F.col(c).cast("double").alias(c) for c in names]
+    means = train.groupBy(device).agg(F.count("*").cast("double").alias("_n"), F.array(*(F.avg(c) for c in own)).alias("_mean"), F.array(*(F.stddev_samp(c) for c in own)).alias("_sd"))
+    if reduction:
+        centred = train.join(means.select(device, "_mean"), device).select(device, F.array(*(F.coalesce(c - F.get("_mean", F.lit(i)), F.lit(0.0)) for i, c in enumerate(own))).alias("_x"))
+        moments = means.join(products(centred, device, "_x", pairs), device)
+    else:
+        moments = means.withColumn("_products", F.array().cast("array<double>"))
+
+    def learned(n: float, mean: np.ndarray, deviation: np.ndarray, sums: np.ndarray) -> dict:
+        own = np.flatnonzero(~np.isnan(mean))
+        full = np.zeros((d, d))
+        for (i, j), v in zip(pairs, sums, strict=True):
+            full[i, j] = full[j, i] = v
+        mean, full = mean[own], full[np.ix_(own, own)]
+        shift, factor = np.zeros(own.size), np.ones(own.size)
+        if scale:
+            deviation = np.nan_to_num(deviation[own])
+            shift, factor = mean, np.divide(1.0, deviation, out=np.zeros(own.size), where=deviation > 0)
+        components = None
+        if reduction and own.size:
+            spread = full * np.outer(factor, factor)
+            if reduction == "SVD":
+                middle = (mean - shift) * factor
+                spread = spread + n * np.outer(middle, middle)
+            values, vectors = np.linalg.eigh(spread)
+            values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+            reached = np.flatnonzero(np.cumsum(values) >= share * values.sum())
+            k = int(reached[0]) + 1 if reached.size else own.size
+            sign = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(own.size)])
+            components = (vectors * sign)[:, :k].T.tolist()
+        return {"features": [names[i] for i in own], "shift": shift.tolist(), "factor": factor.tolist(), "components": components}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("features", pa.list_(pa.string())), ("shift", pa.list_(pa.float64())), ("factor", pa.list_(pa.float64())), ("components", pa.list_(pa.list_(pa.float64())))])
+        for batch in batches:
+            rows = [learned(n, *(np.array(v, float) for v in vs)) for n, *vs in zip(*(batch.column(x).to_pylist() for x in ("_n", "_mean", "_sd", "_products")), strict=True)]
+            yield pa.record_batch([batch.column(0), *pa.array(rows, kind).flatten()], names=[device, *kind.names])
+
+    return moments.mapInArrow(run, f"`{device}` {dict(train.dtypes)[device]}, {TRANSFORM}")
+
+
+def transformed(columns: list[str], transform: Column) -> Column:
+    """The features of a row as an array, by built-ins alone. columns: all that a transform may name."""
+    values = F.create_map(*(c for n in sorted(columns) for c in (F.lit(n), F.col(n).cast("double"))))
+    x = F.transform(transform["features"], lambda n, i: (F.try_element_at(values, n) - F.get(transform["shift"], i)) * F.get(transform["factor"], i))
+    dot = lambda v: F.aggregate(F.zip_with(x, v, lambda a, b: a * b), F.lit(0.0), lambda t, y: t + y)
+    return F.when(transform["components"].isNull(), x).otherwise(F.transform(transform["components"], dot))
+
+
+def apply_transforms(df: DataFrame, transforms: DataFrame, device: str, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with its columns replaced by features z00, z01, ... (null beyond those of a device), and their names."""
+    kept = [c for c in df.columns if c not in columns]
+    names = [f"z{i:02d}" for i in range(len(columns))]
+    wide = df.join(transforms.select(device, F.struct("features", "shift", "factor", "components").alias("_t")), device)
+    wide = wide.withColumn("_z", transformed(columns, F.col("_t")))
+    return wide.select(*kept, *(F.get("_z", F.lit(i)).alias(n) for i, n in enumerate(names))), names

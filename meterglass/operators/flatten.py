@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,20 @@ def leaf_names(schema: T.DataType, kind: type | None = None, prefix: str = "") -
     return [prefix] if kind is None or isinstance(schema, kind) else []
 
 
+def numbered(value: Column, kind: T.DataType) -> Column:
+    """A value with every boolean in it, at any depth, as 0/1."""
+    if isinstance(kind, T.BooleanType):
+        return value.cast("int")
+    if not leaf_names(kind, T.BooleanType):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: numbered(x, kind.elementType))
+    return F.when(value.isNotNull(), F.struct(*(numbered(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+
+
 def booleans_to_int(df: DataFrame) -> DataFrame:
-    """Every boolean column as 0/1, null kept."""
-    return df.withColumns({f.name: F.col(f.name).cast("int") for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)})
+    """Every boolean, also inside structs and arrays, as 0/1, null kept."""
+    return df.withColumns({f.name: numbered(F.col(f.name), f.dataType) for f in df.schema.fields if leaf_names(f.dataType, T.BooleanType)})
 
 
 def hex_columns(df: DataFrame, names: tuple[str, ...]) -> DataFrame:

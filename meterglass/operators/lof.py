@@ -7,24 +7,67 @@ by key. Rows are compared within a device only.
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterglass.operators.trees import CELLS, squares
+from meterglass.runtime import ship
+
 CUT, TINY, DIGITS = 1.5, 1e-10, 9
+BLOCK_ROWS = 4096
+
+
+def neighbours(rows: DataFrame, train: DataFrame, device: str, key: str, features: list[str], leave_out: bool, block: int = BLOCK_ROWS) -> DataFrame:
+    """device, key, and the k nearest training rows: near, d.
+
+    Rows and training rows of a device are dealt in blocks; each pair of blocks is one task's work and gives k
+    candidates a row, of which the nearest are taken. Pairs of rows never leave a task. leave_out: rows are the training rows."""
+    ship(rows.sparkSession)
+    names = sorted(features)
+    blocks = lambda df, n: df.groupBy(device).agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    shape = blocks(train, "_tb").join(blocks(rows, "_rb"), device)
+    place = lambda n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = rows.select(device, key, F.lit(0).alias("_k"), *names).join(shape, device).withColumn("_r", place("_rb")).withColumn("_t", spread("_tb"))
+    other = train.select(device, key, "_k", *names).join(shape, device).withColumn("_t", place("_tb")).withColumn("_r", spread("_rb"))
+    columns = [device, key, "_k", "_r", "_t", *names]
+    both = own.select(*columns).withColumn("_own", F.lit(True)).unionByName(other.select(*columns).withColumn("_own", F.lit(False)))
 
+    def run(table: pa.Table) -> pa.Table:
+        mine = table.column("_own").to_numpy()
+        some, others = table.filter(pa.array(mine)), table.filter(pa.array(~mine)).sort_by(key)
+        keys, near_keys = some.column(key).combine_chunks(), others.column(key).combine_chunks()
+        matrix = lambda t: np.stack([t.column(n).to_numpy().astype(float) for n in names], axis=1)
+        a, b = matrix(some), matrix(others)
+        near, far, who = [], [], []
+        if len(b):
+            most = int(others.column("_k")[0].as_py())
+            step = max(1, CELLS // len(b))
+            place_of = {v: i for i, v in enumerate(near_keys.to_pylist())} if leave_out else {}
+            values = keys.to_pylist() if leave_out else []
+            for i in range(0, len(a), step):
+                d = np.round(np.sqrt(squares(a[i : i + step], b)), DIGITS)
+                for r, v in enumerate(values[i : i + step]):
+                    if v in place_of:
+                        d[r, place_of[v]] = np.inf
+                k = min(most, len(b))
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(d, order, axis=1)
+                keep = np.isfinite(found).ravel()
+                near.append(order.ravel()[keep])
+                far.append(found.ravel()[keep])
+                who.append(np.repeat(np.arange(i, i + len(d)), k)[keep])
+        near, far, who = (np.concatenate(x) if x else np.zeros(0, int) for x in (near, far, who))
+        who = pa.array(who.astype(np.int64))
+        return pa.table([some.column(device).take(who), keys.take(who), near_keys.take(pa.array(near.astype(np.int64))), pa.array(far.astype(float))], names=[device, key, "near", "_d"])
 
-def neighbours(rows: DataFrame, train: DataFrame, device: str, key: str, features: list[str], leave_out: bool) -> DataFrame:
-    """device, key, and the k nearest training rows: near, d."""
-    other = train.select(device, F.col(key).alias("near"), F.col("_k"), *(F.col(f).alias(f"_o_{f}") for f in features))
-    square = reduce(lambda a, b: a + b, ((F.col(f) - F.col(f"_o_{f}")) * (F.col(f) - F.col(f"_o_{f}")) for f in sorted(features)))
-    pairs = rows.join(other, device)
-    if leave_out:
-        pairs = pairs.filter(F.col(key) != F.col("near"))
-    pairs = pairs.select(device, key, "near", "_k", F.round(F.sqrt(square), DIGITS).alias("_d"))
+    kinds = dict(rows.dtypes)
+    near = both.groupBy(device, "_r", "_t").applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, near {kinds[key]}, _d double")
     nearest = Window.partitionBy(device, key).orderBy("_d", "near")
-    return pairs.withColumn("_at", F.row_number().over(nearest)).filter(F.col("_at") <= F.col("_k")).select(device, key, "near", "_d")
+    ranked = near.join(train.select(device, "_k").distinct(), device).withColumn("_at", F.row_number().over(nearest))
+    return ranked.filter(F.col("_at") <= F.col("_k")).select(device, key, "near", "_d")
 
 
 def local_density(near: DataFrame, reach: DataFrame, device: str, key: str) -> DataFrame:
@@ -37,7 +80,7 @@ def lof(train: DataFrame, rows: DataFrame, device: str, key: str, features: list
     """device, key, lof and prediction (1: outlier) of rows, against the training rows of their device."""
     sizes = train.groupBy(device).agg(F.greatest(F.lit(5), F.least(F.bround(F.count("*") * 0.01, 0).cast("int"), F.lit(15))).alias("_k"))
     as_double = [F.col(f).cast("double").alias(f) for f in features]
-    train = train.select(device, key, *as_double).join(sizes, device)
+    train = train.select(device, key, *as_double).join(sizes, device)  # with k of the device
     rows = rows.select(device, key, *as_double)
     own = neighbours(train.drop("_k"), train, device, key, features, leave_out=True)
     reach = own.groupBy(device, F.col(key).alias("near")).agg(F.max("_d").alias("kd"))

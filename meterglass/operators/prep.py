@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,24 +51,63 @@ def attack_count(n: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.bround(n * ATTACK_SHARE, 0).cast("int"), F.lit(ATTACK_MOST)))
 
 
-def attack_inject(train: DataFrame, test: DataFrame, device: str, key: str, pools: dict[str, list[float]]) -> DataFrame:
+def attack_pools(seed: int = 42) -> dict[str, list[float]]:
+    """Values that attacks give to the parameters of a message, the same for the same seed."""
+    rng = random.Random(seed)
+    whole = lambda n, a, b: [float(rng.randint(a, b)) for _ in range(n)]
+    tenths = lambda n, a, b: [round(rng.uniform(a, b), 1) for _ in range(n)]
+    # fixed values: the parameters, and how many values of which range each has
+    return {
+        "SF": [7.0, 8.0, 9.0, 10.0, 11.0, 12.0],
+        "BW": [125.0, 250.0, 500.0],
+        "PHYPayloadLen": whole(7, 200, 10000),
+        "powe": whole(7, 200, 10000),
+        "size": whole(7, 200, 10000),
+        "rssi": tenths(7, -130, -20),
+        "lsnr": tenths(7, -20, -10),
+        "codr": tenths(5, 0, 1),
+        "rfch": whole(7, 0, 30),
+        "FCtrl": whole(10, 0, 255),
+        "MHDR": whole(10, 0, 255),
+        "MIC": whole(10, 0, 2**32),
+        "FPort": whole(10, 1, 223),
+        "freq": tenths(7, 867, 869),
+        "FOpts": whole(10, 0, 2**120),
+    }
+
+
+def attack_values(train: DataFrame, device: str, pools: dict[str, list[float]], counters: tuple[str, ...] = ()) -> DataFrame:
+    """device and `_attacks`: the parameters to change, in order of their names, each with the values that the device's training rows do not hold.
+
+    Parameters that the device never has, or whose pool is used up, are left out; if none is left, the whole pools stand.
+    A counter is reset: its one value is the least of training."""
+    names = sorted({*pools, *counters})
+    x = lambda p: F.col(p).cast("double")
+    # of the training values only those in the pool are gathered: as many as the pool has at most
+    held = {p: F.collect_set(F.when(x(p).isin(*pools[p]), x(p))) if p in pools else F.min(x(p)) for p in names}
+    seen = train.groupBy(device).agg(*(held[p].alias(f"_h_{p}") for p in names), *(F.count(p).alias(f"_n_{p}") for p in names))
+    pool = {p: F.array(*(F.lit(float(v)) for v in pools[p])) if p in pools else F.array(F.col(f"_h_{p}")) for p in names}
+    fresh = {p: F.array_except(pool[p], F.col(f"_h_{p}")) if p in pools else pool[p] for p in names}
+    listed = lambda of: F.filter(F.array(*(F.struct(F.lit(p).alias("name"), of[p].alias("values"), F.col(f"_n_{p}").alias("n")) for p in names)), lambda c: (c["n"] > 0) & (F.size(c["values"]) > 0))
+    usable = listed(fresh)
+    return seen.select(device, F.when(F.size(usable) > 0, usable).otherwise(listed(pool)).alias("_attacks"))
+
+
+def attack_inject(train: DataFrame, test: DataFrame, device: str, key: str, pools: dict[str, list[float]], counters: tuple[str, ...] = ()) -> DataFrame:
     """Test rows with label `intrusion`: the first rows of each device by key get a value that training has not seen.
 
-    Row i changes parameter i mod p to element i mod len of the pool's values that the device's training
-    rows do not hold (of the whole pool if none is left)."""
-    names = sorted(pools)
-    seen = train.groupBy(device).agg(*(F.collect_set(F.col(p).cast("double")).alias(f"_seen_{p}") for p in names))
-    order, whole = Window.partitionBy(device).orderBy(key), Window.partitionBy(device)
-    rows = test.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(whole)}).join(seen, device, "left")
-    hit = F.col("_i") < attack_count(F.col("_n"))
-    changed = {}
-    for j, p in enumerate(names):
-        pool = F.array(*(F.lit(float(v)) for v in pools[p]))
-        fresh = F.array_except(pool, F.coalesce(F.col(f"_seen_{p}"), F.array().cast("array<double>")))
-        usable = F.when(F.size(fresh) > 0, fresh).otherwise(pool)
-        value = F.get(usable, (F.col("_i") % F.size(usable)).cast("int"))
-        changed[p] = F.when(hit & (F.col("_i") % len(names) == j), value).otherwise(F.col(p).cast("double"))
-    return rows.withColumns(changed | {"intrusion": F.when(hit, 1).otherwise(0)}).drop("_i", "_n", *(f"_seen_{p}" for p in names))
+    Row i changes parameter i mod p to element i mod len of its values (attack_values). Only the first ATTACK_MOST keys
+    of a device are ranked together, so a device with very many rows is no single task's work."""
+    names = sorted({*pools, *counters})
+    first = test.select(device, key).withColumn("_i", F.row_number().over(Window.partitionBy(device).orderBy(key)) - 1).filter(F.col("_i") < ATTACK_MOST)
+    sizes = test.groupBy(device).agg(attack_count(F.count("*")).alias("_hits"))
+    chosen = first.join(sizes, device).filter(F.col("_i") < F.col("_hits")).join(attack_values(train, device, pools, counters), device)
+    at = F.get("_attacks", (F.col("_i") % F.size("_attacks")).cast("int"))
+    chosen = chosen.filter(F.size("_attacks") > 0).withColumn("_a", at)
+    chosen = chosen.select(device, key, F.col("_a.name").alias("_name"), F.get("_a.values", (F.col("_i") % F.size("_a.values")).cast("int")).alias("_value"))
+    rows = test.join(chosen, [device, key], "left")
+    changed = {p: F.when(F.col("_name") == p, F.col("_value")).otherwise(F.col(p).cast("double")) for p in names}
+    return rows.withColumns(changed | {"intrusion": F.col("_name").isNotNull().cast("int")}).drop("_name", "_value")
 
 
 def rows_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -24,13 +24,19 @@ class Registry:
     def all(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], SCHEMA)
 
-    def store(self, models: DataFrame, version: int) -> None:
-        """Append models as a version; writing a version again replaces it."""
+    def store(self, models: DataFrame, version: int, part: str = "all") -> None:
+        """Append models as a version; writing a version of a part again replaces it. part: what is stored together, as
+        a message type and an algorithm: other parts keep their versions."""
         out = models.withColumn("version", F.lit(version).cast("long")).select(*(c.split()[0] for c in SCHEMA.split(", ")))
-        out.write.mode("overwrite").parquet(f"{self.path}/batch={version}")
+        out.write.mode("overwrite").parquet(f"{self.path}/part={part}/batch={version}")
 
     def load(self) -> DataFrame:
         return latest(self.all(), KEYS, "version")
 
+    def latest(self, msg_type: str, algorithm: str, up_to: int | None = None) -> DataFrame:
+        """The latest models of all devices; up_to: of these versions only."""
+        own = self.all().filter((F.col("msg_type") == msg_type) & (F.col("algorithm") == algorithm))
+        return latest(own if up_to is None else own.filter(F.col("version") <= up_to), KEYS, "version")
+
     def find(self, device: str, msg_type: str, algorithm: str) -> DataFrame:
         return self.load().filter((F.col("device") == device) & (F.col("msg_type") == msg_type) & (F.col("algorithm") == algorithm))

@@ -1,44 +1,63 @@
-"""Training and evaluation of one model per device, all devices in one job."""
+"""Training, storage and evaluation of one model per device, all devices in one job."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.operators import hbos, lof, metrics, trees
-from meterglass.operators.features import standard_scale
+from meterglass.operators import lof, metrics, models
+from meterglass.operators.features import apply_transforms, fit_transforms
+from meterglass.operators.models import ALGORITHMS
 from meterglass.operators.prep import MIN_ROWS, attack_inject, in_train, mean_impute, size_gate
+from meterglass.runtime import settled
 
-ALGORITHMS = ("lof", "if_custom", "if_sklearn", "hbos", "ocsvm")
+MODEL = "features array<string>, shift array<double>, factor array<double>, components array<array<double>>, params string"
 
 
 def prepare(df: DataFrame, device: str, key: str, features: list[str], least: int = MIN_ROWS) -> DataFrame:
-    """Gate by size and impute; `training` marks the rows to learn from."""
+    """Gate by size and impute; `training` marks the rows to learn from. A column that a device never has stays null."""
     gated = size_gate(df.select(device, key, *features), device, least)
     return mean_impute(gated, device, features).withColumn("training", in_train(F.col(key)))
 
 
-def evaluate(df: DataFrame, algorithm: str, device: str, key: str, features: list[str], pools: dict[str, list[float]], least: int = MIN_ROWS, scale: bool = False) -> DataFrame:
-    """Test rows with attacks injected: device, key, intrusion, prediction."""
+def fit(train: DataFrame, algorithm: str, device: str, key: str, features: list[str], scale: bool = False, reduction: str | None = None) -> DataFrame:
+    """device, the transform of its rows (features, shift, factor, components) and params of its model."""
+    transforms = fit_transforms(train, device, features, scale, reduction)
+    rows, names = apply_transforms(train, transforms, device, features)
+    return transforms.join(models.fit(rows, algorithm, device, key, names), device)
+
+
+def predict(rows: DataFrame, fitted: DataFrame, algorithm: str, device: str, key: str, features: list[str]) -> DataFrame:
+    """device, key, score, prediction of rows by the models of their devices."""
+    changed, names = apply_transforms(rows, fitted, device, features)
+    return models.score(changed, fitted, algorithm, device, key, names)
+
+
+def evaluate(df: DataFrame, algorithm: str, device: str, key: str, features: list[str], pools: dict[str, list[float]], least: int = MIN_ROWS, scale: bool = False, reduction: str | None = None, counters: tuple[str, ...] = ()) -> DataFrame:
+    """Test rows with attacks injected: device, key, intrusion, prediction. Transforms and models are learned from training rows alone."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"no such algorithm: {algorithm}")
-    rows = prepare(df, device, key, features, least)
+    # written once: what follows reads the rows several times
+    rows = settled(prepare(df, device, key, features, least), "prepared")
     train, test = rows.filter("training"), rows.filter("not training")
-    attacked = attack_inject(train, test, device, key, pools)
-    if scale:
-        both = train.withColumn("intrusion", F.lit(0)).unionByName(attacked)
-        both = standard_scale(both, device, features)
-        train, attacked = both.filter("training").drop("intrusion"), both.filter("not training")
-    if algorithm == "hbos":
-        model = hbos.fit(train, device, key, features)
-        limits = hbos.thresholds(hbos.score(train, model, device, key, features), device)
-        found = hbos.predict(hbos.score(attacked, model, device, key, features), limits, device)
-    elif algorithm == "lof":
-        found = lof.lof(train, attacked, device, key, features)
+    attacked = attack_inject(train, test, device, key, pools, counters)
+    if algorithm == "lof" and not scale and reduction is None:
+        found = lof.lof(train, attacked, device, key, features)  # blocks against blocks, without a model
     else:
-        found = trees.detect(train.unionByName(attacked.drop("intrusion")), algorithm, device, key, features)
+        found = predict(attacked, fit(train, algorithm, device, key, features, scale, reduction), algorithm, device, key, features)
     return attacked.select(device, key, "intrusion").join(found.select(device, key, "prediction"), [device, key])
 
 
 def report(df: DataFrame, *args, **named) -> DataFrame:
     return metrics.class_report(metrics.confusion(evaluate(df, *args, **named), "intrusion", "prediction"))
+
+
+def stored(fitted: DataFrame, device: str, msg_type: str, algorithm: str) -> DataFrame:
+    """Rows for the registry: device, msg_type, algorithm, params (JSON of the transform and the model)."""
+    whole = F.to_json(F.struct("features", "shift", "factor", "components", "params"))
+    return fitted.select(F.col(device).cast("string").alias("device"), F.lit(msg_type).alias("msg_type"), F.lit(algorithm).alias("algorithm"), whole.alias("params"))
+
+
+def loaded(rows: DataFrame, device: str, kind: str = "string") -> DataFrame:
+    """The fitted models of registry rows. kind: type of the device column."""
+    return rows.select(F.col("device").cast(kind).alias(device), F.from_json("params", MODEL).alias("_m")).select(device, "_m.*")

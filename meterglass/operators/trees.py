@@ -1,14 +1,13 @@
-"""Isolation forests (Liu et al. 2008) and one-class SVMs (Schoelkopf et al. 2001), one model per device in grouped pandas."""
+"""Isolation forests (Liu et al. 2008) and one-class SVMs (Schoelkopf et al. 2001) in numpy: fitted to arrays that can be stored, scored apart."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Callable
 
-from meterglass.runtime import ship
+import numpy as np
 
 SEED = 42
+CELLS = 500_000  # numbers that are worked on at a time, in trees x rows or rows x rows
 
 
 def path_length(n: np.ndarray | float) -> np.ndarray:
@@ -17,50 +16,72 @@ def path_length(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(train: np.ndarray, rows: np.ndarray, rng: np.random.Generator, limit: int) -> np.ndarray:
-    """Depths, summed over trees, at which random trees isolate `rows`. train: trees x sample x features; all trees grow level by level together."""
+def grow(train: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, np.ndarray]:
+    """Random trees, all grown level by level together. train: trees x sample x features.
+
+    One entry per node, the roots first: feature (-1: a leaf), cut (rows below it go left), left (the left child's
+    place; the right one follows it), value (of a leaf: depth, and the mean path among its rows)."""
     trees, sample, width = train.shape
-    x = train.reshape(-1, width)
-    node = np.repeat(np.arange(trees), sample)
-    tree_of, row_of = np.repeat(np.arange(trees), len(rows)), np.tile(np.arange(len(rows)), trees)
-    at = tree_of.copy()
-    out = np.zeros(len(rows))
+    x, node = train.reshape(-1, width), np.repeat(np.arange(trees), sample)
+    count, before = trees, 0
+    feature, cut, left, value = [], [], [], []
     for depth in range(limit + 1):
-        names, node = np.unique(node, return_inverse=True)
-        size = np.bincount(node, minlength=names.size)
-        low, high = np.full((names.size, width), np.inf), np.full((names.size, width), -np.inf)
+        size = np.bincount(node, minlength=count)
+        low, high = np.full((count, width), np.inf), np.full((count, width), -np.inf)
         np.minimum.at(low, node, x)
         np.maximum.at(high, node, x)
-        at = np.searchsorted(names, at)
         wide = high > low
         leaf = (size <= 1) | ~wide.any(axis=1) | (depth == limit)
-        done = leaf[at]
-        np.add.at(out, row_of[done], depth + path_length(size[at[done]]))
-        at, row_of, keep = at[~done], row_of[~done], ~leaf[node]
+        own = np.arange(count)
+        column = np.argmax(rng.random((count, width)) * wide, axis=1)
+        least, most = low[own, column], high[own, column]
+        at = np.where(leaf, 0.0, np.maximum(least + (most - least) * (1 - rng.random(count)), np.nextafter(least, np.inf)))
+        inner = np.cumsum(~leaf) - 1
+        feature.append(np.where(leaf, -1, column))
+        cut.append(at)
+        left.append(np.where(leaf, -1, before + count + 2 * inner))
+        value.append(np.where(leaf, depth + path_length(size), 0.0))
+        keep = ~leaf[node]
         x, node = x[keep], node[keep]
-        if not at.size:
+        if not node.size:
             break
-        column = np.argmax(rng.random((names.size, width)) * wide, axis=1)
-        own = np.arange(names.size)
-        cut = low[own, column] + (high[own, column] - low[own, column]) * rng.random(names.size)
-        node = 2 * node + (x[np.arange(node.size), column[node]] >= cut[node])
-        at = 2 * at + (rows[row_of, column[at]] >= cut[at])
-    return out
+        node = 2 * inner[node] + (x[np.arange(node.size), column[node]] >= at[node])
+        before, count = before + count, 2 * int((~leaf).sum())
+    return {"feature": np.concatenate(feature).astype(np.int32), "cut": np.concatenate(cut), "left": np.concatenate(left).astype(np.int64), "value": np.concatenate(value)}
 
 
-def forest_scores(train: np.ndarray, rows: np.ndarray, trees: int, sample: int, seed: int = SEED) -> np.ndarray:
-    """2^(-mean depth / c(sample)): near 1 for what is easily isolated."""
+def forest_fit(train: np.ndarray, trees: int, sample: int, seed: int = SEED) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     sample = max(1, min(sample, len(train)))
     limit = int(np.ceil(np.log2(max(2, sample))))
-    total, left = np.zeros(len(rows)), trees
-    together = max(1, 500_000 // (sample + len(rows)))
+    parts, roots, before, left = [], [], 0, trees
     while left:
-        now = min(left, together)
+        now = min(left, max(1, CELLS // sample))
         chosen = np.stack([rng.choice(len(train), sample, replace=False) for _ in range(now)])
-        total += grow(train[chosen], rows, rng, limit)
+        part = grow(train[chosen], rng, limit)
+        part["left"] = np.where(part["left"] >= 0, part["left"] + before, -1)
+        roots.append(before + np.arange(now))
+        before += part["cut"].size
+        parts.append(part)
         left -= now
-    return 2.0 ** (-(total / trees) / max(float(path_length(sample)), 1e-12))
+    return {**{k: np.concatenate([p[k] for p in parts]) for k in parts[0]}, "roots": np.concatenate(roots), "sample": np.array(sample)}
+
+
+def forest_scores(forest: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """2^(-mean depth / c(sample)): near 1 for what is easily isolated."""
+    roots, total = forest["roots"], np.zeros(len(rows))
+    for first in range(0, len(rows), CELLS // 16):
+        part = rows[first : first + CELLS // 16]
+        together = max(1, CELLS // max(1, len(part)))
+        for i in range(0, roots.size, together):
+            at = np.repeat(roots[i : i + together], len(part))
+            row = np.tile(np.arange(len(part)), at.size // max(1, len(part)))
+            while at.size:
+                leaf = forest["feature"][at] < 0
+                total[first : first + len(part)] += np.bincount(row[leaf], weights=forest["value"][at[leaf]], minlength=len(part))
+                at, row = at[~leaf], row[~leaf]
+                at = forest["left"][at] + (part[row, forest["feature"][at]] >= forest["cut"][at])
+    return 2.0 ** (-(total / roots.size) / max(float(path_length(float(forest["sample"]))), 1e-12))
 
 
 def forest_a(n: int) -> tuple[int, int, float | None]:
@@ -73,60 +94,85 @@ def forest_b(n: int) -> tuple[int, int, float | None]:
     return min(100 + n // 3, 3000), n, 0.18
 
 
-def svm_fit(x: np.ndarray, nu: float = 1 / 3, tolerance: float = 1e-12, steps: int = 20000) -> tuple[np.ndarray, float, float]:
-    """(alpha, rho, gamma) of the one-class dual: minimise a'Ka/2 with 0 <= a <= 1/(nu n) and sum a = 1, by pairwise steps."""
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, feature by feature."""
+    out = np.zeros((len(a), len(b)))
+    for f in range(a.shape[1]):
+        out += (a[:, f, None] - b[None, :, f]) ** 2
+    return out
+
+
+def svm_fit(x: np.ndarray, nu: float = 1 / 3, tolerance: float = 1e-12, steps: int = 20000, held: int = 1500) -> dict[str, np.ndarray]:
+    """The one-class dual: minimise a'Ka/2 with 0 <= a <= 1/(nu n) and sum a = 1, by pairwise steps.
+
+    Up to `held` rows the kernel is held whole; beyond, its columns are made when they are used, so memory grows with
+    the rows and not with their square. support (rows), alpha, rho, gamma; converged: whether the steps sufficed."""
     n = len(x)
     gamma = 1.0 / max(x.shape[1] * x.var(), 1e-12)
-    k = np.exp(-gamma * ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
     most = 1.0 / (nu * n)
     a = np.zeros(n)
     full = int(nu * n)
     a[:full] = most
     if full < n:
         a[full] = 1.0 - full * most
-    g = k @ a
-    for _ in range(steps):
+    if n <= held:
+        kernel = np.exp(-gamma * squares(x, x))
+        column: Callable[[int], np.ndarray] = lambda i: kernel[:, i]
+        g = kernel @ a
+    else:
+        column = lambda i: np.exp(-gamma * squares(x, x[i : i + 1])[:, 0])
+        g = np.zeros(n)
+        block = max(1, CELLS // n)
+        for i in range(0, min(full + 1, n), block):
+            g += np.exp(-gamma * squares(x, x[i : i + block])) @ a[i : i + block]
+    converged = False
+    for _ in range(max(steps, 20 * n)):
         up, down = np.flatnonzero(a < most - 1e-15), np.flatnonzero(a > 1e-15)
         i, j = up[g[up].argmin()], down[g[down].argmax()]
         gap = g[j] - g[i]
         if gap <= tolerance:
+            converged = True
             break
-        step = min(gap / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), most - a[i], a[j])
+        of_i, of_j = column(i), column(j)
+        step = min(gap / max(2 - 2 * of_j[i], 1e-12), most - a[i], a[j])
         a[i] += step
         a[j] -= step
-        g += step * (k[:, i] - k[:, j])
+        g += step * (of_i - of_j)
     free = (a > 1e-12) & (a < most - 1e-12)
     rho = float(g[free].mean()) if free.any() else float((g[a > 1e-12].max() + g[a <= 1e-12].min()) / 2 if (a <= 1e-12).any() else g.max())
-    return a, rho, gamma
-
-
-def svm_values(train: np.ndarray, rows: np.ndarray, model: tuple[np.ndarray, float, float]) -> np.ndarray:
-    a, rho, gamma = model
-    return np.exp(-gamma * ((rows[:, None, :] - train[None, :, :]) ** 2).sum(axis=2)) @ a - rho
-
-
-def detect(df: DataFrame, algorithm: str, device: str, key: str, features: list[str], training: str = "training", seed: int = SEED) -> DataFrame:
-    """device, key, score, prediction for all rows of each device; models are fitted on its rows with `training` set.
-
-    algorithm: if_sklearn (variant A), if_custom (variant B) or ocsvm. A device is one task's work: its history is bounded by retention."""
-    ship(df.sparkSession)
-    features = sorted(features)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        rows = pdf[features].to_numpy(float)
-        train = rows[pdf[training].to_numpy(bool)]
-        if not len(train):
-            train = rows
-        if algorithm == "ocsvm":
-            value = -svm_values(train, rows, svm_fit(train))
-            flag = value > 0
-        else:
-            trees, sample, share = (forest_a if algorithm == "if_sklearn" else forest_b)(len(train))
-            value = forest_scores(train, rows, trees, sample, seed)
-            cut = 0.5 if share is None else np.quantile(forest_scores(train, train, trees, sample, seed), 1 - share)
-            flag = value > cut
-        return pd.DataFrame({device: pdf[device], key: pdf[key], "score": value, "prediction": flag.astype("int32")})
-
-    kinds = dict(df.dtypes)
-    return df.select(device, key, training, *features).groupBy(device).applyInPandas(run, f"{device} {kinds[device]}, {key} {kinds[key]}, score double, prediction int")
+    used = a > 0
+    return {"support": x[used], "alpha": a[used], "rho": np.array(rho), "gamma": np.array(gamma), "converged": np.array(converged)}
+
+
+def svm_values(model: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    block = max(1, CELLS // max(1, len(model["alpha"])))
+    parts = [np.exp(-float(model["gamma"]) * squares(rows[i : i + block], model["support"])) @ model["alpha"] for i in range(0, len(rows), block)]
+    return (np.concatenate(parts) if parts else np.zeros(0)) - float(model["rho"])
+
+
+def lof_fit(x: np.ndarray, k: int, digits: int, tiny: float) -> dict[str, np.ndarray]:
+    """Training rows (in the order of their keys), k-distances and local densities."""
+    near, far = nearest(x, x, k, digits, leave_out=True)
+    reach = far[:, -1]
+    return {"train": x, "k": np.array(k), "reach": reach, "density": 1 / (np.maximum(far, reach[near]).mean(axis=1) + tiny)}
+
+
+def nearest(rows: np.ndarray, train: np.ndarray, k: int, digits: int, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest training rows; equal distances go by place. leave_out: rows are the training rows."""
+    k = min(k, len(train) - leave_out)
+    block = max(1, CELLS // max(1, len(train)))
+    places, distances = [], []
+    for i in range(0, len(rows), block):
+        d = np.round(np.sqrt(squares(rows[i : i + block], train)), digits)
+        if leave_out:
+            d[np.arange(len(d)), i + np.arange(len(d))] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        places.append(order)
+        distances.append(np.take_along_axis(d, order, axis=1))
+    return (np.concatenate(places), np.concatenate(distances)) if places else (np.zeros((0, k), int), np.zeros((0, k)))
+
+
+def lof_scores(model: dict[str, np.ndarray], rows: np.ndarray, digits: int, tiny: float) -> np.ndarray:
+    near, far = nearest(rows, model["train"], int(model["k"]), digits)
+    own = 1 / (np.maximum(far, model["reach"][near]).mean(axis=1) + tiny)
+    return model["density"][near].mean(axis=1) / own

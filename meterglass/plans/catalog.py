@@ -11,11 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterglass.functions import exprs as X
 from meterglass.functions.phy import FIELDS, decode_base64
-from meterglass.operators import features, flatten, hbos, lof, metrics, prep, registry, training, trees
+from meterglass.operators import features, flatten, hbos, lof, metrics, models, prep, registry, training
 from meterglass.runtime import scratch, table
+from meterglass.sources import io
 from meterglass.sources.io import MESSAGE
 from meterglass.streaming import scoring
 
@@ -36,10 +38,10 @@ def query(oracle: str | None = None):
     return put
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as messages, with gaps in both features."""
     k = F.get_json_object("props", "$.k").cast("double")
-    rows = table(spark, sf_dir, "events").filter("user_id is not null")
+    rows = (table(spark, sf_dir, "events") if events is None else events).filter("user_id is not null")
     return rows.select("event_id", "user_id", F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 13 != 0, k).alias("k"))
 
 
@@ -65,11 +67,12 @@ P = (
 )
 
 
-def hbos_ctes(train: str, rows: str) -> str:
+def hbos_ctes(train: str, rows: str, names: tuple[str, ...] = ("k", "value")) -> str:
     """CTEs model_* and scores: histogram models of `train`, scores s(user_id, event_id, score) of `rows`."""
-    unpivot = lambda t: f"SELECT user_id, event_id, 'k' AS feature, k AS x FROM {t} UNION ALL SELECT user_id, event_id, 'value', value FROM {t}"
+    unpivot = lambda t: " UNION ALL ".join(f"SELECT user_id, event_id, '{n}' AS feature, {n} AS x FROM {t}" for n in names)
+    parts = " + ".join(f"sum(CASE WHEN feature = '{n}' THEN part ELSE 0 END)" for n in names)
     scored = lambda name, cells: f"""{name} AS (
-  SELECT user_id, event_id, round(sum(CASE WHEN feature = 'k' THEN part ELSE 0 END) + sum(CASE WHEN feature = 'value' THEN part ELSE 0 END), 6) AS score FROM (
+  SELECT user_id, event_id, round({parts}, 6) AS score FROM (
     SELECT c.user_id, c.event_id, c.feature, -log2(0.1 + CASE WHEN x < lo - 1e-20 * width OR x > hi + 1e-20 * width THEN rarest
       ELSE coalesce(h.c, 0) / (n * width) END) AS part
     FROM {cells} c JOIN rare r USING (user_id, feature)
@@ -260,21 +263,33 @@ def hash_split(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", prep.in_train(F.col("event_id")).alias("training"))
 
 
-@query()
+@query("SELECT event_id, 1 AS sides FROM events")
 def random_split(spark, sf_dir):
+    """Each row is on one side of the split, whichever that is."""
     train, test = prep.random_split(table(spark, sf_dir, "events").select("event_id"))
-    return train.withColumn("training", F.lit(True)).union(test.withColumn("training", F.lit(False)))
+    return train.union(test).groupBy("event_id").agg(F.count("*").cast("int").alias("sides"))
+
+
+GAPS_SQL = "SELECT event_id, user_id, CASE WHEN user_id % 3 <> 0 THEN value END AS value, CASE WHEN user_id % 5 <> 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k FROM events WHERE user_id IS NOT NULL"
+
+
+@query(f"SELECT user_id, list_filter([CASE WHEN count(k) > 0 THEN 'k' END, CASE WHEN count(value) > 0 THEN 'value' END], lambda x: x IS NOT NULL) AS features FROM ({GAPS_SQL}) GROUP BY 1")
+def device_features(spark, sf_dir):
+    rows = messages(spark, sf_dir)
+    gone = rows.withColumns({"value": F.when(F.col("user_id") % 3 != 0, F.col("value")), "k": F.when(F.col("user_id") % 5 != 0, F.col("k"))})
+    return features.fit_transforms(gone, DEVICE, NUMERIC).select("user_id", "features")
 
 
 _list = lambda v: "[" + ", ".join(f"{x!r}::DOUBLE" for x in v) + "]"
 ATTACK = f"""train AS (SELECT event_id, user_id, value, k FROM p WHERE training),
 seen AS (SELECT user_id, list(DISTINCT value) AS sv, list(DISTINCT k) AS sk FROM train GROUP BY 1),
 r AS (SELECT event_id, user_id, value, k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM p WHERE NOT training),
-f AS (SELECT r.*, list_filter({_list(POOLS["k"])}, lambda x: NOT list_contains(coalesce(sk, []), x)) AS fk, list_filter({_list(POOLS["value"])}, lambda x: NOT list_contains(coalesce(sv, []), x)) AS fv,
-  i < greatest(1, least(CAST(round_even(n * 0.2, 0) AS INT), 30)) AS hit FROM r LEFT JOIN seen USING (user_id)),
-g AS (SELECT *, CASE WHEN len(fk) > 0 THEN fk ELSE {_list(POOLS["k"])} END AS uk, CASE WHEN len(fv) > 0 THEN fv ELSE {_list(POOLS["value"])} END AS uv FROM f),
-attacked AS (SELECT event_id, user_id, CASE WHEN hit AND i % 2 = 1 THEN uv[1 + i % len(uv)] ELSE value END AS value, CASE WHEN hit AND i % 2 = 0 THEN uk[1 + i % len(uk)] ELSE k END AS k,
-  CASE WHEN hit THEN 1 ELSE 0 END AS intrusion FROM g)"""
+f AS (SELECT r.*, list_filter({_list(POOLS["k"])}, lambda x: NOT list_contains(sk, x)) AS fk, list_filter({_list(POOLS["value"])}, lambda x: NOT list_contains(sv, x)) AS fv,
+  i < greatest(1, least(CAST(round_even(n * 0.2, 0) AS INT), 30)) AS hit FROM r JOIN seen USING (user_id)),
+g AS (SELECT *, CASE WHEN len(fk) + len(fv) > 0 THEN fk ELSE {_list(POOLS["k"])} END AS uk, CASE WHEN len(fk) + len(fv) > 0 THEN fv ELSE {_list(POOLS["value"])} END AS uv FROM f),
+h AS (SELECT *, CASE WHEN len(uk) = 0 THEN 'value' WHEN len(uv) = 0 OR i % 2 = 0 THEN 'k' ELSE 'value' END AS name FROM g),
+attacked AS (SELECT event_id, user_id, CASE WHEN hit AND name = 'value' THEN uv[1 + i % len(uv)] ELSE value END AS value, CASE WHEN hit AND name = 'k' THEN uk[1 + i % len(uk)] ELSE k END AS k,
+  CASE WHEN hit THEN 1 ELSE 0 END AS intrusion FROM h)"""
 
 
 @query(f"WITH {P}, {ATTACK} SELECT event_id, user_id, round(value, 9) AS value, round(k, 9) AS k, intrusion FROM attacked")
@@ -284,6 +299,15 @@ def attack_inject(spark, sf_dir):
     return out.select("event_id", "user_id", F.round("value", 9).alias("value"), F.round("k", 9).alias("k"), "intrusion")
 
 
+@query(f"""WITH {P}, least AS (SELECT user_id, min(k) AS reset FROM p WHERE training GROUP BY 1),
+r AS (SELECT event_id, user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM p WHERE NOT training)
+SELECT event_id, user_id, round(CASE WHEN i < greatest(1, least(CAST(round_even(n * 0.2, 0) AS INT), 30)) THEN reset ELSE k END, 9) AS k FROM r JOIN least USING (user_id)""")
+def counter_reset(spark, sf_dir):
+    rows = prepared(spark, sf_dir)
+    out = prep.attack_inject(rows.filter("training"), rows.filter("not training"), DEVICE, KEY, {}, ("k",))
+    return out.select("event_id", "user_id", F.round("k", 9).alias("k"))
+
+
 @query("SELECT l_suppkey, l_linenumber FROM lineitem EXCEPT ALL SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_quantity > 25")
 def multiset_difference(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
@@ -319,19 +343,50 @@ def gramian(spark, sf_dir):
     return features.gramian(rows, "embedding").select("i", "j", F.round("g", 4).alias("g"))
 
 
-def _reduced(spark, sf_dir, centred):
+def _energy(spark, sf_dir, centred):
+    """Squared length of each vector in all directions of the reduced space: a rotation keeps it."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    return features.project(rows, "embedding", *features.reduction(rows, "embedding", centred))
+    out = features.project(rows, "embedding", *features.reduction(rows, "embedding", centred, share=2.0))
+    return out.select("vec_id", F.round(F.aggregate("projected", F.lit(0.0), lambda t, x: t + x * x), 4).alias("energy"))
+
+
+_ENERGY = "WITH t AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT i, avg(x) AS m FROM t GROUP BY 1)"
 
 
-@query()
+@query(f"{_ENERGY} SELECT vec_id, round(sum((x - m) * (x - m)), 4) AS energy FROM t JOIN c USING (i) GROUP BY 1")
 def pca_project(spark, sf_dir):
-    return _reduced(spark, sf_dir, True)
+    return _energy(spark, sf_dir, True)
 
 
-@query()
+@query(f"{_ENERGY} SELECT vec_id, round(sum(x * x), 4) AS energy FROM t GROUP BY 1")
 def svd_project(spark, sf_dir):
-    return _reduced(spark, sf_dir, False)
+    return _energy(spark, sf_dir, False)
+
+
+def _two_directions(a: str, b: str, c: str) -> str:
+    """Projection of (k, value) on the directions of the matrix [[a, b], [b, c]] by device, in closed form."""
+    return f"""WITH {P}, g AS (SELECT user_id, {a} AS a, {b} AS b, {c} AS c FROM p GROUP BY 1),
+l AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l2 FROM g),
+v AS (SELECT user_id, l1 >= 0.99 * (l1 + l2) AS one, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS x1, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS y1 FROM l),
+s AS (SELECT user_id, one, x1 * sign(CASE WHEN abs(x1) >= abs(y1) THEN x1 ELSE y1 END) AS x, y1 * sign(CASE WHEN abs(x1) >= abs(y1) THEN x1 ELSE y1 END) AS y FROM v),
+t AS (SELECT *, CASE WHEN abs(x) > abs(y) THEN sign(x) ELSE -sign(y) END AS side FROM s)
+SELECT user_id, event_id, round(k * x + value * y, 5) + 0.0 AS z0, CASE WHEN NOT one THEN round(side * (value * x - k * y), 5) + 0.0 END AS z1 FROM p JOIN t USING (user_id)"""
+
+
+def _by_device(spark, sf_dir, reduction):
+    rows = prepared(spark, sf_dir)
+    out, names = features.apply_transforms(rows, features.fit_transforms(rows, DEVICE, NUMERIC, False, reduction), DEVICE, NUMERIC)
+    return out.select("user_id", "event_id", *((F.round(n, 5) + 0.0).alias(f"z{i}") for i, n in enumerate(names)))
+
+
+@query(_two_directions("var_samp(k)", "covar_samp(k, value)", "var_samp(value)"))
+def device_pca(spark, sf_dir):
+    return _by_device(spark, sf_dir, "PCA")
+
+
+@query(_two_directions("sum(k * k)", "sum(k * value)", "sum(value * value)"))
+def device_svd(spark, sf_dir):
+    return _by_device(spark, sf_dir, "SVD")
 
 
 @query("""WITH t AS (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), v AS (SELECT i, round(var_samp(x), 9) AS s FROM t GROUP BY 1),
@@ -387,19 +442,42 @@ def lof_scores(spark, sf_dir):
     return lof.lof(rows.filter("training"), rows.filter("not training"), DEVICE, KEY, NUMERIC)
 
 
-@query()
+PLANTED = f"WITH {P} SELECT user_id, count(*) + 1 AS scored, true AS planted_first, true AS planted_flagged FROM p GROUP BY 1"
+
+
+def _planted(spark, sf_dir, algorithm):
+    """Models are fitted on all rows of each device and one that lies far out, and score them: that one has the greatest score and is flagged."""
+    rows = prepared(spark, sf_dir).drop("training")
+    far = rows.select("user_id").distinct().select((-F.col("user_id") - 1).alias("event_id"), "user_id", F.lit(1e6).alias("value"), F.lit(1e6).alias("k"))
+    rows = rows.unionByName(far)
+    found = models.score(rows, models.fit(rows, algorithm, DEVICE, KEY, NUMERIC), algorithm, DEVICE, KEY, NUMERIC)
+    planted, other = F.col("event_id") < 0, F.col("event_id") >= 0
+    top = lambda c: F.max(F.when(c, F.col("score")))
+    return found.groupBy("user_id").agg(F.count("score").alias("scored"), (top(planted) >= top(other)).alias("planted_first"), (F.max(F.when(planted, F.col("prediction"))) == 1).alias("planted_flagged"))
+
+
+@query(PLANTED)
 def iforest_a(spark, sf_dir):
-    return trees.detect(prepared(spark, sf_dir), "if_sklearn", DEVICE, KEY, NUMERIC)
+    return _planted(spark, sf_dir, "if_sklearn")
 
 
-@query()
+@query(PLANTED)
 def iforest_b(spark, sf_dir):
-    return trees.detect(prepared(spark, sf_dir), "if_custom", DEVICE, KEY, NUMERIC)
+    return _planted(spark, sf_dir, "if_custom")
 
 
-@query()
+@query(PLANTED)
 def ocsvm(spark, sf_dir):
-    return trees.detect(prepared(spark, sf_dir), "ocsvm", DEVICE, KEY, NUMERIC)
+    return _planted(spark, sf_dir, "ocsvm")
+
+
+@query(LOF_SQL)
+def lof_stored(spark, sf_dir):
+    """The model that LOF training stores scores as the rows themselves do."""
+    rows = prepared(spark, sf_dir)
+    kept = training.stored(training.fit(rows.filter("training"), "lof", DEVICE, KEY, NUMERIC), DEVICE, "rxpk", "lof")
+    out = training.predict(rows.filter("not training"), training.loaded(kept, DEVICE, "long"), "lof", DEVICE, KEY, NUMERIC)
+    return out.select("user_id", "event_id", F.col("score").alias("lof"), "prediction")
 
 
 CONFUSION = "c AS (SELECT count_if(quality = 1 AND toxic = 1) AS tp, count_if(quality = 0 AND toxic = 0) AS tn, count_if(quality = 0 AND toxic = 1) AS fp, count_if(quality = 1 AND toxic = 0) AS fn FROM labels)"
@@ -428,8 +506,121 @@ def registry_latest(spark, sf_dir):
     return registry.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey")
 
 
-# --- streams ---------------------------------------------------------------------
+@query(f"WITH {P}, {hbos_ctes('p', 'p')} SELECT event_id, user_id, score, CAST(score > threshold AS INT) AS prediction FROM rs JOIN limits USING (user_id)")
+def registry_models(spark, sf_dir):
+    """Models of all devices are fitted, stored, replaced by a later version, loaded and used."""
+    rows = prepared(spark, sf_dir)
+    store = registry.Registry(spark, scratch(spark, "models"))
+    for version, train in ((1, rows.filter("training")), (2, rows)):
+        store.store(training.stored(training.fit(train, "hbos", DEVICE, KEY, NUMERIC), DEVICE, "rxpk", "hbos"), version)
+    fitted = training.loaded(store.latest("rxpk", "hbos"), DEVICE, "long")
+    return training.predict(rows, fitted, "hbos", DEVICE, KEY, NUMERIC)
+
+
+# --- logs and tables -------------------------------------------------------------
+
+_H = "upper(md5(CAST(event_id AS STRING)))"
+_FIELD = {
+    "DevAddr": f"CASE WHEN event_id % 10 = 0 THEN '' WHEN event_id % 11 = 0 THEN NULL ELSE substr({_H}, 1, 8) END",
+    "FCnt": f"substr({_H}, 9, 4)",
+    "MIC": f"substr({_H}, 13, 8)",
+    "FPort": f"CASE WHEN event_id % 7 = 0 THEN 'zz' ELSE substr({_H}, 21, 2) END",
+    "CFList": f"CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE substr({_H}, 1, 30) END",
+    "PHYPayload": f"substr({_H}, 1, CAST(event_id % 30 AS INT))",
+    "codr": "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'OFF' ELSE concat('4/', CAST(event_id % 6 + 2 AS STRING)) END",
+    "datr": "CASE event_id % 7 WHEN 0 THEN 'FSK' WHEN 1 THEN '' ELSE concat('SF', CAST(7 + event_id % 6 AS STRING), 'BW125') END",
+}
+_EVENT_FIELDS = "SELECT event_id, " + ", ".join(f'{x} AS "{n}"' for n, x in _FIELD.items()) + " FROM events WHERE user_id IS NOT NULL"
+
+
+def _decimal(h: str) -> str:
+    return f"CASE WHEN {h} IS NULL OR {h} = '' THEN NULL ELSE CAST(coalesce(try_cast('0x' || {h} AS HUGEINT), -1) AS DECIMAL(38, 0)) END"
+
+
+def _rate(i: int) -> str:
+    return f"CASE WHEN datr IS NULL THEN NULL ELSE coalesce(try_cast(nullif(regexp_extract(datr, 'SF([0-9]+)BW([0-9]+)', {i}), '') AS BIGINT), -1) END"
+
+
+_HEX_SQL = {"FCnt": '"FCnt"', "MIC": '"MIC"', "FPort": '"FPort"', "CFList": 'substr("CFList", 1, greatest(length("CFList") - 2, 0))', "CFListType": 'right("CFList", 2)'}
+_CODR = "CASE WHEN codr IS NULL THEN NULL WHEN codr = 'OFF' THEN -1.0 ELSE CAST(split_part(codr, '/', 1) AS DOUBLE) / CAST(split_part(codr, '/', 2) AS DOUBLE) END"
+_CLEAN = ", ".join(f'{_decimal(x)} AS "{n}"' for n, x in _HEX_SQL.items()) + f', CAST(length("PHYPayload") AS INT) AS "PHYPayloadLen", {_CODR} AS codr, {_rate(1)} AS "SF", {_rate(2)} AS "BW", 0 AS intrusion'
+_CLEAN_NAMES = ["DevAddr", *_HEX_SQL, "PHYPayloadLen", "codr", "SF", "BW", "intrusion"]
+
+
+def _logged(spark, sf_dir, kind: str, record) -> DataFrame:
+    """The clean table of a gateway log whose lines hold a record of each event."""
+    folder = scratch(spark, "log")
+    rows = table(spark, sf_dir, "events").filter("user_id is not null").select("event_id", *(F.expr(e).alias(n) for n, e in _FIELD.items()))
+    lines = rows.select(F.to_json(record).alias("value"))
+    # lines that hold no message
+    lines.union(spark.createDataFrame([('{"other": 1}',), ("{broken",), ('{"rxpk": []}',)], "value string")).write.text(f"{folder}/{kind}_1.log")
+    return flatten.etl(io.read_logs(spark, folder, kind), kind)
+
+
+@query(f"""WITH e AS ({_EVENT_FIELDS}),
+b AS (SELECT *, event_id % 8 AS own, CASE WHEN event_id % 4 <> 0 THEN event_id % 3 END AS other FROM e
+  UNION ALL SELECT event_id, 'AABBCCDD', '0001', 'FF', '02', NULL, 'AB', '4/5', 'SF8BW500', NULL, NULL FROM e WHERE event_id % 3 = 0)
+SELECT event_id AS tmst, "DevAddr", {_CLEAN}, coalesce(own, other) AS chan, CASE WHEN own IS NOT NULL AND other <> own THEN other END AS chan2 FROM b WHERE "DevAddr" <> ''""")
+def uplink_etl(spark, sf_dir):
+    fields = [F.col(n) for n in _FIELD]
+    other = F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 3)
+    signals = F.array(F.struct((F.col("event_id") % 8).alias("chan"), F.lit(1.5).alias("lsnr")), F.struct(other.alias("chan"), F.lit(None).cast("double").alias("lsnr")))
+    first = F.struct(*fields, (F.col("event_id") % 8).alias("chan"), signals.alias("rsig"), F.col("event_id").alias("tmst"))
+    fixed = {"DevAddr": "AABBCCDD", "FCnt": "0001", "MIC": "FF", "FPort": "02", "CFList": None, "PHYPayload": "AB", "codr": "4/5", "datr": "SF8BW500"}
+    second = F.struct(*(F.lit(fixed[n]).cast("string").alias(n) for n in _FIELD), F.lit(None).cast("long").alias("chan"), F.when(F.lit(False), signals).alias("rsig"), F.col("event_id").alias("tmst"))
+    record = F.struct(F.when(F.col("event_id") % 3 == 0, F.array(first, second)).otherwise(F.array(first)).alias("rxpk"))
+    return _logged(spark, sf_dir, "rxpk", record).select("tmst", *_CLEAN_NAMES, "chan", "chan2")
+
+
+@query(f"""WITH e AS ({_EVENT_FIELDS}) SELECT event_id AS tmst, "DevAddr", {_CLEAN}, event_id % 27 AS powe FROM e WHERE "DevAddr" <> ''""")
+def downlink_etl(spark, sf_dir):
+    sent = F.struct("codr", "datr", (F.col("event_id") % 27).alias("powe"), F.col("event_id").alias("tmst"), F.lit(True).alias("ipol"), F.lit("LORA").alias("modu"))
+    record = F.struct(*(n for n in _FIELD if n not in ("codr", "datr")), sent.alias("txpk"))
+    return _logged(spark, sf_dir, "txpk", record).select("tmst", *_CLEAN_NAMES, "powe")
+
+
+@query(f"""WITH p AS ({PHY_SQL}), e AS (SELECT event_id, {_FIELD["datr"]} AS datr FROM events)
+SELECT event_id AS tmst, "DevAddr", {", ".join(f'{_decimal(_HEX_SQL[n])} AS "{n}"' for n in ("FCnt", "MIC", "FPort"))}, "PHYPayloadLen", {_rate(1)} AS "SF", event_id % 8 AS chan
+FROM p JOIN e USING (event_id) WHERE "DevAddr" <> '' AND event_id % 9 <> 0""")
+def stream_etl(spark, sf_dir):
+    """Datagrams that arrive as files: the header is cut, messages are routed, parsed, decoded and cleaned."""
+    folder = scratch(spark, "datagrams")
+    rows = table(spark, sf_dir, "events").select("event_id", digest(F.col("event_id")).alias("h")).select("event_id", F.base64(F.unhex(F.expr(FRAME_SQL))).alias("data"))
+    record = F.struct(F.array(F.struct((F.col("event_id") % 8).alias("chan"), "data", F.expr(_FIELD["datr"]).alias("datr"), F.col("event_id").alias("tmst"))).alias("rxpk"))
+    kind = F.when(F.col("event_id") % 9 == 0, F.lit('{"stat":{"rxnb":1}}')).otherwise(F.to_json(record))
+    rows.select(F.concat(F.lit("\u0002¡head"), kind)).write.text(f"{folder}/in")
+    arrived = io.file_messages(spark, f"{folder}/in")
+    cleaned = flatten.clean(flatten.flatten_stream(arrived.filter(scoring.is_uplink(F.col("message")))))
+    scoring.run_available(cleaned.select("tmst", "DevAddr", "FCnt", "MIC", "FPort", "PHYPayloadLen", "SF", "chan"), scoring.append_batches(f"{folder}/rows"), f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
+@query("SELECT event_id, user_id, event_type, CAST(NULL AS VARCHAR) AS never, CAST(upper(md5(CAST(event_id AS VARCHAR))) AS VARCHAR) AS h FROM events")
+def json_table(spark, sf_dir):
+    """A clean table kept as JSON: written once, skipped when it is there, read under its own schema (a column of nulls stays)."""
+    path = f"{scratch(spark, 'table')}/t.json"
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.lit(None).cast("string").alias("never"), digest(F.col("event_id")).alias("h"))
+    io.materialise(spark, path, lambda: rows, "json")
+    return io.materialise(spark, path, lambda: rows.limit(0), "json")
+
+
+@query("SELECT 'items.' || column_name AS leaf FROM (DESCRIBE lineitem) UNION ALL SELECT 'o.' || column_name FROM (DESCRIBE orders) UNION ALL SELECT 'n'")
+def schema_leaves(spark, sf_dir):
+    kinds = {t: table(spark, sf_dir, t).schema for t in ("lineitem", "orders")}
+    nested = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("items", T.ArrayType(kinds["lineitem"])), T.StructField("o", kinds["orders"])])
+    return spark.createDataFrame([(n,) for n in flatten.leaf_names(nested)], "leaf string")
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN value / 1000 WHEN 1 THEN value WHEN 2 THEN value * 100 WHEN 3 THEN 3600::DOUBLE * (event_id % 4) ELSE 0.99999::DOUBLE END AS s FROM events WHERE value IS NOT NULL),
+u AS (SELECT event_id, s, CAST(round_even(s * 1000, 0) AS BIGINT) AS ms, CAST(round_even(s, 0) AS BIGINT) AS w FROM t)
+SELECT event_id, CASE WHEN s < 1 THEN CASE WHEN ms < 1000 THEN ms || ' ms' ELSE '1 s' END
+  ELSE coalesce(nullif(concat_ws(' ', CASE WHEN w // 3600 <> 0 THEN (w // 3600) || ' h' END, CASE WHEN w % 3600 // 60 <> 0 THEN (w % 3600 // 60) || ' min' END, CASE WHEN w % 60 <> 0 THEN (w % 60) || ' s' END), ''), '0 s') END AS took FROM u""")
+def duration_format(spark, sf_dir):
+    seconds = F.expr("CASE event_id % 5 WHEN 0 THEN value / 1000 WHEN 1 THEN value WHEN 2 THEN value * 100 WHEN 3 THEN 3600D * (event_id % 4) ELSE 0.99999D END")
+    return table(spark, sf_dir, "events").filter("value is not null").select("event_id", X.duration(seconds).alias("took"))
+
 
+# --- streams ---------------------------------------------------------------------
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,13 +635,60 @@ def stream_replay_counts(spark, sf_dir):
     return spark.read.parquet(f"{folder}/rows").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
-def stream_score_hbos(spark, sf_dir):
+def _replayed(spark, sf_dir, **named) -> scoring.Scorer:
+    """A scorer whose history is all messages, and which has then seen them all once more as a stream."""
     folder = scratch(spark, "scored")
-    scorer = scoring.Scorer(spark, folder, DEVICE, KEY, ["value"], prep.MIN_ROWS)
-    scorer.seed(table(spark, sf_dir, "events").filter("value is not null"))
-    scoring.run_available(events_stream(spark, sf_dir).filter("value is not null").select("event_id", "user_id", "value"), scorer.batch, f"{folder}/checkpoint")
-    return scorer.scored()
+    scorer = scoring.Scorer(spark, folder, DEVICE, KEY, NUMERIC, prep.MIN_ROWS, **named)
+    scorer.seed(messages(spark, sf_dir))
+    scoring.run_available(messages(spark, sf_dir, events_stream(spark, sf_dir)), scorer.batch, f"{folder}/checkpoint")
+    return scorer
+
+
+STREAM_HBOS = f"WITH {P}, {hbos_ctes('p', 'p')}, found AS (SELECT event_id, user_id, score, CAST(score > threshold AS INT) AS prediction FROM rs JOIN limits USING (user_id))"
+
+
+@query(f"{STREAM_HBOS} SELECT event_id, user_id, score, prediction FROM m LEFT JOIN found USING (event_id, user_id)")
+def stream_score_hbos(spark, sf_dir):
+    return _replayed(spark, sf_dir, refit="never").scored()
+
+
+@query(f"{STREAM_HBOS} SELECT user_id, count(*) + count_if(coalesce(prediction, 0) = 0) AS kept FROM m LEFT JOIN found USING (event_id, user_id) GROUP BY 1")
+def stream_history(spark, sf_dir):
+    """The history of each device: what was there, and what was judged normal (or not at all)."""
+    return _replayed(spark, sf_dir, refit="never").history(99).groupBy("user_id").agg(F.count("*").alias("kept"))
+
+
+HALVES = """even AS (SELECT event_id, user_id, value FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND event_id % 2 = 0 AND user_id IN
+  (SELECT user_id FROM events WHERE value IS NOT NULL AND event_id % 2 = 0 GROUP BY 1 HAVING count(*) >= 30)),
+odd AS (SELECT event_id, user_id, value FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND event_id % 2 = 1)"""
+
+
+def _halves(spark, sf_dir) -> scoring.Scorer:
+    """A scorer without a history that sees the even events, then the odd ones; the second batch comes twice."""
+    scorer = scoring.Scorer(spark, scratch(spark, "halves"), DEVICE, KEY, ["value"], 30)
+    rows = table(spark, sf_dir, "events").filter("user_id is not null and value is not null")
+    for number in (0, 1, 1):
+        scorer.batch(rows.filter(F.col("event_id") % 2 == number), number)
+    return scorer
+
+
+@query(f"WITH {HALVES}, {hbos_ctes('even', 'odd', ('value',))} SELECT event_id, o.user_id, score, CAST(score > threshold AS INT) AS prediction FROM odd o LEFT JOIN (SELECT * FROM rs JOIN limits USING (user_id)) USING (user_id, event_id)")
+def stream_cold_start(spark, sf_dir):
+    """Devices gather history until they have a model; those that have one by the second batch are scored in it."""
+    return _halves(spark, sf_dir).scored().filter(F.col("event_id") % 2 == 1)
+
+
+@query(f"""WITH {HALVES}, {hbos_ctes('even', 'odd', ('value',))},
+history AS (SELECT event_id, user_id, value FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND event_id % 2 = 0
+  UNION ALL SELECT event_id, user_id, value FROM odd LEFT JOIN (SELECT user_id, event_id, score > threshold AS far FROM rs JOIN limits USING (user_id)) USING (user_id, event_id) WHERE NOT coalesce(far, false)),
+gated AS (SELECT * FROM history WHERE user_id IN (SELECT user_id FROM history GROUP BY 1 HAVING count(*) >= 30)),
+learned AS (SELECT user_id, min(value) AS a, max(value) AS b, count(*) AS n FROM gated GROUP BY 1)
+SELECT user_id, n, round(CASE WHEN a = b THEN a - 0.5 ELSE a END, 9) AS lo, round(CASE WHEN a = b THEN b + 0.5 ELSE b END, 9) AS hi FROM learned""")
+def stream_refit(spark, sf_dir):
+    """What the models have learned from after the second batch: all that was kept."""
+    fitted = _halves(spark, sf_dir).models(2, "long")
+    cells = fitted.select("user_id", F.inline(F.from_json("params", models.HISTOGRAM)["cells"]))
+    return cells.select("user_id", "n", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

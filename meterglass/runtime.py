@@ -51,9 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "meterglass-shared")
 
 
+_HELD: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/meterglass/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/meterglass/{what}-{uuid.uuid4().hex}"
+    _HELD.append(path)
+    return path
 
 
 def settled(df: DataFrame, what: str) -> DataFrame:
@@ -61,7 +66,9 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -69,6 +76,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _HELD:
+        _HELD.remove(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what a settled frame was written to; nothing that is still to run may read it."""
+    drop_path(df.sparkSession, df.settled_at)
+
+
+def scratch_mark() -> int:
+    """A mark for drop_since."""
+    return len(_HELD)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete the scratch paths made since a mark, but for that of a settled frame which no longer needs the others."""
+    for path in _HELD[mark:]:
+        if path != keep.settled_at:
+            drop_path(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

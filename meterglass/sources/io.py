@@ -45,10 +45,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def materialise(spark: SparkSession, path: str, make, form: str = "parquet", skip_if_exists: bool = True) -> DataFrame:
-    """The table at path; made and written first unless it is there and may be kept."""
+    """The table at path, under the schema of what make() describes; written first unless it is there and may be kept."""
+    made = make()
     if not (skip_if_exists and exists(spark, path)):
-        write_table(make(), path, form)
-    return read_table(spark, path, form)
+        write_table(made, path, form)
+    return read_table(spark, path, form, made.schema)
 
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str = "lorawan-messages") -> DataFrame:
@@ -63,18 +64,21 @@ def file_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def forward_datagrams(port: int, folder: str, limit: int | None = None, size: int = 4096) -> int:
-    """Receive UDP datagrams and drop each non-empty one as a file into a folder that a file stream watches."""
+    """Receive UDP datagrams and drop each non-empty one as a file into a folder that a file stream watches.
+
+    Names start with the time of the start, so those of a new start never replace files that are there."""
     import socket
+    import time
 
     Path(folder).mkdir(parents=True, exist_ok=True)
-    seen = 0
+    seen, start = 0, time.time_ns()
     with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
         s.bind(("127.0.0.1", port))
         while limit is None or seen < limit:
             data, _ = s.recvfrom(size)
             if data:
-                hidden = Path(folder, f".{seen:012d}.tmp")
+                hidden = Path(folder, f".{start}-{seen:012d}.tmp")
                 hidden.write_bytes(data)
-                hidden.rename(Path(folder, f"{seen:012d}.txt"))
+                hidden.rename(Path(folder, f"{start}-{seen:012d}.txt"))
                 seen += 1
     return seen

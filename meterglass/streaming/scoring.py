@@ -1,8 +1,8 @@
-"""Scoring of streamed messages with per-device models, and their refit on what was judged normal.
+"""Scoring of streamed messages with stored per-device models, and their refit on what was judged normal.
 
-Batches are written under their number, so a batch that runs again replaces its own
-output. Models are fitted on the whole history; only where `keep` and a time column
-are given, on the latest `keep` rows of each device by that time.
+Batches are written under their number, so a batch that runs again replaces its own output: scores, normal rows
+(the history) and model versions alike. A batch is scored by the models of earlier batches; a device without a model gathers
+history until it has enough rows to learn from.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterglass.operators import hbos
+from meterglass.operators import training
 from meterglass.operators.prep import size_gate
+from meterglass.operators.registry import Registry
 from meterglass.sources.io import exists
 
 
@@ -26,54 +27,111 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def run_on(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Start a query that runs until it is stopped; `every`: the interval of batches, as soon as possible without."""
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer).start()
+
+
 def append_batches(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that holds each batch once, however often it is written."""
     return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-class Scorer:
-    """HBOS models by device: score a batch, add its normal rows to the history, refit. refit: "history" or "batch".
+def moments(rows: DataFrame, device: str, columns: list[str]) -> DataFrame:
+    """device, and the sum and number of each column's values: what means need of a part of the history."""
+    usable = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    return rows.groupBy(device).agg(*(F.sum(usable(c)).alias(f"_s_{c}") for c in columns), *(F.count(usable(c)).alias(f"_n_{c}") for c in columns))
+
 
-    keep: fit on the latest rows of each device only, by the column `time`."""
+def imputed(rows: DataFrame, known: DataFrame, device: str, columns: list[str]) -> DataFrame:
+    """rows with nulls and NaNs as the means of their device. known: moments, any number of rows a device."""
+    usable = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    means = known.groupBy(device).agg(*(F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(f"_m_{c}") for c in columns))
+    return rows.join(means, device).withColumns({c: F.coalesce(usable(c), F.col(f"_m_{c}")) for c in columns}).drop(*(f"_m_{c}" for c in columns))
 
-    def __init__(self, spark, folder: str, device: str, key: str, features: list[str], least: int, refit: str = "history", keep: int | None = None, time: str | None = None):
+
+class Scorer:
+    """Models by device: impute and score a batch, add its normal rows to the history, refit.
+
+    refit: "history" (all that is kept), "batch" (the normal rows of the batch only) or "never" (stored models stay).
+    keep: learn from the latest rows of each device only, by the column `time`. Models are read from and written to a
+    registry (registry: its folder, else one beside the history); a model that training stored is used from the first batch on."""
+
+    def __init__(
+        self,
+        spark,
+        folder: str,
+        device: str,
+        key: str,
+        features: list[str],
+        least: int,
+        refit: str = "history",
+        keep: int | None = None,
+        time: str | None = None,
+        algorithm: str = "hbos",
+        scale: bool = False,
+        reduction: str | None = None,
+        registry: str | None = None,
+        msg_type: str = "rxpk",
+    ):
         if keep is not None and time is None:
             raise ValueError("keep needs a time column")
+        if refit not in ("history", "batch", "never"):
+            raise ValueError(f"no such refit: {refit}")
         self.columns = list(dict.fromkeys([device, key, *features, *([time] if time else [])]))
-        self.time = time
-        self.spark, self.folder, self.device, self.key, self.features, self.least, self.refit, self.keep = spark, folder, device, key, features, least, refit, keep
+        self.spark, self.folder, self.device, self.key, self.features, self.least = spark, folder, device, key, features, least
+        self.refit, self.keep, self.time, self.algorithm, self.scale, self.reduction, self.msg_type = refit, keep, time, algorithm, scale, reduction, msg_type
+        self.registry = Registry(spark, registry or f"{folder}/models")
 
     def seed(self, rows: DataFrame) -> None:
-        """Cold start: the history before the first batch."""
-        rows.select(*self.columns).write.mode("overwrite").parquet(f"{self.folder}/history/v=-1")
-
-    def history(self, before: int) -> DataFrame | None:
-        path = f"{self.folder}/history"
+        """Cold start: the history before the first batch, and models of the devices with enough of it (but for those that have one)."""
+        self.remember(rows.select(*self.columns), -1)
+        past = self.history(0)
+        fresh = past.join(self.models(0, dict(rows.dtypes)[self.device]).select(self.device), self.device, "left_anti")
+        self.learn(fresh, 0)
+
+    def remember(self, rows: DataFrame, number: int) -> None:
+        """Rows of the history, and their moments: imputation reads the moments alone."""
+        path = f"{self.folder}/history/v={number}"
+        rows.write.mode("overwrite").parquet(path)
+        moments(self.spark.read.schema(rows.schema).parquet(path), self.device, self.features).write.mode("overwrite").parquet(f"{self.folder}/moments/v={number}")
+
+    def history(self, before: int, what: str = "history") -> DataFrame | None:
+        path = f"{self.folder}/{what}"
         return self.spark.read.parquet(path).filter(F.col("v") < before).drop("v") if exists(self.spark, path) else None
 
+    def models(self, before: int, kind: str) -> DataFrame:
+        """The latest models of versions up to `before`: those of batch n are version n + 1, of seeding 0, of batch training less."""
+        own = self.registry.latest(self.msg_type, self.algorithm, before)
+        return training.loaded(own, self.device, kind)
+
+    def learn(self, rows: DataFrame, version: int) -> None:
+        d, k = self.device, self.key
+        train = size_gate(rows, d, self.least)
+        if self.keep is not None:
+            newest = Window.partitionBy(d).orderBy(F.desc(self.time), F.desc(k))
+            train = train.withColumn("_at", F.row_number().over(newest)).filter(F.col("_at") <= self.keep).drop("_at")
+        train = imputed(train, moments(train, d, self.features), d, self.features)
+        fitted = training.fit(train, self.algorithm, d, k, self.features, self.scale, self.reduction)
+        self.registry.store(training.stored(fitted, d, self.msg_type, self.algorithm), version, f"{self.msg_type}-{self.algorithm}")
+
     def batch(self, df: DataFrame, number: int) -> None:
         d, k, f = self.device, self.key, self.features
-        df = df.select(*self.columns).persist()
-        past = self.history(number)
-        if past is None:
-            scored = df.select(d, k, F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("prediction"))
-        else:
-            train = size_gate(past, d, self.least)
-            if self.keep is not None:
-                newest = Window.partitionBy(d).orderBy(F.desc(self.time), F.desc(k))
-                train = train.withColumn("_at", F.row_number().over(newest)).filter(F.col("_at") <= self.keep).drop("_at")
-            if self.refit == "batch" and number > 0:
-                last = self.spark.read.parquet(f"{self.folder}/history").filter(F.col("v") == number - 1).drop("v")
-                train = last if not last.isEmpty() else train
-            model = hbos.fit(train, d, k, f)
-            limits = hbos.thresholds(hbos.score(train, model, d, k, f), d)
-            found = hbos.predict(hbos.score(df, model, d, k, f), limits, d)
-            scored = df.select(d, k).join(found.select(d, k, "score", "prediction"), [d, k], "left")
-        scored = scored.persist()
-        scored.write.mode("overwrite").parquet(f"{self.folder}/scored/batch={number}")
-        normal = df.join(scored.filter("prediction = 1").select(d, k), [d, k], "left_anti")
-        normal.write.mode("overwrite").parquet(f"{self.folder}/history/v={number}")
-        scored.unpersist()
+        # a message that comes twice in a batch counts once
+        df = df.select(*self.columns).dropDuplicates([d, k]).persist()
+        if not df.isEmpty():
+            known, past = moments(df, d, f), self.history(number, "moments")
+            rows = imputed(df, known if past is None else known.unionByName(past), d, f)
+            found = training.predict(rows, self.models(number, dict(df.dtypes)[d]), self.algorithm, d, k, f)
+            scored = df.select(d, k).join(found.select(d, k, "score", "prediction"), [d, k], "left").persist()
+            scored.write.mode("overwrite").parquet(f"{self.folder}/scored/batch={number}")
+            normal = df.join(scored.filter("prediction = 1").select(d, k), [d, k], "left_anti")
+            self.remember(normal, number)
+            if self.refit != "never":
+                latest = self.spark.read.parquet(f"{self.folder}/history/v={number}")
+                self.learn(latest if self.refit == "batch" else self.history(number + 1), number + 1)
+            scored.unpersist()
         df.unpersist()
 
     def scored(self) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterglass.operators import features, flatten, hbos, lof, metrics, prep, registry, training, trees
+from meterglass.operators import features, flatten, hbos, lof, metrics, models, prep, registry, training, trees
 from meterglass.sources import io
 from meterglass.streaming import scoring
 
@@ -99,13 +99,7 @@ def test_detectors_find_a_far_point(spark, algorithm):
     rows = [(1, i, float(x), float(y), True) for i, (x, y) in enumerate(rng.normal(size=(120, 2)))] + [(1, 999, 40.0, 40.0, False), (1, 1000, 0.1, 0.2, False)]
     df = spark.createDataFrame(rows, "d int, i int, x double, y double, training boolean")
     train, test = df.filter("training"), df.filter("not training")
-    if algorithm == "lof":
-        found = lof.lof(train, test, "d", "i", ["x", "y"])
-    elif algorithm == "hbos":
-        model = hbos.fit(train, "d", "i", ["x", "y"])
-        found = hbos.predict(hbos.score(test, model, "d", "i", ["x", "y"]), hbos.thresholds(hbos.score(train, model, "d", "i", ["x", "y"]), "d"), "d")
-    else:
-        found = trees.detect(df, algorithm, "d", "i", ["x", "y"])
+    found = models.score(test, models.fit(train, algorithm, "d", "i", ["x", "y"]), algorithm, "d", "i", ["x", "y"])
     by = {r.i: r.prediction for r in found.filter("i >= 999").collect()}
     assert by[999] == 1
     if algorithm != "ocsvm":  # nu = 1/3 calls a third of all training rows outliers, some of them in the middle
@@ -125,6 +119,7 @@ def test_registry_keeps_versions_and_loads_the_latest(spark, tmp_path):
     r.store(frame("old"), 1)
     r.store(frame("new"), 2)
     r.store(frame("new"), 2)
+    assert r.latest("rxpk", "hbos", 1).first().params == "old" and r.latest("txpk", "hbos").isEmpty()
     assert r.all().count() == 2 and r.find("d1", "rxpk", "hbos").first().params == "new"
 
 
@@ -166,6 +161,145 @@ def test_retention_is_by_time_and_counts_the_whole_history(spark, tmp_path):
     assert {r.event_id: r.score for r in scorer.scored().collect()} == want
 
 
+def test_pools_are_the_same_for_a_seed():
+    a = prep.attack_pools(1)
+    assert a == prep.attack_pools(1) != prep.attack_pools(2) and len(a) == 15
+    assert all(-130 <= v <= -20 for v in a["rssi"]) and a["SF"] == [7, 8, 9, 10, 11, 12]
+
+
+def test_attacks_leave_out_what_a_device_never_has(spark):
+    rows = [(d, i, float(i % 3), float(i) if d == 1 else None, i < 40) for d in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "d int, i int, x double, y double, training boolean")
+    out = prep.attack_inject(df.filter("training"), df.filter("not training"), "d", "i", {"x": [0.0, 9.0], "y": [500.0]}).collect()
+    hit = [r for r in out if r.intrusion]
+    assert len(out) == 40 and [(r.d, r.i, r.x, r.y) for r in sorted(hit)] == [(1, 40, 9.0, 40.0), (1, 41, 2.0, 500.0), (1, 42, 9.0, 42.0), (1, 43, 1.0, 500.0), (2, 40, 9.0, None), (2, 41, 9.0, None), (2, 42, 9.0, None), (2, 43, 9.0, None)]
+    # all pools used up: the whole pools stand; a counter is set back to its least value
+    used = prep.attack_inject(df.filter("training"), df.filter("not training"), "d", "i", {"x": [0.0, 1.0]}).filter("intrusion = 1 and d = 2").orderBy("i").collect()
+    assert [r.x for r in used] == [0.0, 1.0, 0.0, 1.0]
+    back = prep.attack_inject(df.filter("training"), df.filter("not training"), "d", "i", {}, ("y",)).filter("intrusion = 1").collect()
+    assert [(r.d, r.y) for r in back] == [(1, 0.0)] * 4
+
+
+@pytest.mark.parametrize("reduction", [None, "PCA", "SVD"])
+def test_transforms_by_device_equal_numpy(spark, reduction):
+    rng = np.random.default_rng(6)
+    data = {d: rng.normal(size=(80, 4)) @ rng.normal(size=(4, 4)) + d for d in (1, 2)}
+    data[2][:, 3] = np.nan  # a column that the device never has
+    data[1][:, 1] = 7.0  # one that never changes
+    rows = [(d, i, *(None if np.isnan(v) else float(v) for v in x)) for d, m in data.items() for i, x in enumerate(m)]
+    df = spark.createDataFrame(rows, "d int, i int, a double, b double, c double, e double")
+    fitted = features.fit_transforms(df, "d", ["e", "c", "b", "a"], True, reduction)
+    out, names = features.apply_transforms(df, fitted, "d", ["a", "b", "c", "e"])
+    assert names == ["z00", "z01", "z02", "z03"] and {r.d: r.features for r in fitted.collect()} == {1: ["a", "b", "c", "e"], 2: ["a", "b", "c"]}
+    for d, m in data.items():
+        x = m[:, :3] if d == 2 else m
+        sd = x.std(axis=0, ddof=1)
+        want = np.divide(x - x.mean(axis=0), sd, out=np.zeros(x.shape), where=sd > 1e-9)
+        if reduction:
+            values, vectors = np.linalg.eigh(want.T @ want)
+            values, vectors = values[::-1], vectors[:, ::-1]
+            k = int(np.flatnonzero(np.cumsum(values) >= 0.99 * values.sum())[0]) + 1
+            sign = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(values))])
+            want = want @ (vectors * sign)[:, :k]
+        got = np.array([[v for v in r[2:] if v is not None] for r in out.filter(f"d = {d}").orderBy("i").collect()])
+        assert np.allclose(got, want)
+
+
+def test_blocks_of_neighbours_equal_whole_matrices(spark):
+    rng = np.random.default_rng(9)
+    rows = [(d, i, float(x), float(y), i % 4 > 0) for d, n in ((1, 150), (2, 30)) for i, (x, y) in enumerate(np.round(rng.normal(size=(n, 2)), 1))]
+    df = spark.createDataFrame(rows, "d int, i int, x double, y double, training boolean")
+    train, test = df.filter("training").withColumn("_k", F.lit(7)), df.filter("not training")
+    for a, out in ((train, True), (test, False)):
+        small = lof.neighbours(a, train, "d", "i", ["x", "y"], out, block=16).collect()
+        whole = lof.neighbours(a, train, "d", "i", ["x", "y"], out).collect()
+        assert sorted(small) == sorted(whole) and len(whole) == 7 * a.count()
+    stored = models.score(test, models.fit(train, "lof", "d", "i", ["x", "y"]), "lof", "d", "i", ["x", "y"])
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, lof.lof(train.drop("_k"), test, "d", "i", ["x", "y"]).collect()))
+
+
+def test_svm_without_the_whole_kernel_equals_that_with_it():
+    x = np.random.default_rng(1).normal(size=(90, 3))
+    a, b = trees.svm_fit(x), trees.svm_fit(x, held=10)
+    assert a["converged"] and b["converged"] and np.allclose(trees.svm_values(a, x), trees.svm_values(b, x), atol=1e-9)
+    assert abs((trees.svm_values(a, x) < -1e-9).mean() - 1 / 3) < 0.05
+
+
+def test_forests_store_what_they_score_with():
+    x = np.random.default_rng(2).normal(size=(300, 3))
+    forest = models.unpack(models.pack(trees.forest_fit(x, 60, 64)))
+    score = trees.forest_scores(forest, np.vstack([x, [[30, 30, 30]]]))
+    assert score.argmax() == 300 and 0 < score.min() and score.max() < 1
+    leaf = forest["feature"] < 0
+    assert (forest["left"][~leaf] > 0).all() and forest["cut"].size == 60 + 2 * (~leaf).sum()
+
+
+@pytest.mark.parametrize("algorithm", ["if_custom", "ocsvm", "lof"])
+def test_streams_are_scored_by_all_models(spark, messages, tmp_path, algorithm):
+    scorer = scoring.Scorer(spark, str(tmp_path / "s"), "user_id", "event_id", ["value", "k"], 50, "batch", algorithm=algorithm, scale=True, reduction="SVD")
+    scorer.seed(messages)
+    late = messages.filter("event_id % 10 < 3").withColumn("event_id", F.col("event_id") + 100).withColumn("value", F.when(F.col("event_id") % 10 == 0, 1e6).otherwise(F.col("value")))
+    scorer.batch(late, 0)
+    scorer.batch(late.limit(0), 1)
+    rows = scorer.scored().collect()
+    assert len(rows) == late.count() and all((r.score is None) == (r.user_id == 2) for r in rows)
+    assert all(r.prediction == 1 for r in rows if r.event_id % 10 == 0 and r.user_id != 2)
+    # no device has enough normal rows in the batch: the seeded models stay
+    assert scorer.models(1, "int").count() == 2 and scorer.registry.all().filter("version = 1").isEmpty()
+
+
+def test_commands_from_log_to_scored_stream(spark, tmp_path):
+    from meterglass import cli
+
+    rng = np.random.default_rng(7)
+    (tmp_path / "logs").mkdir()
+    item = lambda i, d: {"DevAddr": d, "FCnt": f"{i:04X}", "MIC": f"{i * 7919 % 65536:08X}", "MHDR": "40", "FPort": "01", "PHYPayload": "40" * 17, "chan": int(rng.integers(0, 3)), "lsnr": float(rng.normal()), "codr": "4/5", "datr": f"SF{rng.integers(7, 9)}BW125", "freq": 868.1, "rssi": int(rng.integers(-90, -60)), "size": 17, "tmst": i}
+    lines = [{"rxpk": [item(i, "26012619"), item(i, "26012620")]} for i in range(70)]
+    (tmp_path / "logs" / "rxpk_1.log").write_text("\n".join(map(json.dumps, lines)))
+    (tmp_path / "logs" / "txpk_1.log").write_text("\n".join(json.dumps({"DevAddr": "01", "PHYPayload": "60AA", "txpk": {"codr": "4/5", "datr": "FSK", "powe": 14 + i % 3}}) for i in range(60)))
+    args = lambda *a: cli.parser().parse_args([*a, "--logs", str(tmp_path / "logs"), "--out", str(tmp_path / "out")])
+    for algorithm in ("hbos", "if_sklearn"):
+        report = cli.train(spark, args("train", "--ml_algorithm", algorithm, "--scaling", "true", "--with_feature_reduction", "PCA"), "rxpk").collect()
+        assert {r["class"] for r in report} == {"0", "1", "macro", "weighted"}
+    assert len(cli.train(spark, args("train"), "txpk").collect()) == 4
+    known = registry.Registry(spark, str(tmp_path / "out" / "models"))
+    assert {(r.device, r.msg_type, r.algorithm) for r in known.load().collect()} == {("26012619", "rxpk", "if_sklearn"), ("26012620", "rxpk", "if_sklearn"), ("01", "txpk", "hbos")} | {("26012619", "rxpk", "hbos"), ("26012620", "rxpk", "hbos")}
+    (tmp_path / "in").mkdir()
+    frame = '{"rxpk":[{"chan":1,"codr":"4/5","data":"QBkmASYABQABqrvM3REiM0Q=","datr":"SF9BW125","freq":868.1,"lsnr":99.0,"rssi":-10,"size":17,"tmst":5}]}'
+    (tmp_path / "in" / "1.txt").write_text("head" + frame + '\nhead{"stat":{}}\n')
+    scorer = cli.stream(spark, args("stream", "--messages", str(tmp_path / "in"), "--ml_algorithm", "if_sklearn", "--available_now", "--least_rows", "50", "--scaling", "true"))
+    (row,) = scorer.scored().collect()
+    assert row.DevAddr == "26012619" and row.score is not None
+
+
+def test_datagrams_of_a_new_start_keep_the_earlier_ones(tmp_path):
+    import socket
+    import threading
+    import time
+
+    for n in (1, 2):
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as free:
+            free.bind(("127.0.0.1", 0))
+            port = free.getsockname()[1]
+        t = threading.Thread(target=io.forward_datagrams, args=(port, str(tmp_path), 2))
+        t.start()
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+            for _ in range(200):
+                s.sendto(b"", ("127.0.0.1", port))
+                s.sendto(f"message {n}".encode(), ("127.0.0.1", port))
+                time.sleep(0.02)
+                if not t.is_alive():
+                    break
+        t.join()
+        assert len(list(tmp_path.glob("*.txt"))) == 2 * n
+
+
+def test_booleans_at_any_depth(spark):
+    df = spark.sql("select true as a, named_struct('b', false, 'c', array(named_struct('d', true, 'e', 'x'), null)) as s, cast(null as struct<f: boolean>) as n")
+    row = flatten.booleans_to_int(df).first()
+    assert (row.a, row.s.b, row.s.c[0].d, row.s.c[0].e, row.s.c[1], row.n) == (1, 0, 1, "x", None, None)
+
+
 def test_materialise_skips_what_is_there(spark, tmp_path):
     path = str(tmp_path / "t")
     io.materialise(spark, path, lambda: spark.range(3))
