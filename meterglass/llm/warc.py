@@ -4,8 +4,8 @@ Each task writes archives of bounded size. An archive (`.warc.zst`) begins with
 skippable frame that holds a dictionary built from the archive's own first records
 (a bounded sample); every record is then a Zstandard frame of its own, compressed
 with that dictionary, so any record can be read at its offset. Archives go to the
-shared folder (spark.checkpoint.dir) through its own file system: written under a
-name of the attempt and renamed when whole, so a repeated task replaces nothing
+shared folder (spark.checkpoint.dir) through Arrow's file systems, as executors have no
+other: local and mounted paths, HDFS, S3, GCS and ABFS URIs; written under a name of the attempt and renamed when whole, so a repeated task replaces nothing
 half-done, and the manifest lists only archives of tasks that ended.
 
 Records: of records with equal payloads of at least `least` bytes, the one with the
@@ -33,11 +33,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterglass.runtime import scratch, settled, ship
+from meterglass.runtime import scratch, settled, ship, shuffle_partitions
 
 SKIPPABLE = 0x184D2A5D  # the frame of a dictionary in .warc.zst files
 LEAST = 1000
 DICTIONARY_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES = 64 << 10, 2 << 20, 64 << 20
+FEED = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,6 +46,12 @@ NO_ID = -(1 << 63)
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, archive string, record_offset long"
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, and the path in it. Names that only Hadoop gives to S3 mean S3."""
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else folder)
+
+
 def record_id(page: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page}')}>"
 
@@ -73,15 +80,15 @@ def build_record(page: int | None, url: str, payload: bytes, sha1: bytes, refers
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from some records; None where they are too few to learn from."""
-    if len(records) < 16:
-        return None
+def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from some records: trained, or their own bytes where they are too few to train on."""
     size = min(DICTIONARY_BYTES, max(1024, sum(map(len, records)) // 16))
-    try:
-        return zstandard.train_dictionary(size, records, k=256, d=8)
-    except zstandard.ZstdError:
-        return None
+    if len(records) >= 16:
+        try:
+            return zstandard.train_dictionary(size, records, k=256, d=8)
+        except zstandard.ZstdError:  # too much alike
+            pass
+    return zstandard.ZstdCompressionDict(b"".join(records)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def write_archive(records: list[bytes]) -> bytes:
@@ -92,24 +99,27 @@ def write_archive(records: list[bytes]) -> bytes:
             sample.append(r[: 64 << 10])
             size += len(sample[-1])
     learned = dictionary(sample)
-    held = learned.as_bytes() if learned else b""
-    pack = zstandard.ZstdCompressor(level=3, dict_data=learned, write_checksum=True) if learned else zstandard.ZstdCompressor(level=3, write_checksum=True)
+    held = learned.as_bytes()
+    pack = zstandard.ZstdCompressor(level=3, dict_data=learned, write_checksum=True)
     return struct.pack("<II", SKIPPABLE, len(held)) + held + b"".join(pack.compress(r) for r in records)
 
 
 def read_archive(raw: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of each record of an archive."""
+    """(offset, record) of each record of an archive. Frames are fed in pieces, so no record costs more than its own size and a piece."""
     magic, size = struct.unpack_from("<II", raw)
     if magic != SKIPPABLE:
         raise ValueError("no dictionary frame in front")
-    held = raw[8 : 8 + size]
-    at = 8 + size
-    learned = zstandard.ZstdCompressionDict(held) if held else None
+    view, at = memoryview(raw), 8 + size
+    opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8:at]))
     while at < len(raw):
-        one = (zstandard.ZstdDecompressor(dict_data=learned) if learned else zstandard.ZstdDecompressor()).decompressobj()
-        record = one.decompress(memoryview(raw)[at:])
-        yield at, record
-        at = len(raw) - len(one.unused_data)
+        one, parts, pos = opener.decompressobj(), [], at
+        while not one.eof:
+            if pos >= len(raw):
+                raise ValueError(f"the record at {at} is cut off")
+            parts.append(one.decompress(view[pos : pos + FEED]))
+            pos = min(pos + FEED, len(raw))
+        yield at, b"".join(parts)
+        at = pos - len(one.unused_data)
 
 
 def parse_record(record: bytes) -> dict:
@@ -146,7 +156,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST, archive_bytes:
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = store_of(folder)
         store.create_dir(base, recursive=True)
         held: list[bytes] = []
         size = 0
@@ -184,7 +194,7 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame, payloads: b
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = store_of(folder)
 
         def batch_of(rows: list[dict]) -> pa.RecordBatch:
             return pa.record_batch([pa.array([r[n] for r in rows], kinds[i]) for i, n in enumerate(names)], names=names)
@@ -202,8 +212,8 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame, payloads: b
                 if rows:
                     yield batch_of(rows)
 
-    # one archive a task: the manifest is small, its rows are dealt out
-    n = max(1, manifest.count())
+    # archives are dealt out to as many tasks as a shuffle has, or one each if they are fewer
+    n = max(1, min(manifest.count(), shuffle_partitions(spark)))
     return manifest.select("archive").repartition(n).mapInArrow(run, schema)
 
 
