@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helpers import ODD_ROWS, PASSAGE, SCHEMA, SPACES, documents
 
-from meterglass.llm import bagminhash, exact_dedup, suffix_dedup
+from meterglass.llm import bagminhash, exact_dedup, suffix_dedup, suffix_sort
 from meterglass.llm.common import merged
 from meterglass.llm.substring_dedup import substring_dedup
 
@@ -62,6 +62,23 @@ def test_difference_cover_sorts_suffixes(seed):
     assert [int(i) for i in np.argsort(rank)] == order
 
 
+def test_the_sort_across_the_cluster_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab"), 60)), "".join(rng.choice(list("abc"), 41)), "", None, "abab" * 9, "short"]
+    texts += [texts[0][10:40] + "é", texts[1]]
+    raw = [(t or "").encode() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    for k in (7, 12):
+        count = Counter(t[a : a + k] for t in raw for a in range(len(t) - k + 1))
+        want = {(i, a) for i, t in enumerate(raw) for a in range(len(t) - k + 1) if count[t[a : a + k]] > 1}
+        assert {tuple(r) for r in suffix_sort.repeated_places(docs, k).collect()} == want
+    # the order itself
+    s = [int(x) for x in rng.integers(1, 3, 50)]
+    seq = spark.createDataFrame(list(enumerate(s)), "pos long, sym long")
+    rank = {r.pos: r.rank for r in suffix_sort.suffix_ranks(seq, 50, 50).collect()}
+    assert sorted(range(50), key=rank.get) == sorted(range(50), key=lambda i: s[i:])
+
+
 def test_pieces_cover_each_window_once():
     offs = np.array([0, 10, 10, 1000])
     windows = Counter((r, a + j) for part in suffix_dedup.pieces(offs, 20, 100) for r, a, b in part for j in range(b - a - 19))
