@@ -367,3 +367,20 @@ def secret_scan(docs: DataFrame, most_unpacked: int = MOST_UNPACKED, id_col: str
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_oversized long")
+
+
+# Each pattern's matches, and the pieces between them, give the places; group 2 of assign has 8 characters or more.
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+BASE_ORACLE = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+k AS (SELECT * FROM (VALUES (0, 'assign', 8), (1, 'access', 16), (2, 'hex', 32)) AS v(kind, name, least)),
+a AS (SELECT doc_id, 0 AS kind, regexp_extract_all(x, '{_ASSIGN}') AS hits, regexp_extract_all(x, '{_ASSIGN}', 2) AS parts, regexp_split_to_array(x, '{_ASSIGN}') AS gaps FROM t
+UNION ALL SELECT doc_id, 1, regexp_extract_all(x, 'AKIA[A-Z0-9]+'), regexp_extract_all(x, 'AKIA[A-Z0-9]+'), regexp_split_to_array(x, 'AKIA[A-Z0-9]+') FROM t
+UNION ALL SELECT doc_id, 2, regexp_extract_all(x, '[0-9a-f]+'), regexp_extract_all(x, '[0-9a-f]+'), regexp_split_to_array(x, '[0-9a-f]+') FROM t),
+u AS (SELECT doc_id, kind, unnest(hits) AS hit, unnest(parts) AS part, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS pos FROM a),
+p AS (SELECT doc_id, kind, length(hit) AS size, length(part) AS own, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS stop FROM u),
+s AS (SELECT p.doc_id, p.kind, name, CAST(stop - size AS BIGINT) AS a, CAST(stop AS BIGINT) AS b FROM p JOIN k USING (kind) WHERE own >= least),
+g AS (SELECT doc_id, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) AS spans FROM s GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""
