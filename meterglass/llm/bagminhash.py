@@ -19,9 +19,9 @@ multisets is 0.8 or more. Links are found without emitting all pairs of a band:
 3. links give components (hash-min with pointer jumping, no collect);
 4. buckets that still hold several components get the rest exactly. A node is known by
    the shingles in which it differs from the bucket's hub, which give the overlap of any
-   two nodes. A bucket is dealt in blocks of bounded bytes; each pair of its blocks is
+   two nodes. Buckets with one hub are taken together and dealt in blocks of bounded bytes; each pair of its blocks is
    compared in one place, which puts out only links that join two of its components
-   (spanning_links): at most one less than it has nodes. Where two nodes are in one
+   (spanning_links): fewer than it has nodes. Where two nodes are in one
    component already, a further link between them says nothing new about classes.
    So no link that joins classes is lost, whatever the size of a bucket, and what is
    put out grows with the nodes, not with their pairs.
@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.llm.common import Words, buffers, hash_runs, hash_words, mix, row_chunks, turn_to
-from meterglass.runtime import settled, ship, shuffle_partitions
+from meterglass.runtime import discard, settled, ship, shuffle_partitions
 
 WORDS, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
 NO_ID = np.iinfo(np.int64).max
@@ -222,40 +222,45 @@ def joining_links(size: np.ndarray, shared: np.ndarray, hub_size: int, begin: np
 
     Two nodes share |l and hub| + |r and hub| - |hub| + |differences of both| occurrences."""
     n, out = size.size, []
-    names, code = np.unique(differs, return_inverse=True)
-    seen = np.zeros(names.size, np.int64)
-    owner = np.repeat(np.arange(n), np.diff(begin))
+    names, code, times = np.unique(differs, return_inverse=True, return_counts=True)
+    # a difference that one node has alone is shared with none
+    common = np.cumsum(times > 1) - 1
+    often = times[code] > 1
+    owner, code = np.repeat(np.arange(n), np.diff(begin))[often], common[code[often]]
     label = np.unique(label, return_inverse=True)[1]
     share = similarity / (1 + similarity)
-    two = bool(side.any())
-    for r in np.flatnonzero(side == 1) if two else range(1, n):
-        other = np.flatnonzero((side == 0) & (label != label[r])) if two else np.flatnonzero(label[:r] != label[r])
-        if not other.size:
-            continue
-        own = code[begin[r] : begin[r + 1]]
-        seen[own] = 1
-        last = owner.size if two else int(begin[r])
-        both = np.bincount(owner[:last], weights=seen[code[:last]], minlength=n)
-        seen[own] = 0
-        common = shared[other] + shared[r] - hub_size + both[other]
-        for j in other[common >= share * (size[other] + size[r]) - 1e-6]:
-            if label[j] != label[r]:
-                label[label == label[j]] = label[r]
-                out.append((int(j), int(r)))
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(n), np.arange(n))
+    columns, strip = int(common[-1]) + 1 if common.size else 0, 256
+    for top in range(0, right.size, strip):
+        rows = right[top : top + strip]
+        both = np.zeros((rows.size, left.size), np.float32)
+        # counts of shared differences as products of 0/1 matrices, a bounded number of columns at a time
+        for at in range(0, columns, 4096):
+            inside = (code >= at) & (code < at + 4096)
+            held = np.zeros((n, min(4096, columns - at)), np.float32)
+            held[owner[inside], code[inside] - at] = 1
+            both += held[rows] @ held[left].T
+        enough = shared[rows][:, None] + shared[left] - hub_size + both >= share * (size[rows][:, None] + size[left]) - 1e-6
+        enough &= label[rows][:, None] != label[left]
+        for i, j in zip(*np.nonzero(enough), strict=True):
+            x, y = int(left[j]), int(rows[i])
+            if label[x] != label[y]:
+                label[label == label[x]] = label[y]
+                out.append((x, y))
     return out
 
 
 def spanning_links(rest: DataFrame, similarity: float, block_bytes: int = BLOCK_BYTES, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """a, b: links that join components within the buckets. rest: band, node, comp, hub_size, size, shared, differs."""
+    """a, b: links that join components among the nodes that met one hub. rest: hub, node, comp, hub_size, size, shared, differs."""
     n = shuffle_partitions(rest.sparkSession)
-    shapes = rest.groupBy("band").agg(F.count("*").alias("nodes"), F.sum(16 + 8 * F.size("differs")).alias("bytes"))
-    blocks = shapes.select("band", F.ceil(F.greatest(F.col("nodes") / block_nodes, F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
+    shapes = rest.groupBy("hub").agg(F.count("*").alias("nodes"), F.sum(16 + 8 * F.size("differs")).alias("bytes"))
+    blocks = shapes.select("hub", F.ceil(F.greatest(F.col("nodes") / block_nodes, F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = rest.join(blocks, "band").withColumn("block", at)
+    placed = rest.join(blocks, "hub").withColumn("block", at)
     # block x meets blocks y >= x in the place (x, y)
     places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    dealt = placed.select("band", F.explode(places).alias("place"), "block", "node", "comp", "hub_size", "size", "shared", "differs")
-    dealt = dealt.select("band", F.col("place.x").alias("x"), F.col("place.y").alias("y"), (F.col("block") != F.col("place.x")).cast("int").alias("side"), "node", "comp", "hub_size", "size", "shared", "differs")
+    dealt = placed.select("hub", F.explode(places).alias("place"), "block", "node", "comp", "hub_size", "size", "shared", "differs")
+    dealt = dealt.select("hub", F.col("place.x").alias("x"), F.col("place.y").alias("y"), (F.col("block") != F.col("place.x")).cast("int").alias("side"), "node", "comp", "hub_size", "size", "shared", "differs")
 
     def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
@@ -273,12 +278,13 @@ def spanning_links(rest: DataFrame, similarity: float, block_bytes: int = BLOCK_
         turn_to("bagminhash", shingles.cache_clear)
         held, place = [], None
         for batch in batches:
-            at, band, x, y = 0, *(batch.column(c).to_numpy() for c in ("band", "x", "y"))
-            ends = np.flatnonzero((band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            at, x, y = 0, batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            hub = batch.column("hub").dictionary_encode().indices.to_numpy()
+            ends = np.flatnonzero((hub[1:] != hub[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
             for to in [*ends.tolist(), batch.num_rows]:
                 if to == at:
                     continue
-                here = (int(band[at]), int(x[at]), int(y[at]))
+                here = (batch.column("hub")[at].as_py(), int(x[at]), int(y[at]))
                 if here != place and held:
                     yield from links(pa.Table.from_batches(held))
                     held = []
@@ -289,7 +295,7 @@ def spanning_links(rest: DataFrame, similarity: float, block_bytes: int = BLOCK_
             yield from links(pa.Table.from_batches(held))
 
     # nodes in order of their hash: a place gives the same links if it runs again
-    dealt = dealt.repartition(n, "band", "x", "y").sortWithinPartitions("band", "x", "y", "node")
+    dealt = dealt.repartition(n, "hub", "x", "y").sortWithinPartitions("hub", "x", "y", "node")
     return dealt.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -297,14 +303,18 @@ def components(edges: DataFrame) -> DataFrame:
     """node and comp (least node of its component) for all nodes of the edges a, b."""
     both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
+    held = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("via"))
         # pointer jumping: take over the label of one's label
         jump = step.join(labels.select(F.col("node").alias("via"), F.col("comp").alias("far")), "via", "left")
         new = settled(jump.select("node", "old", F.coalesce(F.least("via", "far"), "via").alias("comp")), "labels")
-        labels = new.select("node", "comp")
-        if new.filter("old != comp").isEmpty():
+        ended = new.filter("old != comp").isEmpty()
+        discard(held)
+        labels, held = new.select("node", "comp"), new
+        if ended:
+            discard(both)
             return labels
 
 
@@ -330,8 +340,9 @@ def classified(docs: DataFrame, similarity: float, bands: int = BANDS, rows_of_b
     # buckets that still hold several components: the rest exactly
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("band")
-    rest = settled(placed.join(mixed, "band", "left_semi").select("band", "node", "comp", "hub"), "rest")
-    known = settled(against_hubs(rest.select("hub", "node").distinct(), texts), "known")
+    # once for each hub, however many bands its nodes share with it
+    rest = settled(placed.join(mixed, "band", "left_semi").select("hub", "node", "comp").distinct(), "rest")
+    known = settled(against_hubs(rest.select("hub", "node"), texts), "known")
     found = spanning_links(rest.join(known, ["hub", "node"]), similarity)
     # differences are compared by 64-bit hashes, links by their texts
     more = settled(verified(found, texts), "more")
