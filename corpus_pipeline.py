@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meterglass.llm import bagminhash, exact_dedup, fertility, mixing, sentencepiece_codec
-from meterglass.runtime import settled, table
+from meterglass.runtime import drop_since, scratch_mark, settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result; what earlier stages wrote goes once the next one's result is whole."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = settled(docs, "stage-" + name.replace(" ", "-"))
-    return docs
+    mark = scratch_mark()
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop_since(spark, mark, docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
