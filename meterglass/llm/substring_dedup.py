@@ -31,14 +31,13 @@ COLLAPSE_BYTES = 24 << 20
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and the key (k1, k2) that stands for a document in the shuffles."""
-    text = F.col(text_col).cast("string")
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(text, F.lit("")).alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(S.NO_ID)).alias("k1"),
-        F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("k2"),
-    )
+    """doc_id, text and the key (k1, k2) that stands for a document in the shuffles: its id and 31 bits of a hash of its text.
+
+    Without an id, k1 is a hash of the text too (of another seed), and k2 is negative, which orders such documents last."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    doc_id = F.col(id_col).cast("long")
+    bits = F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.xxhash64(F.lit("no id"), text)).alias("k1"), F.when(doc_id.isNull(), -bits - 1).otherwise(bits).alias("k2"))
 
 
 def pack_words(data: np.ndarray, offs: np.ndarray, k1: np.ndarray, k2: np.ndarray, k: int, m: int) -> tuple[S.Packed, np.ndarray] | None:
@@ -79,7 +78,7 @@ def later_windows(p: S.Packed, k: int) -> tuple[np.ndarray, np.ndarray]:
     while at.size:
         own = w.doc[at]
         place = p.start[own] + (at - w.first[own])
-        by = np.lexsort((place, p.k2[own], p.k1[own], hs))
+        by = np.lexsort((place, p.k2[own], p.k1[own], p.k2[own] < 0, hs))
         at, hs = at[by], hs[by]
         head = np.ones(at.size, bool)
         head[1:] = hs[1:] != hs[:-1]

@@ -24,7 +24,6 @@ import zstandard
 from meterglass.llm.common import gather, hash_slices, merged, sliding_min
 
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
-NO_ID = np.iinfo(np.int64).max
 SHUFFLED = "bucket int, blob binary"
 INTERVALS = "k1 long, k2 int, a long, b long"
 ARROW_SHUFFLED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -143,7 +142,7 @@ def collapse(p: Packed, h: np.ndarray | None = None, repeats_are_one: bool = Fal
         return p, None
     dup[:-1] |= dup[1:]
     some = order[dup]
-    some = some[np.lexsort((p.start[some], p.k2[some], p.k1[some], h[some]))]
+    some = some[np.lexsort((p.start[some], p.k2[some], p.k1[some], p.k2[some] < 0, h[some]))]
     hs = h[some]
     head = np.ones(hs.size, bool)
     head[1:] = hs[1:] != hs[:-1]
