@@ -38,7 +38,6 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +46,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import Words, buffers, hash_runs, hash_words, mix, row_chunks, turn_to
+from meterglass.llm.common import Words, buffers, hash_runs, hash_words, lean, mix, row_chunks, turn_to
 from meterglass.runtime import discard, settled, ship, shuffle_partitions
 
 WORDS, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
 NO_ID = np.iinfo(np.int64).max
 BLOCK_BYTES, BLOCK_NODES = 8 << 20, 1024
+SIGNED_BYTES = 1 << 20  # texts that get signatures at a time
+HELD_SHINGLES = 100_000
 BLOCKS = [1, 1, 2, 4, 8, 16, 32, 64]
 
 
@@ -122,10 +123,29 @@ def band_keys(data: np.ndarray, offs: np.ndarray, bands: int = BANDS, rows_of_ba
     return keys, has
 
 
-@lru_cache(maxsize=64)
-def shingles(packed: bytes) -> Counter:
-    words = zstandard.ZstdDecompressor().decompress(packed).split(b" ")
-    return Counter(zip(*(words[i:] for i in range(WORDS)), strict=False))
+class Shingles:
+    """The multiset of shingles of packed words; the last ones are kept, up to a bound of shingles in all."""
+
+    def __init__(self) -> None:
+        self.held: dict[bytes, Counter] = {}
+        self.size = 0
+
+    def __call__(self, packed: bytes) -> Counter:
+        found = self.held.pop(packed, None)
+        if found is None:
+            words = zstandard.ZstdDecompressor().decompress(packed).split(b" ")
+            found = Counter(zip(*(words[i:] for i in range(WORDS)), strict=False))
+            self.size += len(found)
+            while self.held and self.size > HELD_SHINGLES:
+                self.size -= len(self.held.pop(next(iter(self.held))))
+        self.held[packed] = found
+        return found
+
+    def cache_clear(self) -> None:
+        self.__init__()
+
+
+shingles = Shingles()
 
 
 def overlap(a: Counter, b: Counter) -> float:
@@ -141,9 +161,9 @@ def nodes_of(docs: DataFrame, bands: int, rows_of_band: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("bagminhash", shingles.cache_clear)
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in lean(batches):
             data, offs = buffers(batch.column("text"))
-            for x, y in row_chunks(offs):
+            for x, y in row_chunks(offs, SIGNED_BYTES):
                 texts = [b" ".join(data[offs[i] : offs[i + 1]].tobytes().split()) for i in range(x, y)]
                 node = [hashlib.sha256(t).digest()[:16] for t in texts]
                 first: dict[bytes, int] = {}
@@ -173,7 +193,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("bagminhash", shingles.cache_clear)
-        for batch in batches:
+        for batch in lean(batches):
             a, b = batch.column("packed_a"), batch.column("packed_b")
             sim = [overlap(shingles(a[i].as_py()), shingles(b[i].as_py())) for i in range(batch.num_rows)]
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
@@ -199,7 +219,7 @@ def against_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("bagminhash", shingles.cache_clear)
-        for batch in batches:
+        for batch in lean(batches):
             hub, own = batch.column("packed_hub"), batch.column("packed")
             for at in range(0, batch.num_rows, 256):
                 part = range(at, min(at + 256, batch.num_rows))

@@ -38,6 +38,11 @@ def turn_to(operator: str, clear: Callable[[], None] | None = None) -> None:
     _POWERS.clear()
     _INVERSES.clear()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: numpy's temporaries otherwise stay with the process."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -45,6 +50,14 @@ def turn_to(operator: str, clear: Callable[[], None] | None = None) -> None:
         pass
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; what the work on each has freed is given back before the next."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the result."""
     x = x.astype(np.uint64, copy=True)

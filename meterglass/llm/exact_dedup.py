@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import SPACES, buffers, turn_to
+from meterglass.llm.common import SPACES, buffers, lean, turn_to
 from meterglass.runtime import ship, shuffle_partitions
 
 MEMTABLE_BYTES = 8 << 20
@@ -215,7 +215,7 @@ def build_index(docs: DataFrame, digest_bytes: int = DIGEST_BYTES, memtable_byte
             rows = list(cut(table.flush(), buckets))
             return pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "run"])
 
-        for batch in batches:
+        for batch in lean(batches):
             data, offs = buffers(batch.column("text"))
             points = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").fill_null(NO_ID).to_pylist()

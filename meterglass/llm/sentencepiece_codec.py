@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import turn_to
+from meterglass.llm.common import lean, turn_to
 from meterglass.runtime import ship
 
 MARK = "▁"
@@ -311,7 +311,7 @@ def sentencepiece_encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: st
         turn_to("sentencepiece", codec.cache_clear)
         c = codec(held.value)
         byte_piece = np.array([k == BYTE for k in c.model.types])
-        for batch in batches:
+        for batch in lean(batches):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part.column("text").to_pylist()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import Words, buffers, hash_runs, hash_slices, mix, powers, row_chunks, turn_to
+from meterglass.llm.common import Words, buffers, hash_runs, hash_slices, lean, mix, powers, row_chunks, turn_to
 from meterglass.runtime import settled, ship
 
 BUCKETS, DIMENSION = 1 << 18, 16
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labelled: DataFrame, classes: int, sample_rows: int = S
 def score_batches(held, batches: Iterator[pa.RecordBatch], text: int | str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch in slices, with class probabilities and word counts. text: the column of texts, or its place."""
     turn_to("subword model")
-    for batch in batches:
+    for batch in lean(batches):
         data, offs = buffers(batch.column(text))
         for x, y in row_chunks(offs, SCORED_BYTES):
             p, words = probabilities(held.value, data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
