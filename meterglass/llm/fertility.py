@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from meterglass.llm.common import IS_SPACE, Words, buffers, row_chunks, turn_to
+from meterglass.llm.common import IS_SPACE, Words, buffers, lean, row_chunks, turn_to
 from meterglass.llm.sentencepiece_codec import DEFAULT_MODEL, load
 from meterglass.runtime import settled, ship
 
@@ -58,6 +58,7 @@ MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 FENCE, LEAST_ROWS, STEPS = 3.0, 50, 200
 LEAST_SPREAD = {"chars_per_token": 0.03, "fallback_share": 0.02, "token_entropy": 0.15}
 ANY_LENGTH = -1
+MOST_BROADCAST = 20_000  # rows of bands, some 4 MB
 
 
 class Band(NamedTuple):
@@ -258,7 +259,7 @@ def measures(docs: DataFrame, vocabularies: dict[str, str], text: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("fertility", lexicon.cache_clear)
-        for batch in batches:
+        for batch in lean(batches):
             data, offs = buffers(batch.column(text))
             for x, y in row_chunks(offs, MEASURED_BYTES):
                 found = measured(held.value, data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
@@ -290,11 +291,13 @@ def limits(rows: DataFrame, vocabularies: dict[str, str]) -> DataFrame:
 def judged(rows: DataFrame, vocabularies: dict[str, str], bands: dict[str, Band] | None, least_rows: int) -> DataFrame:
     """rows with `rejected_by` (the measures outside their bands) and `kept`. rows: measures with `language`."""
     names = measure_names(vocabularies)
-    of = limits(rows, vocabularies)
+    of = settled(limits(rows, vocabularies), "bands")
     own = [c for c in of.columns if c not in ("language", "size_class")]
     by_length = of.filter(F.col("size_class") != ANY_LENGTH).withColumnsRenamed({c: f"l_{c}" for c in own})
     by_language = of.filter(F.col("size_class") == ANY_LENGTH).drop("size_class").withColumnsRenamed({c: f"g_{c}" for c in own})
-    # a few rows for each language: Spark broadcasts them, or joins by key where there are too many
+    # a few rows for each language: broadcast, so that no text is shuffled, unless languages are so many that Spark must join by key
+    if of.count() <= MOST_BROADCAST:
+        by_length, by_language = F.broadcast(by_length), F.broadcast(by_language)
     wide = rows.join(by_length, ["language", "size_class"], "left").join(by_language, "language", "left")
     fixed = bands or BANDS
 
