@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import Words, buffers, hash_runs, hash_slices, lean, mix, powers, row_chunks, turn_to
+from meterglass.llm.common import Words, buffers, give_back, hash_runs, hash_slices, lean, mix, powers, row_chunks, turn_to
 from meterglass.runtime import settled, ship
 
 BUCKETS, DIMENSION = 1 << 18, 16
@@ -185,7 +185,13 @@ def fit(docs: DataFrame, labelled: DataFrame, classes: int, sample_rows: int = S
     rows = [(int(label[i]), at[i].values.to_numpy(zero_copy_only=False), weight[i].values.to_numpy(zero_copy_only=False)) for i in by_id.tolist()]
     if not rows:
         return Model(np.zeros((buckets, classes), np.float32), np.zeros(classes, np.float32))
-    return train(rows, classes, buckets)
+    # the driver holds the sample once while it trains, and nothing of it afterwards
+    del got
+    give_back()
+    model = train(rows, classes, buckets)
+    del rows, at, weight
+    give_back()
+    return model
 
 
 def score_batches(held, batches: Iterator[pa.RecordBatch], text: int | str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
