@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meterglass.llm import exact_dedup as exact
-from meterglass.llm import fertility, secrets, warc
+from meterglass.llm import fertility, secrets, spelling, warc
 from meterglass.llm.bagminhash import near_duplicates
 from meterglass.llm.exact_dedup import exact_dedup
 from meterglass.llm.fertility import quality_rules
@@ -60,6 +60,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), misspell=spelling.MISSPELL)
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of the quality rules, which SQL can express."""
     return op7_quality_rules(spark, sf_dir).select("doc_id", *(x.split()[0] for x in fertility.BASE.split(", ")))
@@ -72,6 +76,6 @@ def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_substring_dedup, op3_exact_dedup, op4_suffix_dedup, op5_secret_scan, op6_quality_classifier, op7_quality_rules, op8_bagminhash, op9_warc, op10_mixing, quality_base, secret_base)
+    for f in (op1_sentencepiece, op2_substring_dedup, op3_exact_dedup, op4_suffix_dedup, op5_secret_scan, op6_quality_classifier, op7_quality_rules, op8_bagminhash, op9_warc, op10_mixing, op11_spelling_variants, quality_base, secret_base)
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact.ORACLE, "op9_warc": warc.ORACLE, "quality_base": fertility.BASE_ORACLE, "secret_base": secrets.BASE_ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact.ORACLE, "op9_warc": warc.ORACLE, "op11_spelling_variants": spelling.ORACLE, "quality_base": fertility.BASE_ORACLE, "secret_base": secrets.BASE_ORACLE}
