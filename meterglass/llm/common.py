@@ -120,14 +120,14 @@ def row_chunks(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of some documents: byte range and document of each."""
+    """The words of some documents, `[^\\x20\\x09-\\x0D]+` or the runs of bytes that are not `between`: byte range and document of each."""
 
     __slots__ = ("data", "offs", "inside", "starts", "ends", "doc", "counts", "first")
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, between: np.ndarray = IS_SPACE):
         self.data, self.offs = data, offs
         rows = len(offs) - 1
-        inside = ~IS_SPACE[data]
+        inside = ~between[data]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
         firsts = offs[:-1][offs[:-1] < offs[1:]]
