@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meterglass.llm import exact_dedup as exact
-from meterglass.llm import fertility, importance, secrets, spelling, warc
+from meterglass.llm import fertility, importance, piecewise, secrets, spelling, warc
 from meterglass.llm.bagminhash import near_duplicates
 from meterglass.llm.exact_dedup import exact_dedup
 from meterglass.llm.fertility import quality_rules
@@ -68,6 +68,15 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def fingerprint_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the fingerprints' query that SQL can express."""
+    return op13_piecewise_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of the quality rules, which SQL can express."""
     return op7_quality_rules(spark, sf_dir).select("doc_id", *(x.split()[0] for x in fertility.BASE.split(", ")))
@@ -80,6 +89,6 @@ def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_substring_dedup, op3_exact_dedup, op4_suffix_dedup, op5_secret_scan, op6_quality_classifier, op7_quality_rules, op8_bagminhash, op9_warc, op10_mixing, op11_spelling_variants, op12_importance_resampling, quality_base, secret_base)
+    for f in (op1_sentencepiece, op2_substring_dedup, op3_exact_dedup, op4_suffix_dedup, op5_secret_scan, op6_quality_classifier, op7_quality_rules, op8_bagminhash, op9_warc, op10_mixing, op11_spelling_variants, op12_importance_resampling, op13_piecewise_fingerprints, fingerprint_base, quality_base, secret_base)
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact.ORACLE, "op9_warc": warc.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_importance_resampling": importance.ORACLE, "quality_base": fertility.BASE_ORACLE, "secret_base": secrets.BASE_ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact.ORACLE, "op9_warc": warc.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_importance_resampling": importance.ORACLE, "fingerprint_base": piecewise.BASE_ORACLE, "quality_base": fertility.BASE_ORACLE, "secret_base": secrets.BASE_ORACLE}
