@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import BYTE_CODES, hash_runs, lean, range_hashes, turn_to
+from meterglass.llm.common import BYTE_CODES, MULT, inverse_powers, lean, mix, powers, turn_to
 from meterglass.runtime import settled, ship, shuffle_partitions
 
 WINDOW, LEAST_BLOCK, MOST_CHARACTERS, COMMON, SIZES = 7, 3, 64, 7, 4
@@ -41,11 +41,16 @@ OUT_ROWS = 2048
 
 def boundaries(codes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """k and, at its block size, where chunks end and the greatest k at which they would."""
-    h = (hash_runs(codes, WINDOW) >> np.uint64(32)) + np.uint64(1)
-    ends = np.flatnonzero(h % np.uint64(LEAST_BLOCK) == 0)
+    size = codes.size - WINDOW + 1
+    rolled = codes[WINDOW - 1 :].copy()
+    for i in range(WINDOW - 2, -1, -1):
+        rolled *= MULT
+        rolled += codes[i : i + size]
+    h = (mix(rolled) >> np.uint64(32)).astype(np.int64) + 1
+    ends = np.flatnonzero(h % LEAST_BLOCK == 0)
     h = h[ends]
-    third = h // np.uint64(LEAST_BLOCK)
-    level = np.log2((third & (~third + np.uint64(1))).astype(float)).astype(np.int64)
+    third = h // LEAST_BLOCK
+    level = np.log2((third & -third).astype(float)).astype(np.int64)
     above = np.append(np.cumsum(np.bincount(level, minlength=1)[::-1])[::-1], 0)
     k = int(np.argmax(above < MOST_CHARACTERS))
     first = lambda at: at[np.sort(np.unique(h[at], return_index=True)[1])]
@@ -55,19 +60,25 @@ def boundaries(codes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return k, ends[found] + WINDOW - 1, level[found]
 
 
-def signature(codes: np.ndarray, ends: np.ndarray) -> str:
-    """A character for each chunk that ends at `ends`, and for what follows the last of them."""
-    cuts = np.concatenate(([0], ends + 1, [codes.size]))
-    cuts = cuts[: -1 if cuts[-1] == cuts[-2] else None]
-    return ALPHABET[(range_hashes(codes, cuts[:-1], cuts[1:]) & np.uint64(63)).astype(int)].tobytes().decode()
+def signatures(codes: np.ndarray, each: list[np.ndarray]) -> str:
+    """For each list of ends, a character for each chunk that ends there, and for what follows the last of them."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * powers(codes.size))))
+    back = inverse_powers(codes.size + 1)
+    out = []
+    for ends in each:
+        cuts = np.concatenate(([0], ends + 1, [codes.size] * (not ends.size or int(ends[-1]) + 1 < codes.size))).astype(np.int64)
+        size = np.diff(cuts)
+        h = mix((total[cuts[1:]] - total[cuts[:-1]]) * back[cuts[:-1]] + size.astype(np.uint64))
+        out.append(ALPHABET[(h & np.uint64(63)).astype(int)].tobytes().decode())
+    return ":".join(out)
 
 
 def fingerprint(text: str) -> str:
     codes = BYTE_CODES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    if codes.size < WINDOW:
-        return "0:" + ":".join([signature(codes, np.zeros(0, int)) if codes.size else ""] * SIZES)
-    k, ends, level = boundaries(codes)
-    return f"{k}:" + ":".join(signature(codes, ends[level >= k + i]) for i in range(SIZES))
+    if not codes.size:
+        return "0" + ":" * SIZES
+    k, ends, level = boundaries(codes) if codes.size >= WINDOW else (0, np.zeros(0, int), np.zeros(0, int))
+    return f"{k}:" + signatures(codes, [ends[level >= k + i] for i in range(SIZES)])
 
 
 def common_length(a: str, b: str) -> int:
