@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from meterglass.functions.exprs import duration_text
 from meterglass.operators import models, training
 from meterglass.operators.flatten import clean, etl, flatten_stream
-from meterglass.operators.metrics import class_report, confusion
+from meterglass.operators.metrics import class_report
 from meterglass.operators.prep import MIN_ROWS, MIN_ROWS_STREAM, attack_pools
 from meterglass.operators.registry import Registry
 from meterglass.runtime import settled
@@ -59,7 +59,7 @@ def numeric(df: DataFrame, without: tuple[str, ...] = ("intrusion",)) -> list[st
 
 
 def keyed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A key by content, the same in each run."""
+    """A name by content, the same in each run; rows that repeat share it."""
     return df.withColumn("_key", F.xxhash64("DevAddr", *columns))
 
 
@@ -78,8 +78,12 @@ def train(spark: SparkSession, args: argparse.Namespace, kind: str) -> DataFrame
     counters = ("FCnt",) if "FCnt" in used else ()
     found = training.evaluate(rows, args.ml_algorithm, "DevAddr", "_key", used, pools, least, args.scaling, reduction, counters)
     fitted = training.fit(settled(training.prepare(rows, "DevAddr", "_key", used, least), "prepared"), args.ml_algorithm, "DevAddr", "_key", used, args.scaling, reduction)
-    Registry(spark, f"{args.out}/models").store(training.stored(fitted, "DevAddr", kind, args.ml_algorithm), -1, f"{kind}-{args.ml_algorithm}")
-    return class_report(confusion(found, "intrusion", "prediction"))
+    counts = settled(training.by_device(found, "DevAddr"), "metrics")
+    registry = Registry(spark, f"{args.out}/models")
+    # a version before those of streams, in place of an earlier training's
+    registry.store(training.stored(fitted, "DevAddr", kind, args.ml_algorithm), -1, f"{kind}-{args.ml_algorithm}")
+    registry.store_metrics(counts, "DevAddr", kind, args.ml_algorithm, -1)
+    return class_report(counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "tn", "fp", "fn"))))
 
 
 def stream(spark: SparkSession, args: argparse.Namespace) -> Scorer:
@@ -90,7 +94,7 @@ def stream(spark: SparkSession, args: argparse.Namespace) -> Scorer:
     rows = keyed(rows, used)
     reduction = None if args.with_feature_reduction == "None" else args.with_feature_reduction
     scorer = Scorer(spark, f"{args.out}/stream", "DevAddr", "_key", used, args.least_rows or MIN_ROWS_STREAM, args.refit, None, None, args.ml_algorithm, args.scaling, reduction, f"{args.out}/models")
-    if not io.exists(spark, f"{args.out}/stream/history") and io.exists(spark, f"{args.out}/rxpk.{args.datasets_format}"):
+    if not scorer.past.entries() and io.exists(spark, f"{args.out}/rxpk.{args.datasets_format}"):
         past = clean_table(spark, args, "rxpk")
         past = past.select("DevAddr", *(F.col(c) if c in past.columns else F.lit(None).cast("double").alias(c) for c in used))
         scorer.seed(keyed(past, used))

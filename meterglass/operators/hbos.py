@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterglass.operators.quantiles import quantile
+
 ALPHA, TOLERANCE, CONTAMINATION, DIGITS = 0.1, 1e-20, 1 / 3, 6
 
 
@@ -53,7 +55,7 @@ def score(df: DataFrame, model: DataFrame, device: str, key: str, features: list
 
 
 def thresholds(scores: DataFrame, device: str, contamination: float = CONTAMINATION) -> DataFrame:
-    return scores.groupBy(device).agg(F.round(F.expr(f"percentile(score, {1 - contamination!r}D)"), 9).alias("threshold"))
+    return quantile(scores, device, "score", 1 - contamination).select(device, F.round("value", 9).alias("threshold"))
 
 
 def predict(scores: DataFrame, limits: DataFrame, device: str) -> DataFrame:

@@ -2,72 +2,32 @@
 
 Training rows are neighbours of each other (not of themselves); scored rows look for
 neighbours among training rows. k = max(5, min(round(0.01 N), 15)); equal distances go
-by key. Rows are compared within a device only.
+by key. Rows are compared within a device only, through the cells of operators/knn.py.
+
+A model is its training rows, with the k-distance and local density of each, in parts of some PART_ROWS rows. Where keys are
+no numbers, equal distances to the rows of a stored model go by a hash of the key. Features that a device never has take
+no part in its model; rows that lack another one are not learned from, and have no score.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.operators.trees import CELLS, squares
-from meterglass.runtime import ship
-
-CUT, TINY, DIGITS = 1.5, 1e-10, 9
-BLOCK_ROWS = 4096
-
-
-def neighbours(rows: DataFrame, train: DataFrame, device: str, key: str, features: list[str], leave_out: bool, block: int = BLOCK_ROWS) -> DataFrame:
-    """device, key, and the k nearest training rows: near, d.
-
-    Rows and training rows of a device are dealt in blocks; each pair of blocks is one task's work and gives k
-    candidates a row, of which the nearest are taken. Pairs of rows never leave a task. leave_out: rows are the training rows."""
-    ship(rows.sparkSession)
-    names = sorted(features)
-    blocks = lambda df, n: df.groupBy(device).agg(F.ceil(F.count("*") / block).cast("int").alias(n))
-    shape = blocks(train, "_tb").join(blocks(rows, "_rb"), device)
-    place = lambda n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = rows.select(device, key, F.lit(0).alias("_k"), *names).join(shape, device).withColumn("_r", place("_rb")).withColumn("_t", spread("_tb"))
-    other = train.select(device, key, "_k", *names).join(shape, device).withColumn("_t", place("_tb")).withColumn("_r", spread("_rb"))
-    columns = [device, key, "_k", "_r", "_t", *names]
-    both = own.select(*columns).withColumn("_own", F.lit(True)).unionByName(other.select(*columns).withColumn("_own", F.lit(False)))
-
-    def run(table: pa.Table) -> pa.Table:
-        mine = table.column("_own").to_numpy()
-        some, others = table.filter(pa.array(mine)), table.filter(pa.array(~mine)).sort_by(key)
-        keys, near_keys = some.column(key).combine_chunks(), others.column(key).combine_chunks()
-        matrix = lambda t: np.stack([t.column(n).to_numpy().astype(float) for n in names], axis=1)
-        a, b = matrix(some), matrix(others)
-        near, far, who = [], [], []
-        if len(b):
-            most = int(others.column("_k")[0].as_py())
-            step = max(1, CELLS // len(b))
-            place_of = {v: i for i, v in enumerate(near_keys.to_pylist())} if leave_out else {}
-            values = keys.to_pylist() if leave_out else []
-            for i in range(0, len(a), step):
-                d = np.round(np.sqrt(squares(a[i : i + step], b)), DIGITS)
-                for r, v in enumerate(values[i : i + step]):
-                    if v in place_of:
-                        d[r, place_of[v]] = np.inf
-                k = min(most, len(b))
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(d, order, axis=1)
-                keep = np.isfinite(found).ravel()
-                near.append(order.ravel()[keep])
-                far.append(found.ravel()[keep])
-                who.append(np.repeat(np.arange(i, i + len(d)), k)[keep])
-        near, far, who = (np.concatenate(x) if x else np.zeros(0, int) for x in (near, far, who))
-        who = pa.array(who.astype(np.int64))
-        return pa.table([some.column(device).take(who), keys.take(who), near_keys.take(pa.array(near.astype(np.int64))), pa.array(far.astype(float))], names=[device, key, "near", "_d"])
-
-    kinds = dict(rows.dtypes)
-    near = both.groupBy(device, "_r", "_t").applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, near {kinds[key]}, _d double")
-    nearest = Window.partitionBy(device, key).orderBy("_d", "near")
-    ranked = near.join(train.select(device, "_k").distinct(), device).withColumn("_at", F.row_number().over(nearest))
-    return ranked.filter(F.col("_at") <= F.col("_k")).select(device, key, "near", "_d")
+from meterglass.operators.knn import Search
+from meterglass.operators.vectors import usable, vectors
+from meterglass.runtime import settled, ship
+
+CUT, TINY, SCORE_DIGITS = 1.5, 1e-10, 6
+PART_ROWS = 4096
+
+
+def k_of(n: Column) -> Column:
+    return F.greatest(F.lit(5), F.least(F.bround(n * 0.01, 0).cast("int"), F.lit(15)))
 
 
 def local_density(near: DataFrame, reach: DataFrame, device: str, key: str) -> DataFrame:
@@ -76,17 +36,60 @@ def local_density(near: DataFrame, reach: DataFrame, device: str, key: str) -> D
     return joined.groupBy(device, key).agg((1 / (F.avg(F.greatest("_d", "kd")) + TINY)).alias("lrd"))
 
 
-def lof(train: DataFrame, rows: DataFrame, device: str, key: str, features: list[str]) -> DataFrame:
-    """device, key, lof and prediction (1: outlier) of rows, against the training rows of their device."""
-    sizes = train.groupBy(device).agg(F.greatest(F.lit(5), F.least(F.bround(F.count("*") * 0.01, 0).cast("int"), F.lit(15))).alias("_k"))
-    as_double = [F.col(f).cast("double").alias(f) for f in features]
-    train = train.select(device, key, *as_double).join(sizes, device)  # with k of the device
-    rows = rows.select(device, key, *as_double)
-    own = neighbours(train.drop("_k"), train, device, key, features, leave_out=True)
+def densities(train: DataFrame, device: str, key: str, **sizes: int) -> DataFrame:
+    """device, key, v, kd and lrd of training rows (device, key, v), and k of the device."""
+    k = train.groupBy(device).agg(k_of(F.count("*")).alias("_k"))
+    own = Search(train, device, key, **sizes).neighbours(train.withColumn("own", F.lit(True)), k)
+    own = settled(own, "lof-own")
     reach = own.groupBy(device, F.col(key).alias("near")).agg(F.max("_d").alias("kd"))
-    density = local_density(own, reach, device, key).select(device, F.col(key).alias("near"), F.col("lrd").alias("near_lrd"))
-    found = neighbours(rows, train, device, key, features, leave_out=False)
-    of_rows = local_density(found, reach, device, key)
-    around = found.join(density, [device, "near"]).groupBy(device, key).agg(F.avg("near_lrd").alias("around"))
-    out = around.join(of_rows, [device, key]).select(device, key, F.round(F.col("around") / F.col("lrd"), 6).alias("lof"))
-    return out.withColumn("prediction", (F.col("lof") > CUT).cast("int"))
+    return train.join(reach.withColumnRenamed("near", key), [device, key]).join(local_density(own, reach, device, key), [device, key]).join(k.withColumnRenamed("_k", "k"), device)
+
+
+def scores(model: DataFrame, rows: DataFrame, device: str, key: str, **sizes: int) -> DataFrame:
+    """device, key and lof of rows (device, key, v), against training rows (device, near, v, kd, lrd, k)."""
+    k = model.groupBy(device).agg(F.first("k").alias("_k"))
+    search = Search(model.select(device, F.col("near").alias(key), "v"), device, key, **sizes)
+    found = settled(search.neighbours(rows.select(device, key, "v", F.lit(False).alias("own")), k).drop("own"), "lof-found")
+    of_rows = local_density(found, model.select(device, "near", "kd"), device, key)
+    around = found.join(model.select(device, "near", F.col("lrd").alias("near_lrd")), [device, "near"]).groupBy(device, key).agg(F.avg("near_lrd").alias("around"))
+    return around.join(of_rows, [device, key]).select(device, key, F.round(F.col("around") / F.col("lrd"), SCORE_DIGITS).alias("lof"))
+
+
+def fit(rows: DataFrame, device: str, key: str) -> DataFrame:
+    """device, part, k and arrays of the model's parts. rows: device, key and v without nulls."""
+    number = F.col(key).cast("double") if dict(rows.dtypes)[key] in ("tinyint", "smallint", "int", "bigint", "float", "double") else F.xxhash64(key).cast("double")
+    found = densities(rows, device, key).withColumn("near", number)
+    parts = found.groupBy(device).agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
+    dealt = found.join(parts, device).withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
+    # some PART_ROWS rows, as a hash deals them
+    held = dealt.groupBy(device, "part").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("near", "kd", "lrd", "v"))).alias("_r"))
+    arrays = [c for n in ("near", "kd", "lrd") for c in (F.lit(n), F.col(f"_r.{n}"))]
+    return held.select(device, "part", "k", F.create_map(*arrays, F.lit("v"), F.flatten("_r.v")).alias("arrays"))
+
+
+def unpacked(models: DataFrame, device: str) -> DataFrame:
+    """device, near, v, kd, lrd and k: the training rows of models (device, k, arrays)."""
+    ship(models.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = dict(batch.column("arrays")[i].as_py())
+                n = len(held["near"])
+                width = len(held["v"]) // max(1, n)
+                v = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(held["v"], pa.float64()))
+                same = pa.array(np.zeros(n, np.int64))
+                yield pa.record_batch([batch.column(device).slice(i, 1).take(same), pa.array(held["near"], pa.float64()), v, pa.array(held["kd"], pa.float64()), pa.array(held["lrd"], pa.float64()), batch.column("k").slice(i, 1).take(same)], names=[device, "near", "v", "kd", "lrd", "k"])
+
+    return models.select(device, "k", "arrays").mapInArrow(run, f"`{device}` {dict(models.dtypes)[device]}, near double, v array<double>, kd double, lrd double, k int")
+
+
+def lof(train: DataFrame, rows: DataFrame, device: str, key: str, features: list[str], **sizes: int) -> DataFrame:
+    """device, key, lof and prediction (1: outlier) of rows, against the training rows of their device; null where a value is missing."""
+    of = settled(usable(train, device, features), "lof-features")
+    learned = vectors(train, of, device, key, features).filter("v is not null")
+    model = settled(densities(learned, device, key, **sizes).withColumnRenamed(key, "near"), "lof-model")
+    asked = vectors(rows, of, device, key, features)
+    found = scores(model, asked.filter("v is not null"), device, key, **sizes)
+    missing = asked.filter("v is null").select(device, key, F.lit(None).cast("double").alias("lof"))
+    return found.unionByName(missing).withColumn("prediction", (F.col("lof") > CUT).cast("int"))

@@ -17,14 +17,15 @@ def confusion(df: DataFrame, label: str, prediction: str, by: list[str] | None =
     return df.groupBy(*(by or [])).agg(count(1, 1).alias("tp"), count(0, 0).alias("tn"), count(0, 1).alias("fp"), count(1, 0).alias("fn"))
 
 
-def class_report(counts: DataFrame) -> DataFrame:
-    """From tp, tn, fp, fn: accuracy, and precision, recall, F1 and support by class, macro and weighted."""
+def class_report(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """From tp, tn, fp, fn: accuracy, and precision, recall, F1 and support by class, macro and weighted; by: of each row of these columns."""
+    by = by or []
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     total = tp + tn + fp + fn
     rows = F.array(*(F.struct(F.lit(n).alias("class"), ratio(hit, hit + wrong).alias("precision"), ratio(hit, hit + missed).alias("recall"), (hit + missed).alias("support")) for n, hit, wrong, missed in (("0", tn, fn, fp), ("1", tp, fp, fn))))
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    each = counts.select(ratio(tp + tn, total).alias("accuracy"), F.inline(rows)).withColumn("f1", f1)
+    each = counts.select(*by, ratio(tp + tn, total).alias("accuracy"), F.inline(rows)).withColumn("f1", f1)
     names = ("precision", "recall", "f1")
-    macro = each.groupBy("accuracy").agg(F.lit("macro").alias("class"), *(F.avg(n).alias(n) for n in names), F.sum("support").alias("support"))
-    weighted = each.groupBy("accuracy").agg(F.lit("weighted").alias("class"), *(ratio(F.sum(F.col(n) * F.col("support")), F.sum("support")).alias(n) for n in names), F.sum("support").alias("support"))
+    macro = each.groupBy(*by, "accuracy").agg(F.lit("macro").alias("class"), *(F.avg(n).alias(n) for n in names), F.sum("support").alias("support"))
+    weighted = each.groupBy(*by, "accuracy").agg(F.lit("weighted").alias("class"), *(ratio(F.sum(F.col(n) * F.col("support")), F.sum("support")).alias(n) for n in names), F.sum("support").alias("support"))
     return each.unionByName(macro).unionByName(weighted)

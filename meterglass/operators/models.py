@@ -1,72 +1,40 @@
-"""Detectors as models: fitted for all devices in one job, kept as rows (device, params), scored apart.
+"""Detectors as models: fitted for all devices in one job, kept as rows (device, part, params, arrays), scored apart.
 
-Histogram models are fitted and scored by aggregates and joins. The others are fitted in numpy, a device in one task:
-what they learn from is the numbers of one device, of forest A at most the rows that its trees can draw. Scoring deals the
-rows of a device in blocks, each with the device's model, so it has no such bound. params: JSON for histograms, else
-base64 of a compressed numpy archive. Columns that a device has no value of take no part in its model."""
+params is JSON: features (the columns that the device has, which are all that its model learns from) and the model's numbers, the
+same in each part of a device. arrays holds what is long: nodes of trees, support vectors, training rows, in as many parts
+as bound what one task has in hand; part 0 is always there. Histogram models are fitted and scored by aggregates and
+joins and live in params alone. Parts of forests and support vectors score rows apart, and their sums are added up by row;
+the training rows of local outlier factors are searched by cells. So neither a device's rows nor its whole model meet in one task."""
 
 from __future__ import annotations
 
-import base64
-import io
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.operators import hbos, lof, trees
-from meterglass.runtime import ship
+from meterglass.operators import forests, hbos, lof, svm
+from meterglass.operators.quantiles import quantile
+from meterglass.operators.vectors import matrix, usable, vectors
+from meterglass.runtime import settled, ship
 
 ALGORITHMS = ("lof", "if_custom", "if_sklearn", "hbos", "ocsvm")
 BLOCK_ROWS = 50_000
+DIGITS = 6  # of scores, so that engines agree on them
 HISTOGRAM = "struct<cells: array<struct<feature: string, n: bigint, lo: double, hi: double, bins: int, width: double, density: array<double>, rarest: double>>, threshold: double>"
+META = "struct<features: array<string>, trees: int, sample: int, cut: double, k: int, rho: double, gamma: double, gap: double>"
+COLUMNS = "part int, params string, arrays map<string, array<double>>"
 
 
-def pack(arrays: dict[str, np.ndarray]) -> str:
-    out = io.BytesIO()
-    np.savez_compressed(out, **arrays)
-    return base64.b64encode(out.getvalue()).decode()
-
-
-def unpack(params: str) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(base64.b64decode(params)), allow_pickle=False) as z:
-        return {k: z[k] for k in z.files}
-
-
-def learn(algorithm: str, x: np.ndarray, seed: int = trees.SEED) -> dict[str, np.ndarray]:
-    """The model of one device. x: its rows in the order of their keys."""
-    if algorithm == "lof":
-        return trees.lof_fit(x, max(5, min(round(0.01 * len(x)), 15)), lof.DIGITS, lof.TINY)
-    if algorithm == "ocsvm":
-        return trees.svm_fit(x)
-    count, sample, share = (trees.forest_a if algorithm == "if_sklearn" else trees.forest_b)(len(x))
-    model = trees.forest_fit(x, count, sample, seed)
-    return model | {"cut_at": np.array(0.5 if share is None else np.quantile(trees.forest_scores(model, x), 1 - share))}
-
-
-def judge(algorithm: str, model: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score and prediction (1: outlier) of rows."""
-    if algorithm == "lof":
-        score = np.round(trees.lof_scores(model, x, lof.DIGITS, lof.TINY), 6)
-        return score, score > lof.CUT
-    if algorithm == "ocsvm":
-        score = -trees.svm_values(model, x)
-        return score, score > 0
-    score = trees.forest_scores(model, x)
-    return score, score > float(model["cut_at"])
-
-
-def numbers(table: pa.Table, names: list[str]) -> np.ndarray:
-    """Columns as a matrix, nulls as NaN."""
-    if not names:
-        return np.zeros((table.num_rows, 0))
-    return np.stack([pc.cast(table.column(n), pa.float64()).to_numpy().astype(float) for n in names], axis=1)
+def _rows(parts: DataFrame, of: DataFrame, device: str, numbers: list[str]) -> DataFrame:
+    """Parts as model rows; devices that nothing was learned for get an empty one."""
+    meta = F.to_json(F.struct("features", *numbers))
+    own = of.join(parts, device, "left")
+    return own.select(device, F.coalesce("part", F.lit(0)).alias("part"), F.when(F.col("part").isNull(), F.to_json(F.struct(F.array().cast("array<string>").alias("features")))).otherwise(meta).alias("params"), "arrays")
 
 
-def fit(train: DataFrame, algorithm: str, device: str, key: str, features: list[str], seed: int = trees.SEED) -> DataFrame:
-    """device, params."""
+def fit(train: DataFrame, algorithm: str, device: str, key: str, features: list[str], seed: int = forests.SEED) -> DataFrame:
+    """device, part, params, arrays."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"no such algorithm: {algorithm}")
     if algorithm == "hbos":
@@ -74,24 +42,53 @@ def fit(train: DataFrame, algorithm: str, device: str, key: str, features: list[
         limits = hbos.thresholds(hbos.score(train, model, device, key, features), device)
         cell = F.struct("feature", "n", "lo", "hi", "bins", "width", "density", "rarest")
         per = model.groupBy(device).agg(F.sort_array(F.collect_list(cell)).alias("cells"))  # a cell for each feature
-        return per.join(limits, device).select(device, F.to_json(F.struct("cells", "threshold")).alias("params"))
-    ship(train.sparkSession)
-    names = sorted(features)
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(key)
-        if algorithm == "if_sklearn" and rows.num_rows > 7000 * 256:  # more than its trees can draw
-            rows = rows.take(np.sort(np.random.default_rng(seed).choice(rows.num_rows, 7000 * 256, replace=False)))
-        x = numbers(rows, names)
-        has = ~np.isnan(x).all(axis=0)
-        x = x[:, has]
-        x = x[~np.isnan(x).any(axis=1)]
-        made = learn(algorithm, x, seed) if len(x) > 1 and has.any() else {}
-        made["features"] = np.array([n for n, h in zip(names, has, strict=True) if h], "U64")
-        return pa.table([rows.column(device).slice(0, 1), pa.array([pack(made)])], names=[device, "params"])
-
-    kind = dict(train.dtypes)[device]
-    return train.select(device, key, *names).groupBy(device).applyInArrow(run, f"`{device}` {kind}, params string")
+        made = per.join(limits, device).select(device, F.to_json(F.struct("cells", "threshold")).alias("params"))
+        return made.select(device, F.lit(0).alias("part"), "params", F.lit(None).cast("map<string, array<double>>").alias("arrays"))
+    of = settled(usable(train, device, features), "features")
+    rows = settled(vectors(train, of, device, key, features).filter("v is not null"), "vectors")
+    if algorithm == "lof":
+        return _rows(lof.fit(rows, device, key), of, device, ["k"])
+    if algorithm == "ocsvm":
+        return _rows(svm.fit(rows, device, key), of, device, ["rho", "gamma", "gap"])
+    grown = settled(forests.fit(rows, algorithm, device, key, seed), "forest")
+    share = forests.CONTAMINATION[algorithm]
+    if share is None:
+        return _rows(grown.withColumn("cut", F.lit(0.5)), of, device, ["trees", "sample", "cut"])
+    plain = _rows(grown, of, device, ["trees", "sample"])
+    cuts = quantile(sums(rows, plain, algorithm, device, key).select(device, "score"), device, "score", 1 - share).select(device, F.round("value", 9).alias("cut"))
+    return _rows(grown.join(cuts, device), of, device, ["trees", "sample", "cut"])
+
+
+def sums(rows: DataFrame, models: DataFrame, algorithm: str, device: str, key: str) -> DataFrame:
+    """device, key, score and the numbers of the model as `m`, of rows (device, key, v); null where v is."""
+    ship(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+    parts = models.groupBy(device).agg((F.max("part") + 1).alias("_parts"))
+    blocks = rows.groupBy(device).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks")).join(parts, device)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.select(device, key, "v").join(blocks, device).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")).withColumn("part", spread("_parts")).drop("_parts", "_blocks")
+    meta = F.from_json("params", META)
+    right = models.select(device, "part", "arrays", meta.getField("gamma").alias("gamma")).join(blocks.drop("_parts"), device).withColumn("_block", spread("_blocks")).drop("_blocks")
+
+    def run(some: pa.Table, model: pa.Table) -> pa.Table:
+        value, fits = np.zeros(some.num_rows), np.zeros(some.num_rows, bool)
+        if some.num_rows and model.num_rows and model.column("arrays")[0].is_valid:
+            v = some.column("v").combine_chunks()
+            fits = v.is_valid().to_numpy(zero_copy_only=False)
+            x = matrix(v.drop_null())
+            held = {k: np.asarray(a) for k, a in dict(model.column("arrays")[0].as_py()).items()}
+            if len(x) and algorithm == "ocsvm":
+                value[fits] = svm.products(x, held["v"].reshape(-1, x.shape[1]), held["a"], model.column("gamma")[0].as_py())
+            elif len(x):
+                value[fits] = forests.depths(held, x)
+        return pa.table([some.column(device), some.column(key), pa.array(value, mask=~fits)], names=[device, key, "_value"])
+
+    group = [device, "_block", "part"]
+    found = left.groupBy(*group).cogroup(right.toDF(*right.columns).groupBy(*group)).applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, _value double")
+    total = found.groupBy(device, key).agg(F.sum("_value").alias("_value"))
+    wide = total.join(models.filter("part = 0").select(device, meta.alias("m")), device)
+    score = F.col("m.rho") - F.col("_value") if algorithm == "ocsvm" else forests.score_of(F.col("_value"), F.col("m.trees"), F.col("m.sample"))
+    return wide.select(device, key, F.round(score, 9 if algorithm == "ocsvm" else DIGITS).alias("score"), "m")
 
 
 def score(rows: DataFrame, models: DataFrame, algorithm: str, device: str, key: str, features: list[str]) -> DataFrame:
@@ -100,22 +97,29 @@ def score(rows: DataFrame, models: DataFrame, algorithm: str, device: str, key:
         read = models.select(device, F.from_json("params", HISTOGRAM).alias("m"))
         found = hbos.score(rows, read.select(device, F.inline("m.cells")), device, key, features)
         return hbos.predict(found, read.select(device, F.col("m.threshold").alias("threshold")), device).select(device, key, "score", "prediction")
-    ship(rows.sparkSession)
-    names, kinds = sorted(features), dict(rows.dtypes)
-    blocks = rows.groupBy(device).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks"))
-    left = rows.select(device, key, *names).join(blocks, device).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")).drop("_blocks")
-    right = models.select(device, "params").join(blocks, device).select(device, "params", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-
-    def run(some: pa.Table, model: pa.Table) -> pa.Table:
-        if not some.num_rows or not model.num_rows:
-            return some.select([device, key]).slice(0, 0).append_column("score", pa.nulls(0, pa.float64())).append_column("prediction", pa.nulls(0, pa.int32()))
-        made = unpack(model.column("params")[0].as_py())
-        x = numbers(some, made["features"].tolist())
-        value, flag, fits = np.full(len(x), np.nan), np.zeros(len(x), np.int32), ~np.isnan(x).any(axis=1)
-        if len(made) > 1:
-            value[fits], flag[fits] = judge(algorithm, made, x[fits])
-        else:
-            fits[:] = False
-        return pa.table([some.column(device), some.column(key), pa.array(value, mask=~fits), pa.array(flag, mask=~fits)], names=[device, key, "score", "prediction"])
-
-    return left.groupBy(device, "_block").cogroup(right.groupBy(device, "_block")).applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, score double, prediction int")
+    of = models.filter("part = 0").select(device, F.from_json("params", META).getField("features").alias("features"))
+    asked = vectors(rows, of, device, key, features)
+    if algorithm == "lof":
+        held = models.filter("arrays is not null").select(device, F.from_json("params", META).getField("k").alias("k"), "arrays")
+        trained = settled(lof.unpacked(held, device), "lof-model")
+        asked = settled(asked, "vectors")
+        found = lof.scores(trained, asked.filter("v is not null"), device, key).select(device, key, F.col("lof").alias("score"))
+        out = asked.select(device, key).join(found, [device, key], "left")
+        return out.withColumn("prediction", (F.col("score") > lof.CUT).cast("int"))
+    found = sums(asked, models, algorithm, device, key)
+    limit = F.lit(0.0) if algorithm == "ocsvm" else F.col("m.cut")
+    return found.select(device, key, "score", (F.col("score") > limit).cast("int").alias("prediction"))
+
+
+def nodes(models: DataFrame, device: str) -> DataFrame:
+    """A forest's nodes as rows: device, part, node, tree (of roots, else null), feature (its name; null for leaves), cut, left and value."""
+    meta = F.from_json("params", META)
+    held = models.filter("arrays is not null").select(device, "part", meta.getField("features").alias("_f"), *(F.col("arrays")[n].alias(f"_{n}") for n in (*forests.ARRAYS, "roots")))
+    cells = F.arrays_zip(*(f"_{n}" for n in forests.ARRAYS))
+    rows = held.select(device, "part", "_f", "_roots", F.posexplode(cells).alias("node", "c"))
+    leaf = F.col("c._feature") < 0
+    place = F.array_position("_roots", F.col("node").cast("double"))
+    return rows.select(device, "part", "node", F.when(place > 0, place - 1).alias("tree"), F.when(~leaf, F.get("_f", F.col("c._feature").cast("int"))).alias("feature"), F.col("c._cut").alias("cut"), F.when(~leaf, F.col("c._left").cast("int")).alias("left"), F.when(leaf, F.col("c._value")).alias("value"))
+
+
+__all__ = ["ALGORITHMS", "COLUMNS", "HISTOGRAM", "META", "fit", "nodes", "score", "sums"]

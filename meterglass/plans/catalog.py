@@ -8,15 +8,17 @@ lineitems for nested records, and embeddings for feature vectors.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterglass.functions import exprs as X
 from meterglass.functions.phy import FIELDS, decode_base64
-from meterglass.operators import features, flatten, hbos, lof, metrics, models, prep, registry, training
-from meterglass.runtime import scratch, table
+from meterglass.operators import features, flatten, forests, hbos, knn, lof, metrics, models, prep, registry, training, vectors
+from meterglass.runtime import scratch, settled, table
 from meterglass.sources import io
 from meterglass.sources.io import MESSAGE
 from meterglass.streaming import scoring
@@ -363,6 +365,32 @@ def svd_project(spark, sf_dir):
     return _energy(spark, sf_dir, False)
 
 
+_POWERS = """, gm AS (SELECT a.i AS i, b.i AS j, sum(a.x * b.x) AS g FROM t a JOIN t b USING (vec_id) GROUP BY ALL), g2 AS (SELECT a.i AS i, b.j AS j, sum(a.g * b.g) AS g FROM gm a JOIN gm b ON a.j = b.i GROUP BY ALL)
+SELECT 1 AS power, sum(g) AS total FROM gm WHERE i = j UNION ALL SELECT 2, sum(g * g) FROM gm UNION ALL SELECT 3, sum(a.g * b.g) FROM gm a JOIN g2 b ON a.i = b.j AND a.j = b.i"""
+_SCALED = "v AS (SELECT vec_id, unnest(embedding)::DOUBLE * CASE WHEN generate_subscripts(embedding, 1) = 1 THEN 1e-6 ELSE 1 END AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)"
+
+
+def _components(spark, sf_dir, centred):
+    """Sums of powers of the energies of all components. Energies are those of the eigenvectors if these sums are the traces of the
+    Gramian's powers; of any other orthonormal directions the sums of squares and cubes are smaller."""
+    x = F.transform("embedding", lambda x, i: x.cast("double") * F.when(i == 0, 1e-6).otherwise(1.0))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("embedding"))
+    out = features.project(rows, "embedding", *features.reduction(rows, "embedding", centred, share=2.0))
+    energy = out.select(F.posexplode("projected").alias("i", "z")).groupBy("i").agg(F.sum(F.col("z") * F.col("z")).alias("e"))
+    total = energy.select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("power"), "e").groupBy("power").agg(F.sum(F.pow("e", F.col("power"))).alias("total"))
+    return total.select("power", F.round(F.log("total"), 6).alias("log_total"))
+
+
+@query(f"WITH {_SCALED}, c AS (SELECT i, avg(x) AS m FROM v GROUP BY 1), t AS (SELECT vec_id, i, x - m AS x FROM v JOIN c USING (i)), s AS (SELECT * FROM ({('WITH z AS (SELECT 1)' + _POWERS).replace('WITH z AS (SELECT 1), gm', 'WITH gm')})) SELECT power, round(ln(total), 6) AS log_total FROM s")
+def pca_components(spark, sf_dir):
+    return _components(spark, sf_dir, True)
+
+
+@query(f"WITH {_SCALED}, t AS (SELECT * FROM v), s AS (SELECT * FROM ({('WITH z AS (SELECT 1)' + _POWERS).replace('WITH z AS (SELECT 1), gm', 'WITH gm')})) SELECT power, round(ln(total), 6) AS log_total FROM s")
+def svd_components(spark, sf_dir):
+    return _components(spark, sf_dir, False)
+
+
 def _two_directions(a: str, b: str, c: str) -> str:
     """Projection of (k, value) on the directions of the matrix [[a, b], [b, c]] by device, in closed form."""
     return f"""WITH {P}, g AS (SELECT user_id, {a} AS a, {b} AS b, {c} AS c FROM p GROUP BY 1),
@@ -442,33 +470,104 @@ def lof_scores(spark, sf_dir):
     return lof.lof(rows.filter("training"), rows.filter("not training"), DEVICE, KEY, NUMERIC)
 
 
-PLANTED = f"WITH {P} SELECT user_id, count(*) + 1 AS scored, true AS planted_first, true AS planted_flagged FROM p GROUP BY 1"
-
-
-def _planted(spark, sf_dir, algorithm):
-    """Models are fitted on all rows of each device and one that lies far out, and score them: that one has the greatest score and is flagged."""
-    rows = prepared(spark, sf_dir).drop("training")
-    far = rows.select("user_id").distinct().select((-F.col("user_id") - 1).alias("event_id"), "user_id", F.lit(1e6).alias("value"), F.lit(1e6).alias("k"))
-    rows = rows.unionByName(far)
-    found = models.score(rows, models.fit(rows, algorithm, DEVICE, KEY, NUMERIC), algorithm, DEVICE, KEY, NUMERIC)
-    planted, other = F.col("event_id") < 0, F.col("event_id") >= 0
-    top = lambda c: F.max(F.when(c, F.col("score")))
-    return found.groupBy("user_id").agg(F.count("score").alias("scored"), (top(planted) >= top(other)).alias("planted_first"), (F.max(F.when(planted, F.col("prediction"))) == 1).alias("planted_flagged"))
-
-
-@query(PLANTED)
+def forest_sql(trees: str, sample: str, cut: str) -> str:
+    """A forest grown level by level in SQL from the same draws, on training rows; scores of all rows. Samples are whole here (devices of up to 256 rows)."""
+    draw = f"list_reduce([CAST({forests.SEED} AS UBIGINT), tree::UBIGINT, node::UBIGINT, what::UBIGINT], lambda h, p: list_reduce([{', '.join(f'{c}::UBIGINT' for c in forests.MIXERS)}], lambda a, c: (xor(a, a >> 15) * c) % 4294967296::UBIGINT, (h + p) % 4294967296::UBIGINT), {forests.START}::UBIGINT)"
+    path = lambda n: f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + {float(np.euler_gamma)!r}::DOUBLE) - 2 * ({n} - 1)::DOUBLE / {n} WHEN {n} = 2 THEN 1 ELSE 0 END"
+    most = 11
+    ctes = [
+        f"sz AS MATERIALIZED (SELECT user_id, n, {trees} AS trees, {sample} AS sample, CAST(ceil(log2(greatest(2, {sample}))) AS INT) AS lim FROM (SELECT user_id, count(*) AS n FROM p WHERE training GROUP BY 1))",
+        f"rnd AS MATERIALIZED (SELECT tree, node, (xor(h0, h0 >> 16) + 1)::DOUBLE / 4294967296 AS u0, (xor(h1, h1 >> 16) + 1)::DOUBLE / 4294967296 AS u1, (xor(h2, h2 >> 16) + 1)::DOUBLE / 4294967296 AS u2 FROM (SELECT tree, node, {', '.join(draw.replace('what::', f'{i}::') + f' AS h{i}' for i in range(3))} FROM range((SELECT max(trees) FROM sz)) a(tree), range(1, 1 << (SELECT max(lim) FROM sz)) b(node)))",
+        "t0 AS MATERIALIZED (SELECT p.user_id, event_id, k, value, training, 1 AS node, unnest(range(trees)) AS tree FROM p JOIN sz USING (user_id))",
+    ]
+    for d in range(most + 1):
+        ctes += [
+            f"""n{d} AS MATERIALIZED (SELECT *, n <= 1 OR (a0 = b0 AND a1 = b1) OR lim = {d} AS leaf, a0 < b0 AND (a1 = b1 OR u1 >= u2) AS by_k FROM (SELECT user_id, tree, node, count(*) FILTER (training) AS n, min(k) FILTER (training) AS a0, max(k) FILTER (training) AS b0, min(value) FILTER (training) AS a1, max(value) FILTER (training) AS b1 FROM t{d} GROUP BY ALL) JOIN (SELECT user_id, lim FROM sz) USING (user_id) LEFT JOIN rnd USING (tree, node))""",
+            f"v{d} AS (SELECT t.user_id, t.event_id, {d} + {path('n.n')} AS depth FROM t{d} t JOIN n{d} n USING (user_id, tree, node) WHERE leaf)",
+            f"t{d + 1} AS MATERIALIZED (SELECT t.user_id, event_id, k, value, training, node * 2 + CASE WHEN (CASE WHEN by_k THEN k >= a0 + (b0 - a0) * u0 ELSE value >= a1 + (b1 - a1) * u0 END) THEN 1 ELSE 0 END AS node, tree FROM t{d} t JOIN n{d} n USING (user_id, tree, node) WHERE NOT leaf)",
+        ]
+    ctes.append(f"depths AS (SELECT user_id, event_id, sum(depth) AS total FROM ({' UNION ALL '.join(f'SELECT * FROM v{d}' for d in range(most + 1))}) GROUP BY ALL)")
+    ctes.append(f"scored AS (SELECT user_id, event_id, training, round(pow(2, -(total / trees) / ({path('sample')})), 6) AS score FROM depths JOIN sz USING (user_id) JOIN (SELECT user_id, event_id, training FROM p) USING (user_id, event_id))")
+    return f"WITH {P}, {', '.join(ctes)}, cuts AS (SELECT user_id, {cut} AS cut FROM scored WHERE training GROUP BY 1) SELECT user_id, event_id, score, CAST(score > cut AS INT) AS prediction FROM scored JOIN cuts USING (user_id)"
+
+
+def _fitted_and_scored(spark, sf_dir, algorithm):
+    """Models of the training rows of each device score all of its rows."""
+    rows = settled(prepared(spark, sf_dir), "rows")
+    fitted = settled(models.fit(rows.filter("training"), algorithm, DEVICE, KEY, NUMERIC), "fitted")
+    return rows, fitted, models.score(rows, fitted, algorithm, DEVICE, KEY, NUMERIC)
+
+
+@query(forest_sql("least(100 + round_even(n / 5, 0), 7000)::INT", "least(n, 256)", "0.5"))
 def iforest_a(spark, sf_dir):
-    return _planted(spark, sf_dir, "if_sklearn")
+    return _fitted_and_scored(spark, sf_dir, "if_sklearn")[2]
 
 
-@query(PLANTED)
+@query(forest_sql("least(100 + n // 3, 3000)::INT", "n", "round(quantile_cont(score, 0.82::DOUBLE), 9)"))
 def iforest_b(spark, sf_dir):
-    return _planted(spark, sf_dir, "if_custom")
+    return _fitted_and_scored(spark, sf_dir, "if_custom")[2]
 
 
-@query(PLANTED)
+@query(f"""WITH {P}, x AS (SELECT user_id, unnest([k, value]) AS x FROM p WHERE training), g AS (SELECT user_id, var_pop(x) AS v FROM x GROUP BY 1)
+SELECT user_id, count(*) AS n, round(any_value(1 / (2 * v)), 6) AS gamma, true AS feasible, true AS optimal, true AS outliers_bounded, count(*) AS agreed FROM p JOIN g USING (user_id) WHERE training GROUP BY 1""")
 def ocsvm(spark, sf_dir):
-    return _planted(spark, sf_dir, "ocsvm")
+    """Certificates of optimality: from stored support vectors alone every training row's kernel sum is worked out anew by joins, and with them
+    the conditions that hold for the solution of the dual and for nothing else: weights sum to 1 within their bounds (feasible), and no row's
+    gradient violates them by more than 1e-6 (optimal). agreed: rows whose score is what these sums and rho give."""
+    rows, fitted, found = _fitted_and_scored(spark, sf_dir, "ocsvm")
+    rows = rows.filter("training")
+    meta = F.from_json("params", models.META)
+    cells = F.arrays_zip(F.element_at("arrays", "key").alias("key"), F.element_at("arrays", "a").alias("a"))
+    support = fitted.select("user_id", meta.alias("m"), F.posexplode(cells).alias("i", "c"), F.element_at("arrays", "v").alias("v"))
+    support = support.select("user_id", "m.gamma", "m.rho", F.col("c.key").cast("long").alias("event_id"), F.col("c.a").alias("a"), F.get("v", 2 * F.col("i")).alias("sk"), F.get("v", 2 * F.col("i") + 1).alias("sv"))
+    near = F.exp(-F.col("gamma") * ((F.col("k") - F.col("sk")) ** 2 + (F.col("value") - F.col("sv")) ** 2))
+    g = rows.join(support.drop("event_id"), "user_id").groupBy("user_id", "event_id").agg(F.sum(F.col("a") * near).alias("g"), F.first("gamma").alias("gamma"), F.first("rho").alias("rho"))
+    each = g.join(support.select("user_id", "event_id", "a"), ["user_id", "event_id"], "left").na.fill(0.0, ["a"]).join(found, ["user_id", "event_id"])
+    n, a = F.count("*"), F.col("a")
+    each = each.join(rows.groupBy("user_id").agg((3 / n).alias("most")), "user_id")
+    up, down = F.min(F.when(a < F.col("most") * (1 - 1e-9), F.col("g"))), F.max(F.when(a > 0, F.col("g")))
+    out = each.groupBy("user_id").agg(
+        n.alias("n"), F.round(F.first("gamma"), 6).alias("gamma"), (F.abs(F.sum("a") - 1) < 1e-9).alias("sums"), (F.max(a / F.col("most")) < 1 + 1e-9).alias("bounds"), (F.min("a") >= 0).alias("above"),
+        ((down - up) * n / 3 < 1e-6).alias("optimal"), (F.count_if(F.col("score") > 1e-9) <= n / 3).alias("outliers_bounded"), F.count_if(F.abs(F.col("rho") - F.col("g") - F.col("score")) < 1e-8).alias("agreed"),
+    )
+    return out.select("user_id", "n", "gamma", (F.col("sums") & F.col("bounds") & F.col("above")).alias("feasible"), "optimal", "outliers_bounded", "agreed")
+
+
+GAPPED = LOF_SQL.replace("t AS (SELECT * FROM p WHERE training), s AS (SELECT * FROM p WHERE NOT training)", "q AS (SELECT event_id, user_id, value, training, CASE WHEN user_id % 5 <> 0 THEN k END AS k FROM p), t AS (SELECT * FROM q WHERE training), s AS (SELECT * FROM q WHERE NOT training)").replace("(a.k - b.k) * (a.k - b.k)", "coalesce((a.k - b.k) * (a.k - b.k), 0)")
+
+
+def _gapped(spark, sf_dir):
+    return prepared(spark, sf_dir).withColumn("k", F.when(F.col("user_id") % 5 != 0, F.col("k")))
+
+
+@query(f"SELECT user_id, event_id, round(ln(lof), 6) AS log_lof, prediction FROM ({GAPPED})")
+def lof_gaps(spark, sf_dir):
+    """A feature that some devices never have takes no part in their models, and costs no device."""
+    rows = _gapped(spark, sf_dir)
+    out = lof.lof(rows.filter("training"), rows.filter("not training"), DEVICE, KEY, NUMERIC)
+    return out.select("user_id", "event_id", F.round(F.log("lof"), 6).alias("log_lof"), "prediction")
+
+
+@query(f"WITH {P} SELECT algorithm, user_id, count(*) AS n FROM p, (SELECT unnest({list(models.ALGORITHMS)}) AS algorithm) WHERE NOT training GROUP BY ALL")
+def detectors_keep_devices(spark, sf_dir):
+    """All five algorithms judge the same rows of the same devices, some of which lack a feature."""
+    rows = settled(_gapped(spark, sf_dir), "rows")
+    train, test = rows.filter("training"), rows.filter("not training")
+    judged = lambda a: models.score(test, settled(models.fit(train, a, DEVICE, KEY, NUMERIC), "fitted"), a, DEVICE, KEY, NUMERIC).filter("prediction is not null")
+    return reduce(DataFrame.unionByName, (judged(a).groupBy("user_id").agg(F.count("*").alias("n")).withColumn("algorithm", F.lit(a)) for a in models.ALGORITHMS))
+
+
+@query(f"""WITH {P}, t AS (SELECT user_id, count(*) AS n FROM p WHERE training GROUP BY 1)
+SELECT user_id, count(*) AS rows, any_value(CASE WHEN n <= 32 THEN 1 ELSE 0 END) = 1 AS one_cell, true AS fewer FROM p JOIN t USING (user_id) WHERE NOT training GROUP BY 1""")
+def lof_cells(spark, sf_dir):
+    """How many cells rows are compared with, where cells are small enough for these devices to have several."""
+    rows = prepared(spark, sf_dir)
+    of = vectors.usable(rows.filter("training"), DEVICE, NUMERIC)
+    vector = lambda x: vectors.vectors(x, of, DEVICE, KEY, NUMERIC)
+    train, test = vector(rows.filter("training")), vector(rows.filter("not training")).withColumn("own", F.lit(False))
+    k = train.groupBy("user_id").agg(lof.k_of(F.count("*")).alias("_k"))
+    seen = knn.Search(train, DEVICE, KEY, cell_rows=16).census(test, k)
+    return seen.select("user_id", "rows", (F.col("cells") == 1).alias("one_cell"), (F.col("compared") <= F.col("cells")).alias("fewer"))
 
 
 @query(LOF_SQL)
@@ -517,6 +616,24 @@ def registry_models(spark, sf_dir):
     return training.predict(rows, fitted, "hbos", DEVICE, KEY, NUMERIC)
 
 
+@query(f"""WITH {P}, {ATTACK}, {hbos_ctes('train', 'attacked')}, e AS (SELECT user_id, intrusion, CAST(score > threshold AS INT) AS prediction FROM attacked JOIN rs USING (user_id, event_id) JOIN limits USING (user_id)),
+d AS (SELECT user_id::VARCHAR AS device, count_if(intrusion = 1 AND prediction = 1) AS tp, count_if(intrusion = 0 AND prediction = 0) AS tn, count_if(intrusion = 0 AND prediction = 1) AS fp, count_if(intrusion = 1 AND prediction = 0) AS fn FROM e GROUP BY 1),
+a AS (SELECT device, (tp + tn)::DOUBLE / (tp + tn + fp + fn) AS accuracy, unnest([{{'class': '0', 'hit': tn, 'said': tn + fn, 'support': tn + fp}}, {{'class': '1', 'hit': tp, 'said': tp + fp, 'support': tp + fn}}]) AS s FROM d),
+b AS (SELECT device, accuracy, s.class AS class, CASE WHEN s.said = 0 THEN 0 ELSE s.hit::DOUBLE / s.said END AS precision, CASE WHEN s.support = 0 THEN 0 ELSE s.hit::DOUBLE / s.support END AS recall, s.support AS support FROM a),
+fm AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM b),
+u AS (SELECT device, accuracy, class, precision, recall, f1, support FROM fm
+UNION ALL SELECT device, accuracy, 'macro', avg(precision), avg(recall), avg(f1), sum(support) FROM fm GROUP BY ALL
+UNION ALL SELECT device, accuracy, 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM fm GROUP BY ALL)
+SELECT device, class, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, CAST(support AS BIGINT) AS support FROM u""")
+def registry_metrics(spark, sf_dir):
+    """What each device's model reached on injected attacks is stored with it, loaded, and reported by device."""
+    found = training.evaluate(messages(spark, sf_dir), "hbos", DEVICE, KEY, NUMERIC, POOLS)
+    store = registry.Registry(spark, scratch(spark, "models"))
+    store.store_metrics(training.by_device(found, DEVICE), DEVICE, "rxpk", "hbos", 1)
+    out = metrics.class_report(store.metrics(), ["device"])
+    return out.select("device", "class", *(F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")), "support")
+
+
 # --- logs and tables -------------------------------------------------------------
 
 _H = "upper(md5(CAST(event_id AS STRING)))"

@@ -2,7 +2,10 @@
 
 Batches are written under their number, so a batch that runs again replaces its own output: scores, normal rows
 (the history) and model versions alike. A batch is scored by the models of earlier batches; a device without a model gathers
-history until it has enough rows to learn from.
+history until it has enough rows to learn from. Rows are numbered as they arrive, so messages that repeat are scored and kept each.
+
+A refit touches the devices that the batch has added rows of, and reads their history alone: every COMPACT batches the
+history becomes one folder dealt by device into buckets (sources/store.py), its moments one row a device, and models that later ones have replaced go.
 """
 
 from __future__ import annotations
@@ -14,8 +17,11 @@ from pyspark.sql import functions as F
 
 from meterglass.operators import training
 from meterglass.operators.prep import size_gate
-from meterglass.operators.registry import Registry
-from meterglass.sources.io import exists
+from meterglass.operators.registry import KEYS, Registry, current
+from meterglass.runtime import discard, settled
+from meterglass.sources.store import Store, bucket_of
+
+COMPACT = 20
 
 
 def is_uplink(message) -> F.Column:
@@ -74,6 +80,7 @@ class Scorer:
         reduction: str | None = None,
         registry: str | None = None,
         msg_type: str = "rxpk",
+        compact: int = COMPACT,
     ):
         if keep is not None and time is None:
             raise ValueError("keep needs a time column")
@@ -82,24 +89,34 @@ class Scorer:
         self.columns = list(dict.fromkeys([device, key, *features, *([time] if time else [])]))
         self.spark, self.folder, self.device, self.key, self.features, self.least = spark, folder, device, key, features, least
         self.refit, self.keep, self.time, self.algorithm, self.scale, self.reduction, self.msg_type = refit, keep, time, algorithm, scale, reduction, msg_type
+        self.compact_every = compact
         self.registry = Registry(spark, registry or f"{folder}/models")
+        self.past, self.sums = Store(spark, f"{folder}/history", by=device), Store(spark, f"{folder}/moments", by=device)
+
+    def arrived(self, df: DataFrame, number: int) -> DataFrame:
+        """The rows of a batch, kept under the numbers that they have from now on."""
+        rows = df.select(*self.columns).withColumn("_row", F.concat(F.lit(f"{number}-"), F.monotonically_increasing_id().cast("string")))
+        self.past.schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+        self.sums.schema = ", ".join([f"`{self.device}` {dict(rows.dtypes)[self.device]}", *(f"`_s_{c}` double" for c in self.features), *(f"`_n_{c}` bigint" for c in self.features)])
+        return settled(rows, "batch")
 
     def seed(self, rows: DataFrame) -> None:
         """Cold start: the history before the first batch, and models of the devices with enough of it (but for those that have one)."""
-        self.remember(rows.select(*self.columns), -1)
-        past = self.history(0)
+        self.remember(self.arrived(rows, -1), -1)
+        past = self.past.read(lambda e: e["v"] < 0)
         fresh = past.join(self.models(0, dict(rows.dtypes)[self.device]).select(self.device), self.device, "left_anti")
         self.learn(fresh, 0)
 
     def remember(self, rows: DataFrame, number: int) -> None:
         """Rows of the history, and their moments: imputation reads the moments alone."""
-        path = f"{self.folder}/history/v={number}"
-        rows.write.mode("overwrite").parquet(path)
-        moments(self.spark.read.schema(rows.schema).parquet(path), self.device, self.features).write.mode("overwrite").parquet(f"{self.folder}/moments/v={number}")
+        self.past.write(rows, f"batch/{number}", number)
+        own = self.past.read(lambda e: e["tag"] == f"batch/{number}")
+        self.sums.write(moments(own, self.device, self.features), f"batch/{number}", number)
 
-    def history(self, before: int, what: str = "history") -> DataFrame | None:
-        path = f"{self.folder}/{what}"
-        return self.spark.read.parquet(path).filter(F.col("v") < before).drop("v") if exists(self.spark, path) else None
+    def history(self, before: int) -> DataFrame | None:
+        """The rows kept before a batch, repeats too."""
+        found = self.past.read(lambda e: e["v"] < before)
+        return found if found is None else found.drop("_row")
 
     def models(self, before: int, kind: str) -> DataFrame:
         """The latest models of versions up to `before`: those of batch n are version n + 1, of seeding 0, of batch training less."""
@@ -107,32 +124,47 @@ class Scorer:
         return training.loaded(own, self.device, kind)
 
     def learn(self, rows: DataFrame, version: int) -> None:
-        d, k = self.device, self.key
+        d = self.device
         train = size_gate(rows, d, self.least)
         if self.keep is not None:
-            newest = Window.partitionBy(d).orderBy(F.desc(self.time), F.desc(k))
+            newest = Window.partitionBy(d).orderBy(F.desc(self.time), F.desc(self.key))
             train = train.withColumn("_at", F.row_number().over(newest)).filter(F.col("_at") <= self.keep).drop("_at")
-        train = imputed(train, moments(train, d, self.features), d, self.features)
-        fitted = training.fit(train, self.algorithm, d, k, self.features, self.scale, self.reduction)
+        train = settled(imputed(train, moments(train, d, self.features), d, self.features), "learned-from")
+        fitted = training.fit(train, self.algorithm, d, "_row", self.features, self.scale, self.reduction)
         self.registry.store(training.stored(fitted, d, self.msg_type, self.algorithm), version, f"{self.msg_type}-{self.algorithm}")
+        discard(train)
 
     def batch(self, df: DataFrame, number: int) -> None:
         d, k, f = self.device, self.key, self.features
-        # a message that comes twice in a batch counts once
-        df = df.select(*self.columns).dropDuplicates([d, k]).persist()
+        df = self.arrived(df, number)
         if not df.isEmpty():
-            known, past = moments(df, d, f), self.history(number, "moments")
+            known, past = moments(df, d, f), self.sums.read(lambda e: e["v"] < number)
             rows = imputed(df, known if past is None else known.unionByName(past), d, f)
-            found = training.predict(rows, self.models(number, dict(df.dtypes)[d]), self.algorithm, d, k, f)
-            scored = df.select(d, k).join(found.select(d, k, "score", "prediction"), [d, k], "left").persist()
-            scored.write.mode("overwrite").parquet(f"{self.folder}/scored/batch={number}")
-            normal = df.join(scored.filter("prediction = 1").select(d, k), [d, k], "left_anti")
+            found = training.predict(rows, self.models(number, dict(df.dtypes)[d]), self.algorithm, d, "_row", f)
+            scored = settled(df.select(d, k, "_row").join(found.select(d, "_row", "score", "prediction"), [d, "_row"], "left"), "scored")
+            scored.drop("_row").write.mode("overwrite").parquet(f"{self.folder}/scored/batch={number}")
+            normal = df.join(scored.filter("prediction = 1").select(d, "_row"), [d, "_row"], "left_anti").select(*df.columns)
             self.remember(normal, number)
             if self.refit != "never":
-                latest = self.spark.read.parquet(f"{self.folder}/history/v={number}")
-                self.learn(latest if self.refit == "batch" else self.history(number + 1), number + 1)
-            scored.unpersist()
-        df.unpersist()
+                latest = self.past.read(lambda e: e["tag"] == f"batch/{number}")
+                self.learn(latest if self.refit == "batch" else self.of_devices(latest, number + 1), number + 1)
+            discard(scored)
+            if self.compact_every and number % self.compact_every == self.compact_every - 1:
+                self.tidy(number)
+        discard(df)
+
+    def of_devices(self, latest: DataFrame, before: int) -> DataFrame:
+        """The history of the devices that rows are of; of what is compacted only their buckets are opened."""
+        buckets = {r.b for r in latest.select(bucket_of(F.col(self.device)).alias("b")).distinct().collect()}  # as many as buckets
+        return self.past.read(lambda e: e["v"] < before, buckets).join(latest.select(self.device).distinct(), self.device, "left_semi")
+
+    def tidy(self, number: int) -> None:
+        """Compact what batches before this one, which may run again, have left."""
+        d = self.device
+        total = lambda rows: rows.groupBy(d).agg(*(F.sum(c).alias(c) for c in rows.columns if c != d))
+        self.past.compact(number)
+        self.sums.compact(number, lambda rows: total(rows))
+        self.registry.models.compact(number, lambda rows: current(rows, KEYS, "version"))
 
     def scored(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/scored").drop("batch")

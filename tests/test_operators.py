@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterglass.operators import features, flatten, hbos, lof, metrics, models, prep, registry, training, trees
+from meterglass.operators import features, flatten, forests, hbos, lof, metrics, models, prep, quantiles, registry, svm, training
 from meterglass.sources import io
 from meterglass.streaming import scoring
 
@@ -205,33 +205,164 @@ def test_transforms_by_device_equal_numpy(spark, reduction):
         assert np.allclose(got, want)
 
 
-def test_blocks_of_neighbours_equal_whole_matrices(spark):
-    rng = np.random.default_rng(9)
-    rows = [(d, i, float(x), float(y), i % 4 > 0) for d, n in ((1, 150), (2, 30)) for i, (x, y) in enumerate(np.round(rng.normal(size=(n, 2)), 1))]
-    df = spark.createDataFrame(rows, "d int, i int, x double, y double, training boolean")
-    train, test = df.filter("training").withColumn("_k", F.lit(7)), df.filter("not training")
-    for a, out in ((train, True), (test, False)):
-        small = lof.neighbours(a, train, "d", "i", ["x", "y"], out, block=16).collect()
-        whole = lof.neighbours(a, train, "d", "i", ["x", "y"], out).collect()
-        assert sorted(small) == sorted(whole) and len(whole) == 7 * a.count()
-    stored = models.score(test, models.fit(train, "lof", "d", "i", ["x", "y"]), "lof", "d", "i", ["x", "y"])
-    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, lof.lof(train.drop("_k"), test, "d", "i", ["x", "y"]).collect()))
+def brute_lof(train, rows, keys, k):
+    """LOF of rows (each with whether it is training row i, else -1) by whole matrices."""
 
+    def near(x, own):
+        d = np.round(np.sqrt(((train - x) ** 2).sum(axis=1)), 9)
+        if own >= 0:
+            d[own] = np.inf
+        order = np.lexsort((keys, d))[:k]
+        return order, d[order]
 
-def test_svm_without_the_whole_kernel_equals_that_with_it():
-    x = np.random.default_rng(1).normal(size=(90, 3))
-    a, b = trees.svm_fit(x), trees.svm_fit(x, held=10)
-    assert a["converged"] and b["converged"] and np.allclose(trees.svm_values(a, x), trees.svm_values(b, x), atol=1e-9)
-    assert abs((trees.svm_values(a, x) < -1e-9).mean() - 1 / 3) < 0.05
+    own = [near(x, i) for i, x in enumerate(train)]
+    kd = np.array([d[-1] for _, d in own])
+    lrd = np.array([1 / (np.maximum(d, kd[o]).mean() + 1e-10) for o, d in own])
+    found = [near(x, -1) for x in rows]
+    return [round(lrd[o].mean() * (np.maximum(d, kd[o]).mean() + 1e-10), 6) for o, d in found]
 
 
-def test_forests_store_what_they_score_with():
+@pytest.mark.parametrize("sizes", [{}, {"cell_rows": 16, "block_train": 8, "block_rows": 20}])
+def test_lof_by_cells_equals_whole_matrices(spark, sizes):
+    rng = np.random.default_rng(9)
+    rows = [(d, i, float(x), float(y), i % 4 > 0) for d, n in ((1, 240), (2, 40)) for i, (x, y) in enumerate(np.round(rng.normal(size=(n, 2)), 1))]
+    rows += [(1, 1000 + i, 0.5, 0.5, i % 4 > 0) for i in range(120)]  # a third of all are copies
+    df = spark.createDataFrame(rows, "d int, i int, x double, y double, training boolean")
+    train, test = df.filter("training"), df.filter("not training")
+    got = {(r.d, r.i): r.lof for r in lof.lof(train, test, "d", "i", ["x", "y"], **sizes).collect()}
+    for d in (1, 2):
+        known = [r for r in rows if r[0] == d and r[4]]
+        asked = [r for r in rows if r[0] == d and not r[4]]
+        x = np.array([r[2:4] for r in known])
+        want = brute_lof(x, np.array([r[2:4] for r in asked]), np.array([r[1] for r in known]), max(5, min(round(0.01 * len(known)), 15)))
+        assert [got[d, r[1]] for r in asked] == pytest.approx(want, abs=2e-6)
+    if not sizes:
+        stored = models.score(test, models.fit(train, "lof", "d", "i", ["x", "y"]), "lof", "d", "i", ["x", "y"])
+        assert {(r.d, r.i): r.score for r in stored.collect()} == pytest.approx(got, abs=2e-6)
+
+
+def test_cells_are_few_that_a_row_is_compared_with(spark):
+    from meterglass.operators.knn import Search
+
+    n = 60_000
+    rows = spark.range(n).selectExpr("1 as d", "id as i", "array(rand(3) * 100, rand(4) * 100) as v").persist()
+    k = spark.createDataFrame([(1, 15)], "d int, _k int")
+    seen = Search(rows, "d", "i").census(rows.withColumn("own", F.lit(True)), k).first()
+    assert seen.rows == n and seen.cells > 40 and seen.compared < seen.cells / 4
+
+
+@pytest.mark.parametrize("algorithm", models.ALGORITHMS)
+def test_all_null_and_partly_null_features_lose_no_device(spark, algorithm):
+    rng = np.random.default_rng(4)
+    rows = [(d, i, float(rng.normal()), None if d == 1 or i % 7 == 0 else float(rng.normal()), None) for d in (1, 2) for i in range(70)]
+    df = spark.createDataFrame(rows, "d int, i int, x double, y double, z double")
+    found = training.evaluate(df, algorithm, "d", "i", ["x", "y", "z"], {"x": [50.0], "y": [70.0]})
+    by = {r.d: r for r in training.by_device(found, "d").collect()}
+    assert {d: sum(r[1:]) for d, r in by.items()} == {r.d: r.n for r in training.prepare(df, "d", "i", ["x"]).filter("not training").groupBy("d").agg(F.count("*").alias("n")).collect()}
+    assert found.filter("prediction is null").isEmpty() and all(r.tp for r in by.values())
+
+
+def test_forests_are_the_same_whatever_the_partitions(spark):
+    rng = np.random.default_rng(2)
+    rows = [(d, i, float(a), float(b)) for d, n in ((1, 700), (2, 60)) for i, (a, b) in enumerate(rng.normal(size=(n, 2)))]
+    df = spark.createDataFrame(rows, "d int, i int, x double, y double")
+    for algorithm in ("if_sklearn", "if_custom"):
+        score = lambda x, a=algorithm: sorted(map(tuple, models.score(x, models.fit(x, a, "d", "i", ["x", "y"]), a, "d", "i", ["x", "y"]).collect()))
+        assert score(df) == score(df.repartition(7, "x"))
+    fitted = models.fit(df, "if_custom", "d", "i", ["x", "y"])
+    nodes = models.nodes(fitted, "d")
+    trees = {r.d: (r.n, r.t) for r in nodes.groupBy("d").agg(F.count("tree").alias("n"), F.count("feature").alias("t")).collect()}
+    assert trees[1][0] == 100 + 700 // 3 and trees[2][0] == 120 and nodes.filter("feature is null").count() == sum(a + b for a, b in trees.values())
+
+
+def test_a_part_draws_from_its_share_of_a_large_device(spark):
+    rows = spark.range(6000).selectExpr("1 as d", "id as i", "array(rand(3), rand(4)) as v").persist()
+    seen = forests.fit(rows, "if_sklearn", "d", "i", pool=600, nodes=51200)
+    parts = seen.select("part", "trees", "sample", F.size(F.element_at("arrays", "roots")).alias("n")).orderBy("part").collect()
+    assert [r.part for r in parts] == list(range(13)) and sum(r.n for r in parts) == parts[0].trees == 1300 and parts[0].sample == 256
     x = np.random.default_rng(2).normal(size=(300, 3))
-    forest = models.unpack(models.pack(trees.forest_fit(x, 60, 64)))
-    score = trees.forest_scores(forest, np.vstack([x, [[30, 30, 30]]]))
-    assert score.argmax() == 300 and 0 < score.min() and score.max() < 1
-    leaf = forest["feature"] < 0
-    assert (forest["left"][~leaf] > 0).all() and forest["cut"].size == 60 + 2 * (~leaf).sum()
+    made = forests.fit_part(x, np.arange(300), np.arange(60), 64)
+    depth = forests.depths(made, np.vstack([x, [[30, 30, 30]]]))
+    leaf = made["feature"] < 0
+    assert depth.argmin() == 300 and made["cut"].size == 60 + 2 * (~leaf).sum() and (made["left"][~leaf] > 0).all()
+
+
+def kkt(rows, alpha, nu=1 / 3):
+    """The largest violation of the optimality conditions of the one-class dual, in numpy."""
+    gamma = 1 / (rows.shape[1] * rows.var())
+    g = np.exp(-gamma * ((rows[:, None] - rows[None]) ** 2).sum(axis=2)) @ alpha
+    most = 1 / (nu * len(rows))
+    assert alpha.min() >= 0 and alpha.max() <= most * (1 + 1e-9) and alpha.sum() == pytest.approx(1)
+    return (g[alpha > most * 1e-9].max() - g[alpha < most * (1 - 1e-9)].min()) * nu * len(rows)
+
+
+def test_svm_across_tasks_is_optimal(spark):
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=(500, 2)), rng.normal(size=(60, 2)) + 6])
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "d int, i int, v array<double>")
+    whole, parts = (svm.solution(df, "d", "i", **named)[0].orderBy("i").collect() for named in ({}, {"chunk": 120, "working": 80}))
+    assert kkt(x, np.array([r.a for r in whole])) < 1e-9 and kkt(x, np.array([r.a for r in parts])) < 2e-7
+    assert np.allclose([r.g for r in whole], [r.g for r in parts], atol=1e-8)
+    model = svm.fit(df, "d", "i").first()
+    f = np.array([r.g for r in whole]) - model.rho
+    assert model.gap < 1e-9 and abs((f < -1e-9).mean() - 1 / 3) < 0.05
+
+
+def test_quantiles_equal_sorting(spark):
+    rng = np.random.default_rng(3)
+    groups = {1: rng.normal(size=900), 2: np.full(500, 7.0), 3: np.concatenate([rng.random(400), [1e300, -1e9]]), 4: np.repeat([1.0, 2.0, 5.0], [300, 1, 300]), 5: np.array([4.0]), 6: np.exp(rng.normal(size=500) * 9)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [(1, None), (7, None), (2, float("nan"))], "g int, x double")
+    for share in (0.0, 2 / 3, 0.5, 0.82, 1.0):
+        for held in (10, 20_000):
+            got = {r.g: r.value for r in quantiles.quantile(df, "g", "x", share, bins=8, held=held).collect()}
+            assert got == pytest.approx({g: float(np.quantile(x, share)) for g, x in groups.items()})
+
+
+def test_two_writers_of_one_store_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    known = registry.Registry(spark, str(tmp_path / "r"))
+    frame = lambda n: spark.createDataFrame([(f"d{n}", "rxpk", "hbos", str(n)), ("all", "rxpk", "hbos", str(n))], "device string, msg_type string, algorithm string, params string")
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda n: known.next(frame(n), "rxpk-hbos"), range(8)))
+    assert sorted(versions) == list(range(8)) and known.all().count() == 16 and known.load().count() == 9
+    assert known.find("all", "rxpk", "hbos").first().params == str(versions.index(7))
+    assert not known.store(frame(9), 8, "rxpk-hbos", expected=3) and known.all().count() == 16
+
+
+def test_an_interrupted_compaction_changes_nothing(spark, tmp_path, monkeypatch):
+    from meterglass.sources.store import Store
+
+    held = Store(spark, str(tmp_path / "s"), "d string, x int", by="d")
+    for n in range(5):
+        held.write(spark.range(40).selectExpr(f"cast(id % 5 as string) as d", f"cast(id + {100 * n} as int) as x"), f"batch/{n}", n)
+    held.write(spark.createDataFrame([("7", 1)], "d string, x int"), "batch/4", 4)  # a batch that runs again
+    rows = lambda **named: sorted(map(tuple, held.read(**named).collect()))
+    before = rows()
+    assert len(before) == 161
+    monkeypatch.setattr(Store, "_put", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        held.compact(4)
+    monkeypatch.undo()
+    assert rows() == before and held.vacuum(1) == 2
+    assert held.compact(4) and rows() == before and [e["v"] for e in held.entries()] == [3, 4]
+    own = {r.b for r in spark.sql("select pmod(xxhash64('3'), 64) as b").collect()}
+    assert {r for r in rows(buckets=own) if r[0] == "3"} == {r for r in before if r[0] == "3"} and len(rows(buckets=own)) < 120
+    held.vacuum(1)
+    assert rows() == before and not held.compact(4)
+
+
+def test_histories_of_a_batch_s_devices_alone_are_read_and_compacted(spark, tmp_path):
+    scorer = scoring.Scorer(spark, str(tmp_path / "s"), "user_id", "event_id", ["value"], 50, compact=3)
+    rows = spark.range(600).selectExpr("id % 4 as user_id", "id as event_id", "cast(id * 7919 % 101 as double) as value")
+    scorer.seed(rows)
+    for n in range(4):
+        scorer.batch(rows.filter(f"user_id = {n % 2} and event_id < 40").unionByName(rows.filter("event_id = 0")), n)
+    versions = {(r.device, r.version) for r in scorer.registry.load().select("device", "version").distinct().collect()}
+    assert versions == {("0", 4), ("1", 4), ("2", 0), ("3", 0)}  # the others keep their first models; device 0 is in each batch
+    assert len(scorer.past.entries()) == 3 and scorer.scored().count() == 44 and scorer.history(99).count() <= 644
+    # the message that comes twice in a batch is scored twice
+    assert scorer.spark.read.parquet(f"{scorer.folder}/scored/batch=0").filter("event_id = 0").count() == 2
 
 
 @pytest.mark.parametrize("algorithm", ["if_custom", "ocsvm", "lof"])
@@ -245,7 +376,7 @@ def test_streams_are_scored_by_all_models(spark, messages, tmp_path, algorithm):
     assert len(rows) == late.count() and all((r.score is None) == (r.user_id == 2) for r in rows)
     assert all(r.prediction == 1 for r in rows if r.event_id % 10 == 0 and r.user_id != 2)
     # no device has enough normal rows in the batch: the seeded models stay
-    assert scorer.models(1, "int").count() == 2 and scorer.registry.all().filter("version = 1").isEmpty()
+    assert scorer.models(1, "int").select("user_id").distinct().count() == 2 and scorer.registry.all().filter("version = 1").isEmpty()
 
 
 def test_commands_from_log_to_scored_stream(spark, tmp_path):
@@ -263,6 +394,7 @@ def test_commands_from_log_to_scored_stream(spark, tmp_path):
         assert {r["class"] for r in report} == {"0", "1", "macro", "weighted"}
     assert len(cli.train(spark, args("train"), "txpk").collect()) == 4
     known = registry.Registry(spark, str(tmp_path / "out" / "models"))
+    assert known.metrics().select(F.sum(F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))).first()[0] > 20
     assert {(r.device, r.msg_type, r.algorithm) for r in known.load().collect()} == {("26012619", "rxpk", "if_sklearn"), ("26012620", "rxpk", "if_sklearn"), ("01", "txpk", "hbos")} | {("26012619", "rxpk", "hbos"), ("26012620", "rxpk", "hbos")}
     (tmp_path / "in").mkdir()
     frame = '{"rxpk":[{"chan":1,"codr":"4/5","data":"QBkmASYABQABqrvM3REiM0Q=","datr":"SF9BW125","freq":868.1,"lsnr":99.0,"rssi":-10,"size":17,"tmst":5}]}'
