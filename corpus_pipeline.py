@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meterglass.llm import bagminhash, exact_dedup, fertility, mixing, sentencepiece_codec
-from meterglass.runtime import drop_since, scratch_mark, settled, table
+from meterglass.runtime import holding, keep_only, settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's result; what earlier stages wrote goes once the next one's result is whole."""
+    """The last stage's result; what earlier stages wrote goes once the next one's result is whole.
+
+    Null and empty texts fall to the quality rules, as every text of less than 50 words does; rows that repeat, and rows
+    without a doc_id, are judged by their texts, and one of equal ones stays; columns other than doc_id and text pass
+    through unchanged, whatever their names; empty tables give an empty result, and without labels mixing keeps every document."""
     docs = table(spark, sf_dir, "documents")
-    mark = scratch_mark()
-    for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        drop_since(spark, mark, docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with holding() as own:
+        for name, stage in STAGES[:-1]:
+            docs = settled(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            keep_only(docs, own)
+        return STAGES[-1][1](spark, docs, sf_dir)

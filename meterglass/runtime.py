@@ -8,6 +8,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,13 +54,26 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "meterglass-shared")
 
 
-_HELD: list[str] = []
+#: The scratch paths of what runs in holding(), each thread and task its own.
+_OWN: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def holding() -> Iterator[list[str]]:
+    """The scratch paths that are made in here: those of other queries, which may run beside this one, are not among them."""
+    own: list[str] = []
+    token = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        _OWN.reset(token)
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     path = f"{shared_dir(spark)}/meterglass/{what}-{uuid.uuid4().hex}"
-    _HELD.append(path)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
     return path
 
 
@@ -76,8 +92,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _HELD:
-        _HELD.remove(path)
+    if (own := _OWN.get()) is not None and path in own:
+        own.remove(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -85,16 +101,10 @@ def discard(df: DataFrame) -> None:
     drop_path(df.sparkSession, df.settled_at)
 
 
-def scratch_mark() -> int:
-    """A mark for drop_since."""
-    return len(_HELD)
-
-
-def drop_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
-    """Delete the scratch paths made since a mark, but for that of a settled frame which no longer needs the others."""
-    for path in _HELD[mark:]:
-        if path != keep.settled_at:
-            drop_path(spark, path)
+def keep_only(df: DataFrame, own: list[str]) -> None:
+    """Delete the scratch paths that are held, but for that of a settled frame which no longer needs the others."""
+    for path in [p for p in own if p != df.settled_at]:
+        drop_path(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -426,6 +426,21 @@ def test_datagrams_of_a_new_start_keep_the_earlier_ones(tmp_path):
         assert len(list(tmp_path.glob("*.txt"))) == 2 * n
 
 
+def test_scratch_paths_belong_to_those_who_made_them(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from meterglass.runtime import holding, keep_only, settled
+
+    with holding() as own:
+        first = settled(spark.range(5), "mine")
+        with ThreadPoolExecutor(1) as pool:
+            other = pool.submit(settled, spark.range(7), "theirs").result()
+        second = settled(first.selectExpr("id + 1 as id"), "mine")
+        keep_only(second, own)
+        assert own == [second.settled_at]
+    assert other.count() == 7 and second.count() == 5 and not io.exists(spark, first.settled_at)
+
+
 def test_booleans_at_any_depth(spark):
     df = spark.sql("select true as a, named_struct('b', false, 'c', array(named_struct('d', true, 'e', 'x'), null)) as s, cast(null as struct<f: boolean>) as n")
     row = flatten.booleans_to_int(df).first()
