@@ -364,10 +364,8 @@ def classified(docs: DataFrame, similarity: float, bands: int = BANDS, rows_of_b
     rest = settled(placed.join(mixed, "band", "left_semi").select("hub", "node", "comp").distinct(), "rest")
     known = settled(against_hubs(rest.select("hub", "node"), texts), "known")
     found = spanning_links(rest.join(known, ["hub", "node"]), similarity)
-    # differences are compared by 64-bit hashes, links by their texts
-    more = settled(verified(found, texts), "more")
-    if not more.filter(F.col("sim") < similarity).isEmpty():
-        raise ValueError("two different shingles have one 64-bit hash")
+    # differences are compared by 64-bit hashes, links by their texts: where two different shingles have one hash, a link that is none goes
+    more = settled(verified(found, texts).filter(F.col("sim") >= similarity), "more")
     if not more.isEmpty():
         comps = components(links.select("a", "b").union(more.select("a", "b")))
 
@@ -394,12 +392,15 @@ def kept_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     (null is the largest), then of the least node, then of the least text."""
     groups = classified(docs, similarity).filter("class_size > 1").groupBy("doc_id", "node").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     groups = settled(groups.filter("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "kept"), "gone")
-    words = F.array_join(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), " ")
-    wide = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), F.unhex(F.substring(F.sha2(words, 256), 1, 32)).alias("__node"))
-    out = wide.join(groups.select("__id", "__node"), ["__id", "__node"], "left_anti").select("row.*")
+    # columns by place, whatever their names
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    text, doc_id = (F.col(own[docs.columns.index(c)]) for c in ("text", "doc_id"))
+    words = F.array_join(F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), " ")
+    wide = docs.toDF(*own).select(F.struct(*own).alias("row"), F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("__id"), F.unhex(F.substring(F.sha2(words, 256), 1, 32)).alias("__node"), text.cast("string").alias("__text"))
+    out = wide.join(groups.select("__id", "__node"), ["__id", "__node"], "left_anti").select("row.*").toDF(*docs.columns)
     again = groups.filter("kept")
     if again.isEmpty():
         return out
     # rows of one doc_id and one word sequence that lead their class together
-    one = wide.join(again.select("__id", "__node"), ["__id", "__node"], "left_semi").groupBy("__id", "__node").agg(F.min_by("row", F.col("row.text").cast("string")).alias("row"))
-    return out.unionByName(one.select("row.*"))
+    one = wide.join(again.select("__id", "__node"), ["__id", "__node"], "left_semi").groupBy("__id", "__node").agg(F.min_by("row", "__text").alias("row"))
+    return out.union(one.select("row.*"))

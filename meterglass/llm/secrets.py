@@ -13,8 +13,9 @@ original. Decoded bytes need not be text: those that are not UTF-8 are replaced,
 ASCII in 16-bit units is read as well.
 
 Data that unpacks to more than `most_unpacked` bytes is scanned in windows of that size
-that overlap, and counted in n_oversized. Not followed to its end is only oversized data
-inside oversized data, of which the first window is read: nested bombs have no bound.
+that overlap, and counted in n_oversized. Oversized data inside oversized data is read in such
+windows too, up to NESTED times as many bytes in all for a document, as nested bombs have
+no bound; n_unread says how many streams were left beyond that budget.
 
 Kinds, in this order: assign, access, hex (patterns below).
 
@@ -60,7 +61,15 @@ NAMED = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 FEED, OVERLAP = 256, 1 << 16
 STRAY = re.compile("[\udc80-\udcff]")
 WIDE = re.compile(rb"(?:[\x01-\x7f]\x00){4,}|(?:\x00[\x01-\x7f]){4,}")  # ASCII in UTF-16 of either order
-MOST_UNPACKED = 64 << 20
+MOST_UNPACKED, NESTED = 64 << 20, 8
+
+
+class Seen(set):
+    """The layers of a document that were followed, how many bytes of nested oversized data may still be, and the streams that were left."""
+
+    def __init__(self, items: set, left: int):
+        super().__init__(items)
+        self.left, self.unread = left, 0
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -220,15 +229,16 @@ def contents(raw: bytes, start: np.ndarray, end: np.ndarray, most: int, inside:
         if large and a != last:
             last = a
             yield None
-        elif large and inside:
-            continue
+        if large and inside:
+            seen.left -= len(data)
+            if seen.left < 0:
+                seen.unread += 1
+                return
         x, y = (int(start[0]), int(end[0])) if start.strides == (0,) else (int(start[a:b].min()), int(end[a:b].max()))
         mark = ("data", hashlib.sha256(data).digest(), x, y)
         if mark not in seen:
             seen.add(mark)
             yield from contents(data, same(x, len(data)), same(y, len(data)), most, inside or large, seen)
-        if large and inside:
-            return
 
 
 def tokens(layer: Layer, most: int, seen: set) -> Iterator[Layer | None]:
@@ -315,14 +325,19 @@ def inner_layers(layer: Layer, most: int, seen: set) -> Iterator[Layer | None]:
 
 def find(text: str, most: int = MOST_UNPACKED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans (both as start, kind, end), and how many streams were oversized."""
+    return followed(text, most)[:3]
+
+
+def followed(text: str, most: int = MOST_UNPACKED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
+    """The same, and how many streams were left unread."""
     base = scan(text)
     if not marked(text):
-        return base, base, 0
+        return base, base, 0, 0
     found, bombs = set(base), 0
     place = np.arange(len(text))
     mark = lambda layer: (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), int(layer.start[0]), int(layer.end[-1]))
     whole = Layer(text, place, place + 1)
-    seen = {mark(whole)}
+    seen = Seen({mark(whole)}, NESTED * most)
     # depth first, so that few layers are held at a time
     work = [inner_layers(whole, most, seen)]
     while work:
@@ -341,7 +356,7 @@ def find(text: str, most: int = MOST_UNPACKED) -> tuple[list[tuple[int, int, int
                 break
         else:
             work.pop()
-    return base, sorted(found), bombs
+    return base, sorted(found), bombs, seen.unread
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -349,24 +364,25 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secret_scan(docs: DataFrame, most_unpacked: int = MOST_UNPACKED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_oversized."""
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_oversized, n_unread."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digest, spans, large = [[], [], []], [], [], []
+            counts, digest, spans, large, left = [[], [], []], [], [], [], []
             for text in batch.column("text"):
-                base, every, bombs = find(text.as_py() or "", most_unpacked)
+                base, every, bombs, unread = followed(text.as_py() or "", most_unpacked)
                 for k in range(3):
                     counts[k].append(sum(s[1] == k for s in base))
                 digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(every))
                 large.append(bombs)
-            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(large, pa.int64())]
-            yield pa.record_batch(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_oversized"])
+                left.append(unread)
+            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(large, pa.int64()), pa.array(left, pa.int64())]
+            yield pa.record_batch(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_oversized", "n_unread"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_oversized long")
+    return source.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_oversized long, n_unread long")
 
 
 # Each pattern's matches, and the pieces between them, give the places; group 2 of assign has 8 characters or more.
