@@ -43,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--refit", choices=("history", "batch", "never"), default="history")
     p.add_argument("--kafka", default="localhost:9092")
     p.add_argument("--messages", default=None, help="folder of message files to read in place of Kafka")
+    p.add_argument("--udp_port", type=int, default=None, help="port of UDP datagrams to read in place of Kafka")
+    p.add_argument("--spool", default="./spool", help="folder that keeps datagrams until their batch is done")
     p.add_argument("--every", default=None, help="interval of micro-batches")
     p.add_argument("--available_now", action="store_true", help="process what has arrived and end")
     return p
@@ -88,7 +90,10 @@ def train(spark: SparkSession, args: argparse.Namespace, kind: str) -> DataFrame
 
 def stream(spark: SparkSession, args: argparse.Namespace) -> Scorer:
     """Score uplink messages as they arrive, until stopped (or all that has arrived, with --available_now)."""
-    messages = io.file_messages(spark, args.messages) if args.messages else io.kafka_messages(spark, args.kafka)
+    if args.udp_port is not None:
+        messages = io.datagram_messages(spark, args.udp_port, args.spool)
+    else:
+        messages = io.file_messages(spark, args.messages) if args.messages else io.kafka_messages(spark, args.kafka)
     rows = clean(flatten_stream(messages.filter(is_uplink(F.col("message")))))
     used = numeric(rows)
     rows = keyed(rows, used)

@@ -1,4 +1,9 @@
-"""Feature vectors: assembly, scaling, and reduction from one Gramian aggregate."""
+"""Feature vectors: assembly, scaling, and reduction from trees of QR factors.
+
+A reduction needs the singular values and right directions of all rows. Each task factors the rows it reads, block by
+block, into one upper triangle R of as many rows as columns, and triangles are stacked and factored again, FAN at a time, until
+one is left: its singular values are those of all rows. Nothing is squared on the way, so values down to 1e-16 of the largest count;
+the Gramian (an operator of its own) loses those below 1e-8."""
 
 from __future__ import annotations
 
@@ -9,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.runtime import ship
+from meterglass.runtime import discard, settled, ship
 
 VARIANCE = 0.99
+FAN, BLOCK = 64, 8192  # triangles, and rows, that are factored together
+HELD = 4096  # devices whose triangles a task holds
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -57,22 +64,64 @@ def explained_k(values: DataFrame, index: str, value: str, share: float = VARIAN
     return ranked.agg(F.coalesce(F.min(F.when(F.col("_cum") >= share * F.col("_all"), F.col("_at"))), F.max("_at")).alias("k"))
 
 
+def triangle(x: np.ndarray) -> np.ndarray:
+    """R of x = QR; fewer rows than columns stay as they are."""
+    return x if len(x) <= x.shape[1] else np.linalg.qr(x, mode="r")
+
+
+def spectrum(r: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Squared singular values, greatest first, and the fewest directions (as columns) that hold a share of their sum, with signs by their largest entry."""
+    size = r.shape[1]
+    _, values, directions = np.linalg.svd(np.vstack([r, np.zeros((max(0, size - len(r)), size))]))
+    values, vectors = values**2, directions.T
+    reached = np.flatnonzero(np.cumsum(values) >= share * values.sum())
+    k = int(reached[0]) + 1 if reached.size else size
+    sign = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(size)])
+    return values, (vectors * sign)[:, :k]
+
+
+def factor(df: DataFrame, vector: str, mean: np.ndarray) -> np.ndarray:
+    """The triangle of all vectors less the mean."""
+    ship(df.sparkSession)
+    size = mean.size
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, size))
+        for batch in batches:
+            x = matrix_of(batch.column(0)) if batch.num_rows else r[:0]
+            for i in range(0, len(x), BLOCK):
+                r = triangle(np.vstack([r, x[i : i + BLOCK] - mean]))
+        if len(r):
+            yield pa.record_batch([pa.array([r.ravel()], pa.list_(pa.float64()))], names=["r"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, size))
+        for batch in batches:
+            for one in batch.column(0):
+                r = triangle(np.vstack([r, one.values.to_numpy(zero_copy_only=False).reshape(-1, size)]))
+        if len(r):
+            yield pa.record_batch([pa.array([r.ravel()], pa.list_(pa.float64()))], names=["r"])
+
+    parts = settled(df.select(vector).mapInArrow(rows, "r array<double>"), "triangles")
+    while (n := parts.count()) > FAN:
+        fewer = settled(parts.repartition(-(-n // FAN)).mapInArrow(merge, "r array<double>"), "triangles")
+        discard(parts)
+        parts = fewer
+    r = np.zeros((0, size))
+    for row in parts.collect():  # FAN triangles at most, each of d x d numbers
+        r = triangle(np.vstack([r, np.array(row.r).reshape(-1, size)]))
+    discard(parts)
+    return r
+
+
 def reduction(df: DataFrame, vector: str, centred: bool, share: float = VARIANCE) -> tuple[np.ndarray, np.ndarray]:
     """(mean, components) of the fewest directions that hold `share` of the variance (PCA) or squared singular values (SVD)."""
     size = df.select(F.size(vector).alias("d")).first()["d"]
-    cells = {(r.i, r.j): r.g for r in gramian(df, vector).collect()}  # d x d numbers, whatever the rows
-    g = np.array([[cells[i, j] for j in range(size)] for i in range(size)])
     mean = np.zeros(size)
     if centred:
         row = df.agg(F.count("*"), *(F.sum(F.get(vector, F.lit(i))) for i in range(size))).first()
         mean = np.array(row[1:], float) / row[0]
-        g = g - row[0] * np.outer(mean, mean)
-    values, vectors = np.linalg.eigh(g)
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    reached = np.flatnonzero(np.cumsum(values) >= share * values.sum())
-    k = int(reached[0]) + 1 if reached.size else size
-    sign = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(size)])
-    return mean, (vectors * sign)[:, :k]
+    return mean, spectrum(factor(df, vector, mean), share)[1]
 
 
 def project(df: DataFrame, vector: str, mean: np.ndarray, components: np.ndarray, out: str = "projected") -> DataFrame:
@@ -92,11 +141,16 @@ def project(df: DataFrame, vector: str, mean: np.ndarray, components: np.ndarray
     return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kept) + f", {out} array<double>")
 
 
-def products(rows: DataFrame, device: str, vector: str, pairs: list[tuple[int, int]]) -> DataFrame:
-    """device and `_products`: the sum of products of the two places of each pair. Each batch gives one row a device it holds, which are summed."""
-    first, second = (np.array([p[i] for p in pairs], int) for i in (0, 1))
+def factors(rows: DataFrame, device: str, vector: str, size: int) -> DataFrame:
+    """device and `_r`: the triangle of the vectors of each device. A task holds HELD devices' triangles at most, and hands over what it has of them."""
+    kind = dict(rows.dtypes)[device]
+    out = f"`{device}` {kind}, _r array<double>"
+
+    def packed(held: dict, of: pa.DataType) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(held), of), pa.array([r.ravel() for r in held.values()], pa.list_(pa.float64()))], names=[device, "_r"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -104,18 +158,30 @@ def products(rows: DataFrame, device: str, vector: str, pairs: list[tuple[int, i
             at, x = coded.indices.to_numpy(), matrix_of(batch.column(1))
             order = np.argsort(at, kind="stable")
             ends = np.flatnonzero(np.append(np.diff(at[order]) != 0, True)) + 1
-            sums = []
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            names = coded.dictionary.take(pa.array(at[order][ends - 1])).to_pylist()
+            for name, a, b in zip(names, [0, *ends[:-1]], ends, strict=True):
                 part = x[order[a:b]]
-                sums.append((part.T @ part)[first, second])
-            devices = coded.dictionary.take(pa.array(at[order][ends - 1]))
-            yield pa.record_batch([devices, pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * len(pairs)), pa.array(np.concatenate(sums)))], names=[device, "_p"])
-
-    kind = dict(rows.dtypes)[device]
-    parts = rows.select(device, vector).mapInArrow(run, f"`{device}` {kind}, _p array<double>").select(device, F.posexplode("_p").alias("_i", "_v"))
-    sums = parts.groupBy(device, "_i").agg(F.sum("_v").alias("_v"))
-    # as many numbers a device as there are pairs
-    return sums.groupBy(device).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda c: c["_v"]).alias("_products"))
+                held[name] = triangle(np.vstack([held[name], part]) if name in held else part)
+            if len(held) > HELD:
+                yield packed(held, batch.column(0).type)
+                held = {}
+        if held:
+            yield packed(held, batch.column(0).type)
+
+    def merge(table: pa.Table) -> pa.Table:
+        r = np.zeros((0, size))
+        for one in table.column("_r").combine_chunks():
+            r = triangle(np.vstack([r, one.values.to_numpy(zero_copy_only=False).reshape(-1, size)]))
+        return pa.table([table.column(device).slice(0, 1), pa.array([r.ravel()], pa.list_(pa.float64()))], names=[device, "_r"])
+
+    parts = settled(rows.select(device, vector).mapInArrow(run, out), "triangles")
+    while not (many := parts.groupBy(device).agg(F.count("*").alias("_n")).filter(F.col("_n") > FAN)).isEmpty():
+        # a device that many tasks have rows of: its triangles first meet in groups
+        dealt = parts.join(many, device).withColumn("_g", F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_n") / FAN)))
+        fewer = settled(parts.join(many, device, "left_anti").unionByName(dealt.select(device, "_r", "_g").groupBy(device, "_g").applyInArrow(merge, out)), "triangles")
+        discard(parts)
+        parts = fewer
+    return parts.groupBy(device).applyInArrow(merge, out)
 
 
 TRANSFORM = "features array<string>, shift array<double>, factor array<double>, components array<array<double>>"
@@ -127,49 +193,39 @@ def fit_transforms(train: DataFrame, device: str, columns: list[str], scale: boo
     features: the sorted columns that the device has; shift and factor: mean and inverse sample deviation where
     scaled (a factor of 0 where there is no deviation), else 0 and 1; components: the directions that hold `share` of
     the variance (reduction "PCA") or of the squared singular values ("SVD"), else null.
-    Moments are aggregates of all devices at once (about their means); only the d x d numbers of a device meet in one row."""
+    Means and deviations are aggregates of all devices at once; of a reduction only the triangles of a device (about its means) meet."""
     if reduction not in (None, "PCA", "SVD"):
         raise ValueError(f"no such reduction: {reduction}")
     spark, names = train.sparkSession, sorted(columns)
     ship(spark)
     d = len(names)
-    pairs = [(i, j) for i in range(d) for j in range(i if reduction else d, d)]
     own = [F.col(c).cast("double").alias(c) for c in names]
     means = train.groupBy(device).agg(F.count("*").cast("double").alias("_n"), F.array(*(F.avg(c) for c in own)).alias("_mean"), F.array(*(F.stddev_samp(c) for c in own)).alias("_sd"))
     if reduction:
         centred = train.join(means.select(device, "_mean"), device).select(device, F.array(*(F.coalesce(c - F.get("_mean", F.lit(i)), F.lit(0.0)) for i, c in enumerate(own))).alias("_x"))
-        moments = means.join(products(centred, device, "_x", pairs), device)
+        moments = means.join(factors(centred, device, "_x", d), device)
     else:
-        moments = means.withColumn("_products", F.array().cast("array<double>"))
+        moments = means.withColumn("_r", F.array().cast("array<double>"))
 
-    def learned(n: float, mean: np.ndarray, deviation: np.ndarray, sums: np.ndarray) -> dict:
+    def learned(n: float, mean: np.ndarray, deviation: np.ndarray, r: np.ndarray) -> dict:
         own = np.flatnonzero(~np.isnan(mean))
-        full = np.zeros((d, d))
-        for (i, j), v in zip(pairs, sums, strict=True):
-            full[i, j] = full[j, i] = v
-        mean, full = mean[own], full[np.ix_(own, own)]
+        mean = mean[own]
         shift, factor = np.zeros(own.size), np.ones(own.size)
         if scale:
             deviation = np.nan_to_num(deviation[own])
             shift, factor = mean, np.divide(1.0, deviation, out=np.zeros(own.size), where=deviation > 0)
         components = None
         if reduction and own.size:
-            spread = full * np.outer(factor, factor)
+            spread = r.reshape(-1, d)[:, own] * factor
             if reduction == "SVD":
-                middle = (mean - shift) * factor
-                spread = spread + n * np.outer(middle, middle)
-            values, vectors = np.linalg.eigh(spread)
-            values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-            reached = np.flatnonzero(np.cumsum(values) >= share * values.sum())
-            k = int(reached[0]) + 1 if reached.size else own.size
-            sign = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(own.size)])
-            components = (vectors * sign)[:, :k].T.tolist()
+                spread = np.vstack([spread, np.sqrt(n) * (mean - shift) * factor])
+            components = spectrum(triangle(spread), share)[1].T.tolist()
         return {"features": [names[i] for i in own], "shift": shift.tolist(), "factor": factor.tolist(), "components": components}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("features", pa.list_(pa.string())), ("shift", pa.list_(pa.float64())), ("factor", pa.list_(pa.float64())), ("components", pa.list_(pa.list_(pa.float64())))])
         for batch in batches:
-            rows = [learned(n, *(np.array(v, float) for v in vs)) for n, *vs in zip(*(batch.column(x).to_pylist() for x in ("_n", "_mean", "_sd", "_products")), strict=True)]
+            rows = [learned(n, *(np.array(v, float) for v in vs)) for n, *vs in zip(*(batch.column(x).to_pylist() for x in ("_n", "_mean", "_sd", "_r")), strict=True)]
             yield pa.record_batch([batch.column(0), *pa.array(rows, kind).flatten()], names=[device, *kind.names])
 
     return moments.mapInArrow(run, f"`{device}` {dict(train.dtypes)[device]}, {TRANSFORM}")

@@ -63,6 +63,19 @@ def file_messages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder).select(json_tail(F.col("value")).alias("message"))
 
 
+def datagram_messages(spark: SparkSession, port: int, spool: str, host: str = "0.0.0.0") -> DataFrame:
+    """The same from UDP datagrams (sources/datagrams.py)."""
+    from pyspark import cloudpickle
+
+    from meterglass.sources import datagrams
+
+    # the process that plans a source does not see what executors import, so the source travels by value
+    cloudpickle.register_pickle_by_value(datagrams)
+    spark.dataSource.register(datagrams.DatagramSource)
+    raw = spark.readStream.format("datagrams").options(port=port, spool=spool, host=host).load()
+    return raw.select(json_tail(F.col("value").cast("string")).alias("message"))
+
+
 def forward_datagrams(port: int, folder: str, limit: int | None = None, size: int = 4096) -> int:
     """Receive UDP datagrams and drop each non-empty one as a file into a folder that a file stream watches.
 

@@ -76,6 +76,21 @@ def test_scaling_and_reduction(spark):
     assert {r.x for r in features.standard_scale(same, "d", ["x"]).collect()} == {0.0}
 
 
+def test_small_singular_values_survive(spark, monkeypatch):
+    monkeypatch.setattr(features, "FAN", 2)
+    rng = np.random.default_rng(5)
+    q, _ = np.linalg.qr(rng.normal(size=(6, 6)))
+    want = np.array([1.0, 1e-2, 1e-4, 1e-7, 1e-10, 1e-12])
+    base = np.linalg.qr(rng.normal(size=(300, 6)))[0] * want @ q.T
+    df = spark.createDataFrame([(i % 2, v.tolist()) for i, v in enumerate(base)], "d int, v array<double>").repartition(7)
+    values, vectors = features.spectrum(features.factor(df, "v", np.zeros(6)), 2.0)
+    # the Gramian's least eigenvalue is rounding noise here, 1e-16 of the largest and not 1e-24
+    assert np.allclose(np.sqrt(values), want, rtol=1e-3) and np.allclose(np.abs(vectors.T @ q), np.eye(6), atol=1e-3)
+    own = {r.d: np.array(r._r).reshape(-1, 6) for r in features.factors(df, "d", "v", 6).collect()}
+    for d, r in own.items():
+        assert np.allclose(np.linalg.svd(r)[1], np.linalg.svd(base[d::2])[1], rtol=1e-3, atol=1e-15)
+
+
 def test_hbos_ranks_rare_values_higher_and_ignores_row_order(messages):
     rows = prep.mean_impute(messages, "user_id", ["value", "k"])
     a = hbos.train_and_label(rows, "user_id", "event_id", ["value", "k"])
@@ -426,6 +441,57 @@ def test_datagrams_of_a_new_start_keep_the_earlier_ones(tmp_path):
         assert len(list(tmp_path.glob("*.txt"))) == 2 * n
 
 
+def test_datagrams_are_read_again_after_a_batch_that_failed(spark, tmp_path):
+    import socket
+    import threading
+    import time
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as free:
+        free.bind(("127.0.0.1", 0))
+        port = free.getsockname()[1]
+    message = lambda n: json.dumps({"rxpk": [{"chan": n, "data": "QBkmASYABQABqrvM3REiM0Q=", "datr": "SF9BW125", "tmst": n}]})
+    ended = threading.Event()
+
+    def send():
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+            n = 0
+            while not ended.is_set():
+                s.sendto(b"\x02head" + message(n).encode(), ("127.0.0.1", port))
+                n += 1
+                time.sleep(0.01)
+
+    seen, failed = {}, []
+
+    def each(df, number):
+        rows = [r.tmst for r in df.collect()]
+        if rows and not failed:
+            failed.append((number, rows))
+            raise RuntimeError("killed between fetch and commit")
+        if rows:
+            seen[number] = rows
+
+    def run(until):
+        stream = flatten.clean(flatten.flatten_stream(io.datagram_messages(spark, port, str(tmp_path / "spool"), "127.0.0.1")))
+        query = stream.select("tmst", "DevAddr").writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "c")).start()
+        began = time.time()
+        while time.time() - began < 90 and not until(query):
+            time.sleep(0.2)
+        query.stop()
+
+    sender = threading.Thread(target=send)
+    sender.start()
+    try:
+        run(lambda q: not q.isActive)
+        run(lambda q: len(seen) >= 3)
+    finally:
+        ended.set()
+        sender.join()
+    (number, rows), batches = failed[0], [seen[n] for n in sorted(seen)]
+    assert seen[number] == rows  # the uncommitted batch, row by row
+    every = [t for b in batches for t in b]
+    assert len(every) == len(set(every)) and every == sorted(every) and len(batches) >= 3
+
+
 def test_scratch_paths_belong_to_those_who_made_them(spark):
     from concurrent.futures import ThreadPoolExecutor
 
