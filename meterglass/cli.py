@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,8 +74,10 @@ def train(spark: SparkSession, args: argparse.Namespace, kind: str) -> DataFrame
     reduction = None if args.with_feature_reduction == "None" else args.with_feature_reduction
     # streamed messages are scored by these models, so they learn from the columns that both have
     used = numeric(rows, BATCH_ONLY)
-    # rows are numbered as they are read, and kept under these numbers
-    rows = settled(rows.select("DevAddr", *used).withColumn("_key", F.monotonically_increasing_id()), "numbered")
+    # a key by content and the number of the copy: the split does not depend on how files are laid out
+    copy = F.row_number().over(Window.partitionBy("DevAddr", "_key").orderBy("_key"))
+    rows = keyed(rows.select("DevAddr", *used), used).withColumn("_copy", copy)
+    rows = settled(rows.withColumn("_key", F.concat_ws("-", "_key", "_copy")).drop("_copy"), "numbered")
     pools = {k: v for k, v in attack_pools().items() if k in used}
     counters = ("FCnt",) if "FCnt" in used else ()
     found = training.evaluate(rows, args.ml_algorithm, "DevAddr", "_key", used, pools, least, args.scaling, reduction, counters)

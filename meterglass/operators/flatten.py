@@ -24,6 +24,24 @@ def leaf_names(schema: T.DataType, kind: type | None = None, prefix: str = "") -
     return [prefix] if kind is None or isinstance(schema, kind) else []
 
 
+def leaf_counts(value: Column, kind: T.DataType, prefix: str) -> dict[str, Column]:
+    """For each leaf below a value, by its dotted path, how many of its values are known."""
+    if isinstance(kind, T.StructType):
+        return {n: c for f in kind.fields for n, c in leaf_counts(value[f.name], f.dataType, f"{prefix}.{f.name}").items()}
+    if isinstance(kind, T.ArrayType):
+        inner = leaf_counts(F.lit(None).cast(kind.elementType), kind.elementType, prefix)
+        total = lambda n: F.aggregate(F.transform(value, lambda x: leaf_counts(x, kind.elementType, prefix)[n]), F.lit(0).cast("long"), lambda a, b: a + b)
+        return {n: F.coalesce(total(n), F.lit(0).cast("long")) for n in inner}
+    return {prefix: value.isNotNull().cast("long")}
+
+
+def leaf_census(df: DataFrame) -> DataFrame:
+    """leaf and known: how many values each leaf holds over all rows, through structs and arrays, in one pass."""
+    counts = {n: c for f in df.schema.fields for n, c in leaf_counts(F.col(f.name), f.dataType, f.name).items()}
+    one = df.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"_{i}") for i, c in enumerate(counts.values())))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("leaf"), F.col(f"_{i}").alias("known")) for i, n in enumerate(counts)))))
+
+
 def numbered(value: Column, kind: T.DataType) -> Column:
     """A value with every boolean in it, at any depth, as 0/1."""
     if isinstance(kind, T.BooleanType):

@@ -22,13 +22,6 @@ def null_census(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*(F.count(c).alias(c) for c in columns))
 
 
-def device_features(df: DataFrame, device: str, columns: list[str]) -> DataFrame:
-    """The sorted list of columns that each device has a value of."""
-    counts = df.groupBy(device).agg(*(F.count(c).alias(c) for c in columns))
-    named = F.array(*(F.when(F.col(c) > 0, F.lit(c)) for c in sorted(columns)))
-    return counts.select(device, F.array_compact(named).alias("features"))
-
-
 def mean_impute(df: DataFrame, device: str, columns: list[str]) -> DataFrame:
     """Nulls and NaNs become the device's mean of the column (as double); other values stay."""
     usable = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
@@ -76,10 +69,32 @@ def attack_pools(seed: int = 42) -> dict[str, list[float]]:
     }
 
 
+#: Parameters that get new whole numbers where a device holds all values of all pools: from, to, how many.
+REFILL = {"PHYPayloadLen": (200, 10000, 8), "powe": (200, 10000, 8), "size": (200, 10000, 8)}
+
+
+def refilled(train: DataFrame, device: str, names: list[str]) -> DataFrame:
+    """device and `_more`: for each refillable parameter that it has, numbers of its range that its training rows do not hold, spread over what is
+    free; one above the largest if all are held. Of training values only whole numbers of the range are gathered, so as many as it has."""
+    x = lambda p: F.col(p).cast("double")
+    held = {p: F.collect_set(F.when(x(p).between(*REFILL[p][:2]) & (x(p) == F.floor(x(p))), x(p))) for p in names}
+    seen = train.groupBy(device).agg(*(held[p].alias(f"_h_{p}") for p in names), *(F.max(x(p)).alias(f"_m_{p}") for p in names), *(F.count(p).alias(f"_n_{p}") for p in names))
+
+    def values(p: str) -> Column:
+        low, high, n = REFILL[p]
+        free = F.array_except(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda v: v.cast("double")), F.col(f"_h_{p}"))
+        some = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(free, F.floor(i * F.size(free) / n).cast("int"))))
+        return F.when(F.size(free) > 0, some).otherwise(F.array(F.col(f"_m_{p}") + 1))
+
+    each = F.array(*(F.struct(F.lit(p).alias("name"), values(p).alias("values"), F.col(f"_n_{p}").alias("n")) for p in names))
+    return seen.select(device, F.filter(each, lambda c: c["n"] > 0).alias("_more"))
+
+
 def attack_values(train: DataFrame, device: str, pools: dict[str, list[float]], counters: tuple[str, ...] = ()) -> DataFrame:
     """device and `_attacks`: the parameters to change, in order of their names, each with the values that the device's training rows do not hold.
 
-    Parameters that the device never has, or whose pool is used up, are left out; if none is left, the whole pools stand.
+    Parameters that the device never has, or whose pool is used up, are left out; if none is left, the refillable ones of the pools
+    get new values (refilled), and only without any of them the whole pools stand.
     A counter is reset: its one value is the least of training."""
     names = sorted({*pools, *counters})
     x = lambda p: F.col(p).cast("double")
@@ -89,8 +104,14 @@ def attack_values(train: DataFrame, device: str, pools: dict[str, list[float]],
     pool = {p: F.array(*(F.lit(float(v)) for v in pools[p])) if p in pools else F.array(F.col(f"_h_{p}")) for p in names}
     fresh = {p: F.array_except(pool[p], F.col(f"_h_{p}")) if p in pools else pool[p] for p in names}
     listed = lambda of: F.filter(F.array(*(F.struct(F.lit(p).alias("name"), of[p].alias("values"), F.col(f"_n_{p}").alias("n")) for p in names)), lambda c: (c["n"] > 0) & (F.size(c["values"]) > 0))
-    usable = listed(fresh)
-    return seen.select(device, F.when(F.size(usable) > 0, usable).otherwise(listed(pool)).alias("_attacks"))
+    usable = seen.select(device, listed(fresh).alias("_fresh"), listed(pool).alias("_whole"))
+    again = [p for p in names if p in pools and p in REFILL]
+    if not again:
+        return usable.select(device, F.when(F.size("_fresh") > 0, F.col("_fresh")).otherwise(F.col("_whole")).alias("_attacks"))
+    used_up = train.join(usable.filter(F.size("_fresh") == 0).select(device), device, "left_semi")
+    wide = usable.join(refilled(used_up, device, again), device, "left")
+    more = F.when(F.size("_more") > 0, F.col("_more")).otherwise(F.col("_whole"))
+    return wide.select(device, F.when(F.size("_fresh") > 0, F.col("_fresh")).otherwise(more).alias("_attacks"))
 
 
 def attack_inject(train: DataFrame, test: DataFrame, device: str, key: str, pools: dict[str, list[float]], counters: tuple[str, ...] = ()) -> DataFrame:

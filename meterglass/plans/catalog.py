@@ -8,6 +8,7 @@ lineitems for nested records, and embeddings for feature vectors.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -19,7 +20,7 @@ from meterglass.functions import exprs as X
 from meterglass.functions.phy import FIELDS, decode_base64
 from meterglass.operators import features, flatten, forests, hbos, knn, lof, metrics, models, prep, registry, training, vectors
 from meterglass.runtime import scratch, settled, table
-from meterglass.sources import io
+from meterglass.sources import io, store
 from meterglass.sources.io import MESSAGE
 from meterglass.streaming import scoring
 
@@ -609,10 +610,10 @@ def registry_latest(spark, sf_dir):
 def registry_models(spark, sf_dir):
     """Models of all devices are fitted, stored, replaced by a later version, loaded and used."""
     rows = prepared(spark, sf_dir)
-    store = registry.Registry(spark, scratch(spark, "models"))
+    known = registry.Registry(spark, scratch(spark, "models"))
     for version, train in ((1, rows.filter("training")), (2, rows)):
-        store.store(training.stored(training.fit(train, "hbos", DEVICE, KEY, NUMERIC), DEVICE, "rxpk", "hbos"), version)
-    fitted = training.loaded(store.latest("rxpk", "hbos"), DEVICE, "long")
+        known.store(training.stored(training.fit(train, "hbos", DEVICE, KEY, NUMERIC), DEVICE, "rxpk", "hbos"), version)
+    fitted = training.loaded(known.latest("rxpk", "hbos"), DEVICE, "long")
     return training.predict(rows, fitted, "hbos", DEVICE, KEY, NUMERIC)
 
 
@@ -628,9 +629,9 @@ SELECT device, class, round(accuracy, 9) AS accuracy, round(precision, 9) AS pre
 def registry_metrics(spark, sf_dir):
     """What each device's model reached on injected attacks is stored with it, loaded, and reported by device."""
     found = training.evaluate(messages(spark, sf_dir), "hbos", DEVICE, KEY, NUMERIC, POOLS)
-    store = registry.Registry(spark, scratch(spark, "models"))
-    store.store_metrics(training.by_device(found, DEVICE), DEVICE, "rxpk", "hbos", 1)
-    out = metrics.class_report(store.metrics(), ["device"])
+    known = registry.Registry(spark, scratch(spark, "models"))
+    known.store_metrics(training.by_device(found, DEVICE), DEVICE, "rxpk", "hbos", 1)
+    out = metrics.class_report(known.metrics(), ["device"])
     return out.select("device", "class", *(F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")), "support")
 
 
@@ -728,6 +729,18 @@ def schema_leaves(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in flatten.leaf_names(nested)], "leaf string")
 
 
+@query("""WITH o AS (SELECT o_orderkey, count(*) AS items, count(o_totalprice) AS total, count(o_orderstatus) AS status FROM orders GROUP BY 1)
+SELECT * FROM (SELECT 'items.l_quantity' AS leaf, count(l_quantity) AS known FROM lineitem JOIN o ON l_orderkey = o_orderkey UNION ALL SELECT 'items.l_comment', 0
+UNION ALL SELECT 'items.l_returnflag', count(CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END) FROM lineitem JOIN o ON l_orderkey = o_orderkey
+UNION ALL SELECT 'o.status', sum(status)::BIGINT FROM o UNION ALL SELECT 'o.price.total', sum(total)::BIGINT FROM o UNION ALL SELECT 'o_orderkey', count(*) FROM o)""")
+def leaf_census(spark, sf_dir):
+    """How often each leaf of nested records holds a value."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_quantity", F.lit(None).cast("string").alias("l_comment"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("l_returnflag")).alias("i"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_totalprice").alias("total")).alias("price")).alias("o"))
+    nested = orders.join(items.groupBy("o_orderkey").agg(F.collect_list("i").alias("items")), "o_orderkey", "left")
+    return flatten.leaf_census(nested)
+
+
 @query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN value / 1000 WHEN 1 THEN value WHEN 2 THEN value * 100 WHEN 3 THEN 3600::DOUBLE * (event_id % 4) ELSE 0.99999::DOUBLE END AS s FROM events WHERE value IS NOT NULL),
 u AS (SELECT event_id, s, CAST(round_even(s * 1000, 0) AS BIGINT) AS ms, CAST(round_even(s, 0) AS BIGINT) AS w FROM t)
 SELECT event_id, CASE WHEN s < 1 THEN CASE WHEN ms < 1000 THEN ms || ' ms' ELSE '1 s' END
@@ -780,9 +793,9 @@ HALVES = """even AS (SELECT event_id, user_id, value FROM events WHERE user_id I
 odd AS (SELECT event_id, user_id, value FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND event_id % 2 = 1)"""
 
 
-def _halves(spark, sf_dir) -> scoring.Scorer:
+def _halves(spark, sf_dir, **named) -> scoring.Scorer:
     """A scorer without a history that sees the even events, then the odd ones; the second batch comes twice."""
-    scorer = scoring.Scorer(spark, scratch(spark, "halves"), DEVICE, KEY, ["value"], 30)
+    scorer = scoring.Scorer(spark, scratch(spark, "halves"), DEVICE, KEY, ["value"], 30, **named)
     rows = table(spark, sf_dir, "events").filter("user_id is not null and value is not null")
     for number in (0, 1, 1):
         scorer.batch(rows.filter(F.col("event_id") % 2 == number), number)
@@ -808,4 +821,51 @@ def stream_refit(spark, sf_dir):
     return cells.select("user_id", "n", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
+_SCALE = "CASE WHEN s > 0 THEN (value - m) / s ELSE 0 END AS value"
+SCALED = f"""{HALVES}, st AS (SELECT user_id, avg(value) AS m, stddev_samp(value) AS s FROM even GROUP BY 1),
+se AS (SELECT event_id, user_id, {_SCALE} FROM even JOIN st USING (user_id)), so AS (SELECT event_id, user_id, {_SCALE} FROM odd JOIN st USING (user_id)), {hbos_ctes('se', 'so', ('value',))},
+judged AS (SELECT user_id, event_id, score, score > threshold AS far FROM rs JOIN limits USING (user_id))"""
+
+
+@query(f"WITH {SCALED} SELECT event_id, user_id, score, CAST(far AS INT) AS prediction FROM odd LEFT JOIN judged USING (user_id, event_id)")
+def stream_scaled(spark, sf_dir):
+    """A streamed batch is scaled by the stored transforms of the batch before it, and scored by the models of what they gave."""
+    return _halves(spark, sf_dir, scale=True).scored().filter(F.col("event_id") % 2 == 1)
+
+
+@query(f"""WITH {SCALED}, history AS (SELECT user_id, value FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND event_id % 2 = 0
+  UNION ALL SELECT user_id, value FROM odd LEFT JOIN judged USING (user_id, event_id) WHERE NOT coalesce(far, false))
+SELECT user_id, round(avg(value), 6) AS shift, round(1 / stddev_samp(value), 6) AS factor FROM history GROUP BY 1 HAVING count(*) >= 30""")
+def stream_refit_transforms(spark, sf_dir):
+    """A refit learns the transforms anew: mean and inverse deviation of all that was kept."""
+    fitted = _halves(spark, sf_dir, scale=True).models(2, "long")
+    return fitted.select("user_id", F.round(F.get("shift", F.lit(0)), 6).alias("shift"), F.round(F.get("factor", F.lit(0)), 6).alias("factor"))
+
+
+@query("SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids, true AS fewer_files FROM events WHERE user_id IS NOT NULL AND event_id % 7 <> 3 GROUP BY 1")
+def store_compaction(spark, sf_dir):
+    """Batches are appended, one is written again, a compaction is lost half-way, another ends, and unnamed folders go: the rows stay those of the last writes."""
+    held = store.Store(spark, scratch(spark, "store"), "event_id bigint, user_id bigint", by=DEVICE)
+    rows = table(spark, sf_dir, "events").filter("user_id is not null").select("event_id", "user_id")
+    for n in range(7):
+        held.write(rows.filter(F.col("event_id") % 7 == n), f"batch/{n}", n)
+    held.write(rows.limit(0), "batch/3", 3)  # the batch runs again and has nothing this time
+    held._written(held.read(lambda e: e["v"] < 6), True)  # what a compaction leaves that never reached its manifest
+    held.compact(6)
+    held.vacuum(1)
+    out = held.read().groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return out.withColumn("fewer_files", F.lit(len(held.entries()) == 2))
+
+
+@query("SELECT user_id::VARCHAR AS device, 7 AS version, 2 AS parts FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def registry_writers(spark, sf_dir):
+    """Eight writers store models of all devices at once: each gets a version of its own, and what is loaded is one of them, whole."""
+    known = registry.Registry(spark, scratch(spark, "writers"))
+    devices = table(spark, sf_dir, "events").filter("user_id is not null").select(F.col("user_id").cast("string").alias("device")).distinct()
+    rows = devices.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1)))).select("device", F.lit("rxpk").alias("msg_type"), F.lit("lof").alias("algorithm"), "part", F.lit("{}").alias("params"), F.lit(None).cast("map<string, array<double>>").alias("arrays"))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda n: known.next(rows.withColumn("params", F.lit(str(n))), "rxpk-lof"), range(8)))
+    return known.load().groupBy("device", "version").agg(F.count("*").alias("rows"), F.countDistinct("params").alias("writers")).filter("writers = 1").select("device", F.col("version").cast("int").alias("version"), F.col("rows").cast("int").alias("parts"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

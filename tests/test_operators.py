@@ -195,6 +195,17 @@ def test_attacks_leave_out_what_a_device_never_has(spark):
     assert [(r.d, r.y) for r in back] == [(1, 0.0)] * 4
 
 
+def test_used_up_pools_are_refilled_with_unseen_values(spark):
+    rows = [(d, i, float(i % 2), float(200 + i) if d == 1 else None, i < 60) for d in (1, 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "d int, i int, codr double, size double, training boolean")
+    train, test = df.filter("training"), df.filter("not training")
+    hit = prep.attack_inject(train, test, "d", "i", {"codr": [0.0, 1.0], "size": [200.0, 210.0]}).filter("intrusion = 1").collect()
+    new = [r.size for r in hit if r.d == 1]
+    assert len(new) == 6 and all(260 <= v <= 10000 for v in new) and len(set(new)) == 6 and all(r.codr == float(r.i % 2) for r in hit if r.d == 1)
+    # nothing to refill: the whole pool stands
+    assert [r.codr for r in sorted(hit) if r.d == 2] == [0.0, 1.0] * 3
+
+
 @pytest.mark.parametrize("reduction", [None, "PCA", "SVD"])
 def test_transforms_by_device_equal_numpy(spark, reduction):
     rng = np.random.default_rng(6)
