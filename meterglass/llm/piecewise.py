@@ -1,7 +1,7 @@
 """Context-triggered piecewise hashing: fingerprints of texts that stay alike where parts of the texts do.
 
 A rolling hash of the last 7 bytes of a text's UTF-8 ends a chunk after a byte where the hash + 1 is a multiple of the
-block size 3 * 2^k, if this value comes for the first time in the text (so a text that repeats itself has the boundaries of
+block size 3 * 2^(k - 1) (k = 0: after every byte, in texts of less than 64 bytes), if this value comes for the first time in the text (so a text that repeats itself has the boundaries of
 what it repeats, and not thousands or none); each chunk gives one of 64 characters, a hash of its bytes. Boundaries of a
 block size are boundaries of its half too, so one pass finds all sizes. The block size of a text is the smallest at which it has
 less than 64 boundaries: the whole text is covered, no chunk takes what is left. A fingerprint is `k:` and the characters at this and the next three
@@ -78,7 +78,9 @@ def fingerprint(text: str) -> str:
     if not codes.size:
         return "0" + ":" * SIZES
     k, ends, level = boundaries(codes) if codes.size >= WINDOW else (0, np.zeros(0, int), np.zeros(0, int))
-    return f"{k}:" + signatures(codes, [ends[level >= k + i] for i in range(SIZES)])
+    if codes.size < MOST_CHARACTERS:
+        return "0:" + signatures(codes, [np.arange(codes.size), *(ends[level >= i] for i in range(SIZES - 1))])
+    return f"{k + 1}:" + signatures(codes, [ends[level >= k + i] for i in range(SIZES)])
 
 
 def common_length(a: str, b: str) -> int:

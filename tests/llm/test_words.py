@@ -198,7 +198,10 @@ def brute_fingerprint(text):
     for ends in sizes:
         cuts = [0, *ends, *([len(raw)] if not ends or ends[-1] < len(raw) else [])]
         signatures.append("".join(chr(piecewise.ALPHABET[chunk(a, b) & 63]) for a, b in zip(cuts, cuts[1:], strict=False)) if raw else "")
-    return f"{k}:" + ":".join(signatures)
+    if raw and len(raw) < 64:
+        # every byte is a chunk, before the first three sizes of blocks
+        return "0:" + "".join(chr(piecewise.ALPHABET[chunk(i, i + 1) & 63]) for i in range(len(raw))) + "".join(f":{x}" for x in signatures[:3])
+    return f"{k + bool(raw)}:" + ":".join(signatures)
 
 
 def test_fingerprints_equal_brute_force():
@@ -239,7 +242,7 @@ def _next(row, x, b):
 
 
 def test_likeness_as_a_column(spark):
-    rows = [("a", piecewise.fingerprint("some text " * 5), None), ("b", "0:abc:ab:a:a", "0:abc:ab:a:a")]
+    rows = [("a", piecewise.fingerprint("some text " * 5), None), ("b", "1:abc:ab:a:a", "1:abc:ab:a:a")]
     got = {r.n: r.v for r in spark.createDataFrame(rows, "n string, x string, y string").select("n", piecewise.like("x", "y").alias("v")).collect()}
     assert got == {"a": None, "b": 1.0}
     assert np.array_equal(buffers(pa.array(["x", None]))[1], [0, 1, 1])
