@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterglass.operators.vectors import to_map
+from meterglass.runtime import dealt as spread
 from meterglass.runtime import ship
 
 SEED = 42
@@ -163,7 +165,6 @@ def fit(rows: DataFrame, variant: str, device: str, key: str, seed: int = SEED,
     share = F.when(F.col("sample") < F.col("_n"), F.lit(float(pool)) / F.col("_n")).otherwise(F.lit(1.0))
     lot = F.pmod(F.xxhash64(F.lit(seed), key, "part"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     dealt = dealt.filter(lot < share).select(device, key, key_hash(F.col(key)).alias("_h"), "v", "part", "trees", "sample", "_each")
-    out = pa.map_(pa.string(), pa.list_(pa.float64()))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(key)
@@ -171,10 +172,10 @@ def fit(rows: DataFrame, variant: str, device: str, key: str, seed: int = SEED,
         v = table.column("v").combine_chunks()
         x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
         made = fit_part(x, table.column("_h").to_numpy(), np.arange(part * each, min(total, (part + 1) * each)), sample, seed)
-        row = [table.column(device).slice(0, 1), *(pa.array([n], pa.int32()) for n in (part, total, sample)), pa.array([list(made.items())], out)]
+        row = [table.column(device).slice(0, 1), *(pa.array([n], pa.int32()) for n in (part, total, sample)), to_map(made)]
         return pa.table(row, names=[device, "part", "trees", "sample", "arrays"])
 
-    return dealt.groupBy(device, "part").applyInArrow(run, f"`{device}` {dict(rows.dtypes)[device]}, part int, trees int, sample int, arrays map<string, array<double>>")
+    return spread(dealt, device, "part").groupBy(device, "part").applyInArrow(run, f"`{device}` {dict(rows.dtypes)[device]}, part int, trees int, sample int, arrays map<string, array<double>>")
 
 
 def score_of(total: Column, trees: Column, sample: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterglass.operators.vectors import VECTORS, matrix, squares
-from meterglass.runtime import settled, ship
+from meterglass.runtime import dealt, settled, ship
 
 DIGITS, MOST = 9, 15
 CELL_ROWS, MOST_CELLS = 1024, 4096
@@ -84,7 +84,7 @@ class Search:
 
         kinds = dict(rows.dtypes)
         types = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-        return left.groupBy(d, "_block").cogroup(right.toDF(*right.columns).groupBy(d, "_block")).applyInArrow(run, f"{types}, {schema}")
+        return dealt(left, d, "_block").groupBy(d, "_block").cogroup(dealt(right.toDF(*right.columns), d, "_block").groupBy(d, "_block")).applyInArrow(run, f"{types}, {schema}")
 
     @staticmethod
     def nearest_cell(some: pa.Table, pivots: pa.Array) -> list[pa.Array]:
@@ -161,7 +161,7 @@ class Search:
             return pa.table([some.column(d).combine_chunks().take(who), keys.take(who), some.column("own").combine_chunks().take(who), near_keys.take(pa.array(near.astype(np.int64))), pa.array(far.astype(float))], names=[d, k, "own", "near", "_d"])
 
         types = f"`{d}` {self.kinds[d]}, `{k}` {dict(visits.dtypes)[k]}, own boolean, near {self.kinds[k]}, _d double"
-        return left.groupBy(*group).cogroup(right.toDF(*right.columns).groupBy(*group)).applyInArrow(run, types)
+        return dealt(left, *group).groupBy(*group).cogroup(dealt(right.toDF(*right.columns), *group).groupBy(*group)).applyInArrow(run, types)
 
     def best(self, found: DataFrame, k_of: DataFrame) -> DataFrame:
         nearest = Window.partitionBy(self.device, "own", self.key).orderBy("_d", "near")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.operators.knn import Search
-from meterglass.operators.vectors import usable, vectors
+from meterglass.operators.vectors import from_map, usable, vectors
 from meterglass.runtime import settled, ship
 
 CUT, TINY, SCORE_DIGITS = 1.5, 1e-10, 6
@@ -74,12 +74,12 @@ def unpacked(models: DataFrame, device: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                held = dict(batch.column("arrays")[i].as_py())
+                held = from_map(batch.column("arrays"), i)
                 n = len(held["near"])
                 width = len(held["v"]) // max(1, n)
-                v = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(held["v"], pa.float64()))
+                v = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(held["v"]))
                 same = pa.array(np.zeros(n, np.int64))
-                yield pa.record_batch([batch.column(device).slice(i, 1).take(same), pa.array(held["near"], pa.float64()), v, pa.array(held["kd"], pa.float64()), pa.array(held["lrd"], pa.float64()), batch.column("k").slice(i, 1).take(same)], names=[device, "near", "v", "kd", "lrd", "k"])
+                yield pa.record_batch([batch.column(device).slice(i, 1).take(same), pa.array(held["near"]), v, pa.array(held["kd"]), pa.array(held["lrd"]), batch.column("k").slice(i, 1).take(same)], names=[device, "near", "v", "kd", "lrd", "k"])
 
     return models.select(device, "k", "arrays").mapInArrow(run, f"`{device}` {dict(models.dtypes)[device]}, near double, v array<double>, kd double, lrd double, k int")
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from meterglass.operators import forests, hbos, lof, svm
 from meterglass.operators.quantiles import quantile
-from meterglass.operators.vectors import matrix, usable, vectors
-from meterglass.runtime import settled, ship
+from meterglass.operators.vectors import from_map, matrix, usable, vectors
+from meterglass.runtime import dealt, settled, ship
 
 ALGORITHMS = ("lof", "if_custom", "if_sklearn", "hbos", "ocsvm")
 BLOCK_ROWS = 50_000
@@ -76,7 +76,7 @@ def sums(rows: DataFrame, models: DataFrame, algorithm: str, device: str, key: s
             v = some.column("v").combine_chunks()
             fits = v.is_valid().to_numpy(zero_copy_only=False)
             x = matrix(v.drop_null())
-            held = {k: np.asarray(a) for k, a in dict(model.column("arrays")[0].as_py()).items()}
+            held = from_map(model.column("arrays"))
             if len(x) and algorithm == "ocsvm":
                 value[fits] = svm.products(x, held["v"].reshape(-1, x.shape[1]), held["a"], model.column("gamma")[0].as_py())
             elif len(x):
@@ -84,7 +84,7 @@ def sums(rows: DataFrame, models: DataFrame, algorithm: str, device: str, key: s
         return pa.table([some.column(device), some.column(key), pa.array(value, mask=~fits)], names=[device, key, "_value"])
 
     group = [device, "_block", "part"]
-    found = left.groupBy(*group).cogroup(right.toDF(*right.columns).groupBy(*group)).applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, _value double")
+    found = dealt(left, *group).groupBy(*group).cogroup(dealt(right.toDF(*right.columns), *group).groupBy(*group)).applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, _value double")
     total = found.groupBy(device, key).agg(F.sum("_value").alias("_value"))
     wide = total.join(models.filter("part = 0").select(device, meta.alias("m")), device)
     score = F.col("m.rho") - F.col("_value") if algorithm == "ocsvm" else forests.score_of(F.col("_value"), F.col("m.trees"), F.col("m.sample"))

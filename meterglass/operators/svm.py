@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterglass.operators.vectors import VECTORS, matrix, squares
+from meterglass.runtime import dealt as spread_out
 from meterglass.runtime import discard, settled, ship
 
 NU, TOLERANCE, SPREAD_TOLERANCE = 1 / 3, 1e-12, 1e-7
@@ -98,7 +99,7 @@ def moved(rows: DataFrame, changed: DataFrame, shape: DataFrame, device: str, ke
 
     kinds = dict(rows.dtypes)
     group = [device, "_r", "_t"]
-    found = left.groupBy(*group).cogroup(right.toDF(*right.columns).groupBy(*group)).applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, _s double")
+    found = spread_out(left, *group).groupBy(*group).cogroup(spread_out(right.toDF(*right.columns), *group).groupBy(*group)).applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, _s double")
     return found.groupBy(device, key).agg(F.sum("_s").alias("_s"))
 
 
@@ -123,7 +124,7 @@ def solution(rows: DataFrame, device: str, key: str, nu: float = NU, chunk: int
         return pa.table([table.column(device), table.column(key), table.column("v").cast(VECTORS), pa.array(a * share), pa.array(g * share)], names=columns)
 
     chunked = by_device(rows.select(device, key, "v"), device, shape, ["n", "gamma", "_chunks"]).withColumn("_chunk", F.pmod(F.xxhash64(F.lit("chunk"), key), F.col("_chunks")).cast("int"))
-    state = settled(chunked.groupBy(device, "_chunk").applyInArrow(alone, state_type), "svm-state")
+    state = settled(spread_out(chunked, device, "_chunk").groupBy(device, "_chunk").applyInArrow(alone, state_type), "svm-state")
     large = shape.filter("_chunks > 1").select(device)
     if large.isEmpty():
         return state, shape
@@ -150,7 +151,7 @@ def solution(rows: DataFrame, device: str, key: str, nu: float = NU, chunk: int
         ups = bad.filter((F.col("a") < most * (1 - EDGE)) & (F.col("g") < F.col("_down"))).withColumn("_at", F.row_number().over(grow)).filter(F.col("_at") <= working // 2)
         downs = bad.filter((F.col("a") > most * EDGE) & (F.col("g") > F.col("_up"))).withColumn("_at", F.row_number().over(shrink)).filter(F.col("_at") <= working // 2)
         taken = ups.unionByName(downs).dropDuplicates([device, key]).select(device, key, "v", "a", "g", "most", "gamma")
-        changed = settled(taken.groupBy(device).applyInArrow(corrected, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, v array<double>, _new double, w double"), "svm-changed")
+        changed = settled(spread_out(taken, device).groupBy(device).applyInArrow(corrected, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, v array<double>, _new double, w double"), "svm-changed")
         step = moved(open_, changed.filter("w <> 0"), shape, device, key, None)
         new = open_.join(step, [device, key], "left").join(changed.select(device, key, "_new"), [device, key], "left")
         new = settled(new.select(device, key, "v", F.coalesce("_new", "a").alias("a"), (F.col("g") + F.coalesce("_s", F.lit(0.0))).alias("g")), "svm-state")

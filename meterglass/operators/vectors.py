@@ -40,6 +40,19 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def to_map(arrays: dict[str, np.ndarray]) -> pa.MapArray:
+    """One map of names to arrays, without a Python object for each number."""
+    ends = np.concatenate(([0], np.cumsum([a.size for a in arrays.values()]))).astype(np.int32)
+    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([a.ravel() for a in arrays.values()]).astype(float)))
+    return pa.MapArray.from_arrays(pa.array([0, len(arrays)], pa.int32()), pa.array(list(arrays), pa.string()), values)
+
+
+def from_map(maps: pa.ChunkedArray | pa.Array, i: int = 0) -> dict[str, np.ndarray]:
+    """The arrays of the i-th map."""
+    items = maps[i].values
+    return {k: v.values.to_numpy(zero_copy_only=False) for k, v in zip(items.field(0).to_pylist(), items.field(1), strict=True)}
+
+
 VECTORS = pa.list_(pa.field("element", pa.float64()))  # as Spark names them, whether elements may be null or not
 
 

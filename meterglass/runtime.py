@@ -111,5 +111,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by a hash of keys, in as many partitions as the session shuffles into: few bytes may be much work, and
+    adaptive execution, which goes by bytes, would put them into one task."""
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
