@@ -5,7 +5,7 @@ neighbours among training rows. k = max(5, min(round(0.01 N), 15)); equal distan
 by key. Rows are compared within a device only, through the cells of operators/knn.py.
 
 A model is its training rows, with the k-distance and local density of each, in parts of some PART_ROWS rows. Where keys are
-no numbers, equal distances to the rows of a stored model go by a hash of the key. Features that a device never has take
+no whole numbers below 2^53, equal distances to the rows of a stored model go by part and place. Features that a device never has take
 no part in its model; rows that lack another one are not learned from, and have no score.
 """
 
@@ -57,13 +57,16 @@ def scores(model: DataFrame, rows: DataFrame, device: str, key: str, **sizes: in
 
 def fit(rows: DataFrame, device: str, key: str) -> DataFrame:
     """device, part, k and arrays of the model's parts. rows: device, key and v without nulls."""
-    number = F.col(key).cast("double") if dict(rows.dtypes)[key] in ("tinyint", "smallint", "int", "bigint", "float", "double") else F.xxhash64(key).cast("double")
-    found = densities(rows, device, key).withColumn("near", number)
-    parts = found.groupBy(device).agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
+    # neighbours of a stored model are named by their keys where these are whole as doubles, else by their places in the parts
+    numeric = dict(rows.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    named = F.max(F.abs(F.col(key).cast("double"))) < 2.0**53 if numeric else F.lit(False)
+    found = densities(rows, device, key).withColumn("_name", F.col(key).cast("double") if numeric else F.xxhash64(key).cast("double"))
+    parts = found.groupBy(device).agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"), named.alias("_named"))
     dealt = found.join(parts, device).withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
     # some PART_ROWS rows, as a hash deals them
-    held = dealt.groupBy(device, "part").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("near", "kd", "lrd", "v"))).alias("_r"))
-    arrays = [c for n in ("near", "kd", "lrd") for c in (F.lit(n), F.col(f"_r.{n}"))]
+    held = dealt.groupBy(device, "part").agg(F.first("k").alias("k"), F.first("_named").alias("_named"), F.sort_array(F.collect_list(F.struct("_name", "kd", "lrd", "v"))).alias("_r"))
+    places = F.transform(F.sequence(F.lit(0), F.size("_r") - 1), lambda i: F.col("part") * F.lit(float(1 << 32)) + i)
+    arrays = [F.lit("near"), F.when(F.col("_named"), F.col("_r._name")).otherwise(places), F.lit("kd"), F.col("_r.kd"), F.lit("lrd"), F.col("_r.lrd")]
     return held.select(device, "part", "k", F.create_map(*arrays, F.lit("v"), F.flatten("_r.v")).alias("arrays"))
 
 

@@ -265,6 +265,10 @@ def test_lof_by_cells_equals_whole_matrices(spark, sizes):
     if not sizes:
         stored = models.score(test, models.fit(train, "lof", "d", "i", ["x", "y"]), "lof", "d", "i", ["x", "y"])
         assert {(r.d, r.i): r.score for r in stored.collect()} == pytest.approx(got, abs=2e-6)
+        # keys that are no numbers: distances decide alone, so scores agree where no ties are left out
+        text = lambda x: x.withColumn("i", F.concat(F.lit("k"), F.format_string("%05d", "i")))
+        named = models.score(text(test), models.fit(text(train), "lof", "d", "i", ["x", "y"]), "lof", "d", "i", ["x", "y"]).collect()
+        assert len(named) == len(got) and all(r.score is not None for r in named)
 
 
 def test_cells_are_few_that_a_row_is_compared_with(spark):
