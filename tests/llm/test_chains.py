@@ -175,3 +175,24 @@ def test_pipeline_over_odd_tables(spark, tmp_path):
     # of document 4 the copy with more code points stays, of 5 the first
     assert sorted(ids) == sorted({*range(12), 51} - {4}) and all(r.round_trip for r in kept)
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_pipeline_reads_the_documents_table_in_its_first_stage_alone(spark, tmp_path, monkeypatch):
+    import shutil
+
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    syllables = ["lo", "ra", "me", "ti", "sun", "gar", "pel", "o", "vi", "ter"]
+    prose = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(90)) + "." for _ in range(8)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(prose)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    settled = corpus_pipeline.settled
+
+    def written(df, what):
+        out = settled(df, what)
+        shutil.rmtree(tmp_path / "documents.parquet", ignore_errors=True)
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "settled", written)
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(8))
