@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterglass.operators.bundles import Vectors, bundled, count_for, units
 from meterglass.operators.vectors import to_map
 from meterglass.runtime import dealt as spread
-from meterglass.runtime import ship
+from meterglass.runtime import settled, ship
 
 SEED = 42
 POOL = 16384  # rows, on average, that the trees of a part draw their samples from
 NODES = 100_000  # of a part
 CELLS = 500_000  # numbers that are worked on at a time
+BLOCK_ROWS = 50_000  # scored rows of a block, or as many as the trees of a part learn from
 MASK, START, MIXERS = (1 << 32) - 1, 2654435769, (2146121005, 2221713035, 3168867693)
 ARRAYS = ("feature", "cut", "left", "value")
 
@@ -153,18 +155,28 @@ def sizes_b(n: Column) -> tuple[Column, Column]:
 CONTAMINATION = {"if_sklearn": None, "if_custom": 0.18}
 
 
-def fit(rows: DataFrame, variant: str, device: str, key: str, seed: int = SEED, pool: int = POOL, nodes: int = NODES) -> DataFrame:
-    """device, part, trees, sample (of the device) and arrays of each part. rows: device, key and v, an array of doubles without nulls."""
-    ship(rows.sparkSession)
+def shapes(rows: DataFrame, variant: str, device: str, nodes: int) -> DataFrame:
+    """device, its rows (_n), trees, sample, the trees of a part (_each) and how many parts there are (_parts)."""
     trees, sample = (sizes_a if variant == "if_sklearn" else sizes_b)(F.col("_n"))
     shape = rows.groupBy(device).agg(F.count("*").alias("_n")).select(device, "_n", trees.alias("trees"), sample.alias("sample"))
-    each = F.greatest(F.lit(1), F.floor(nodes / (2 * F.col("sample")))).cast("int")  # trees of a part
-    shape = shape.withColumn("_each", each).withColumn("_parts", F.ceil(F.col("trees") / F.col("_each")).cast("int"))
+    each = F.greatest(F.lit(1), F.floor(nodes / (2 * F.col("sample")))).cast("int")
+    return shape.withColumn("_each", each).withColumn("_parts", F.ceil(F.col("trees") / F.col("_each")).cast("int"))
+
+
+def pools(rows: DataFrame, shape: DataFrame, device: str, key: str, seed: int, pool: int) -> DataFrame:
+    """The rows that each part learns from, with the columns of shape but for _n and _parts."""
     dealt = rows.select(device, key, "v").join(shape, device).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     # a part of smaller samples draws them from its own share of the rows
     share = F.when(F.col("sample") < F.col("_n"), F.lit(float(pool)) / F.col("_n")).otherwise(F.lit(1.0))
     lot = F.pmod(F.xxhash64(F.lit(seed), key, "part"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    dealt = dealt.filter(lot < share).select(device, key, key_hash(F.col(key)).alias("_h"), "v", "part", "trees", "sample", "_each")
+    own = [c for c in shape.columns if c not in (device, "_n", "_parts")]
+    return dealt.filter(lot < share).select(device, key, key_hash(F.col(key)).alias("_h"), "v", "part", *own)
+
+
+def fit(rows: DataFrame, variant: str, device: str, key: str, seed: int = SEED, pool: int = POOL, nodes: int = NODES) -> DataFrame:
+    """device, part, trees, sample (of the device) and arrays of each part. rows: device, key and v, an array of doubles without nulls."""
+    ship(rows.sparkSession)
+    dealt = pools(rows, shapes(rows, variant, device, nodes), device, key, seed, pool)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(key)
@@ -178,6 +190,46 @@ def fit(rows: DataFrame, variant: str, device: str, key: str, seed: int = SEED,
     return spread(dealt, device, "part").groupBy(device, "part").applyInArrow(run, f"`{device}` {dict(rows.dtypes)[device]}, part int, trees int, sample int, arrays map<string, array<double>>")
 
 
+def grown_sums(rows: DataFrame, asked: DataFrame, variant: str, device: str, key: str, seed: int = SEED, pool: int = POOL, nodes: int = NODES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """device, key, learned, _value (the sum of a row's path lengths), trees and sample of asked rows (device, key, v, learned).
+
+    The trees are those of fit(), but a task that grows a part scores a block of rows with it at once, so nodes are neither written nor
+    shuffled. Where a device has several blocks, its parts are grown in each."""
+    spark = rows.sparkSession
+    ship(spark)
+    # blocks are no smaller than what a part learns from, so that growing it anew is never most of the work
+    blocks = asked.groupBy(device).agg(F.count("*").alias("_asked"))
+    learns = F.when(F.col("sample") < F.col("_n"), F.least(F.col("_n"), F.lit(pool))).otherwise(F.col("_n"))
+    shape = shapes(rows, variant, device, nodes).join(blocks, device).withColumn("_blocks", F.ceil(F.col("_asked") / F.greatest(F.lit(block_rows), learns)).cast("int")).drop("_asked")
+    shape = settled(shape, "forest-shape")
+    work = shape.agg(F.sum(F.col("_n") * F.col("_parts"))).first()[0] or 0
+    spread_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [device, "part", "_block", key, "v", "_h", "learned", "trees", "sample", "_each"]
+    given = pools(rows, shape, device, key, seed, pool).withColumn("_block", spread_to("_blocks")).withColumn("learned", F.lit(None).cast("boolean")).select(*columns)
+    left = asked.select(device, key, "v", "learned").join(shape, device).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    left = left.withColumn("part", spread_to("_parts")).withColumn("_h", F.lit(None).cast("long")).select(*columns)
+    kinds = dict(rows.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        # rows to learn from first (their `learned` is null), then by key
+        table, each = units(table.append_column("_asks", table.column("learned").is_valid()), [device, "part", "_block"], ["_asks", key])
+        asks, v = table.column("_asks").to_numpy(), Vectors(table.column("v"))
+        hashes = table.column("_h").fill_null(0).to_numpy()
+        part, trees, sample, of = (table.column(c).to_numpy() for c in ("part", "trees", "sample", "_each"))
+        value = np.zeros(table.num_rows)
+        for a, b in each:
+            m = a + int(np.count_nonzero(~asks[a:b]))
+            if a < m < b:
+                some = np.arange(int(part[a]) * int(of[a]), min(int(trees[a]), (int(part[a]) + 1) * int(of[a])))
+                value[m:b] = depths(fit_part(v.rows(a, m), hashes[a:m], some, int(sample[a]), seed), v.rows(m, b))
+        names = [device, key, "learned", "trees", "sample"]
+        out = pa.table([*(table.column(c) for c in names), pa.array(value)], names=[*names, "_value"])
+        return out.filter(table.column("_asks"))
+
+    found = bundled(given.unionByName(left), [device, "part", "_block"], count_for(spark, 2 * work)).applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, learned boolean, trees int, sample int, _value double")
+    return found.groupBy(device, key, "learned").agg(F.sum("_value").alias("_value"), F.first("trees").alias("trees"), F.first("sample").alias("sample"))
+
+
 def score_of(total: Column, trees: Column, sample: Column) -> Column:
     """2^(-mean depth / c(sample)): near 1 for what is easily isolated."""
     n = sample.cast("double")

@@ -111,6 +111,32 @@ def score(rows: DataFrame, models: DataFrame, algorithm: str, device: str, key:
     return found.select(device, key, "score", (F.col("score") > limit).cast("int").alias("prediction"))
 
 
+def learned_scores(train: DataFrame, others: DataFrame, algorithm: str, device: str, key: str, features: list[str], with_train: bool = False, seed: int = forests.SEED) -> DataFrame:
+    """device, key, score, prediction of other rows (with_train: of the training rows too) by models that are learned for this alone, and not kept:
+    what score() gives by what fit() made. The trees of forests score rows where they are grown."""
+    rows = others.unionByName(train) if with_train else others
+    if algorithm not in forests.CONTAMINATION:
+        return score(rows, settled(fit(train, algorithm, device, key, features, seed), "fitted"), algorithm, device, key, features)
+    of = settled(usable(train, device, features), "features")
+    vector = lambda x: settled(vectors(x, of, device, key, features), "vectors")
+    own, asked = vector(train), vector(others).withColumn("learned", F.lit(False))
+    own = own.filter("v is not null") if not with_train else own
+    share = forests.CONTAMINATION[algorithm]
+    if with_train or share is not None:
+        asked = asked.unionByName(own.withColumn("learned", F.lit(True)))
+    found = forests.grown_sums(own.filter("v is not null"), asked.filter("v is not null"), algorithm, device, key, seed)
+    scores = settled(found.select(device, key, "learned", F.round(forests.score_of(F.col("_value"), F.col("trees"), F.col("sample")), DIGITS).alias("score")), "forest-scores")
+    if share is None:
+        cut = scores.withColumn("cut", F.lit(0.5))
+    else:
+        cuts = quantile(scores.filter("learned"), device, "score", 1 - share).select(device, F.round("value", 9).alias("cut"))
+        cut = scores.join(cuts, device)
+    out = cut.select(device, key, "learned", "score", (F.col("score") > F.col("cut")).cast("int").alias("prediction"))
+    missing = asked.filter("v is null").select(device, key, "learned", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("prediction"))
+    out = out.unionByName(missing)
+    return (out if with_train else out.filter("not learned")).drop("learned")
+
+
 def nodes(models: DataFrame, device: str) -> DataFrame:
     """A forest's nodes as rows: device, part, node, tree (of roots, else null), feature (its name; null for leaves), cut, left and value."""
     meta = F.from_json("params", META)
@@ -122,4 +148,4 @@ def nodes(models: DataFrame, device: str) -> DataFrame:
     return rows.select(device, "part", "node", F.when(place > 0, place - 1).alias("tree"), F.when(~leaf, F.get("_f", F.col("c._feature").cast("int"))).alias("feature"), F.col("c._cut").alias("cut"), F.when(~leaf, F.col("c._left").cast("int")).alias("left"), F.when(leaf, F.col("c._value")).alias("value"))
 
 
-__all__ = ["ALGORITHMS", "COLUMNS", "HISTOGRAM", "META", "fit", "nodes", "score", "sums"]
+__all__ = ["ALGORITHMS", "COLUMNS", "HISTOGRAM", "META", "fit", "learned_scores", "nodes", "score", "sums"]

@@ -305,6 +305,28 @@ def test_forests_are_the_same_whatever_the_partitions(spark):
     assert trees[1][0] == 100 + 700 // 3 and trees[2][0] == 120 and nodes.filter("feature is null").count() == sum(a + b for a, b in trees.values())
 
 
+@pytest.mark.parametrize("algorithm", ["if_sklearn", "if_custom"])
+def test_trees_score_where_they_are_grown_as_stored_ones_do(spark, monkeypatch, algorithm):
+    rng = np.random.default_rng(2)
+    rows = [(d, i, float(a), float(b) if d < 3 else None, i % 3 > 0) for d, n in ((1, 900), (2, 60), (3, 70)) for i, (a, b) in enumerate(rng.normal(size=(n, 2)))]
+    rows.append((2, 99, 1.0, None, False))
+    df = spark.createDataFrame(rows, "d int, i int, x double, y double, training boolean")
+    train, test = df.filter("training"), df.filter("not training")
+    want = sorted(map(tuple, models.score(df, models.fit(train, algorithm, "d", "i", ["x", "y"]), algorithm, "d", "i", ["x", "y"]).collect()), key=str)
+    held, seen = forests.fit, []
+    monkeypatch.setattr(forests, "fit", lambda *a, **k: seen.append(a) or held(*a, **k))
+    got = models.learned_scores(train, test, algorithm, "d", "i", ["x", "y"], True)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    tested = {(r.d, r.i) for r in test.collect()}
+    assert sorted(map(tuple, models.learned_scores(train, test, algorithm, "d", "i", ["x", "y"]).collect()), key=str) == [r for r in want if r[:2] in tested]
+    assert not seen  # no nodes were written or shuffled
+    # blocks, and parts of a few trees
+    vector = lambda x, learned: x.filter("y is not null").select("d", "i", F.array("x", "y").alias("v"), F.lit(learned).alias("learned"))
+    sums = lambda **sizes: {(r.d, r.i): r["_value"] for r in forests.grown_sums(vector(train, True), vector(test, False), algorithm, "d", "i", **sizes).collect()}
+    small = sums(block_rows=8, nodes=20_000)
+    assert small == pytest.approx(sums(nodes=20_000)) and len(small) == len([t for t in tested if t[0] < 3]) - 1
+
+
 def test_a_part_draws_from_its_share_of_a_large_device(spark):
     rows = spark.range(6000).selectExpr("1 as d", "id as i", "array(rand(3), rand(4)) as v").persist()
     seen = forests.fit(rows, "if_sklearn", "d", "i", pool=600, nodes=51200)
