@@ -32,6 +32,32 @@ def lists(places: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)))
 
 
+def nearest(a: np.ndarray, b: np.ndarray, most: int, self_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in b of the `most` nearest of each row of a, equal ones by place, their distances, and the places in a; self_at: which place of b is none (-1: all are)."""
+    near, far, who = [], [], []
+    step = max(1, CELLS // max(1, len(b)))
+    for i in range(0, len(a) if len(b) else 0, step):
+        dist = np.round(np.sqrt(squares(a[i : i + step], b)), DIGITS)
+        mine = np.flatnonzero(self_at[i : i + step] >= 0)
+        dist[mine, self_at[i : i + step][mine]] = np.inf
+        if 4 * most < len(b):
+            # all that are as near as the k-th, so that ties go by key
+            limit = np.partition(dist, most - 1, axis=1)[:, most - 1]
+            row, col = np.nonzero(dist <= limit[:, None])
+        else:
+            row, col = np.nonzero(np.isfinite(dist))
+        value = dist[row, col]
+        order = np.lexsort((col, value, row))
+        row, col, value = row[order], col[order], value[order]
+        rank = np.arange(row.size) - np.searchsorted(row, row)
+        keep = (rank < most) & np.isfinite(value)
+        near.append(col[keep])
+        far.append(value[keep])
+        who.append(row[keep] + i)
+    near, far, who = (np.concatenate(x) if x else np.zeros(0, int) for x in (near, far, who))
+    return near.astype(np.int64), far.astype(float), who.astype(np.int64)
+
+
 class Search:
     """The cells of training rows (device, key, v) and the neighbours of other rows.
 
@@ -49,7 +75,10 @@ class Search:
         wanted = F.when(F.col("_n") <= 2 * cell_rows, 1).otherwise(F.least(F.ceil(F.col("_n") / cell_rows), F.lit(MOST_CELLS)))
         sizes = sizes.withColumn("_wanted", wanted.cast("long"))
         large = first.join(sizes.filter("_wanted > 1"), device)
-        chosen = (F.col("_copy") == 1) & ((F.col("_lot") % F.ceil(F.col("_n") / F.col("_wanted")) == 0) | (F.col("_lot") == F.col("_least")))
+        # the two least lots are pivots whatever the others draw, so that a device of several values has several cells
+        second = large.filter((F.col("_copy") == 1) & (F.col("_lot") > F.col("_least"))).groupBy(device).agg(F.min("_lot").alias("_second"))
+        large = large.join(second, device, "left")
+        chosen = (F.col("_copy") == 1) & ((F.col("_lot") % F.ceil(F.col("_n") / F.col("_wanted")) == 0) | (F.col("_lot") <= F.coalesce("_second", "_least")))
         # some MOST_CELLS vectors a device at most
         self.pivots = large.filter(chosen).groupBy(device).agg(F.sort_array(F.collect_list(F.struct("_lot", "v")))["v"].alias("_pivots"))
         small = first.join(sizes.filter("_wanted = 1").select(device), device, "left_semi").select(device, key, "v", F.lit(0).alias("cell"), F.lit(0.0).alias("_far"))
@@ -132,33 +161,14 @@ class Search:
             others = others.sort_by("near")
             keys, near_keys, own = some.column(k).combine_chunks(), others.column("near").combine_chunks(), some.column("own").to_numpy()
             a, b = matrix(some.column("v")), matrix(others.column("v"))
-            near, far, who = [], [], []
+            near, far, who = nearest(a[:0], b[:0], 1, np.zeros(0, int))
             if len(a) and len(b):
                 most = min(int(some.column("_k")[0].as_py()), len(b))
                 place_of = {v: i for i, v in enumerate(near_keys.to_pylist())} if own.any() else {}
                 self_at = np.array([place_of.get(v, -1) if o else -1 for v, o in zip(keys.to_pylist(), own.tolist(), strict=True)]) if place_of else np.full(len(a), -1)
-                step = max(1, CELLS // len(b))
-                for i in range(0, len(a), step):
-                    dist = np.round(np.sqrt(squares(a[i : i + step], b)), DIGITS)
-                    mine = np.flatnonzero(self_at[i : i + step] >= 0)
-                    dist[mine, self_at[i : i + step][mine]] = np.inf
-                    if 4 * most < len(b):
-                        # all that are as near as the k-th, so that ties go by key
-                        limit = np.partition(dist, most - 1, axis=1)[:, most - 1]
-                        row, col = np.nonzero(dist <= limit[:, None])
-                    else:
-                        row, col = np.nonzero(np.isfinite(dist))
-                    value = dist[row, col]
-                    order = np.lexsort((col, value, row))
-                    row, col, value = row[order], col[order], value[order]
-                    rank = np.arange(row.size) - np.searchsorted(row, row)
-                    keep = (rank < most) & np.isfinite(value)
-                    near.append(col[keep])
-                    far.append(value[keep])
-                    who.append(row[keep] + i)
-            near, far, who = (np.concatenate(x) if x else np.zeros(0, int) for x in (near, far, who))
-            who = pa.array(who.astype(np.int64))
-            return pa.table([some.column(d).combine_chunks().take(who), keys.take(who), some.column("own").combine_chunks().take(who), near_keys.take(pa.array(near.astype(np.int64))), pa.array(far.astype(float))], names=[d, k, "own", "near", "_d"])
+                near, far, who = nearest(a, b, most, self_at)
+            who = pa.array(who)
+            return pa.table([some.column(d).combine_chunks().take(who), keys.take(who), some.column("own").combine_chunks().take(who), near_keys.take(pa.array(near)), pa.array(far)], names=[d, k, "own", "near", "_d"])
 
         types = f"`{d}` {self.kinds[d]}, `{k}` {dict(visits.dtypes)[k]}, own boolean, near {self.kinds[k]}, _d double"
         return dealt(left, *group).groupBy(*group).cogroup(dealt(right.toDF(*right.columns), *group).groupBy(*group)).applyInArrow(run, types)

@@ -281,6 +281,26 @@ def test_cells_are_few_that_a_row_is_compared_with(spark):
     assert seen.rows == n and seen.cells > 40 and seen.compared < seen.cells / 4
 
 
+def test_small_devices_are_compared_many_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(d, i, float(x), float(y), i % 4 > 0) for d in range(30) for i, (x, y) in enumerate(np.round(rng.normal(size=(36, 2)), 1))]
+    df = spark.createDataFrame(rows, "d int, i int, x double, y double, training boolean")
+    monkeypatch.setattr(lof, "Search", None)  # a group for each device
+    got = {(r.d, r.i): r.lof for r in lof.lof(df.filter("training"), df.filter("not training"), "d", "i", ["x", "y"]).collect()}
+    for d in range(30):
+        known, asked = ([r for r in rows if r[0] == d and r[4] == t] for t in (True, False))
+        want = brute_lof(np.array([r[2:4] for r in known]), np.array([r[2:4] for r in asked]), np.array([r[1] for r in known]), 5)
+        assert [got[d, r[1]] for r in asked] == pytest.approx(want, abs=2e-6)
+
+
+def test_devices_of_more_rows_than_two_cells_hold_have_several(spark):
+    from meterglass.operators.knn import Search
+
+    rows = spark.range(200 * 53).selectExpr("cast(id % 200 as int) as d", "id as i", "array(rand(3) * 100, rand(4) * 100) as v").persist()
+    cells = Search(rows, "d", "i", cell_rows=16).cells.groupBy("d").agg(F.count("*").alias("n"))
+    assert cells.count() == 200 and cells.filter("n < 2").isEmpty()
+
+
 @pytest.mark.parametrize("algorithm", models.ALGORITHMS)
 def test_all_null_and_partly_null_features_lose_no_device(spark, algorithm):
     rng = np.random.default_rng(4)
