@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.operators.quantiles import quantile
+from meterglass.runtime import settled
 
 ALPHA, TOLERANCE, CONTAMINATION, DIGITS = 0.1, 1e-20, 1 / 3, 6
 
@@ -44,18 +45,31 @@ def fit(df: DataFrame, device: str, key: str, features: list[str]) -> DataFrame:
 
 def score(df: DataFrame, model: DataFrame, device: str, key: str, features: list[str], alpha: float = ALPHA, tolerance: float = TOLERANCE) -> DataFrame:
     """device, key, score (rounded to DIGITS, so that engines agree on ties)."""
-    x, lo, width, bins = F.col("x"), F.col("lo"), F.col("width"), F.col("bins")
-    outside = (x < lo - tolerance * width) | (x > F.col("hi") + tolerance * width)
-    at = F.greatest(F.lit(0), F.least(F.floor((x - lo) / width).cast("int"), bins - 1))
-    density = F.when(outside, F.col("rarest")).otherwise(F.get("density", at))
-    cells = long_form(df, device, key, features).join(model, [device, "feature"])
-    # one column per feature, summed in the order of their names
-    parts = {f: F.coalesce(F.sum(F.when(F.col("feature") == f, -F.log2(density + alpha))), F.lit(0.0)) for f in sorted(features)}
-    return cells.groupBy(device, key).agg(F.round(reduce(lambda a, b: a + b, parts.values()), DIGITS).alias("score"))
+    names = sorted(features)
+    # one row a device, so that rows meet their models by one join and stay in place
+    cell = F.struct("lo", "hi", "bins", "width", "density", "rarest")
+    per = model.groupBy(device).agg(*(F.first(F.when(F.col("feature") == f, cell), ignorenulls=True).alias(f"_m{i}") for i, f in enumerate(names)))
+    known = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
+    wide = df.select(device, key, *(known(f).alias(f"_x{i}") for i, f in enumerate(names))).join(per, device)
+
+    def part(i: int):
+        x, m = F.col(f"_x{i}"), F.col(f"_m{i}")
+        lo, width = m["lo"], m["width"]
+        outside = (x < lo - tolerance * width) | (x > m["hi"] + tolerance * width)
+        at = F.greatest(F.lit(0), F.least(F.floor((x - lo) / width).cast("int"), m["bins"] - 1))
+        density = F.when(outside, m["rarest"]).otherwise(F.get(m["density"], at))
+        return F.when(x.isNotNull() & m.isNotNull(), -F.log2(density + alpha))
+
+    parts = wide.select(device, key, *(part(i).alias(f"_p{i}") for i in range(len(names)))).filter(reduce(lambda a, b: a | b, (F.col(f"_p{i}").isNotNull() for i in range(len(names)))))
+    # summed in the order of their names
+    total = reduce(lambda a, b: a + b, (F.coalesce(F.sum(f"_p{i}"), F.lit(0.0)) for i in range(len(names))))
+    return parts.groupBy(device, key).agg(F.round(total, DIGITS).alias("score"))
 
 
 def thresholds(scores: DataFrame, device: str, contamination: float = CONTAMINATION) -> DataFrame:
-    return quantile(scores, device, "score", 1 - contamination).select(device, F.round("value", 9).alias("threshold"))
+    # written once: the quantile reads the scores several times
+    held = scores if hasattr(scores, "settled_at") else settled(scores.select(device, "score"), "scores")
+    return quantile(held, device, "score", 1 - contamination).select(device, F.round("value", 9).alias("threshold"))
 
 
 def predict(scores: DataFrame, limits: DataFrame, device: str) -> DataFrame:
@@ -64,5 +78,5 @@ def predict(scores: DataFrame, limits: DataFrame, device: str) -> DataFrame:
 
 def train_and_label(df: DataFrame, device: str, key: str, features: list[str]) -> DataFrame:
     """Scores and labels of the training rows themselves."""
-    scores = score(df, fit(df, device, key, features), device, key, features)
+    scores = settled(score(df, fit(df, device, key, features), device, key, features), "scores")
     return predict(scores, thresholds(scores, device), device)

@@ -38,7 +38,7 @@ def fit(train: DataFrame, algorithm: str, device: str, key: str, features: list[
     if algorithm not in ALGORITHMS:
         raise ValueError(f"no such algorithm: {algorithm}")
     if algorithm == "hbos":
-        model = hbos.fit(train, device, key, features)
+        model = settled(hbos.fit(train, device, key, features), "histograms")
         limits = hbos.thresholds(hbos.score(train, model, device, key, features), device)
         cell = F.struct("feature", "n", "lo", "hi", "bins", "width", "density", "rarest")
         per = model.groupBy(device).agg(F.sort_array(F.collect_list(cell)).alias("cells"))  # a cell for each feature

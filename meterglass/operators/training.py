@@ -24,6 +24,7 @@ def fit(train: DataFrame, algorithm: str, device: str, key: str, features: list[
     """device, the transform of its rows (features, shift, factor, components), and part, params and arrays of its model: a row for each part."""
     transforms = settled(fit_transforms(train, device, features, scale, reduction), "transforms")
     rows, names = apply_transforms(train, transforms, device, features)
+    rows = settled(rows, "transformed")  # fitting reads them several times
     return transforms.join(models.fit(rows, algorithm, device, key, names), device)
 
 

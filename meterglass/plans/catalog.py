@@ -467,7 +467,7 @@ SELECT user_id, event_id, lof, CAST(lof > 1.5 AS INT) AS prediction FROM o"""
 
 @query(LOF_SQL)
 def lof_scores(spark, sf_dir):
-    rows = prepared(spark, sf_dir)
+    rows = settled(prepared(spark, sf_dir), "rows")
     return lof.lof(rows.filter("training"), rows.filter("not training"), DEVICE, KEY, NUMERIC)
 
 
@@ -550,7 +550,7 @@ def _gapped(spark, sf_dir):
 @query(f"SELECT user_id, event_id, round(ln(lof), 6) AS log_lof, prediction FROM ({GAPPED})")
 def lof_gaps(spark, sf_dir):
     """A feature that some devices never have takes no part in their models, and costs no device."""
-    rows = _gapped(spark, sf_dir)
+    rows = settled(_gapped(spark, sf_dir), "rows")
     out = lof.lof(rows.filter("training"), rows.filter("not training"), DEVICE, KEY, NUMERIC)
     return out.select("user_id", "event_id", F.round(F.log("lof"), 6).alias("log_lof"), "prediction")
 
@@ -580,8 +580,8 @@ def lof_cells(spark, sf_dir):
 @query(LOF_SQL)
 def lof_stored(spark, sf_dir):
     """The model that LOF training stores scores as the rows themselves do."""
-    rows = prepared(spark, sf_dir)
-    kept = training.stored(training.fit(rows.filter("training"), "lof", DEVICE, KEY, NUMERIC), DEVICE, "rxpk", "lof")
+    rows = settled(prepared(spark, sf_dir), "rows")
+    kept = settled(training.stored(training.fit(rows.filter("training"), "lof", DEVICE, KEY, NUMERIC), DEVICE, "rxpk", "lof"), "stored")
     out = training.predict(rows.filter("not training"), training.loaded(kept, DEVICE, "long"), "lof", DEVICE, KEY, NUMERIC)
     return out.select("user_id", "event_id", F.col("score").alias("lof"), "prediction")
 
@@ -615,7 +615,7 @@ def registry_latest(spark, sf_dir):
 @query(f"WITH {P}, {hbos_ctes('p', 'p')} SELECT event_id, user_id, score, CAST(score > threshold AS INT) AS prediction FROM rs JOIN limits USING (user_id)")
 def registry_models(spark, sf_dir):
     """Models of all devices are fitted, stored, replaced by a later version, loaded and used."""
-    rows = prepared(spark, sf_dir)
+    rows = settled(prepared(spark, sf_dir), "rows")
     known = registry.Registry(spark, scratch(spark, "models"))
     for version, train in ((1, rows.filter("training")), (2, rows)):
         known.store(training.stored(training.fit(train, "hbos", DEVICE, KEY, NUMERIC), DEVICE, "rxpk", "hbos"), version)
