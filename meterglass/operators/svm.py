@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterglass.operators.bundles import Vectors, bundled, count_for, units
 from meterglass.operators.vectors import VECTORS, matrix, squares
 from meterglass.runtime import dealt as spread_out
 from meterglass.runtime import discard, settled, ship
@@ -114,17 +115,23 @@ def solution(rows: DataFrame, device: str, key: str, nu: float = NU, chunk: int
     columns = [device, key, "v", "a", "g"]
 
     def alone(table: pa.Table) -> pa.Table:
-        table = table.sort_by(key)
-        x, n, gamma = matrix(table.column("v")), table.column("n")[0].as_py(), table.column("gamma")[0].as_py()
-        most = max(1 / (nu * len(x)), 1 / len(x))
-        k = kernel(x, x, gamma)
-        a = start(len(x), most)
-        a, g = solve(k, a, k @ a, most, TOLERANCE)
-        share = len(x) / n
-        return pa.table([table.column(device), table.column(key), table.column("v").cast(VECTORS), pa.array(a * share), pa.array(g * share)], names=columns)
-
+        # the chunks of a bundle, each by its keys
+        table, each = units(table, [device, "_chunk"], [key])
+        v, ns, gammas = Vectors(table.column("v")), table.column("n").to_numpy(), table.column("gamma").to_numpy()
+        weights, gradients = np.zeros(table.num_rows), np.zeros(table.num_rows)
+        for i, j in each:
+            x = v.rows(i, j)
+            most = max(1 / (nu * len(x)), 1 / len(x))
+            k = kernel(x, x, float(gammas[i]))
+            a = start(len(x), most)
+            a, g = solve(k, a, k @ a, most, TOLERANCE)
+            share = len(x) / int(ns[i])
+            weights[i:j], gradients[i:j] = a * share, g * share
+        return pa.table([table.column(device), table.column(key), table.column("v").cast(VECTORS), pa.array(weights), pa.array(gradients)], names=columns)
+
+    total = shape.agg(F.sum("n")).first()[0] or 0
     chunked = by_device(rows.select(device, key, "v"), device, shape, ["n", "gamma", "_chunks"]).withColumn("_chunk", F.pmod(F.xxhash64(F.lit("chunk"), key), F.col("_chunks")).cast("int"))
-    state = settled(spread_out(chunked, device, "_chunk").groupBy(device, "_chunk").applyInArrow(alone, state_type), "svm-state")
+    state = settled(bundled(chunked, [device, "_chunk"], count_for(rows.sparkSession, total)).applyInArrow(alone, state_type), "svm-state")
     large = shape.filter("_chunks > 1").select(device)
     if large.isEmpty():
         return state, shape

@@ -575,3 +575,23 @@ def test_materialise_skips_what_is_there(spark, tmp_path):
     io.materialise(spark, path, lambda: spark.range(3))
     assert io.materialise(spark, path, lambda: spark.range(9)).count() == 3
     assert io.materialise(spark, path, lambda: spark.range(9), skip_if_exists=False).count() == 9
+
+
+def test_small_devices_are_solved_many_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(d, i, [float(a), float(b)]) for d in range(20) for i, (a, b) in enumerate(rng.normal(size=(30, 2)))], "d int, i int, v array<double>")
+    monkeypatch.setattr(svm, "spread_out", None)  # a group for each device
+    fitted = svm.fit(rows, "d", "i").collect()
+    assert len(fitted) == 20 and all(r.gap < 1e-6 and sum(r.arrays["a"]) == pytest.approx(1) for r in fitted)
+
+
+def test_thresholds_read_their_scores_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    scores = spark.range(100).selectExpr("1 as d", "double(id) as score").mapInArrow(counted, "d int, score double")
+    assert hbos.thresholds(scores, "d").first().threshold == pytest.approx(66) and seen.value == 100
