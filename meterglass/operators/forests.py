@@ -70,14 +70,17 @@ def grow(train: np.ndarray, tree: np.ndarray, limit: int, seed: int) -> dict[str
     for depth in range(limit + 1):
         count = size.size
         start = np.concatenate(([0], np.cumsum(size)[:-1]))
-        low, high = np.minimum.reduceat(x, start, axis=0), np.maximum.reduceat(x, start, axis=0)
+        # a side is empty where a cut is rounded to an end of its range
+        filled = np.flatnonzero(size)
+        low, high = np.zeros((2, count, width))
+        low[filled], high[filled] = np.minimum.reduceat(x, start[filled], axis=0), np.maximum.reduceat(x, start[filled], axis=0)
         wide = high > low
         leaf = (size <= 1) | ~wide.any(axis=1) | (depth == limit)
         own = np.arange(count)
         lots = unit(seed, tree[:, None], heap[:, None], np.arange(width + 1))  # the first for the cut, then one for each feature
         column = np.where(wide, lots[:, 1:], -1.0).argmax(axis=1)
         least, most = low[own, column], high[own, column]
-        cut = np.where(leaf, 0.0, np.maximum(least + (most - least) * lots[:, 0], np.nextafter(least, np.inf)))
+        cut = np.where(leaf, 0.0, least + (most - least) * lots[:, 0])
         inner = np.cumsum(~leaf) - 1
         for k, v in zip(ARRAYS, (np.where(leaf, -1, column), cut, np.where(leaf, -1, before + count + 2 * inner), np.where(leaf, depth + path_length(size), 0.0)), strict=True):
             out[k].append(v)

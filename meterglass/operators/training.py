@@ -17,7 +17,7 @@ MODEL = "features array<string>, shift array<double>, factor array<double>, comp
 def prepare(df: DataFrame, device: str, key: str, features: list[str], least: int = MIN_ROWS) -> DataFrame:
     """Gate by size and impute; `training` marks the rows to learn from. A column that a device never has stays null."""
     gated = size_gate(df.select(device, key, *features), device, least)
-    return mean_impute(gated, device, features).withColumn("training", in_train(F.col(key)))
+    return mean_impute(gated, device, features, key).withColumn("training", in_train(F.col(key)))
 
 
 def fit(train: DataFrame, algorithm: str, device: str, key: str, features: list[str], scale: bool = False, reduction: str | None = None) -> DataFrame:

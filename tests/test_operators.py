@@ -347,6 +347,30 @@ def test_trees_score_where_they_are_grown_as_stored_ones_do(spark, monkeypatch,
     assert small == pytest.approx(sums(nodes=20_000)) and len(small) == len([t for t in tested if t[0] < 3]) - 1
 
 
+def test_imputed_means_do_not_depend_on_how_rows_are_shuffled(spark):
+    x = np.round(np.random.default_rng(5).uniform(0, 90, size=(2, 71)), 2)
+    rows = [(d, i, float(x[d, i]) if i < 71 else None) for d in (0, 1) for i in range(74)]
+    df = spark.createDataFrame(rows, "d int, i int, x double")
+    want = {d: float(np.cumsum(x[d])[-1]) / 71 for d in (0, 1)}  # summed by key
+    for some in (df, df.repartition(7, "x"), df.orderBy(F.desc("x"))):
+        got = training.prepare(some, "d", "i", ["x"]).filter("i > 70").collect()
+        assert len(got) == 6 and all(r.x == want[r.d] for r in got)
+    larger = prep.mean_impute(df, "d", ["x"], "i", ordered=20).filter("i > 70").collect()
+    assert len(larger) == 6 and all(r.x == pytest.approx(want[r.d]) for r in larger)
+
+
+def test_a_cut_that_is_rounded_to_the_least_value_leaves_its_left_side_empty():
+    a = 41.35
+    x, trees = np.array([[np.nextafter(a, 0)], [a]]), np.arange(200)
+    lots = forests.unit(forests.SEED, trees, 1, 0)
+    for t in trees:
+        made = forests.fit_part(x, np.arange(2), trees[t : t + 1], 2)
+        cut = x[0, 0] + (a - x[0, 0]) * lots[t]
+        assert made["cut"][0] == cut and forests.depths(made, x).tolist() == ([2, 2] if cut == x[0, 0] else [1, 1])
+        assert forests.depths(made, np.array([[0.0]])).tolist() == [1]
+    assert 0 < sum(x[0, 0] + (a - x[0, 0]) * lots == x[0, 0]) < 200
+
+
 def test_a_part_draws_from_its_share_of_a_large_device(spark):
     rows = spark.range(6000).selectExpr("1 as d", "id as i", "array(rand(3), rand(4)) as v").persist()
     seen = forests.fit(rows, "if_sklearn", "d", "i", pool=600, nodes=51200)
