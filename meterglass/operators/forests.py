@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.operators.bundles import Vectors, bundled, count_for, units
 from meterglass.operators.vectors import to_map
 from meterglass.runtime import dealt as spread
-from meterglass.runtime import settled, ship
+from meterglass.runtime import settled, ship, shuffle_partitions
 
 SEED = 42
 POOL = 16384  # rows, on average, that the trees of a part draw their samples from
@@ -166,14 +167,18 @@ def shapes(rows: DataFrame, variant: str, device: str, nodes: int) -> DataFrame:
     return shape.withColumn("_each", each).withColumn("_parts", F.ceil(F.col("trees") / F.col("_each")).cast("int"))
 
 
+def drawn_by(part: Column, key: str, seed: int, pool: int) -> Column:
+    """Whether a part learns from a row: parts of smaller samples draw these from a pool of their own."""
+    share = F.when(F.col("sample") < F.col("_n"), F.lit(float(pool)) / F.col("_n")).otherwise(F.lit(1.0))
+    lot = F.pmod(F.xxhash64(F.lit(seed), key, part), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return lot < share
+
+
 def pools(rows: DataFrame, shape: DataFrame, device: str, key: str, seed: int, pool: int) -> DataFrame:
     """The rows that each part learns from, with the columns of shape but for _n and _parts."""
     dealt = rows.select(device, key, "v").join(shape, device).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    # a part of smaller samples draws them from its own share of the rows
-    share = F.when(F.col("sample") < F.col("_n"), F.lit(float(pool)) / F.col("_n")).otherwise(F.lit(1.0))
-    lot = F.pmod(F.xxhash64(F.lit(seed), key, "part"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     own = [c for c in shape.columns if c not in (device, "_n", "_parts")]
-    return dealt.filter(lot < share).select(device, key, key_hash(F.col(key)).alias("_h"), "v", "part", *own)
+    return dealt.filter(drawn_by(F.col("part"), key, seed, pool)).select(device, key, key_hash(F.col(key)).alias("_h"), "v", "part", *own)
 
 
 def fit(rows: DataFrame, variant: str, device: str, key: str, seed: int = SEED, pool: int = POOL, nodes: int = NODES) -> DataFrame:
@@ -197,39 +202,58 @@ def grown_sums(rows: DataFrame, asked: DataFrame, variant: str, device: str, key
     """device, key, learned, _value (the sum of a row's path lengths), trees and sample of asked rows (device, key, v, learned).
 
     The trees are those of fit(), but a task that grows a part scores a block of rows with it at once, so nodes are neither written nor
-    shuffled. Where a device has several blocks, its parts are grown in each."""
+    shuffled. The parts of a device are dealt in shares, and a task grows those of a share one after the other from the same rows: these are
+    shuffled once a share, not once a part. A device has several shares only where its work is more than half a task's part of all work,
+    so all devices together have few more shares than devices. Where a device has several blocks, its parts are grown in each."""
     spark = rows.sparkSession
     ship(spark)
     # blocks are no smaller than what a part learns from, so that growing it anew is never most of the work
     blocks = asked.groupBy(device).agg(F.count("*").alias("_asked"))
     learns = F.when(F.col("sample") < F.col("_n"), F.least(F.col("_n"), F.lit(pool))).otherwise(F.col("_n"))
-    shape = shapes(rows, variant, device, nodes).join(blocks, device).withColumn("_blocks", F.ceil(F.col("_asked") / F.greatest(F.lit(block_rows), learns)).cast("int")).drop("_asked")
-    shape = settled(shape, "forest-shape")
-    work = shape.agg(F.sum(F.col("_n") * F.col("_parts"))).first()[0] or 0
+    shape = shapes(rows, variant, device, nodes).join(blocks, device).withColumn("_blocks", F.ceil(F.col("_asked") / F.greatest(F.lit(block_rows), learns)).cast("int"))
+    shape = settled(shape.withColumn("_work", F.col("trees") * (F.col("sample") + F.col("_asked") / F.col("_blocks"))), "forest-shape")
+    most = (shape.agg(F.sum(F.col("_work") * F.col("_blocks"))).first()[0] or 0) / (2 * shuffle_partitions(spark))
+    shape = shape.withColumn("_shares", F.least(F.col("_parts"), F.ceil(F.col("_work") / F.lit(max(most, 1.0)))).cast("int"))
+    dealt = shape.agg(F.sum(F.col("_shares") * (F.col("_n") * F.col("_blocks") + F.col("_asked")))).first()[0] or 0
+    shape = shape.drop("_asked", "_work")
     spread_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = [device, "part", "_block", key, "v", "_h", "learned", "trees", "sample", "_each"]
-    given = pools(rows, shape, device, key, seed, pool).withColumn("_block", spread_to("_blocks")).withColumn("learned", F.lit(None).cast("boolean")).select(*columns)
+    columns = [device, "_share", "_block", key, "v", "_h", "_in", "learned", "trees", "sample", "_each", "_parts", "_shares"]
+    given = rows.select(device, key, "v").join(shape, device).withColumn("_share", spread_to("_shares"))
+    # _in: the parts that learn from the row; null: all of the share
+    own = F.filter(F.sequence("_share", F.col("_parts") - 1, "_shares"), lambda part: drawn_by(part, key, seed, pool))
+    given = given.withColumn("_in", F.when((F.col("sample") < F.col("_n")) & (F.col("_n") > pool), own)).filter("_in is null or size(_in) > 0")
+    given = given.withColumns({"_block": spread_to("_blocks"), "_h": key_hash(F.col(key)), "learned": F.lit(None).cast("boolean")}).select(*columns)
     left = asked.select(device, key, "v", "learned").join(shape, device).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
-    left = left.withColumn("part", spread_to("_parts")).withColumn("_h", F.lit(None).cast("long")).select(*columns)
+    left = left.withColumns({"_share": spread_to("_shares"), "_h": F.lit(None).cast("long"), "_in": F.lit(None).cast("array<int>")}).select(*columns)
     kinds = dict(rows.dtypes)
 
     def run(table: pa.Table) -> pa.Table:
         # rows to learn from first (their `learned` is null), then by key
-        table, each = units(table.append_column("_asks", table.column("learned").is_valid()), [device, "part", "_block"], ["_asks", key])
-        asks, v = table.column("_asks").to_numpy(), Vectors(table.column("v"))
+        table, each = units(table.append_column("_asks", table.column("learned").is_valid()), [device, "_share", "_block"], ["_asks", key])
+        asks, v, pooled = table.column("_asks").to_numpy(), Vectors(table.column("v")), table.column("_in")
         hashes = table.column("_h").fill_null(0).to_numpy()
-        part, trees, sample, of = (table.column(c).to_numpy() for c in ("part", "trees", "sample", "_each"))
+        share, trees, sample, of, parts, shares = (table.column(c).to_numpy() for c in ("_share", "trees", "sample", "_each", "_parts", "_shares"))
         value = np.zeros(table.num_rows)
         for a, b in each:
             m = a + int(np.count_nonzero(~asks[a:b]))
-            if a < m < b:
-                some = np.arange(int(part[a]) * int(of[a]), min(int(trees[a]), (int(part[a]) + 1) * int(of[a])))
-                value[m:b] = depths(fit_part(v.rows(a, m), hashes[a:m], some, int(sample[a]), seed), v.rows(m, b))
+            if not a < m < b:
+                continue
+            x, h, rows_ = v.rows(a, m), hashes[a:m], v.rows(m, b)
+            drawn_in = pooled.slice(a, m - a).combine_chunks() if pooled[a].is_valid else None
+            if drawn_in is not None:
+                whose, part_of = np.repeat(np.arange(m - a), pc.list_value_length(drawn_in).to_numpy()), drawn_in.flatten().to_numpy()
+            for part in range(int(share[a]), int(parts[a]), int(shares[a])):
+                at = slice(None) if drawn_in is None else whose[part_of == part]
+                if len(x[at]):
+                    some = np.arange(part * int(of[a]), min(int(trees[a]), (part + 1) * int(of[a])))
+                    value[m:b] += depths(fit_part(x[at], h[at], some, int(sample[a]), seed), rows_)
         names = [device, key, "learned", "trees", "sample"]
         out = pa.table([*(table.column(c) for c in names), pa.array(value)], names=[*names, "_value"])
         return out.filter(table.column("_asks"))
 
-    found = bundled(given.unionByName(left), [device, "part", "_block"], count_for(spark, 2 * work)).applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, learned boolean, trees int, sample int, _value double")
+    # few rows may be much work, so there are some bundles a task whatever the rows
+    bundles = max(4 * shuffle_partitions(spark), count_for(spark, dealt))
+    found = bundled(given.unionByName(left), [device, "_share", "_block"], bundles).applyInArrow(run, f"`{device}` {kinds[device]}, `{key}` {kinds[key]}, learned boolean, trees int, sample int, _value double")
     return found.groupBy(device, key, "learned").agg(F.sum("_value").alias("_value"), F.first("trees").alias("trees"), F.first("sample").alias("sample"))
 
 

@@ -347,6 +347,27 @@ def test_trees_score_where_they_are_grown_as_stored_ones_do(spark, monkeypatch,
     assert small == pytest.approx(sums(nodes=20_000)) and len(small) == len([t for t in tested if t[0] < 3]) - 1
 
 
+@pytest.mark.parametrize(("algorithm", "sizes"), [("if_custom", {"nodes": 4000}), ("if_sklearn", {"nodes": 2048, "pool": 280})])
+def test_rows_are_dealt_to_forests_once_a_share_and_not_once_a_part(spark, monkeypatch, algorithm, sizes):
+    rng = np.random.default_rng(8)
+    rows = [(d, i, rng.normal(size=2).tolist(), i % 2 > 0) for d in range(6) for i in range(600)]
+    df = spark.createDataFrame(rows, "d int, i int, v array<double>, learned boolean").persist()
+    train, asked = df.filter("learned").drop("learned"), df.filter("not learned")
+    held, dealt = forests.bundled, []
+    monkeypatch.setattr(forests, "bundled", lambda some, *a: dealt.append(some.count()) or held(some, *a))
+    got = {(r.d, r.i): r["_value"] for r in forests.grown_sums(train, asked, algorithm, "d", "i", **sizes).collect()}
+    # 15 parts a device or more: 3,600 rows, in two shares at most
+    assert dealt[0] <= 2 * 3600
+    # the sums of stored parts
+    fitted = forests.fit(train, algorithm, "d", "i", **sizes).collect()
+    assert len(fitted) > 6 * 15 and len(got) == 1800
+    x = {d: [(i, v) for e, i, v, own in rows if e == d and not own] for d in range(3)}
+    for d in x:
+        parts = [{k: np.array(v) for k, v in r.arrays.items()} for r in fitted if r.d == d]
+        want = sum(forests.depths(p, np.array([v for _, v in x[d]])) for p in parts)
+        assert [got[d, i] for i, _ in x[d]] == pytest.approx(want.tolist())
+
+
 def test_imputed_means_do_not_depend_on_how_rows_are_shuffled(spark):
     x = np.round(np.random.default_rng(5).uniform(0, 90, size=(2, 71)), 2)
     rows = [(d, i, float(x[d, i]) if i < 71 else None) for d in (0, 1) for i in range(74)]
