@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 DECIMAL = "decimal(38,0)"
 BAD = -1
+SHORT, PLACES = "decimal(18,9)", 12  # of values that are summed as decimals, and of their means
 
 
 def hex_to_decimal(h: Column) -> Column:
@@ -53,6 +54,16 @@ def cflist_split(c: Column) -> tuple[Column, Column]:
     return F.when(some, F.substring(c, F.lit(1), F.length(c) - 2)), F.when(some, F.right(c, F.lit(2)))
 
 
+def exact_mean(x: Column) -> Column:
+    """An aggregate: the mean of doubles where it and each of them is a short decimal, whatever the order they come in, else null.
+
+    A mean may equal a value, the edge of a bin or a tie of its rounding. It does so to the last bit only if nothing was rounded on the way."""
+    short = x.try_cast(SHORT)
+    mean = F.try_divide(F.sum(short), F.count(x).cast("decimal(10,0)"))
+    exact = F.bool_and(F.coalesce(short.cast("double") == x, x.isNull())) & (F.round(mean, PLACES) == mean)
+    return F.when(exact, mean.cast("double"))
+
+
 def base64_to_hex(s: Column) -> Column:
     return F.hex(F.unbase64(s))
 

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterglass.functions import exprs as X
+
 MIN_ROWS, MIN_ROWS_STREAM = 50, 30000
 ATTACK_SHARE, ATTACK_MOST = 0.2, 30
 ORDERED = 20_000  # rows of a device whose means are summed in order, and of a block of a larger one
@@ -26,17 +28,18 @@ def null_census(df: DataFrame, columns: list[str]) -> DataFrame:
 def mean_impute(df: DataFrame, device: str, columns: list[str], key: str | None = None, ordered: int = ORDERED) -> DataFrame:
     """Nulls and NaNs become the device's mean of the column (as double); other values stay.
 
-    With a key, values of devices of up to `ordered` rows are summed in its order: a mean that equals one of the values but for its
-    last bit would else depend on how rows are shuffled. Larger devices have the mean of the aggregate, so no window holds more rows."""
+    Means that are short decimals are exact (exprs.exact_mean), so one that equals a value of the device is that value. Of others, with a key,
+    values of devices of up to `ordered` rows are summed in its order, so the last bit does not depend on how rows are shuffled. Larger
+    devices have the mean of the aggregate, so no window holds more rows."""
     usable = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    means = df.groupBy(device).agg(F.count("*").alias("_n"), *(F.avg(usable(c)).alias(f"_mean_{c}") for c in columns))
+    means = df.groupBy(device).agg(F.count("*").alias("_n"), *(F.avg(usable(c)).alias(f"_mean_{c}") for c in columns), *(X.exact_mean(usable(c)).alias(f"_exact_{c}") for c in columns))
     wide, mean = df.join(means, device), {c: F.col(f"_mean_{c}") for c in columns}
     if key is not None:
         block = F.when(F.col("_n") > ordered, F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / ordered)))
         whole = Window.partitionBy(device, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         wide = wide.withColumn("_block", block).withColumns({f"_own_{c}": F.avg(usable(c)).over(whole) for c in columns})
         mean = {c: F.when(F.col("_n") <= ordered, F.col(f"_own_{c}")).otherwise(mean[c]) for c in columns}
-    return wide.select(*(F.coalesce(usable(c), mean[c]).alias(c) if c in columns else c for c in df.columns))
+    return wide.select(*(F.coalesce(usable(c), F.col(f"_exact_{c}"), mean[c]).alias(c) if c in columns else c for c in df.columns))
 
 
 def in_train(key: Column, share: int = 80) -> Column:

@@ -380,6 +380,21 @@ def test_imputed_means_do_not_depend_on_how_rows_are_shuffled(spark):
     assert len(larger) == 6 and all(r.x == pytest.approx(want[r.d]) for r in larger)
 
 
+def test_a_mean_that_is_one_of_the_values_is_that_value(spark):
+    rng, rows = np.random.default_rng(6), []
+    for d in range(40):
+        cents = rng.integers(0, 3000, 60).tolist()
+        cents += [4135, 61 * 4135 - sum(cents)]  # the mean of 62 values is one of them
+        rows += [(d, i, c / 100) for i, c in enumerate(cents)] + [(d, 62, None)]
+    rows += [(40, i, x) for i, x in enumerate([1e30, 1.0, 1 / 3, None])] + [(41, i, x) for i, x in enumerate([0.1, 0.25, float("nan")])] + [(42, 0, None)]
+    df = spark.createDataFrame(rows, "d int, i int, x double")
+    assert sum(np.cumsum([x for e, _, x in rows if e == d and x is not None])[-1] / 62 != 41.35 for d in range(40)) > 10
+    for some in (df, df.repartition(7, "x")):
+        got = {r.d: r.x for r in prep.mean_impute(some, "d", ["x"], "i").orderBy("i").collect()}  # of the last row of each
+        assert [got[d] for d in range(40)] == [41.35] * 40
+        assert got[40] == pytest.approx(1e30 / 3) and got[41] == 0.175 and got[42] is None
+
+
 def test_a_cut_that_is_rounded_to_the_least_value_leaves_its_left_side_empty():
     a = 41.35
     x, trees = np.array([[np.nextafter(a, 0)], [a]]), np.arange(200)
