@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterglass.functions import exprs as X
 from meterglass.runtime import discard, settled, ship
 
 VARIANCE = 0.99
@@ -193,6 +194,7 @@ def fit_transforms(train: DataFrame, device: str, columns: list[str], scale: boo
     features: the sorted columns that the device has; shift and factor: mean and inverse sample deviation where
     scaled (a factor of 0 where there is no deviation), else 0 and 1; components: the directions that hold `share` of
     the variance (reduction "PCA") or of the squared singular values ("SVD"), else null.
+    Means that are short decimals are exact, whatever the order of rows, so a tie of their rounding is one.
     Means and deviations are aggregates of all devices at once; of a reduction only the triangles of a device (about its means) meet."""
     if reduction not in (None, "PCA", "SVD"):
         raise ValueError(f"no such reduction: {reduction}")
@@ -200,7 +202,7 @@ def fit_transforms(train: DataFrame, device: str, columns: list[str], scale: boo
     ship(spark)
     d = len(names)
     own = [F.col(c).cast("double").alias(c) for c in names]
-    means = train.groupBy(device).agg(F.count("*").cast("double").alias("_n"), F.array(*(F.avg(c) for c in own)).alias("_mean"), F.array(*(F.stddev_samp(c) for c in own)).alias("_sd"))
+    means = train.groupBy(device).agg(F.count("*").cast("double").alias("_n"), F.array(*(F.coalesce(X.exact_mean(c), F.avg(c)) for c in own)).alias("_mean"), F.array(*(F.stddev_samp(c) for c in own)).alias("_sd"))
     if reduction:
         centred = train.join(means.select(device, "_mean"), device).select(device, F.array(*(F.coalesce(c - F.get("_mean", F.lit(i)), F.lit(0.0)) for i, c in enumerate(own))).alias("_x"))
         moments = means.join(factors(centred, device, "_x", d), device)

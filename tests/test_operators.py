@@ -395,6 +395,16 @@ def test_a_mean_that_is_one_of_the_values_is_that_value(spark):
         assert got[40] == pytest.approx(1e30 / 3) and got[41] == 0.175 and got[42] is None
 
 
+def test_a_mean_that_is_a_tie_of_its_rounding_is_rounded_as_one(spark):
+    cents = np.random.default_rng(7).integers(0, 30000, (40, 64))
+    cents[:, 0] += (2 - cents.sum(axis=1)) % 4  # means of 64 values whose seventh and last decimal is a 5
+    df = spark.createDataFrame([(d, c / 100) for d in range(40) for c in cents[d].tolist()], "d int, x double")
+    want = [(15625 * int(c.sum()) + 50) // 100 / 1e6 for c in cents]
+    for some in (df, df.repartition(7, "x"), df.orderBy(F.desc("x"))):
+        got = features.fit_transforms(some, "d", ["x"], scale=True).select("d", F.round(F.get("shift", F.lit(0)), 6).alias("m")).orderBy("d").collect()
+        assert [r.m for r in got] == want
+
+
 def test_a_cut_that_is_rounded_to_the_least_value_leaves_its_left_side_empty():
     a = 41.35
     x, trees = np.array([[np.nextafter(a, 0)], [a]]), np.arange(200)
