@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterglass.functions import exprs as X
+from meterglass.runtime import dealt
 
 MIN_ROWS, MIN_ROWS_STREAM = 50, 30000
 ATTACK_SHARE, ATTACK_MOST = 0.2, 30
@@ -42,6 +43,15 @@ def mean_impute(df: DataFrame, device: str, columns: list[str], key: str | None
     return wide.select(*(F.coalesce(usable(c), F.col(f"_exact_{c}"), mean[c]).alias(c) if c in columns else c for c in df.columns))
 
 
+def in_order(df: DataFrame, device: str, order: list[str], ordered: int = ORDERED) -> DataFrame:
+    """The rows of a device of up to `ordered` rows in order and in one task, so that its sums do not depend on how rows are shuffled; larger
+    devices in blocks of that many."""
+    sizes = df.groupBy(device).agg(F.count("*").alias("_n"))
+    block = F.when(F.col("_n") > ordered, F.pmod(F.xxhash64(*order), F.ceil(F.col("_n") / ordered)))
+    wide = df.join(sizes, device).withColumn("_block", block)
+    return dealt(wide, device, "_block").sortWithinPartitions(device, "_block", *order).drop("_n", "_block")
+
+
 def in_train(key: Column, share: int = 80) -> Column:
     """Deterministic split by a hash of the key: whatever the partitions, a row stays on its side."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 100 < share

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meterglass.operators import metrics, models
 from meterglass.operators.features import apply_transforms, fit_transforms
 from meterglass.operators.models import ALGORITHMS
-from meterglass.operators.prep import MIN_ROWS, attack_inject, in_train, mean_impute, size_gate
+from meterglass.operators.prep import MIN_ROWS, attack_inject, in_order, in_train, mean_impute, size_gate
 from meterglass.runtime import settled
 
 MODEL = "features array<string>, shift array<double>, factor array<double>, components array<array<double>>, params string"
@@ -20,9 +20,11 @@ def prepare(df: DataFrame, device: str, key: str, features: list[str], least: in
     return mean_impute(gated, device, features, key).withColumn("training", in_train(F.col(key)))
 
 
-def fit(train: DataFrame, algorithm: str, device: str, key: str, features: list[str], scale: bool = False, reduction: str | None = None) -> DataFrame:
-    """device, the transform of its rows (features, shift, factor, components), and part, params and arrays of its model: a row for each part."""
-    transforms = settled(fit_transforms(train, device, features, scale, reduction), "transforms")
+def fit(train: DataFrame, algorithm: str, device: str, key: str, features: list[str], scale: bool = False, reduction: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """device, the transform of its rows (features, shift, factor, components), and part, params and arrays of its model: a row for each part.
+
+    Deviations are summed in order (of the key, unless given): a value that lies on the edge of a bin falls to either side by their last bit."""
+    transforms = settled(fit_transforms(in_order(train, device, order or [key]) if scale else train, device, features, scale, reduction), "transforms")
     rows, names = apply_transforms(train, transforms, device, features)
     rows = settled(rows, "transformed")  # fitting reads them several times
     return transforms.join(models.fit(rows, algorithm, device, key, names), device)

@@ -130,7 +130,7 @@ class Scorer:
             newest = Window.partitionBy(d).orderBy(F.desc(self.time), F.desc(self.key))
             train = train.withColumn("_at", F.row_number().over(newest)).filter(F.col("_at") <= self.keep).drop("_at")
         train = settled(imputed(train, moments(train, d, self.features), d, self.features), "learned-from")
-        fitted = training.fit(train, self.algorithm, d, "_row", self.features, self.scale, self.reduction)
+        fitted = training.fit(train, self.algorithm, d, "_row", self.features, self.scale, self.reduction, [self.key, "_row"])
         self.registry.store(training.stored(fitted, d, self.msg_type, self.algorithm), version, f"{self.msg_type}-{self.algorithm}")
         discard(train)
 

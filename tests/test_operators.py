@@ -405,6 +405,16 @@ def test_a_mean_that_is_a_tie_of_its_rounding_is_rounded_as_one(spark):
         assert [r.m for r in got] == want
 
 
+def test_scaling_does_not_depend_on_how_rows_are_shuffled(spark):
+    x = np.random.default_rng(9).uniform(0, 300, (8, 67))
+    df = spark.createDataFrame([(d, i, float(v)) for d in range(8) for i, v in enumerate(x[d])], "d int, i int, x double")
+    got = [sorted((r.d, *r["shift"], *r.factor) for r in training.fit(some, "hbos", "d", "i", ["x"], scale=True).collect()) for some in (df, df.repartition(7, "x"), df.orderBy(F.desc("x")))]
+    assert len(got[0]) == 8 and got[0] == got[1] == got[2]
+    assert [m for _, m, _ in got[0]] == [float(np.cumsum(x[d])[-1]) / 67 for d in range(8)]  # summed by key
+    blocks = prep.in_order(df, "d", ["i"], ordered=20)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_a_cut_that_is_rounded_to_the_least_value_leaves_its_left_side_empty():
     a = 41.35
     x, trees = np.array([[np.nextafter(a, 0)], [a]]), np.arange(200)
